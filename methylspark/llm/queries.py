@@ -2,8 +2,50 @@
 
 from __future__ import annotations
 
-from . import exactdedup, simhash
-from .common import table
+from pyspark.sql import functions as F
+
+from . import decontam, exactdedup, langid, licenses, mixing, preference, sharding, simhash, tokencount, warc
+from .common import scratch_path, staged, table
+
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+SLOTS = 8209
+
+
+def op1_warc(spark, sf_dir):
+    read = warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), lambda x: staged(x, "warc-index"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, seed=7, temperature=0.5, epochs=1.0)
+
+
+def op3_sharding(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS, ("doc_id",), SLOTS)
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_preference(spark, sf_dir):
+    return preference.preference_segments(preference.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op6_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trees = staged(tokencount.build_trees(docs), "token-trees")
+    edits = staged(tokencount.find_redactions(docs), "redactions")
+    edited = tokencount.apply_edits(docs, trees, edits).select("doc_id", "version", "n_edits", "n_tokens_after", "n_anew")
+    return tokencount.count_with_edits(docs, trees, edited)
+
+
+def op7_language_id(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -14,9 +56,60 @@ def op9_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_simhash)}
+def op10_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_mixing, op3_sharding, op4_decontamination, op5_preference,
+        op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses,
+    )
+}
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OWNERS = ",".join(map(str, sharding.fill_table(SHARDS, SLOTS)))
 
 ORACLES = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (SELECT page_id, t, list_transform(range(32), lambda i: substr('{_BASE32}',
+                ((('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INT)) & 31)::INT + 1, 1)) AS c FROM p)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, array_to_string(c, '') AS payload_digest,
+               CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+        FROM d WINDOW w AS (PARTITION BY t)
+    """,
+    "op2_mixing": """
+        WITH s AS (SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS chars FROM documents GROUP BY source),
+        r AS (SELECT source, coalesce(sqrt(chars) / nullif(sum(sqrt(chars)) OVER (), 0) * sum(chars) OVER () / nullif(chars, 0), 1) AS rate FROM s),
+        k AS (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM r WHERE rate > 0),
+        l AS (SELECT *, sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k) AS f FROM k),
+        p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - f)) OVER (PARTITION BY source ORDER BY k) AS c FROM l),
+        a AS (SELECT source, list(c ORDER BY k) AS cdf FROM p GROUP BY source),
+        u AS (SELECT *, ('0x' || substr(md5(concat('7|', coalesce(doc_id::VARCHAR, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+        n AS (SELECT u.*, len(list_filter(cdf, lambda c: c <= u)) AS n FROM u JOIN a ON u.source IS NOT DISTINCT FROM a.source),
+        x AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM n WHERE n > 0)
+        SELECT *, md5(concat('7|order|', coalesce(doc_id::VARCHAR, ''), '|', copy)) AS shuffle_key FROM x
+    """,
+    "op3_sharding": f"""
+        WITH t AS (SELECT string_split('{_OWNERS}', ',') AS owner),
+        s AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INT AS slot FROM documents)
+        SELECT s.*, 'shard-' || lpad(owner[slot + 1], 2, '0') AS shard FROM s, t
+    """,
+    "op5_preference": """
+        WITH r AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+                          coalesce(turn, 9223372036854775807) AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        b AS (SELECT pair_id, t, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS j FROM r GROUP BY ALL),
+        u AS (SELECT pair_id, min(t) FILTER (c <> j) AS cut FROM b GROUP BY pair_id),
+        m AS (SELECT r.*, CASE WHEN cut IS NULL OR t < cut THEN 'prompt' ELSE side END AS part
+              FROM r JOIN u ON r.pair_id IS NOT DISTINCT FROM u.pair_id)
+        SELECT pair_id, part, nullif(t, 9223372036854775807) AS turn, role, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS segment,
+               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 22 ELSE 0 END AS mask_start,
+               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 32 + length(text) ELSE 0 END AS mask_end
+        FROM m WHERE part <> 'prompt' OR side = 'chosen'
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
