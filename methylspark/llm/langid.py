@@ -119,9 +119,16 @@ class Model:
     idf: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores and rejections; ``und`` and 0 without a letter or a model."""
-        langs, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        """Languages, scores and rejections; ``und`` and 0 without a letter or a model.
+
+        Without a model nothing that has a letter is rejected.
+        """
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        rejected = np.ones(len(texts), bool)
+        if not self.langs:
+            rejected[rows] = False
+            return langs, scores, rejected
         for s in range(0, len(rows), STEP_DOCS):
             step = rows[s : s + STEP_DOCS]
             cos = vectors([texts[i] for i in step], self.idf) @ self.centroids.T
@@ -132,7 +139,7 @@ class Model:
 
 
 def train(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, centroids: int = 4, slack: float = 0.5
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, centroids: int = 4, slack: float = 0.2
 ) -> Model:
     """Fit on about ``per_language`` texts of each language, drawn by a hash of the id.
 
@@ -161,7 +168,7 @@ def train(
         df[r.feature + 1] = r.df  # DIM + 1 rows
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(pdf["text"])
         x = np.concatenate([vectors(texts[s : s + STEP_DOCS], idf) for s in range(0, len(texts), STEP_DOCS)])
         c, cos = cluster(x, centroids)

@@ -166,3 +166,16 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(group, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id.
+
+    Rows that repeat both id and text count as one. Null ids are smallest here, so that
+    exactly one document of a component stays.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
+    rows = docs.withColumn("__key", key)
+    groups = simhash_groups(rows, text_col, "__key", n)
+    stay = staged(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct(), "representatives")
+    return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
