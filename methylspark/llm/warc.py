@@ -148,7 +148,7 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = 24 << 20, d
             nonlocal kept, size, n_files
             name = f"records-{task.partitionId():05d}-{task.taskAttemptId()}-{n_files:05d}.warc.zst"
             data, at = pack([x[2] for x in kept], dict_bytes, level)
-            with store.open_output_stream(f"{path}/{name}") as f:
+            with store.open_output_stream(f"{path}/{name}", compression=None) as f:
                 f.write(data)
             ids, kinds, _ = zip(*kept)
             kept, size, n_files = [], 0, n_files + 1
@@ -190,7 +190,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for uri in batch.column("file").to_pylist():
                 store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path) as f:
+                with store.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 reader, start = opened(data)
                 rows, size = [], 0
@@ -217,9 +217,10 @@ def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], byt
     """One record alone, by its place in the index."""
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as f:
-        n = struct.unpack("<II", f.read_at(8, 0))[1]
-        reader, _ = opened(f.read_at(8 + n, 0))
-        return next(parse(io.BytesIO(reader.decompress(f.read_at(length, offset)))))
+        head = f.read(8)
+        reader, _ = opened(head + f.read(struct.unpack("<II", head)[1]))
+        f.seek(offset)
+        return next(parse(io.BytesIO(reader.decompress(f.read(length)))))
 
 
 def archives(index: DataFrame) -> DataFrame:
