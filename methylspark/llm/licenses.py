@@ -32,22 +32,22 @@ TO_WORDS = bytes(
     c if c >= 128 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256)
 )
 
-V = r"(?: (?:version|v))?"  # before a version number
+V = r"(?: version)? (?:v ?)?"  # before a version number
 OR_LATER = r"(?: or(?: at your option)? any later version| or later| or newer|)"
 
 #: Label, pattern of the name, keywords. Written as words: lower case, one space between.
 LICENSES = (
-    ("gpl-1.0", rf"gnu (?:general public license|gpl){V} 1(?: 0)?{OR_LATER}", "gnu"),
-    ("gpl-2.0", rf"gnu (?:general public license|gpl){V} 2(?: 0)?{OR_LATER}", "gnu"),
-    ("gpl-3.0", rf"gnu (?:general public license|gpl){V} 3(?: 0)?{OR_LATER}", "gnu"),
-    ("lgpl-2.0", rf"gnu (?:library|lesser) general public license{V} 2(?: 0)?{OR_LATER}", "gnu"),
-    ("lgpl-2.1", rf"gnu lesser general public license{V} 2 1{OR_LATER}", "gnu lesser"),
-    ("lgpl-3.0", rf"gnu lesser general public license{V} 3(?: 0)?{OR_LATER}", "gnu lesser"),
-    ("agpl-3.0", rf"gnu affero general public license{V}(?: 3(?: 0)?)?{OR_LATER}", "gnu affero"),
-    ("gfdl", rf"gnu free documentation license(?:{V} 1(?: [123])?)?{OR_LATER}", "gnu documentation"),
-    ("apache-1.0", rf"apache (?:software )?license{V} 1 0", "apache"),
-    ("apache-1.1", rf"apache (?:software )?license{V} 1 1", "apache"),
-    ("apache-2.0", rf"apache (?:software )?license{V} 2(?: 0)?", "apache"),
+    ("gpl-1.0", rf"gnu (?:general public license|gpl){V}1(?: 0)?{OR_LATER}", "gnu"),
+    ("gpl-2.0", rf"gnu (?:general public license|gpl){V}2(?: 0)?{OR_LATER}", "gnu"),
+    ("gpl-3.0", rf"gnu (?:general public license|gpl){V}3(?: 0)?{OR_LATER}", "gnu"),
+    ("lgpl-2.0", rf"gnu (?:library|lesser) general public license{V}2(?: 0)?{OR_LATER}", "gnu"),
+    ("lgpl-2.1", rf"gnu lesser general public license{V}2 1{OR_LATER}", "gnu lesser"),
+    ("lgpl-3.0", rf"gnu lesser general public license{V}3(?: 0)?{OR_LATER}", "gnu lesser"),
+    ("agpl-3.0", rf"gnu affero general public license(?:{V}3(?: 0)?)?{OR_LATER}", "gnu affero"),
+    ("gfdl", rf"gnu free documentation license(?:{V}1(?: [123])?)?{OR_LATER}", "gnu documentation"),
+    ("apache-1.0", rf"apache (?:software )?license{V}1 0", "apache"),
+    ("apache-1.1", rf"apache (?:software )?license{V}1 1", "apache"),
+    ("apache-2.0", rf"apache (?:software )?license{V}2(?: 0)?", "apache"),
     ("mit", r"mit (?:x11 )?license|expat license", "license"),
     ("mit-0", r"mit no attribution(?: license)?", "mit attribution"),
     ("x11", r"x11 license|mit x11 license", "x11"),
@@ -79,40 +79,40 @@ LICENSES = (
     ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", "by"),
     ("cc0-1.0", r"cc0(?: 1 0)?|creative commons zero|cc zero", "cc0"),
     ("public-domain", r"(?:in|into|to) the public domain|public domain dedication", "public domain"),
-    ("mpl-1.0", rf"mozilla public license{V} 1 0", "mozilla"),
-    ("mpl-1.1", rf"mozilla public license{V} 1 1", "mozilla"),
-    ("mpl-2.0", rf"mozilla public license{V} 2(?: 0)?", "mozilla"),
-    ("epl-1.0", rf"eclipse public license{V} 1(?: 0)?", "eclipse"),
-    ("epl-2.0", rf"eclipse public license{V} 2(?: 0)?", "eclipse"),
-    ("edl-1.0", rf"eclipse distribution license{V}(?: 1(?: 0)?)?", "eclipse"),
-    ("cpl-1.0", rf"common public license{V}(?: 1(?: 0)?)?", "common"),
-    ("ipl-1.0", rf"ibm public license{V}(?: 1(?: 0)?)?", "ibm"),
-    ("cddl-1.0", rf"common development and distribution license{V}(?: 1(?: 0)?)?", "distribution"),
-    ("eupl-1.1", rf"european union public licen[cs]e{V} 1 1", "european"),
-    ("eupl-1.2", rf"european union public licen[cs]e{V} 1 2", "european"),
-    ("afl-3.0", rf"academic free license{V}(?: 3(?: 0)?)?", "academic"),
-    ("osl-3.0", rf"open software license{V}(?: 3(?: 0)?)?", "software"),
-    ("artistic-1.0", rf"artistic license{V} 1(?: 0)?", "artistic"),
-    ("artistic-2.0", rf"artistic license{V} 2(?: 0)?", "artistic"),
-    ("bsl-1.0", rf"boost software license{V}(?: 1(?: 0)?)?", "boost"),
-    ("busl-1.1", rf"business source license{V}(?: 1 1)?", "business"),
+    ("mpl-1.0", rf"mozilla public license{V}1 0", "mozilla"),
+    ("mpl-1.1", rf"mozilla public license{V}1 1", "mozilla"),
+    ("mpl-2.0", rf"mozilla public license{V}2(?: 0)?", "mozilla"),
+    ("epl-1.0", rf"eclipse public license{V}1(?: 0)?", "eclipse"),
+    ("epl-2.0", rf"eclipse public license{V}2(?: 0)?", "eclipse"),
+    ("edl-1.0", rf"eclipse distribution license(?:{V}1(?: 0)?)?", "eclipse"),
+    ("cpl-1.0", rf"common public license(?:{V}1(?: 0)?)?", "common"),
+    ("ipl-1.0", rf"ibm public license(?:{V}1(?: 0)?)?", "ibm"),
+    ("cddl-1.0", rf"common development and distribution license(?:{V}1(?: 0)?)?", "distribution"),
+    ("eupl-1.1", rf"european union public licen[cs]e{V}1 1", "european"),
+    ("eupl-1.2", rf"european union public licen[cs]e{V}1 2", "european"),
+    ("afl-3.0", rf"academic free license(?:{V}3(?: 0)?)?", "academic"),
+    ("osl-3.0", rf"open software license(?:{V}3(?: 0)?)?", "software"),
+    ("artistic-1.0", rf"artistic license{V}1(?: 0)?", "artistic"),
+    ("artistic-2.0", rf"artistic license{V}2(?: 0)?", "artistic"),
+    ("bsl-1.0", rf"boost software license(?:{V}1(?: 0)?)?", "boost"),
+    ("busl-1.1", rf"business source license(?:{V}1 1)?", "business"),
     ("isc", r"isc license", "isc"),
     ("zlib", r"zlib(?: libpng)? license", "zlib"),
     ("unlicense", r"the unlicense|unlicense org", "unlicense"),
     ("wtfpl", r"do what the (?:fuck|f) you want to public license", "want"),
-    ("ofl-1.1", rf"sil open font license{V}(?: 1 1)?", "font"),
-    ("psf-2.0", rf"python software foundation license{V}(?: 2)?", "python"),
-    ("php-3.01", rf"php license{V}(?: 3(?: 0?1)?)?", "php"),
+    ("ofl-1.1", rf"sil open font license(?:{V}1 1)?", "font"),
+    ("psf-2.0", rf"python software foundation license(?:{V}2)?", "python"),
+    ("php-3.01", rf"php license(?:{V}3(?: 0?1)?)?", "php"),
     ("ruby", r"ruby s? ?license", "ruby"),
     ("postgresql", r"postgresql license", "postgresql"),
     ("openssl", r"openssl license", "openssl"),
     ("ncsa", r"university of illinois(?: ncsa)? open source license", "illinois"),
     ("ms-pl", r"microsoft public license", "microsoft"),
     ("ms-rl", r"microsoft reciprocal license", "microsoft"),
-    ("upl-1.0", rf"universal permissive license{V}(?: 1(?: 0)?)?", "universal"),
-    ("odbl-1.0", rf"open data(?:base| commons open database) license{V}(?: 1(?: 0)?)?", "open"),
-    ("odc-by-1.0", rf"open data commons attribution license{V}(?: 1(?: 0)?)?", "commons"),
-    ("ecl-2.0", rf"educational community license{V}(?: 2(?: 0)?)?", "educational"),
+    ("upl-1.0", rf"universal permissive license(?:{V}1(?: 0)?)?", "universal"),
+    ("odbl-1.0", rf"open data(?:base| commons open database) license(?:{V}1(?: 0)?)?", "open"),
+    ("odc-by-1.0", rf"open data commons attribution license(?:{V}1(?: 0)?)?", "commons"),
+    ("ecl-2.0", rf"educational community license(?:{V}2(?: 0)?)?", "educational"),
     ("vim", r"vim license", "vim"),
     ("w3c", r"w3c (?:software (?:notice and )?)?license", "w3c"),
     ("llama", r"llama (?:[23] )?community license", "community"),
