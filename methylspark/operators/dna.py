@@ -57,7 +57,7 @@ def kmer_freq(sequences: DataFrame, k: int, keys: list[str]) -> DataFrame:
     rows = sequences.filter(F.length("seq") >= k).select(*keys, F.upper("seq").alias("seq"), pos.alias("__i"))
     rows = rows.select(*keys, F.substring("seq", F.col("__i"), F.lit(k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
     codes = F.split(F.translate("kmer", LETTERS, "0123"), "")
-    index = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0).cast("long"), lambda a, i: a + F.get(codes, i).cast("long") * F.shiftleft(F.lit(1).cast("long"), i * 2))
+    index = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0).cast("long"), lambda a, i: a + F.get(codes, i).cast("long") * F.pow(F.lit(4.0), i).cast("long"))
     return rows.groupBy(*keys, "kmer").agg(F.count("*").alias("n")).select(*keys, "kmer", index.alias("index"), "n")
 
 

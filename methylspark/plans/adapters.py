@@ -74,7 +74,7 @@ def cpg_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites ``chromo, pos`` at which a sequence reads CG."""
     s = sequences(spark, sf_dir)
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("seq") - 1, F.lit(1))), lambda i: F.substring(F.col("seq"), i, F.lit(2)) == "CG")
-    return s.select("chromo", F.explode(at).cast("long").alias("pos"))
+    return s.select("chromo", F.explode(at).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def filter_weights(spark: SparkSession, sf_dir: str, n: int = 16) -> DataFrame:
@@ -118,7 +118,7 @@ SQL = {
     "filters": """filters AS (SELECT vec_id::INT AS filter, (i // 4)::INT AS "offset", substr('ATGC', (i % 4 + 1)::INT, 1) AS nt, round(embedding[i + 1]::DOUBLE, 3) AS weight
         FROM embeddings, range(64) r(i) WHERE vec_id < 16)""",
     "effects": """effects AS (SELECT label::VARCHAR AS chromo, vec_id AS pos, 't' || (vec_id % 3) AS target, (i // 4)::INT AS "offset", (i % 4)::INT AS nt,
-        round(embedding[i + 1]::DOUBLE, 3) AS e FROM embeddings, range(64) r(i))""",
+        round(embedding[i + 1]::DOUBLE, 3) + 0.0 AS e FROM embeddings, range(64) r(i))""",
 }
 
 _NEEDS = {

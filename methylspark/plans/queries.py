@@ -42,7 +42,7 @@ def r6(df: DataFrame) -> DataFrame:
 
 def text6(a: str):
     """An array as text of numbers with six digits."""
-    return F.array_join(F.transform(a, lambda x: F.coalesce(F.format_string("%.6f", x), F.lit("-"))), " ")
+    return F.array_join(F.transform(a, lambda x: F.when(x.isNotNull(), F.format_string("%.6f", x)).otherwise("-")), " ")
 
 
 # Statistics over cells, in SQL
@@ -448,7 +448,7 @@ _FITS = """metric = 'n' OR (metric IN ('auc', 'acc', 'tpr', 'tnr', 'f1', 'mcc')
 def _long_sql(rows: str, by: str) -> str:
     return f"""{metrics_sql(rows, by)}, w AS (SELECT {', '.join('cls.' + b for b in by.split(', '))}, auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n
         FROM cls JOIN reg USING ({by}) JOIN roc USING ({by})),
-        lng AS (SELECT * FROM (UNPIVOT INCLUDE NULLS w ON auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n INTO NAME metric VALUE value) WHERE {_FITS})"""
+        lng AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n)) WHERE {_FITS})"""
 
 
 @query(f"WITH {_long_sql('named_outputs', 'output')} SELECT output, metric, round(value, 6) AS value FROM lng", "named_outputs")
@@ -598,7 +598,7 @@ def extract_dna_windows(s, d):
 )
 def check_cpg_sites(s, d):
     q = a.sequences(s, d).filter(F.length("seq") > 20)
-    at = q.select("chromo", F.explode(F.array(F.lit(1), F.lit(7), F.length("seq"), F.length("seq") + 3)).cast("long").alias("pos"))
+    at = q.select("chromo", F.explode(F.array(F.lit(1), F.lit(7), F.length("seq"), F.length("seq") + 3)).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
     return dna.check_cpg_sites(dna.extract_dna_windows(at, dna.cut_tiles(q, 8, 128), 5, 128))
 
 
@@ -673,9 +673,9 @@ def activation_summary(s, d):
 
 
 _THR = """thr AS (SELECT filter, greatest(m + 0.5 * (x - m), q) AS threshold FROM (SELECT filter, sum(act) / any_value(n) AS m, max(act) AS x,
-    coalesce(max(act) FILTER (r = n - lo), 0) + (coalesce(max(act) FILTER (r = n - lo - 1), 0) - coalesce(max(act) FILTER (r = n - lo), 0)) * (at - lo) AS q
-    FROM (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY act DESC) AS r, (n - 1) * (1 - least(25000, n) / n) AS at, floor((n - 1) * (1 - least(25000, n) / n)) AS lo FROM acts, npos)
-    GROUP BY filter, at, lo))"""
+    coalesce(max(act) FILTER (r = n - lo), 0) + (coalesce(max(act) FILTER (r = n - lo - 1), 0) - coalesce(max(act) FILTER (r = n - lo), 0)) * (atr - lo) AS q
+    FROM (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY act DESC) AS r, (n - 1) * (1 - least(25000, n) / n) AS atr, floor((n - 1) * (1 - least(25000, n) / n)) AS lo FROM acts, npos)
+    GROUP BY filter, atr, lo))"""
 _KMERS = """kmers AS (SELECT a.filter, a.chromo, a.pos, a."offset", substr(w.seq, (a."offset" - 7)::INT, 16) AS kmer FROM acts a JOIN thr USING (filter) JOIN wins w ON w.chromo = a.chromo AND w.pos = a.pos
     WHERE a.act >= threshold AND a."offset" BETWEEN 8 AND 24),
     pw AS (SELECT filter, i::INT AS "offset", nt, sum((substr(kmer, i::INT + 1, 1) = nt)::INT) / count(*) AS freq, count(*) AS nb_site FROM kmers, range(16) r(i), (SELECT unnest(['A', 'T', 'G', 'C']) AS nt) GROUP BY ALL HAVING count(*) >= 10)"""
