@@ -33,11 +33,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites(spark, sf_dir).select("chromo", "pos", cells).join(profiles(spark, sf_dir), ["chromo", "pos", "cell"], "left")
 
 
-def intervals(spark: SparkSession, sf_dir: str, modulus: int = 50, tracks: int = 2) -> DataFrame:
-    o = _table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % modulus < tracks)
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an interval of one of 50 tracks."""
+    o = _table(spark, sf_dir, "orders")
     status = F.col("o_orderstatus")
     return o.select(
-        F.concat(F.lit("t"), F.col("o_orderkey") % modulus).alias("track"), F.when(status == "F", "A").when(status == "O", "N").otherwise("R").alias("chromo"),
+        F.concat(F.lit("t"), F.col("o_orderkey") % 50).alias("track"), F.when(status == "F", "A").when(status == "O", "N").otherwise("R").alias("chromo"),
         F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("end"),
     )
 
@@ -77,13 +78,14 @@ def cpg_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("chromo", F.explode(at).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def filter_weights(spark: SparkSession, sf_dir: str, n: int = 16) -> DataFrame:
-    """The first embeddings as filters: 16 offsets and four letters. Filters are a model's, so their number is fixed."""
-    e = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n)
-    rows = e.select(F.col("vec_id").cast("int").alias("filter"), F.posexplode("embedding").alias("i", "w"))
-    return rows.select(
+def filter_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean embeddings of each label as filters: 16 offsets and four letters; exact thousandths."""
+    e = _table(spark, sf_dir, "embeddings").filter("label IS NOT NULL")
+    rows = e.select(F.col("label").cast("int").alias("filter"), F.posexplode("embedding").alias("i", "w"))
+    sums = rows.groupBy("filter", "i").agg(F.sum(F.round(F.col("w").cast("double") * 1000).cast("long")).alias("s"), F.count("*").alias("n"))
+    return sums.select(
         "filter", F.floor(F.col("i") / 4).cast("int").alias("offset"), F.element_at(F.array(*[F.lit(c) for c in "ATGC"]), (F.col("i") % 4 + 1).cast("int")).alias("nt"),
-        F.round(F.col("w").cast("double"), 3).alias("weight"),
+        (F.expr("s * 10 div n").cast("double") / 1000).alias("weight"),
     )
 
 
@@ -104,7 +106,7 @@ SQL = {
     "grid": """grid AS (SELECT s.chromo, s.pos, c.cell, p.value FROM sites s CROSS JOIN (SELECT 'c' || i AS cell FROM range(10) r(i)) c
         LEFT JOIN profiles p ON p.chromo = s.chromo AND p.pos = s.pos AND p.cell = c.cell)""",
     "intervals": """intervals AS (SELECT 't' || (o_orderkey % 50) AS track, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS chromo,
-        o_custkey AS "start", o_custkey + o_orderkey % 7 AS "end" FROM orders WHERE o_orderkey % 50 < 2)""",
+        o_custkey AS "start", o_custkey + o_orderkey % 7 AS "end" FROM orders)""",
     "predictions": """predictions AS (SELECT chromo, pos, cell, 'cpg/' || cell AS output, value AS y,
         ((pos * 31 + substr(cell, 2)::BIGINT * 17) % 101)::DOUBLE / 100 AS z FROM grid)""",
     "named_outputs": """named_outputs AS (SELECT chromo, pos, cell, y, z, CASE WHEN n < 5 THEN output WHEN n = 5 THEN 'bulk/b' WHEN n = 6 THEN 'cpg_stats/mean'
@@ -115,8 +117,8 @@ SQL = {
         merged AS (SELECT track, chromo, min("start") AS "start", max("end") AS "end" FROM numbered GROUP BY track, chromo, grp)""",
     "sequences": "sequences AS (SELECT doc_id::VARCHAR AS chromo, regexp_replace(upper(coalesce(text, '')), '[^ATGC]', '', 'g') AS seq FROM documents)",
     "cpgs": """cpgs AS (SELECT chromo, pos, seq FROM (SELECT chromo, seq, unnest(range(1, length(seq))) AS pos FROM sequences) WHERE substr(seq, pos, 2) = 'CG')""",
-    "filters": """filters AS (SELECT vec_id::INT AS filter, (i // 4)::INT AS "offset", substr('ATGC', (i % 4 + 1)::INT, 1) AS nt, round(embedding[i + 1]::DOUBLE, 3) AS weight
-        FROM embeddings, range(64) r(i) WHERE vec_id < 16)""",
+    "filters": """filters AS (SELECT filter, (i // 4)::INT AS "offset", substr('ATGC', (i % 4 + 1)::INT, 1) AS nt, (s * 10 // n)::DOUBLE / 1000 AS weight
+        FROM (SELECT label::INT AS filter, i, sum(round(embedding[i + 1]::DOUBLE * 1000)::BIGINT)::BIGINT AS s, count(*) AS n FROM embeddings, range(64) r(i) WHERE label IS NOT NULL GROUP BY ALL))""",
     "effects": """effects AS (SELECT label::VARCHAR AS chromo, vec_id AS pos, 't' || (vec_id % 3) AS target, (i // 4)::INT AS "offset", (i % 4)::INT AS nt,
         round(embedding[i + 1]::DOUBLE, 3) + 0.0 AS e FROM embeddings, range(64) r(i))""",
 }

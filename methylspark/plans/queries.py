@@ -1,6 +1,7 @@
 """Every query by name: a function of session and table folder, and its DuckDB SQL if there is one.
 
-Computed floating numbers are rounded to six digits on both sides.
+Computed floating numbers are rounded to six digits on both sides, after adding a hair, so
+that halves are rounded alike.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ SITE = ["chromo", "pos"]
 STATS = ["mean", "mode", "var", "cat_var", "cat2_var", "entropy", "diff", "cov"]
 
 
+HAIR = "1e-10"
+
+
 def query(sql: str | None = None, needs: str = "", name: str | None = None):
     def add(f):
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            ORACLES[key] = with_sql(needs, sql) if needs else sql
+            text = with_sql(needs, sql) if needs else sql
+            ORACLES[key] = text.replace(", 6)", f" + {HAIR}, 6)")
         return f
 
     return add
@@ -37,7 +42,7 @@ def query(sql: str | None = None, needs: str = "", name: str | None = None):
 
 def r6(df: DataFrame) -> DataFrame:
     """Floating columns rounded to six digits."""
-    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+    return df.withColumns({c: F.round(F.col(c) + float(HAIR), 6) for c, t in df.dtypes if t == "double"})
 
 
 def text6(a: str):
@@ -61,10 +66,10 @@ def stat_sql(v: str) -> dict[str, str]:
 # --- sources, projections, filters ---
 
 
-@query("SELECT * FROM (SELECT chromo, pos, cell, value * 1.5 - 0.2 AS value FROM profiles WHERE pos % 7 = 0) WHERE value < 0 OR value > 1", "profiles")
+@query("SELECT * FROM (SELECT chromo, pos, cell, z * 1.5::DOUBLE - 0.25::DOUBLE AS value FROM predictions) WHERE value < 0 OR value > 1", "predictions")
 def validate_values(s, d):
-    """Profile values moved out of the range on purpose, so that there is something to find."""
-    p = a.profiles(s, d).filter("pos % 7 = 0").withColumn("value", F.col("value") * 1.5 - 0.2)
+    """Scores stretched beyond the range, so that there is something to find."""
+    p = a.predictions(s, d).select(*SITE, "cell", (F.col("z") * 1.5 - 0.25).alias("value"))
     return sites.validate_values(p)
 
 
@@ -133,9 +138,10 @@ def methylation_matrix(s, d):
     return sites.wide(a.grid(s, d), a.CELLS)
 
 
-@query("SELECT p.* FROM profiles p WHERE pos % 3 = 0 AND chromo <> 'N'", "profiles")
+@query("SELECT p.* FROM profiles p WHERE (chromo, pos) IN (SELECT (chromo, pos) FROM profiles GROUP BY chromo, pos HAVING count(value) >= 7)", "profiles")
 def keep_target_rows(s, d):
-    return sites.keep_target_rows(a.profiles(s, d), a.sites(s, d).filter("pos % 3 = 0 AND chromo <> 'N'"))
+    p = a.profiles(s, d)
+    return sites.keep_target_rows(p, sites.coverage_filter(p, 7))
 
 
 @query("SELECT chromo, pos, cell FROM grid WHERE value IS NULL", "grid")
@@ -241,13 +247,19 @@ def extend_intervals(s, d):
 
 
 @query(
-    """WITH m AS (SELECT *, row_number() OVER (PARTITION BY chromo ORDER BY "start") - 1 AS i FROM merged WHERE track = 't0')
-       SELECT s.chromo, s.pos, coalesce(i, -1) AS "index" FROM sites s LEFT JOIN m ON m.chromo = s.chromo AND s.pos BETWEEN m."start" AND m."end" """,
+    """WITH m AS (SELECT *, row_number() OVER (PARTITION BY track, chromo ORDER BY "start") - 1 AS i FROM merged), k AS (SELECT DISTINCT track FROM intervals)
+       SELECT s.chromo, s.pos, k.track, coalesce(i, -1) AS "index" FROM sites s CROSS JOIN k LEFT JOIN m ON m.track = k.track AND m.chromo = s.chromo AND s.pos BETWEEN m."start" AND m."end" """,
     "sites merged",
 )
 def interval_index(s, d):
-    m = intervals.merge_intervals(a.intervals(s, d).filter("track = 't0'"), ["chromo"])
-    return intervals.interval_index(a.sites(s, d), m, ["chromo"])
+    iv = a.intervals(s, d)
+    return intervals.interval_index(_points(s, d, iv), intervals.merge_intervals(iv, ["track", "chromo"]), ["track", "chromo"])
+
+
+def _points(s, d, iv) -> DataFrame:
+    """Every site for every track."""
+    tracks = sorted(r.track for r in iv.select("track").distinct().collect())  # at most 50
+    return a.sites(s, d).select(*SITE, F.explode(F.array(*[F.lit(t) for t in tracks])).alias("track"))
 
 
 @query(
@@ -260,12 +272,13 @@ def annotate_sites(s, d):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT chromo, "start", "end" FROM intervals WHERE track = 't0')
-       SELECT s.chromo, s.pos, min(greatest(0, k."start" - s.pos, s.pos - k."end")) AS distance FROM sites s LEFT JOIN k ON k.chromo = s.chromo GROUP BY ALL""",
+    """WITH k AS (SELECT DISTINCT track FROM intervals) SELECT s.chromo, s.pos, k.track, min(greatest(0, i."start" - s.pos, s.pos - i."end")) AS distance
+       FROM sites s CROSS JOIN k LEFT JOIN intervals i ON i.track = k.track AND i.chromo = s.chromo GROUP BY ALL""",
     "sites intervals",
 )
 def nearest_interval_distance(s, d):
-    return intervals.nearest_interval_distance(a.sites(s, d), a.intervals(s, d).filter("track = 't0'"), ["chromo"])
+    iv = a.intervals(s, d)
+    return intervals.nearest_interval_distance(_points(s, d, iv), iv, ["track", "chromo"])
 
 
 # --- neighbours and windows ---
