@@ -107,12 +107,12 @@ def test_subsequence(a, b, n):
 def test_a_paraphrase_needs_the_answer():
     item = [b"w%d" % i for i in range(40)]
     index = decontam.Index([1], [item], [item[-10:]], decontam.Rule())
-    index.candidates = lambda codes: [(0, 0, 64, 0.9)]
+    index.candidates = lambda codes: [(0, 0, 0, 64, 0.9)]
     codes = lambda words: None
     index.codes = codes
     half = [w for i, w in enumerate(item[:30]) if i % 2] + item[-10:]
-    assert [x[-1] for x in index.leaks(half)] == ["paraphrase"]
-    assert index.leaks(item[:26] + [b"x"] * 14) == []
+    assert [x[-1] for x in index.leaks([half])[0]] == ["paraphrase"]
+    assert index.leaks([item[:26] + [b"x"] * 14]) == [[]]
 
 
 def test_token_counts(docs, rows, none):
