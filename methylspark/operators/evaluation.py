@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.names import is_binary, metric_family
 from ..schema import SITE
 from .intervals import annotate_sites
-from .running import running
+from .running import first_rows, running
 
 CLASSIFICATION = ("auc", "acc", "tpr", "tnr", "f1", "mcc")
 REGRESSION = ("mse", "mad", "cor")
@@ -113,8 +113,8 @@ def _tau(y: np.ndarray, z: np.ndarray) -> float:
 
 def kendall(preds: DataFrame, by: list[str] = ["output"], most: int = 100_000, seed: int = 0, keys: list[str] = SITE) -> DataFrame:
     """Kendall's tau-b of at most ``most`` rows of each group, those of smallest hash; null if undefined."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
-    rows = observed(preds).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).select(*by, "y", "z")
+    order = [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
+    rows = first_rows(observed(preds), by, order, most, keys).select(*by, "y", "z")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[by].iloc[:1].copy()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import AGGREGATES, aggregate_window, center_slice
 from ..schema import EPS, LETTERS, SITE
+from .running import first_rows
 
 #: Weights are shipped to every task; a model's first layer is far smaller than this.
 MAX_WEIGHTS = 4_000_000
@@ -105,8 +106,8 @@ def activation_threshold(acts: DataFrame, n_positions: int, share: float = 0.5,
     low, part = int(at), at - int(at)
     from_top = lambda r: n_positions - r
     stats = acts.groupBy("filter").agg((F.sum("act") / n_positions).alias("mean"), F.max("act").alias("max"), F.count("*").alias("n"))
-    w = Window.partitionBy("filter").orderBy(F.desc("act"))
-    top = acts.select("filter", "act").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= from_top(low))
+    keys = [c for c in acts.columns if c not in ("filter", "act")]
+    top = first_rows(acts, ["filter"], [F.desc("act")], from_top(low), keys).select("filter", "act", F.col("__rank").alias("r"))
     ends = top.groupBy("filter").agg(F.max(F.when(F.col("r") == from_top(low), F.col("act"))).alias("a"), F.max(F.when(F.col("r") == from_top(low + 1), F.col("act"))).alias("b"))
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.coalesce("a", F.lit(0.0))) if low + 1 >= n_positions else F.coalesce("b", F.lit(0.0))
     quantile = a + (b - a) * part

@@ -1,4 +1,4 @@
-"""Running aggregates in two levels.
+"""Running aggregates and first rows in two levels.
 
 A window over a whole chromosome puts it in one task. Here rows are first cut into bins of
 the order column; a window runs within each bin, another over one row per bin, and the
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts that the rows of a group are dealt into before the first of each part meet.
+PARTS = 64
+
 HOW = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
@@ -40,3 +43,15 @@ def running(df: DataFrame, by: list[str], order: list[str], bin: Column, columns
         return F.greatest(a, b) if how == "max" else F.least(a, b)
 
     return met.select(*df.columns, *[both(how, n).alias(n) for n, (how, _) in columns.items()])
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """``df`` with ``__rank``: the first ``n`` rows of each group in the order, ranked from 1.
+
+    Rows are dealt out by a hash of ``keys``, and of each part the first ``n`` go on, so
+    that a group's last task sees at most ``parts * n`` rows.
+    """
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    part = Window.partitionBy(*by, "__part").orderBy(*order)
+    few = dealt.withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= n).drop("__part", "__rank")
+    return few.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rank") <= n)

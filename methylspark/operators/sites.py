@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import statistic
 from ..schema import BIN, SITE, need
-from .running import running
+from .running import first_rows, running
 
 MAX_CELLS = 100_000
 
@@ -125,10 +125,8 @@ def first_n_sites(df: DataFrame, n: int) -> DataFrame:
 
 def sample_per_chromo(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` rows of each chromosome, those of smallest hash of seed and site."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chromo").orderBy(F.xxhash64(F.lit(seed), *SITE), *SITE)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    order = [F.xxhash64(F.lit(seed), *SITE), *[F.col(c) for c in SITE]]
+    return first_rows(df, ["chromo"], order, n, SITE).drop("__rank")
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 0, n: int | None = None) -> DataFrame:

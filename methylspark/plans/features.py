@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.statistics import statistic
 from ..operators import dna, evaluation, intervals, motifs, neighbors, sites, windows
 from ..schema import SITE
 
 
 def site_table(profiles: DataFrame, names: list[str], min_cells: int = 1, gate: int = 3) -> DataFrame:
     """Sites that enough cells observe, with statistics over cells, in order: one shuffle on the site."""
-    stats = sites.site_stats(profiles, [*names, "cov"] if "cov" not in names else names, gate)
-    covered = profiles.groupBy(*SITE).agg(F.count("value").alias("n_obs")).filter(F.col("n_obs") >= min_cells)
-    return covered.join(stats.drop("cov"), SITE).withColumnRenamed("n_obs", "cov").orderBy(*SITE)
+    names = [n for n in names if n != "cov"]
+    v = F.col("value")
+    seen = profiles.groupBy(*SITE).agg(F.count(v).alias("cov"), *[statistic(n)(v).alias(n) for n in names]).filter(F.col("cov") >= min_cells)
+    return seen.select(*SITE, "cov", *[F.when(F.col("cov") >= gate, F.col(n)).alias(n) for n in names]).orderBy(*SITE)
 
 
 def feature_table(

@@ -648,6 +648,54 @@ def onehot_class(s, d):
     return a.grid(s, d).select(*SITE, "cell", F.concat(F.lit("["), F.array_join(hot.cast("array<string>"), ", "), F.lit("]")).alias("onehot"))
 
 
+@query("SELECT chromo, md5(translate(seq, 'ATGC', '0123')) AS codes, md5(seq) AS decoded, length(seq) AS n FROM sequences", "sequences")
+def decode_dna(s, d):
+    """Whole sequences to codes and back."""
+    codes = arrays.encode_dna(F.col("seq"))
+    q = a.sequences(s, d).withColumn("codes", F.when(F.length("seq") > 0, codes).otherwise(F.array().cast("array<tinyint>")))
+    text = F.array_join(F.col("codes").cast("array<string>"), "")
+    return q.select("chromo", F.md5(text).alias("codes"), F.md5(arrays.decode_dna(F.col("codes"))).alias("decoded"), F.length("seq").cast("long").alias("n"))
+
+
+@query(
+    """WITH w AS (SELECT chromo, pos, coalesce(nullif(substr(seq, (pos - 1)::INT, (CASE WHEN pos > 1 THEN 1 ELSE 0 END)::INT), ''), 'N') || substr(seq, pos::INT, 2) AS seq FROM cpgs)
+       SELECT chromo, pos, replace(replace(replace(replace(replace(translate(seq, 'ATGCN', 'abcde'), 'a', '1000'), 'b', '0100'), 'c', '0010'), 'd', '0001'), 'e', '0000') AS onehot,
+       translate(seq, 'ATGCN', '01234') AS argmax FROM w""",
+    "cpgs",
+)
+def onehot_dna(s, d):
+    w = dna.extract_dna_windows(a.cpg_positions(s, d), dna.cut_tiles(a.sequences(s, d), 4, 512), 3, 512)
+    hot = arrays.onehot_dna(arrays.encode_dna(F.col("seq")))
+    join = lambda c: F.array_join(c.cast("array<string>"), "")
+    return w.select(*SITE, join(F.flatten(hot)).alias("onehot"), join(arrays.onehot_argmax(hot)).alias("argmax"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT l_quantity::INT AS n FROM lineitem WHERE l_quantity >= 1), k AS (SELECT n, i, least(i, n - 1 - i) AS k, (n + 1) // 2 AS half FROM n, range(0, n) r(i))
+       SELECT n, string_agg(format('{:.6f}', CASE WHEN half = 1 THEN 0.1::DOUBLE WHEN k = half - 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE / (half - 1) * k END), ' ' ORDER BY i) AS weights FROM k GROUP BY n"""
+)
+def linear_weights(s, d):
+    """For every window length that stands as a quantity."""
+    n = s.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity >= 1").select(F.col("l_quantity").cast("int").alias("n")).distinct()
+    return n.withColumn("w", arrays.linear_weights(F.col("n"))).select("n", text6("w").alias("weights"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding[30:35], lambda x: round(x::DOUBLE * 1000)::BIGINT), ' ') AS even, array_to_string(list_transform(embedding[1:63][29:35], lambda x: round(x::DOUBLE * 1000)::BIGINT), ' ') AS odd FROM embeddings")
+def center_slice(s, d):
+    whole = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), " ")
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    return e.select("vec_id", whole(arrays.center_slice(F.col("embedding"), 3, False)).alias("even"), whole(arrays.center_slice(F.slice("embedding", 1, 63), 3, True)).alias("odd"))
+
+
+@query(
+    """SELECT vec_id, round(avg(x), 6) AS mean, round(sum(x * w) / sum(w), 6) AS wmean, round(max(x), 6) AS max
+       FROM (SELECT vec_id, embedding[i + 1]::DOUBLE AS x, 0.1 + 0.9 * least(i, 63 - i) / 31 AS w FROM embeddings, range(64) r(i)) GROUP BY vec_id"""
+)
+def aggregate_window(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    return r6(e.select("vec_id", *[arrays.aggregate_window(F.col("embedding"), h).alias(h) for h in arrays.AGGREGATES]))
+
+
 # --- motifs and effects ---
 
 _WINDOWS = """wins AS (SELECT chromo, pos, substr(seq, (pos - 20)::INT, 41) AS seq FROM cpgs WHERE pos > 20 AND pos + 20 <= length(seq)),
@@ -781,6 +829,58 @@ def effect_profile(s, d):
     return r6(motifs.effect_profile(a.effects(s, d)))
 
 
+_REPORT = """stats AS (SELECT filter AS idx, max(weight) AS act_mean FROM filters GROUP BY filter),
+    hits AS (SELECT (s_suppkey % 24)::INT AS idx, 'm' || (s_nationkey % 30) AS target_id, ((s_suppkey * 37) % 50)::DOUBLE / 100 AS q_value FROM supplier),
+    names AS (SELECT 'm' || n_nationkey AS id, n_name AS protein, 'r' || n_regionkey AS url FROM nation WHERE n_nationkey < 20),
+    report AS (SELECT coalesce(s.idx, h.idx) AS idx, act_mean, target_id, q_value, protein, url FROM stats s FULL JOIN hits h ON s.idx = h.idx LEFT JOIN names n ON n.id = h.target_id)"""
+
+
+def _report(s, d):
+    """Suppliers as hits of filters with motifs, nations as motifs."""
+    stats = a.filter_weights(s, d).groupBy(F.col("filter").alias("idx")).agg(F.max("weight").alias("act_mean"))
+    hits = s.read.parquet(f"{d}/supplier.parquet").select(
+        (F.col("s_suppkey") % 24).cast("int").alias("idx"), F.concat(F.lit("m"), F.col("s_nationkey") % 30).alias("target_id"), ((F.col("s_suppkey") * 37 % 50).cast("double") / 100).alias("q_value")
+    )
+    nations = s.read.parquet(f"{d}/nation.parquet").filter("n_nationkey < 20")
+    known = nations.select(F.concat(F.lit("m"), "n_nationkey").alias("id"), F.col("n_name").alias("protein"), F.concat(F.lit("r"), "n_regionkey").alias("url"))
+    return motifs.motif_report(stats, hits, known).select("idx", "act_mean", "target_id", "q_value", "protein", "url")
+
+
+@query(f"WITH {_REPORT} SELECT * FROM report", "filters")
+def motif_report(s, d):
+    return _report(s, d)
+
+
+@query(
+    f"""WITH {_REPORT} SELECT idx, act_mean, target_id, q_value, protein, url FROM
+    (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY q_value NULLS LAST, act_mean DESC NULLS LAST, target_id NULLS LAST) AS n FROM report) WHERE n = 1""",
+    "filters",
+)
+def top_hit_per_filter(s, d):
+    return motifs.top_hit_per_filter(_report(s, d))
+
+
+# --- whole tables ---
+
+_WIN = f"""p AS (SELECT chromo, pos, cell, {_PAIRS} AS p FROM near), wm AS (SELECT chromo, pos, cell, list_avg(list_transform(list_filter(p, lambda x: x.d <= 50), lambda x: x.s)) AS m FROM p)"""
+
+
+@query(
+    f"""WITH {_NEAR}, {_WIN},
+    st AS (SELECT chromo, pos, """ + ", ".join(f"CASE WHEN count(value) >= 3 THEN {stat_sql('value')[n]} END AS {n}" for n in ("mean", "diff")) + """, count(value) AS cells FROM profiles GROUP BY chromo, pos),
+    ws AS (SELECT chromo, pos, """ + ", ".join(f"CASE WHEN count(m) > 0 THEN {stat_sql('m')[n]} END AS win_101_{n}" for n in ("mean", "diff")) + """ FROM wm GROUP BY chromo, pos),
+    fl AS (SELECT s.chromo, s.pos, string_agg(DISTINCT i.track, ',' ORDER BY i.track) AS tracks FROM sites s JOIN intervals i ON i.chromo = s.chromo AND s.pos BETWEEN i."start" AND i."end" GROUP BY ALL)
+    SELECT st.chromo, st.pos, mean, diff, cells, win_101_mean, win_101_diff, tracks FROM st JOIN ws ON ws.chromo = st.chromo AND ws.pos = st.pos
+    LEFT JOIN fl ON fl.chromo = st.chromo AND fl.pos = st.pos""",
+    "grid intervals",
+)
+def feature_table(s, d):
+    """The whole feature table; the cells' map is counted, as SQL compares neighbours in ``knn_neighbors``."""
+    t = features.feature_table(a.profiles(s, d), a.CELLS, K, ["mean", "diff"], [101], a.intervals(s, d))
+    cells = F.size(F.map_filter("cells", lambda c, x: x["value"].isNotNull())).cast("long").alias("cells")
+    return r6(t.select(*SITE, "mean", "diff", cells, "win_101_mean", "win_101_diff", F.array_join("tracks", ",").alias("tracks")))
+
+
 # --- models ---
 
 

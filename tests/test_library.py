@@ -5,7 +5,8 @@ import pytest
 from methylspark.functions import arrays
 from methylspark.functions.statistics import statistic
 from methylspark.operators import dna, evaluation, intervals, motifs, neighbors, sites, weights, windows
-from methylspark.operators.running import running
+from methylspark.operators.running import first_rows, running
+from methylspark.plans import features
 from methylspark.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -67,6 +68,27 @@ def test_knn_and_windows_do_not_depend_on_bins(spark):
     assert sorted(map(tuple, w.collect()), key=str) == sorted(map(tuple, r.collect()), key=str)
 
 
+def test_first_rows_equal_one_window(spark):
+    rnd = np.random.default_rng(4)
+    rows = [("a" if i % 3 else None, i, int(x)) for i, x in enumerate(rnd.integers(0, 9, 300))]
+    df = spark.createDataFrame(rows, "g string, pos int, x int")
+    for n, parts in ((1, 4), (7, 3), (1000, 64)):
+        got = first_rows(df, ["g"], [F.desc("x"), F.asc("pos")], n, ["pos"], parts).collect()
+        for g in ("a", None):
+            want = sorted(((-x, i) for a, i, x in rows if a == g))[:n]
+            assert [(-r.x, r.pos) for r in sorted((r for r in got if r.g == g), key=lambda r: r["__rank"])] == want
+    assert first_rows(df.limit(0), ["g"], [F.asc("pos")], 3, ["pos"]).count() == 0
+
+
+def test_feature_table_has_a_row_per_site(spark):
+    p = spark.createDataFrame([("1", i * 10, c, float(i % 2)) for i in range(9) for c in "ab" if (i + ord(c)) % 3], "chromo string, pos int, cell string, value double")
+    track = spark.createDataFrame([("t", "1", 15, 40)], "track string, chromo string, start int, end int")
+    got = features.feature_table(p, ["a", "b"], 2, ["mean"], [21], track).collect()
+    assert sorted(r.pos for r in got) == sorted({r.pos for r in p.collect()})
+    assert {r.pos for r in got if r.tracks == ["t"]} == {r.pos for r in p.collect() if 15 <= r.pos <= 40}
+    assert all(set(r.cells) == {"a", "b"} and len(r.cells["a"].state) == 4 for r in got)
+
+
 def test_running_equals_one_window(spark):
     rnd = np.random.default_rng(1)
     rows = [("a" if i % 3 else None, i, int(x)) for i, x in enumerate(rnd.integers(0, 50, 200))]
