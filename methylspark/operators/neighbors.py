@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BIN, SITE
@@ -13,7 +13,8 @@ def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int
     """``chromo, pos, cell, state, dist``: arrays of 2k, left neighbours far to near, then right ones near to far.
 
     ``targets`` has ``chromo, pos, cell``; neighbours are the observed sites of the whole
-    profile, a site at the same position left out. Slots without a neighbour are null.
+    profile (one row per site and cell), the site itself left out. Slots without a
+    neighbour are null.
 
     Observed sites are numbered along the chromosome (two-level running count) and cut
     into bins of ``rank_bin`` numbers, to whose edges the k sites beyond are copied: each
@@ -29,20 +30,11 @@ def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int
     at = lambda r: F.floor(r / rank_bin)
     r, observed = F.col("__r"), F.col("value").isNotNull()
     bins = F.when(observed, F.array_distinct(F.array(at(F.greatest(r - k, F.lit(0))), at(r), at(r + k)))).otherwise(F.array(at(r)))
-    spread = ranked.withColumn("__seen", observed).withColumn("__own", at(r)).withColumn("__bin", F.explode(bins))
-    near = Window.partitionBy(*by, "__bin", "__seen").orderBy("__r").rangeBetween(-k, k)
-    along = Window.partitionBy(*by, "__bin").orderBy("__r", "pos")
-    spread = spread.withColumn("__near", F.when(F.col("__seen"), F.collect_list(F.struct("pos", "value")).over(near)))
-    # a site that is not observed takes the surroundings of the last one that is, or of the first
-    last = F.last("__near", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("__near", True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    met = spread.withColumn("__near", F.coalesce(last, first)).filter("__t AND __bin = __own")
-    left = F.filter("__near", lambda x: x["pos"] < F.col("pos"))
-    right = F.filter("__near", lambda x: x["pos"] > F.col("pos"))
-    none = F.lit(None).cast(met.schema["__near"].dataType.elementType)
-    left = F.slice(F.concat(F.array_repeat(none, k), F.coalesce(left, F.array().cast(met.schema["__near"].dataType))), -k, k)
-    right = F.slice(F.concat(F.coalesce(right, F.array().cast(met.schema["__near"].dataType)), F.array_repeat(none, k)), 1, k)
-    met = met.withColumn("__slots", F.concat(left, right))
+    spread = ranked.withColumn("__own", at(r)).withColumn("__bin", F.explode(bins))
+    spread = spread.withColumn("__seen", F.when(observed, F.struct("pos", "value")))
+    near = lambda f, i: F.expr(f"{f}(__seen, {i}) IGNORE NULLS OVER (PARTITION BY chromo, cell, __bin ORDER BY pos)")
+    slots = F.array(*[near("lag", i) for i in range(k, 0, -1)], *[near("lead", i) for i in range(1, k + 1)])
+    met = spread.withColumn("__slots", slots).filter("__t AND __bin = __own")
     return met.select(
         *SITE, "cell", F.transform("__slots", lambda x: x["value"]).alias("state"),
         F.transform("__slots", lambda x: F.abs(x["pos"] - F.col("pos")).cast("double")).alias("dist"),
