@@ -99,6 +99,19 @@ def test_leaks(spark, docs, none):
     assert decontam.find_leaks(docs, bench.filter("item_id > 89")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_copies_are_found_when_items_outnumber_the_rank(spark, n):
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda k: " ".join(rnd.choice(vocab) for _ in range(k))
+    items = [(i, text(rnd.randint(15, 59))) for i in range(n)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held = rnd.sample(items, 200)
+    table = frame(spark, [(i, f"{text(rnd.randint(20, 60))} {t} {text(50)}", None, None) for i, t in held])
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(table, bench).collect()}
+    assert got == {(i, i) for i, _ in held}
+
+
 @pytest.mark.parametrize("a, b, n", [("a b c d", "b x d", 2), ("a a b", "a b a", 2), ("a", "", 0), ("a b", "a b", 2)])
 def test_subsequence(a, b, n):
     assert decontam.subsequence(a.encode().split(), b.encode().split()) == n
