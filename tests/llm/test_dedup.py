@@ -4,7 +4,7 @@ import re
 
 import xxhash
 from .conftest import frame
-from methylspark.llm import exactdedup, simhash
+from methylspark.llm import exactdedup, simhash, similar
 from methylspark.llm.components import components
 
 
@@ -120,6 +120,36 @@ def test_simhash_of_nothing(none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_the_near_dedup_stage_against_all_pairs(spark, docs, rows, none):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    more = []
+    for i in range(40):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([30, 120, 400]))]
+        for k in range(5):  # copies of copies, so that some are alike in steps only
+            more.append((1000 + 10 * i + k, " ".join(base), "en", "a"))
+            for _ in range(max(1, len(base) // rnd.choice([40, 60, 100]))):
+                base[rnd.randrange(len(base))] = f"x{rnd.randint(0, 5000)}"
+    every = [*rows, *more]
+    sets = []
+    for _, t, *_ in every:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    left, want = set(range(len(every))), 0
+    while left:
+        queue, want = [left.pop()], want + 1
+        while queue:
+            x = sets[queue.pop()]
+            near = [j for j in left if len(x & sets[j]) >= 0.8 * len(x | sets[j])]
+            left.difference_update(near)
+            queue += near
+    kept = corpus_pipeline.near_dedup(spark, docs.union(frame(spark, more)), "")
+    assert kept.columns == docs.columns and kept.count() == want
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+    assert similar.drop_similar(none).count() == 0
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(50)]
     star = [(100, i) for i in range(101, 160)]
