@@ -36,6 +36,7 @@ V = r"(?: version)? (?:v ?)?"  # before a version number
 OR_LATER = r"(?: or(?: at your option)? any later version| or later| or newer|)"
 
 #: Label, pattern of the name, keywords. Written as words: lower case, one space between.
+#: All keywords must stand in the text; of those with | between, one of them.
 LICENSES = (
     ("gpl-1.0", rf"gnu (?:general public license|gpl){V}1(?: 0)?{OR_LATER}", "gnu"),
     ("gpl-2.0", rf"gnu (?:general public license|gpl){V}2(?: 0)?{OR_LATER}", "gnu"),
@@ -52,10 +53,10 @@ LICENSES = (
     ("mit-0", r"mit no attribution(?: license)?", "mit attribution"),
     ("x11", r"x11 license|mit x11 license", "x11"),
     ("bsd-1-clause", r"(?:bsd 1 clause|1 clause bsd)(?: license)?", "bsd"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "clause"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd|freebsd"),
     ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd"),
     ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd"),
-    ("0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: license)?", "clause"),
+    ("0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: license)?", "0bsd|bsd"),
     ("bsd", r"bsd license", "bsd"),
     ("cc-by-1.0", r"(?:cc by|creative commons attribution) 1 0", "1"),
     ("cc-by-2.0", r"(?:cc by|creative commons attribution) 2 0", "2"),
@@ -74,10 +75,10 @@ LICENSES = (
     ("cc-by-nc-sa-4.0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0", "4"),
     ("cc-by-nc-nd-3.0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives) 3 0", "3"),
     ("cc-by-nc-nd-4.0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives) 4 0", "4"),
-    ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike", "by"),
-    ("cc-by-nd", r"cc by nd|creative commons attribution no ?derivatives", "by"),
-    ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", "by"),
-    ("cc0-1.0", r"cc0(?: 1 0)?|creative commons zero|cc zero", "cc0"),
+    ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike", "by|attribution"),
+    ("cc-by-nd", r"cc by nd|creative commons attribution no ?derivatives", "by|attribution"),
+    ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial", "by|attribution"),
+    ("cc0-1.0", r"cc0(?: 1 0)?|creative commons zero|cc zero", "cc0|zero"),
     ("public-domain", r"(?:in|into|to) the public domain|public domain dedication", "public domain"),
     ("mpl-1.0", rf"mozilla public license{V}1 0", "mozilla"),
     ("mpl-1.1", rf"mozilla public license{V}1 1", "mozilla"),
@@ -141,8 +142,9 @@ def rules() -> list[Rule]:
     for label, name, keyword in LICENSES:
         tag = label.replace("-", " ").replace(".", " ")
         out.append(_rule(label, rf"spdx license identifier {tag}(?: only| or later)?", "spdx identifier", 300, 1.0))
-        out.append(_rule(label, GRANT + f"(?:{name})", f"under {keyword}", 200, 0.95))
-        out.append(_rule(label, name, keyword, 100, 0.85))
+        for one in keyword.split("|"):  # where two stand in the text, the second rule's detections lie within the first's
+            out.append(_rule(label, GRANT + f"(?:{name})", f"under {one}", 200, 0.95))
+            out.append(_rule(label, name, one, 100, 0.85))
     out.append(_rule("copyleft", r"copyleft", "copyleft", 20, 0.4))
     out.append(_rule("all-rights-reserved", r"all rights reserved", "reserved", 20, 0.5))
     out.append(_rule("proprietary", r"proprietary and confidential|confidential and proprietary", "proprietary", 20, 0.5))

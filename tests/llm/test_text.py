@@ -66,6 +66,48 @@ def test_licenses(spark, rows, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def phrases(pattern):
+    """All that a pattern without unbounded repeats matches."""
+    from re import _parser
+
+    def of(tree):
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                new = [chr(arg)]
+            elif op == "IN":
+                new = [chr(c) for _, c in arg]
+            elif op == "BRANCH":
+                new = [x for t in arg[1] for x in of(t)]
+            elif op == "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                new = ["", *of(arg[2])]
+            elif op == "SUBPATTERN":
+                new = of(arg[3])
+            else:
+                raise ValueError(op)
+            out = [a + b for a in out for b in new]
+        return out
+
+    return sorted(set(of(_parser.parse(pattern))))
+
+
+def test_no_gate_stops_what_its_pattern_matches():
+    from dataclasses import replace
+
+    gated = licenses.rules()
+    for label, name, _ in licenses.LICENSES:
+        own = [r for r in gated if r.label == label]
+        free = [replace(r, keywords=frozenset()) for r in own]
+        for x in phrases(name):
+            for text in (f"a {x} z".encode(), f"a licensed under the terms of the {x} z".encode()):
+                got = licenses.scan(text, own)
+                assert got == licenses.scan(text, free) and label in got["labels"].split(","), x
+    for text, label in (("Creative Commons Attribution-ShareAlike", "cc-by-sa"), ("CC Zero", "cc0-1.0"), ("FreeBSD license", "bsd-2-clause"), ("0BSD license", "0bsd")):
+        assert licenses.scan(text.encode(), gated)["labels"] == label
+
+
 def test_license_rules_suppress_what_they_contain():
     rules = licenses.rules()
     assert len(rules) > 200
