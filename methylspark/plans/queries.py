@@ -918,4 +918,4 @@ def predict_batches(s, d):
 
 @query()
 def fit_output_models(s, d):
-    return r6(model.fit_output_models(_inputs(s, d), ["c0", "c1"]))
+    return r6(model.fit_output_models(_inputs(s, d).persist(), a.CELLS))

@@ -250,3 +250,28 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fit_output_models_has_all_outputs_and_fits_each(spark):
+    from methylspark.plans import adapters, queries
+
+    d = "/root/testdata/sf0.001"
+    rows = queries._inputs(spark, d).select("chromo", "pos", "cell", "state", "dist", "value", "weight").toPandas()
+    got = queries.QUERIES["fit_output_models"](spark, d).toPandas()
+    assert set(got.output) == {f"cpg/{c}" for c in adapters.CELLS} and len(got) == len(rows)
+    for cell, own in rows.groupby("cell"):
+        x = np.array([[*s, *t] for s, t in zip(own.state, own.dist)], float)
+        known = own.value.notna().to_numpy()
+        y, w = np.round(own.value[known].astype(float).to_numpy()), own.weight[known].astype(float).to_numpy()
+        w = w / w.sum()
+        mean = w @ x[known]
+        std = np.sqrt(w @ (x[known] - mean) ** 2)
+        a = np.c_[(x - mean) / np.where(std > 0, std, 1) * (std > 0), np.ones(len(x))]
+        b, ridge = np.zeros(a.shape[1]), np.r_[np.full(a.shape[1] - 1, 0.01), 0]
+        for _ in range(50):  # Newton
+            p = 1 / (1 + np.exp(-a[known] @ b))
+            grad = a[known].T @ (w * (p - y)) + ridge * b
+            b -= np.linalg.solve((a[known] * (w * p * (1 - p))[:, None]).T @ a[known] + np.diag(ridge + 1e-9), grad)
+        want = dict(zip(zip(own.chromo, own.pos), 1 / (1 + np.exp(-a @ b))))
+        z = got[got.output == f"cpg/{cell}"]
+        assert max(abs(want[c, p] - v) for c, p, v in zip(z.chromo, z.pos, z.z)) < 0.02
