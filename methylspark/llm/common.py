@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder is used, one per application.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="methylspark-")
-    return _own[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: whatever reads the result twice reads the same rows, and a
-    lost executor costs no recomputation of what lies before.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..staging import scratch_dir, scratch_path, staged, unstage
 
-def unstage(*dfs: DataFrame) -> None:
-    """Delete tables that ``staged`` wrote and that no result still reads."""
-    for df in dfs:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["scratch_dir", "scratch_path", "staged", "table", "unit_hash", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

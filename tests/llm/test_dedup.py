@@ -100,7 +100,8 @@ def test_no_link_of_three_bits_is_missed(spark):
         fps.add(b ^ 7 << low)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.close_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = simhash.close_links(table).collect()
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in links)
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = brute_components(list(zip(signed, fps)))
@@ -109,13 +110,67 @@ def test_no_link_of_three_bits_is_missed(spark):
 
 
 def test_drop_near_copies_keeps_one_of_each(docs, rows):
-    kept = simhash.drop_near_copies(docs)
+    kept = simhash.drop_near_copies(docs, n=3, similarity=None)
     assert kept.columns == docs.columns
     fps = [brute_fingerprint(t) for _, t, *_ in rows]
     comp = brute_components(list(enumerate(fps)))
     assert kept.count() == len(set(comp.values()))
 
 
+def test_radius_and_fields_are_parameters(spark):
+    assert len(simhash.variant_masks()) == 131 and len(simhash.variant_masks(2, 1)) == 1
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(63) for _ in range(5)]
+    fps = {b ^ sum(1 << x for x in rnd.sample(range(63), k)) for b in base for k in (0, 1, 2, 3, 4, 5, 6) for _ in range(6)}
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for radius, fields in ((1, 3), (4, 4), (5, 5)):
+        links = simhash.close_links(table, radius, fields).collect()
+        assert all((r.a ^ r.b).bit_count() <= radius for r in links)
+        roots = {r.node: r.root for r in components(spark.createDataFrame(links or [(None, None)], "a long, b long")).collect()}
+        want = {}
+        for i in fps:  # the least that each reaches
+            if i not in want:
+                queue = [i]
+                while queue:
+                    x = queue.pop()
+                    want[x] = i
+                    queue += [y for y in fps if y not in want and (x ^ y).bit_count() <= radius]
+        for i, j in itertools.combinations(fps, 2):
+            assert (roots.get(i, i) == roots.get(j, j)) == (want[i] == want[j])
+
+
+def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
+    """A family of copies around one text, chains that leave it step by step, and strangers, all under the same keys."""
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(similar, "band_keys", lambda x: [1] * similar.BANDS if len(x) else [])
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for _ in range(40):
+        w = list(base)
+        w[rnd.randrange(60)] = f"x{rnd.random()}"
+        texts.append(" ".join(w))
+    chain = list(base)
+    for k in range(12):  # the k-th is like the one before, and soon unlike the first
+        chain = [*chain[3:], *(f"c{k}{j}" for j in range(3))]
+        texts.append(" ".join(chain))
+    texts += [" ".join(f"s{k}w{i}" for i in range(30)) for k in range(20)]
+    rnd.shuffle(texts)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    left, want = set(range(len(texts))), set()
+    while left:
+        queue, comp = [left.pop()], []
+        while queue:
+            comp.append(x := queue.pop())
+            near = [j for j in left if len(sets[x] & sets[j]) >= 0.8 * len(sets[x] | sets[j])]
+            left.difference_update(near)
+            queue += near
+        want.add(min(comp))
+    kept = simhash.drop_near_copies(frame(spark, rows))
+    assert {r.doc_id for r in kept.collect()} == want and len(want) == 21
+
+
 def test_simhash_of_nothing(none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
