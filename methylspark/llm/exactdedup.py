@@ -1,10 +1,11 @@
 """Exact dedup by deterministic block naming (DataFrame functions only).
 
 Every text is cut into blocks of a fixed number of bytes. The distinct blocks are
-sorted and numbered, so each document becomes a row of integers; then adjacent pairs of
-integers are numbered in the same way, again and again, until one integer is left. Two
-documents have the same integer (at the same number of blocks) exactly when their
-bytes are equal: a number stands for content and not for a hash of it.
+sorted over all partitions and numbered by their place, so each document becomes a row of integers; then
+adjacent pairs of integers are sorted and numbered in the same way, again and again, until one integer is
+left. Two documents have the same integer (at the same number of blocks) exactly when
+their bytes are equal: a number stands for content and not for a hash of it, and is the same
+however the table is partitioned.
 
 Block content is shuffled once, to be numbered. Documents find the numbers by a 64-bit
 hash of the block, after a look at all numbered blocks has shown that no two of them
@@ -13,7 +14,7 @@ share a hash; if two do, the join takes the content instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, unstage
@@ -33,9 +34,22 @@ def _blocks(data: Column, n_blocks: Column, size: int) -> Column:
     )
 
 
-def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """A number from 1 for each row: its place in its sorted partition."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id() + 1)
+#: Groups of more than this share of all rows are joined by a broadcast; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 5000
+
+
+def _numbered(distinct: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``distinct`` without its keys that aren't wanted later, and ``name``: the place of each row, from 1, in the order of ``keys``.
+
+    Rows are dealt out by range and sorted within partitions; a place is the one within the
+    partition after the sizes of those before it.
+    """
+    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    placed = staged(ordered.withColumns({"__part": F.spark_partition_id(), "__at": at}), label)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(sizes), "__part").withColumn("name", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
 def block_identities(
@@ -52,13 +66,13 @@ def block_identities(
     key = F.shiftright(F.xxhash64("block"), 64 - hash_bits) if hash_bits < 64 else F.xxhash64("block")
     cut = F.inline(_blocks(F.col("data"), F.col("n_blocks"), block_bytes))
 
-    names = staged(_numbered(norm.select(cut).select(key.alias("h"), "block").distinct(), ["block"]).select("h", "name"), "block-names")
+    numbered = _numbered(norm.select(cut).select(key.alias("h"), "block").distinct(), ["block"], "blocks")
+    names = numbered.select("h", "name")
     clash = not names.groupBy("h").count().filter("count > 1").isEmpty()
     on = ["h"]
     if clash:
-        unstage(names)
         on = ["h", "block"]
-        names = staged(_numbered(norm.select(cut).select(key.alias("h"), "block").distinct(), ["block"]), "block-names")
+        names = numbered
 
     rows = norm.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "n_blocks", F.sha2("norm", 256).alias("text_sha256"), "data"
@@ -70,7 +84,7 @@ def block_identities(
         F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"),
     )
     named = staged(rows.join(names, on).select("row_id", "n_blocks", "idx", "name", "doc_id", "text_sha256"), "named-blocks")
-    unstage(names)
+    unstage(numbered)
 
     heads = named.filter("idx = 0").select("row_id", "doc_id", "n_blocks", "text_sha256")
     one = named.filter("n_blocks = 1").select("row_id", "name")
@@ -83,7 +97,7 @@ def block_identities(
             F.max(F.when(~odd, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(0)).alias("b")
         )
         pairs = staged(pairs, "block-pairs")
-        numbers = staged(_numbered(pairs.select("a", "b").distinct(), ["a", "b"]), "pair-names")
+        numbers = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], "pair-names")
         used += [pairs, numbers]
         level = pairs.join(numbers, ["a", "b"]).select("row_id", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.col("idx").cast("int").alias("idx"), "name")
         level = staged(level, "block-level")
@@ -103,14 +117,20 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
     Null and empty texts are equal. Of equal texts the row with the smallest id stays;
-    null ids come last, and of rows that repeat id and text exactly one stays. Other
-    columns of ``docs`` are ignored, whatever their names. No rows in, no rows out.
+    null ids come last, and of rows that repeat id and text exactly one stays. Very long
+    texts are more blocks, each a row of its own. Other columns of ``docs`` are ignored,
+    whatever their names. No rows in, no rows out.
     """
     ids = block_identities(docs, text_col, id_col, block_bytes, hash_bits)
     groups = ids.groupBy("n_blocks", "name").agg(
         F.count("*").alias("group_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"),
     )
-    return ids.join(groups, ["n_blocks", "name"]).select(
+    groups = staged(groups, "groups")
+    most = ids.count() * HOT_SHARE
+    large = groups.filter(F.col("group_size") > most)  # so rows of one group don't meet in one task
+    keys = ["n_blocks", "name"]
+    rest = ids.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(F.col("group_size") <= most), keys)
+    return ids.join(F.broadcast(large), keys).unionByName(rest).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256"
     )

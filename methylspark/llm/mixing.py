@@ -9,13 +9,17 @@ and dealt out by a hash of seed, id and copy, which shuffles the whole corpus.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, unit_hash
 
-#: Sources beyond this number are joined by a shuffle and not by a broadcast.
-MAX_BROADCAST_SOURCES = 10_000
+#: Distribution functions of more bytes than this together are joined by a shuffle and not by a broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
+#: Up to this rate a distribution function is tabulated from 0, beyond it from where it is no longer 0 in doubles.
+WHOLE_RATE = 4096
 
 
 def repetition_rates(
@@ -48,17 +52,25 @@ def repetition_rates(
 
 
 def poisson_cdf(rates: DataFrame) -> DataFrame:
-    """``source, cdf``: the distribution function at 0, 1, ... up to where it is 1 in doubles.
+    """``source, first, cdf``: the distribution function at ``first``, ``first`` + 1, ... up to where it is 1 in doubles.
 
-    Terms are computed by their logarithms, so that large rates do not underflow.
+    Terms are computed by their logarithms, so that large rates do not underflow. ``first``
+    is 0 up to a rate of ``WHOLE_RATE``; beyond it the table begins 12 standard deviations below the
+    rate, so its length grows with the root of the rate only.
     """
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    k = rates.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    rate = F.col("rate")
+    top = F.ceil(rate + 12 * F.sqrt("rate") + 30).cast("long")
+    first = F.when(rate > WHOLE_RATE, F.floor(rate - 12 * F.sqrt("rate"))).otherwise(0).cast("long")
+    k = rates.filter("rate > 0").select("source", "rate", first.alias("first"), F.explode(F.sequence(first, top)).alias("k"))
     w = Window.partitionBy("source").orderBy("k")
-    logs = k.withColumn("ln_fact", F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(w))
+    n = F.col("first").cast("double")
+    stirling = n * F.ln(n) - n + F.ln(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)  # ln n!
+    begin = F.when(F.col("first") > 0, stirling).otherwise(0.0)
+    step = F.when(F.col("k") == F.col("first"), begin).otherwise(F.ln(F.greatest("k", F.lit(1)).cast("double")))
+    logs = k.withColumn("ln_fact", F.sum(step).over(w))
     p = F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("ln_fact"))
     cdf = logs.withColumn("cdf", F.sum(p).over(w))
-    return cdf.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
+    return cdf.groupBy("source").agg(F.min("first").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -68,11 +80,12 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "d
     zero, get no copy. Null sources are a source. Rows that repeat an id draw the same
     number; the null id draws one too. Columns of ``docs`` called ``copy`` or
     ``shuffle_key`` are replaced. Rows of equal source are never brought together, so a
-    hot source needs no care.
+    hot source needs no care. Texts are copied whole, however long. No rows in, no rows out.
     """
-    cdf = staged(poisson_cdf(rates), "poisson").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    cdf = staged(poisson_cdf(rates), "poisson").select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf"))
     same = F.col(source_col).eqNullSafe(F.col("__source"))
-    if cdf.count() <= MAX_BROADCAST_SOURCES:
+    size = cdf.agg(F.sum(8 * F.size("__cdf") + 64 + F.coalesce(F.octet_length("__source"), F.lit(0)))).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         met = docs.join(F.broadcast(cdf), same)
     else:  # salted, so that a hot source is dealt over many tasks
         salts = 64
@@ -80,8 +93,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "d
         met = docs.withColumn("__dealt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
         met = met.join(spread, same & (F.col("__dealt") == F.col("__salt"))).drop("__dealt", "__salt")
     u = unit_hash(F.lit(str(seed)), F.col(id_col))
-    n = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    met = met.withColumn("__u", u).withColumn("__n", n).filter("__n > 0").drop("__cdf", "__source", "__u")
+    n = (F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).cast("int")
+    met = met.withColumn("__u", u).withColumn("__n", n).filter("__n > 0").drop("__cdf", "__first", "__source", "__u")
     out = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
     return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

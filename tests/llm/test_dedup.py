@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -22,8 +23,6 @@ def expected_groups(rows):
 def check_exact(got, rows):
     groups = expected_groups(rows)
     assert len(got) == len(rows)
-    import hashlib
-
     by_hash = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
     for h, ids in by_hash.items():
         own = [r for r in got if r.text_sha256 == h]
@@ -47,6 +46,29 @@ def test_blocks_that_differ_late_or_in_length(spark):
     check_exact(exactdedup.exact_groups(frame(spark, rows), block_bytes=16).collect(), rows)
 
 
+def test_names_are_places_in_the_order_of_blocks_on_any_layout(spark, docs, rows):
+    def names(partitions):
+        return {(r.doc_id, r.text_sha256): (r.n_blocks, r.name) for r in exactdedup.block_identities(docs.repartition(partitions), block_bytes=512).collect()}
+
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    few = names(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    many = names(50)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert few == many and len(few) > 50
+    blocks = sorted({norm(t).encode()[i : i + 512] for _, t, *_ in rows for i in range(0, max(1, len(norm(t).encode())), 512)})
+    for d, t, *_ in rows:
+        data = norm(t).encode()
+        if len(data) <= 512:
+            n, name = few[d, hashlib.sha256(data).hexdigest()]
+            assert n == 1 and blocks[name - 1] == data
+
+
+def test_large_groups_are_joined_apart(docs, rows, monkeypatch):
+    monkeypatch.setattr(exactdedup, "HOT_SHARE", 1 / 40)
+    check_exact(exactdedup.exact_groups(docs, block_bytes=64).collect(), rows)
+
+
 def test_exact_groups_of_nothing(none):
     assert exactdedup.exact_groups(none).count() == 0
 

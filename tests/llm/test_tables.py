@@ -66,9 +66,25 @@ def test_poisson_counts(spark):
     assert abs(cdf["c"][-1] - 1) < 1e-9 and abs(cdf["c"][900] - 0.5) < 0.02
 
 
-@pytest.mark.parametrize("bound", [0, 10_000])
+def test_large_rates_have_short_tables(spark):
+    import numpy as np
+
+    rates = spark.createDataFrame([("l", 1e6), ("m", 5000.0)], "source string, rate double")
+    for r in mixing.poisson_cdf(rates).collect():
+        rate = {"l": 1e6, "m": 5000.0}[r.source]
+        k = np.arange(0, int(rate + 12 * rate**0.5 + 40))
+        logs = np.r_[0, np.cumsum(np.log(k[1:]))]
+        want = np.cumsum(np.exp(k * np.log(rate) - rate - logs))
+        assert 0 < r.first < rate and len(r.cdf) < 25 * rate**0.5 + 100
+        assert np.abs(want[r.first : r.first + len(r.cdf)] - np.array(r.cdf)).max() < 1e-6
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("m").alias("source"))
+    counts = [r["count"] for r in mixing.replicate(docs, rates).groupBy("doc_id").count().collect()]
+    assert len(counts) == 50 and abs(sum(counts) / 50 - 5000) < 50
+
+
+@pytest.mark.parametrize("bound", [0, 10_000_000])
 def test_mixing_meets_the_rates(spark, monkeypatch, bound):
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", bound)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_BYTES", bound)
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("source"), F.lit(9).alias("copy"))
     out = mixing.mix(docs, weights={"big": 1, "small": 1}, epochs=2.0).groupBy("source").count().collect()
     assert {r.source: round(r["count"] / 6000, 1) for r in out} == {"big": 1.0, "small": 1.0}
