@@ -1,11 +1,12 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is a vector of hashed character n-grams (n = 1, 2, 3 of the lower-cased text,
-with everything but letters as one space), weighted by 1 + ln(count) and inverse document
-frequency and scaled to length 1. For each language the vectors of a sample are
+A text is a vector of hashed character n-grams (n = 1, 2, 3 of the lower-cased text, with
+punctuation, digits and white space as one space), weighted by ln(1 + count) and inverse
+document frequency and scaled to length 1. For each language the vectors of a sample are
 clustered by cosine (spherical k-means); a text has the language of the centroid of
-highest cosine. It is rejected if it is farther from that centroid than the training
-texts are, by a factor.
+highest cosine. It is rejected if it is farther from that centroid than texts of its
+length and language are, by a factor; that distance is measured on texts that the
+centroids were not fitted to.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +27,14 @@ from pyspark.sql import types as T
 from .common import staged
 
 DIM = 1 << 14
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 OTHERS = re.compile(r"[\W\d_]+")
 #: Characters that one step works on, and documents.
 STEP_CHARS, STEP_DOCS = 1 << 19, 64
+#: Length classes of rejection: class k holds texts of 2^k to below 2^(k + 1) characters, the last also longer ones.
+CLASSES = 10
+#: More languages than these are an error: a column of so many values holds no languages, and each adds to the model.
+MAX_LANGUAGES = 1000
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -53,8 +60,16 @@ def _tally(texts: list[str]) -> np.ndarray:
     return out.reshape(len(texts), DIM)
 
 
+def plain(text: str) -> str:
+    return OTHERS.sub(" ", text.lower()).strip()
+
+
+def length_class(texts: list[str]) -> np.ndarray:
+    return np.array([min(max(len(t), 1).bit_length() - 1, CLASSES - 1) for t in texts], int)
+
+
 def counts(texts: list[str]) -> np.ndarray:
-    """Counts of hashed n-grams of whole texts; very long ones are counted in overlapping pieces."""
+    """Counts of hashed n-grams of whole ``plain`` texts; very long ones are counted in overlapping pieces."""
     out = np.zeros((len(texts), DIM), np.float32)
     part, rows, size = [], [], 0
 
@@ -65,7 +80,7 @@ def counts(texts: list[str]) -> np.ndarray:
         part, rows, size = [], [], 0
 
     for i, text in enumerate(texts):
-        text = f" {OTHERS.sub(' ', text.lower()).strip()} "
+        text = f" {text} "
         if len(text) <= STEP_CHARS:
             if size + len(text) > STEP_CHARS:
                 flush()
@@ -93,29 +108,45 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of unit length by spherical k-means, and the cosine of each row with its own.
+def cluster(x: np.ndarray, k: int, rounds: int = 10, least: float = 0.02) -> np.ndarray:
+    """At most ``k`` centroids of unit length by spherical k-means.
 
-    Starts at rows that are far from those taken before.
+    Starts at rows that are evenly spaced by their cosine with the mean. A centroid of less than
+    the share ``least`` of the rows stands for an outlier and is left out.
     """
-    start = [0]
-    best = x @ x[0]
-    while len(start) < min(k, len(x)):
-        start.append(int(best.argmin()))
-        best = np.maximum(best, x @ x[start[-1]])
-    c = x[start]
+    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-12)
+    k = min(k, len(x))
+    order = np.argsort(x @ unit(x.sum(axis=0)), kind="stable")
+    c = x[order[(np.arange(k) * 2 + 1) * len(x) // (2 * k)]]
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c, (x @ c.T).max(axis=1)
+        c = unit(np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))]))
+    sizes = np.bincount((x @ c.T).argmax(axis=1), minlength=k)
+    return c[sizes >= min(least * len(x), sizes.max())]
+
+
+def floors_of(texts: list[str], c: np.ndarray, idf: np.ndarray, slack: float) -> np.ndarray:
+    """For each length class, ``slack`` times the cosine that 99 of 100 pieces of such a length reach.
+
+    A piece of each length is cut from the middle of every text that has one. Classes that no text
+    reaches have the floor of the one before; without any the floor is 0.
+    """
+    out, last = np.zeros(CLASSES), 0.0
+    for k in range(CLASSES):
+        n = 1 << k
+        pieces = [t[(len(t) - n) // 2 :][:n] for t in texts if len(t) >= n]
+        if len(pieces) >= 20:
+            cos = np.concatenate([(vectors(pieces[s : s + STEP_DOCS], idf) @ c.T).max(axis=1) for s in range(0, len(pieces), STEP_DOCS)])
+            last = slack * float(np.quantile(cos, 0.01))
+        out[k] = last
+    return out
 
 
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # a text of lower cosine is rejected
+    floors: np.ndarray  # of each centroid and length class; a text of lower cosine is rejected
     idf: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -131,26 +162,31 @@ class Model:
             return langs, scores, rejected
         for s in range(0, len(rows), STEP_DOCS):
             step = rows[s : s + STEP_DOCS]
-            cos = vectors([texts[i] for i in step], self.idf) @ self.centroids.T
+            words = [plain(texts[i]) for i in step]
+            cos = vectors(words, self.idf) @ self.centroids.T
             best = cos.argmax(axis=1)
-            for i, b, v in zip(step, best, cos.max(axis=1)):
-                langs[i], scores[i], rejected[i] = self.langs[b], min(max(float(v), 0.0), 1.0), v < self.floors[b]
+            for i, b, v, k in zip(step, best, cos.max(axis=1), length_class(words)):
+                langs[i], scores[i], rejected[i] = self.langs[b], min(max(float(v), 0.0), 1.0), v < self.floors[b, k]
         return langs, scores, rejected
 
 
 def train(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, centroids: int = 4, slack: float = 0.2
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 600, centroids: int = 4, slack: float = 0.6
 ) -> Model:
     """Fit on about ``per_language`` texts of each language, drawn by a hash of the id.
 
     That bound is a parameter of the classifier: the sample, the document frequencies in
     it and the centroids do not grow with the corpus. Rows without a language or a letter
-    are not used. ``slack`` times the cosine that 99 of 100 training texts of a centroid
-    reach is where rejection starts.
+    are not used; repeated rows count as often. Every fifth text of the sample is kept from
+    the centroids: ``slack`` times the cosine that 99 of 100 pieces of those texts reach, at each length, is where
+    rejection starts. Languages of fewer than 20 texts kept reject nothing. Without usable rows the
+    model has no language.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = staged(rows.join(F.broadcast(sizes), "lang").filter(share < per_language / F.col("n")).select("lang", "text"), "language-sample")
 
@@ -159,7 +195,7 @@ def train(
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for s in range(0, len(texts), STEP_DOCS):
-                df += (counts(texts[s : s + STEP_DOCS]) > 0).sum(axis=0)
+                df += (counts([plain(t) for t in texts[s : s + STEP_DOCS]]) > 0).sum(axis=0)
             n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.r_[n, df])], ["feature", "df"])
 
@@ -169,23 +205,23 @@ def train(
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(pdf["text"])
-        x = np.concatenate([vectors(texts[s : s + STEP_DOCS], idf) for s in range(0, len(texts), STEP_DOCS)])
-        c, cos = cluster(x, centroids)
-        own = (x @ c.T).argmax(axis=1)
-        floors = [slack * float(np.quantile(cos[own == j], 0.01)) if (own == j).any() else 1.0 for j in range(len(c))]
-        return pd.DataFrame({"lang": key[0], "floor": floors, "centroid": list(c)})
+        texts = [plain(t) for t in sorted(pdf["text"], key=lambda t: xxhash.xxh64_intdigest(t.encode(errors="replace")))]
+        kept, rest = texts[::5], [t for i, t in enumerate(texts) if i % 5] or texts
+        x = np.concatenate([vectors(rest[s : s + STEP_DOCS], idf) for s in range(0, len(rest), STEP_DOCS)])
+        c = cluster(x, centroids)
+        return pd.DataFrame({"lang": key[0], "floors": [list(floors_of(kept, c, idf, slack))] * len(c), "centroid": list(c)})
 
-    found = sample.groupBy("lang").applyInPandas(fit, "lang string, floor double, centroid array<float>").collect()  # a few rows a language
-    found.sort(key=lambda r: (r.lang, list(r.centroid)))
-    return Model([r.lang for r in found], np.array([r.centroid for r in found], np.float32).reshape(-1, DIM), np.array([r.floor for r in found]), idf)
+    found = sample.groupBy("lang").applyInPandas(fit, "lang string, floors array<double>, centroid array<float>").toLocalIterator()  # a few rows a language
+    found = sorted(found, key=lambda r: (r.lang, list(r.centroid)))
+    return Model([r.lang for r in found], np.array([r.centroid for r in found], np.float32).reshape(-1, DIM), np.array([r.floors for r in found]).reshape(-1, CLASSES), idf)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``; columns of that name are replaced.
 
     Only the text is looked at, and all of it. Texts that are null or have no letter are
-    ``und`` with score 0 and rejected. Ties go to the first language in name order.
+    ``und`` with score 0 and rejected. Ties go to the first language in name order; repeated
+    rows are judged alike. Very long texts are counted in pieces. No rows in, no rows out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "rejected")

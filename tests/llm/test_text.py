@@ -1,5 +1,8 @@
+import math
 import random
 import re
+import unicodedata
+from collections import Counter
 
 import pytest
 from methylspark.llm import decontam, langid, licenses, tokencount
@@ -19,16 +22,52 @@ def test_language_id(spark, docs, rows, none):
     found = langid.identify(docs, model)
     assert found.count() == len(rows) and set(docs.columns) <= set(found.columns)
     for r in found.collect():
-        has = bool(r.text and re.search(r"[^\W\d_]", r.text))
+        has = any(unicodedata.category(c)[0] == "L" for c in r.text or "")
         assert (r.lang_pred != "und") == has and 0 <= r.score <= 1 and (has or r.rejected)
     assert {r.rejected for r in found.filter("doc_id = 108").collect()} == {True}  # another script
+    odd = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    strange = [(1, odd("abcdefghijklmnopqrstuvwxyz", 60)), (2, odd("kkyyääöjpvua", 60)), (3, "½ ² Ⅷ ① 12"), (4, "½ a"), (5, "Dunque quella città è più bella perché gli uomini vogliono cose giuste. " * 4)]
+    short = [(100 + i, words(rnd, lang, n)) for i, (lang, n) in enumerate((lang, n) for lang in LANGS for n in (2, 3, 5, 8, 13) for _ in range(20))]
+    table = spark.createDataFrame([*strange, *short], "doc_id long, text string")
+    judged = {r.doc_id: r for r in langid.identify(table, model).collect()}
+    assert all(judged[i].rejected for i in (1, 2, 3, 5)) and judged[3].lang_pred == "und" and judged[4].lang_pred != "und"
+    assert sum(judged[i].rejected for i, _ in short) <= 0.02 * len(short)
     assert langid.identify(none, model).count() == 0
     empty = langid.train(none)
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_predictions_are_those_of_the_nearest_centroid(spark, docs):
+    """Against dictionaries of n-grams in full precision; the centroids are the model's."""
+    rnd = random.Random(5)
+    many = frame(spark, [(1000 + i, words(rnd, lang, rnd.randint(5, 60)), lang, "a") for i in range(60) for lang in LANGS])
+    model = langid.train(many, per_language=60)
+
+    def slot(gram):
+        h = len(gram) * 0x27D4EB2F & 0xFFFFFFFF
+        for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            h = (h ^ ord(c)) * m & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x165667B1 & 0xFFFFFFFF) >> 18
+
+    for r in langid.identify(many, model).collect():
+        text = " " + re.sub(r"[\W\d_]+", " ", r.text.lower()).strip() + " "
+        count = Counter(slot(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1))
+        x = {k: math.log(1 + v) * float(model.idf[k]) for k, v in count.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        cos = [sum(v / length * float(c[k]) for k, v in x.items()) for c in model.centroids]
+        assert abs(max(cos) - r.score) < 1e-5 and max(cos) - max(v for v, lang in zip(cos, model.langs) if lang == r.lang_pred) < 1e-5
+        assert r.rejected == (r.score < model.floors[model.langs.index(r.lang_pred), min(len(text) - 2, 1 << 9).bit_length() - 1])
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(frame(spark, [(i, "some words", f"l{i}", "a") for i in range(3)]))
+
+
 def test_counts_of_long_texts_do_not_depend_on_pieces(monkeypatch):
-    text = words(random.Random(3), "de", 400)
+    text = langid.plain(words(random.Random(3), "de", 400))
     whole = langid.counts([text])
     monkeypatch.setattr(langid, "STEP_CHARS", 97)
     assert (langid.counts([text]) == whole).all()
