@@ -116,12 +116,14 @@ def phrases(pattern):
             if op == "LITERAL":
                 new = [chr(arg)]
             elif op == "IN":
-                new = [chr(c) for _, c in arg]
+                new = [chr(c if str(kind) == "LITERAL" else c[0]) for kind, c in arg]
             elif op == "BRANCH":
                 new = [x for t in arg[1] for x in of(t)]
-            elif op == "MAX_REPEAT":
-                assert arg[:2] == (0, 1)
+            elif op == "MAX_REPEAT" and arg[:2] == (0, 1):
                 new = ["", *of(arg[2])]
+            elif op == "MAX_REPEAT":
+                assert arg[0] == arg[1] or arg[:2] == (1, 2)
+                new = [x * arg[0] for x in of(arg[2])]
             elif op == "SUBPATTERN":
                 new = of(arg[3])
             else:
@@ -143,10 +145,53 @@ def test_no_gate_stops_what_its_pattern_matches():
             for text in (f"a {x} z".encode(), f"a licensed under the terms of the {x} z".encode()):
                 got = licenses.scan(text, own)
                 assert got == licenses.scan(text, free) and label in got["labels"].split(","), x
+    for label, pattern, keywords in (*licenses.TEXTS, *licenses.ADDRESSES):
+        own = [r for r in gated if r.label == label]
+        free = [replace(r, keywords=frozenset()) for r in own]
+        for x in phrases(pattern):
+            assert set(keywords.split()) <= set(x.split()), x
+            text = f"a {x} z".encode()
+            got = licenses.scan(text, own)
+            assert got == licenses.scan(text, free) and label in got["labels"].split(","), x
     for text, label in (("Creative Commons Attribution-ShareAlike", "cc-by-sa"), ("CC Zero", "cc0-1.0"), ("FreeBSD license", "bsd-2-clause"), ("0BSD license", "0bsd")):
         assert licenses.scan(text.encode(), gated)["labels"] == label
 
 
+def test_license_texts_and_addresses():
+    """Parts of well-known notices, as they stand in files."""
+    rules = licenses.rules()
+    for text, labels in (
+        ("// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\")", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+        ("This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or", "gpl,gpl-3.0"),
+        ("the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', "apache,apache-2.0"),
+        ("see http://www.apache.org/licenses/LICENSE-2.0 and https://creativecommons.org/licenses/by-nc-sa/4.0/", "apache-2.0,cc-by-nc-sa-4.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.", "mpl-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ):
+        assert licenses.scan(text.encode(), rules)["labels"] == labels, text
+
+
+def test_labels_and_score_against_a_plain_scan():
+    """Every rule on every text, and each detection against all others."""
+    rnd = random.Random(11)
+    rules = licenses.rules()
+    parts = [x for _, p, _ in (*licenses.LICENSES, *licenses.TEXTS, *licenses.ADDRESSES) for x in rnd.sample(phrases(p), 1)]
+    for _ in range(150):
+        text = " ".join(rnd.choice([rnd.choice(parts), rnd.choice(["released under the", "spdx license identifier", "under", "version 2", "or later", "x y"])]) for _ in range(rnd.randint(0, 12)))
+        found = [(m.start(), m.end(), r) for r in rules for m in re.finditer(r.pattern.pattern.decode(), f" {text} ")]
+        kept = []
+        for x in sorted(found, key=lambda x: (-x[2].priority, -(x[1] - x[0]), x[0], x[2].label)):
+            if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
+                kept.append(x)
+        base = [label for phrase, label in BASE.items() if brute_places(text, phrase)[1]]
+        got = licenses.scan(text.encode(), rules)
+        assert got["labels"] == ",".join(sorted({*base, *(r.label for _, _, r in kept)}))
+        assert got["score"] == max([0.8 * bool(base), *(r.relevance for _, _, r in kept)])
+        assert [x["label"] for x in got["spans"]] == [r.label for _, _, r in sorted(kept, key=lambda x: (x[0], x[1]))]
+
+
 def test_license_rules_suppress_what_they_contain():
     rules = licenses.rules()
     assert len(rules) > 200
