@@ -2,8 +2,9 @@
 
 Chosen and rejected conversation of a pair share a prefix of turns. It is found by
 aggregation, rendered once as the prompt, and what follows becomes two completions, with
-the span of each turn on which a loss counts. The result has a row per turn, so that
-no conversation, however long, has to fit in one row; ``fold`` makes one row per pair.
+the spans of them on which a loss counts. Turns are first a row each, with their place in
+the pair, so no conversation is collected to be compared; the pairs that are emitted have a row
+each, and one of very many characters a few rows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LAST = 2**63 - 1
+PARTS = ("prompt", "chosen", "rejected")
+#: Turn numbers, and places, of a bin of the two-level running sums.
+BIN = 256
+#: Characters after which a part of a pair goes on in another row.
+ROW_CHARS = 4 << 20
 
 
 def neighbours(conversations: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -27,44 +35,62 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(CLOSE + "\n"))
 
 
-def preference_segments(turns: DataFrame, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``pair_id, part, turn, role, segment, mask_start, mask_end``.
-
-    ``turns`` has ``pair_id`` and ``side`` (chosen or rejected). Turns are common up to
-    the first turn number at which the two sides don't hold the same messages; all of
-    those before are ``part`` prompt and stand once, the others are chosen or rejected.
-    Characters ``mask_start`` to before ``mask_end`` of a segment count for the loss: the
-    text and end mark of an assistant's turn in a completion, else none. Equal
-    conversations are all prompt; a pair of one side is all completion. Null turn numbers
-    come last, null roles and texts are empty and equal to each other; repeated rows
-    are messages of their own, and if they are common, as often.
-    """
+def placed(turns: DataFrame, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``pair_id, side, at, place, role, text``: turns by the place of their number among those of their conversation, from 1."""
     rows = turns.select(
         "pair_id", "side", F.coalesce(F.col(turn_col).cast("long"), F.lit(LAST)).alias("at"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+    numbers = running(rows.select("pair_id", "side", "at").distinct(), ["pair_id", "side"], ["at"], F.floor(F.col("at") / BIN), {"place": ("count", F.lit(1))})
+    own = numbers.select(F.col("pair_id").alias("p"), F.col("side").alias("s"), F.col("at").alias("a"), "place")
+    return rows.join(own, F.col("pair_id").eqNullSafe(F.col("p")) & (F.col("side") == F.col("s")) & (F.col("at") == F.col("a"))).drop("p", "s", "a")
+
+
+def preference_segments(turns: DataFrame, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``pair_id, part, place, turn, role, segment, mask_start, mask_end``, a row per turn.
+
+    ``turns`` has ``pair_id`` and ``side`` (chosen or rejected). The two sides have turns in common up to
+    the first place at which they don't hold the same messages, whatever the turns'
+    numbers; all of those before are ``part`` prompt and stand once, with the chosen side's numbers, the
+    others are chosen or rejected. Characters ``mask_start`` to before ``mask_end`` of a
+    segment count for the loss: the text and end mark of an assistant's turn in a
+    completion, else none. Equal conversations are all prompt; a pair of one side is all
+    completion, and so are turns without a conversation, which are one side of the null pair. Null turn
+    numbers come last, null roles and texts are empty and equal to each other; messages of
+    one turn number share a place, and repeated rows are messages of their own. Other columns are
+    ignored, whatever their names. No rows in, no rows out.
+    """
+    rows = placed(turns, turn_col, role_col, text_col)
     chosen = F.col("side") == "chosen"
-    message = ["pair_id", "at", "role", F.sha2("text", 256).alias("key"), F.length("text").alias("n")]
+    message = ["pair_id", "place", "role", F.sha2("text", 256).alias("key"), F.length("text").alias("n")]
     both = rows.groupBy(*message).agg(F.count_if(chosen).alias("c"), F.count_if(~chosen).alias("r"))
-    cut = both.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("at"))).alias("cut"))
+    cut = both.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("place"))).alias("cut"))
     met = rows.join(cut.withColumnRenamed("pair_id", "p"), F.col("pair_id").eqNullSafe(F.col("p")))
-    common = F.col("cut").isNull() | (F.col("at") < F.col("cut"))
+    common = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
     met = met.withColumn("part", F.when(common, "prompt").otherwise(F.col("side"))).filter(~common | chosen)
     counts = (F.col("part") != "prompt") & (F.col("role") == "assistant")
     start = F.length(F.concat(F.lit(OPEN), "role", F.lit("\n")))
     return met.select(
-        "pair_id", "part", F.nullif(F.col("at"), F.lit(LAST)).alias("turn"), "role", render(F.col("role"), F.col("text")).alias("segment"),
+        "pair_id", "part", "place", F.nullif(F.col("at"), F.lit(LAST)).alias("turn"), "role", render(F.col("role"), F.col("text")).alias("segment"),
         F.when(counts, start).otherwise(0).alias("mask_start"), F.when(counts, start + F.length("text") + len(CLOSE)).otherwise(0).alias("mask_end"),
     )
 
 
-def fold(segments: DataFrame) -> DataFrame:
-    """One row per pair: ``prompt``, ``chosen``, ``rejected`` and the masked spans in both.
+def preference_pairs(segments: DataFrame, row_chars: int = ROW_CHARS) -> DataFrame:
+    """``pair_id, piece, prompt, chosen, chosen_mask, rejected, rejected_mask``: the pairs of ``preference_segments``.
 
-    For export; each pair must fit in a row.
+    Segments stand in the order of their places, those of one place in that of role and text. A mask
+    is the array of spans ``start, end`` (characters, end excluded) of the completion beside it. A pair is one row, ``piece``
+    0, unless a part has more than ``row_chars`` characters: its segments then go on in piece 1, 2,
+    ..., and spans count from the start of their piece.
     """
-    key = F.struct(F.coalesce("turn", F.lit(LAST)).alias("t"), "role", "segment", "mask_start", "mask_end")
-    out = segments.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, key))).alias(p) for p in ("prompt", "chosen", "rejected")])
+    rows = segments.withColumns({"__n": F.length("segment").cast("long"), "__key": F.md5("segment")})
+    order = ["place", "role", "__key"]
+    rows = running(rows, ["pair_id", "part"], order, F.floor(F.col("place") / BIN), {"__end": ("sum", F.col("__n"))})
+    rows = rows.withColumn("piece", F.floor((F.col("__end") - F.col("__n")) / row_chars))
+    item = F.struct("place", "role", "__key", "segment", "mask_start", "mask_end")
+    own = lambda p: F.sort_array(F.collect_list(F.when(F.col("part") == p, item))).alias(p)  # noqa: E731  no more than fits a row
+    out = rows.groupBy("pair_id", "piece").agg(*[own(p) for p in PARTS])
 
     def spans(p: str) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start: int, end: int>>").alias("s"))
@@ -74,4 +100,4 @@ def fold(segments: DataFrame) -> DataFrame:
         ))["s"]
 
     text = lambda p: F.array_join(F.transform(p, lambda x: x["segment"]), "").alias(p)
-    return out.select("pair_id", text("prompt"), text("chosen"), spans("chosen").alias("chosen_mask"), text("rejected"), spans("rejected").alias("rejected_mask"))
+    return out.select("pair_id", "piece", text("prompt"), text("chosen"), spans("chosen").alias("chosen_mask"), text("rejected"), spans("rejected").alias("rejected_mask"))

@@ -12,28 +12,36 @@ SLOTS = 8209
 
 
 def op1_warc(spark, sf_dir):
+    """All ``pages`` written as archives and read back; null html is empty, null ids are last among copies. See ``warc``."""
     read = warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), lambda x: staged(x, "warc-index"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_mixing(spark, sf_dir):
+    """``documents`` repeated by their sources' rates; a null source is one, null texts count nothing. See ``mixing``."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, seed=7, temperature=0.5, epochs=1.0)
 
 
 def op3_sharding(spark, sf_dir):
+    """``documents`` with slot and shard; null ids share one. See ``sharding``."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS, ("doc_id",), SLOTS)
 
 
 def op4_decontamination(spark, sf_dir):
+    """A row for each document and benchmark item that it holds; null and empty ones hold nothing. See ``decontam``."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_preference(spark, sf_dir):
-    return preference.preference_segments(preference.neighbours(table(spark, sf_dir, "conversations")))
+    """A row for each pair of ``conversations`` 2n and 2n + 1, masks as text; turns without an id are one side of the null pair. See ``preference``."""
+    pairs = preference.preference_pairs(preference.preference_segments(preference.neighbours(table(spark, sf_dir, "conversations"))))
+    text = lambda m: F.array_join(F.transform(m, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias(m)
+    return pairs.select("pair_id", "piece", "prompt", "chosen", text("chosen_mask"), "rejected", text("rejected_mask"))
 
 
 def op6_token_counts(spark, sf_dir):
+    """Tokens of every row of ``documents`` before and after redaction; null texts have none. See ``tokencount``."""
     docs = table(spark, sf_dir, "documents")
     trees = staged(tokencount.build_trees(docs), "token-trees")
     edits = staged(tokencount.find_redactions(docs), "redactions")
@@ -42,6 +50,7 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_language_id(spark, sf_dir):
+    """Languages of all ``documents``, learnt from those not held out; texts without a letter are ``und``. See ``langid``."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~held_out))
@@ -49,14 +58,17 @@ def op7_language_id(spark, sf_dir):
 
 
 def op8_exact_dedup(spark, sf_dir):
+    """Groups of equal ``documents``, a row for each; null texts are empty. See ``exactdedup``."""
     return exactdedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark, sf_dir):
+    """Fingerprints and components of ``documents``, a row for each; null texts have fingerprint zero. See ``simhash``."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_licenses(spark, sf_dir):
+    """What is found in each of ``documents``; null texts are empty. See ``licenses``."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -101,14 +113,20 @@ ORACLES = {
     "op5_preference": """
         WITH r AS (SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
                           coalesce(turn, 9223372036854775807) AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-        b AS (SELECT pair_id, t, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS j FROM r GROUP BY ALL),
-        u AS (SELECT pair_id, min(t) FILTER (c <> j) AS cut FROM b GROUP BY pair_id),
-        m AS (SELECT r.*, CASE WHEN cut IS NULL OR t < cut THEN 'prompt' ELSE side END AS part
-              FROM r JOIN u ON r.pair_id IS NOT DISTINCT FROM u.pair_id)
-        SELECT pair_id, part, nullif(t, 9223372036854775807) AS turn, role, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS segment,
-               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 22 ELSE 0 END AS mask_start,
-               CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 32 + length(text) ELSE 0 END AS mask_end
-        FROM m WHERE part <> 'prompt' OR side = 'chosen'
+        q AS (SELECT *, dense_rank() OVER (PARTITION BY pair_id, side ORDER BY t) AS place FROM r),
+        b AS (SELECT pair_id, place, role, text, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS j FROM q GROUP BY ALL),
+        u AS (SELECT pair_id, min(place) FILTER (c <> j) AS cut FROM b GROUP BY pair_id),
+        m AS (SELECT q.*, cut IS NULL OR place < cut AS common FROM q JOIN u ON q.pair_id IS NOT DISTINCT FROM u.pair_id),
+        s AS (SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS part, place, role,
+                     concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS segment, NOT common AND role = 'assistant' AS counts FROM m WHERE NOT common OR side = 'chosen'),
+        o AS (SELECT *, row_number() OVER w AS i, coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
+              FROM s WINDOW w AS (PARTITION BY pair_id, part ORDER BY place, role, md5(segment)))
+        SELECT pair_id, CAST(0 AS BIGINT) AS piece, coalesce(string_agg(segment, '' ORDER BY i) FILTER (part = 'prompt'), '') AS prompt,
+               coalesce(string_agg(segment, '' ORDER BY i) FILTER (part = 'chosen'), '') AS chosen,
+               coalesce(string_agg(concat((n + 13 + length(role))::BIGINT, '-', (n + length(segment) - 1)::BIGINT), ',' ORDER BY i) FILTER (part = 'chosen' AND counts), '') AS chosen_mask,
+               coalesce(string_agg(segment, '' ORDER BY i) FILTER (part = 'rejected'), '') AS rejected,
+               coalesce(string_agg(concat((n + 13 + length(role))::BIGINT, '-', (n + length(segment) - 1)::BIGINT), ',' ORDER BY i) FILTER (part = 'rejected' AND counts), '') AS rejected_mask
+        FROM o GROUP BY pair_id
     """,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -141,6 +141,7 @@ TURNS = [
     (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "yes"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "other"), (1, 3, "assistant", None),
     (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (4, 0, "user", None), (6, 0, "system", "s"), (6, 0, "system", "s"), (6, 1, "assistant", "x"), (7, 0, "system", "s"), (7, 1, "assistant", "x"),
     (8, None, "user", "late"), (8, 0, None, "first"), (9, None, "user", "late"), (9, 0, None, "first"), (None, 0, "user", "lost"),
+    (10, 0, "user", "q"), (10, 1, "assistant", "a"), (10, 5, "assistant", "b"), (11, 0, "user", "q"), (11, 2, "assistant", "a"), (11, 7, "assistant", "c"), (11, 9, "assistant", "d"),
 ]
 
 
@@ -151,16 +152,18 @@ def brute_preference(turns):
         for c, t, role, text in turns:
             if (None if c is None else c // 2) == pair:
                 sides[0 if c is not None and c % 2 == 0 else 1].append((preference.LAST if t is None else t, role or "", text or ""))
-        cut = min((t for t, *_ in sides[0] + sides[1] if Counter(x for x in sides[0] if x[0] == t) != Counter(x for x in sides[1] if x[0] == t)), default=None)
+        sides = [[(sorted({u for u, *_ in side}).index(t) + 1, t, role, text) for t, role, text in side] for side in sides]
+        at = lambda side, p: Counter((role, text) for q, _, role, text in side if q == p)
+        cut = min((p for p, *_ in sides[0] + sides[1] if at(sides[0], p) != at(sides[1], p)), default=None)
         for part, side in zip(("chosen", "rejected"), sides):
-            for t, role, text in side:
-                same = cut is None or t < cut
+            for p, t, role, text in side:
+                same = cut is None or p < cut
                 if same and part == "rejected":
                     continue
                 segment = f"<|im_start|>{role}\n{text}<|im_end|>\n"
                 masked = not same and role == "assistant"
                 s = segment.index("\n") + 1
-                out.append((pair, "prompt" if same else part, None if t == preference.LAST else t, role, segment, s if masked else 0, len(segment) - 1 if masked else 0))
+                out.append((pair, "prompt" if same else part, p, None if t == preference.LAST else t, role, segment, s if masked else 0, len(segment) - 1 if masked else 0))
     return out
 
 
@@ -168,7 +171,23 @@ def test_preference(spark):
     c = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, part string").repartition(3)
     rows = preference.preference_segments(preference.neighbours(c))
     assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, brute_preference(TURNS)))
-    folded = {r.pair_id: r for r in preference.fold(rows).collect()}
+    folded = {r.pair_id: r for r in preference.preference_pairs(rows).collect()}
+    assert set(folded) == {None, 0, 1, 2, 3, 4, 5} and {r.piece for r in folded.values()} == {0}
+    want = brute_preference(TURNS)
+    for pair, r in folded.items():
+        for part in ("prompt", "chosen", "rejected"):
+            own = sorted((x for x in want if x[:2] == (pair, part)), key=lambda x: (x[2], x[4], hashlib.md5(x[5].encode()).hexdigest()))
+            assert r[part] == "".join(x[5] for x in own)
+            if part != "prompt":
+                assert [r[part][s.start : s.end] for s in r[f"{part}_mask"]] == [x[5][x[6] : x[7]] for x in own if x[7]]
+    r = folded[5]
+    assert r.prompt.endswith("assistant\na<|im_end|>\n") and [r.rejected[s.start : s.end] for s in r.rejected_mask] == ["c<|im_end|>", "d<|im_end|>"]
+    pieces = preference.preference_pairs(rows, row_chars=40).orderBy("pair_id", "piece").collect()
+    assert max(r.piece for r in pieces) > 0
+    for pair, r in folded.items():
+        own = [x for x in pieces if x.pair_id == pair]
+        assert all("".join(x[part] for x in own) == r[part] for part in ("prompt", "chosen", "rejected"))
+        assert [x.rejected[s.start : s.end] for x in own for s in x.rejected_mask] == [r.rejected[s.start : s.end] for s in r.rejected_mask]
     r = folded[0]
     assert r.prompt == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
     assert [r.chosen[s.start : s.end] for s in r.chosen_mask] == ["yes<|im_end|>"] and [r.rejected[s.start : s.end] for s in r.rejected_mask] == ["<|im_end|>"]
