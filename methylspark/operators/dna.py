@@ -47,15 +47,18 @@ def check_cpg_sites(windows: DataFrame) -> DataFrame:
     return windows.filter("is_cpg IS NULL OR NOT is_cpg").select(*SITE, "seq")
 
 
-def kmer_freq(sequences: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def kmer_freq(sequences: DataFrame, k: int, keys: list[str], piece: int = 4096) -> DataFrame:
     """``keys``, ``kmer``, ``index`` and ``n`` for every k-mer of ``seq`` that occurs.
 
     The index is the sum of code * 4^i over the letters, from the first. K-mers with
-    letters other than A, C, G and T are left out.
+    letters other than A, C, G and T are left out. Sequences are cut into pieces, of which one
+    expression takes all k-mers; chromosomes should come as tiles.
     """
-    pos = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1))
-    rows = sequences.filter(F.length("seq") >= k).select(*keys, F.upper("seq").alias("seq"), pos.alias("__i"))
-    rows = rows.select(*keys, F.substring("seq", F.col("__i"), F.lit(k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    n = F.length("seq")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - k) / piece).cast("int")), lambda i: F.substring("seq", i * piece + 1, F.lit(piece + k - 1)))
+    pieces = sequences.filter(n >= k).select(*keys, F.explode(cut).alias("__p"))
+    every = F.regexp_extract_all(F.upper("__p"), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    rows = pieces.select(*keys, F.explode(every).alias("kmer"))
     codes = F.split(F.translate("kmer", LETTERS, "0123"), "")
     index = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0).cast("long"), lambda a, i: a + F.get(codes, i).cast("long") * F.pow(F.lit(4.0), i).cast("long"))
     return rows.groupBy(*keys, "kmer").agg(F.count("*").alias("n")).select(*keys, "kmer", index.alias("index"), "n")

@@ -7,14 +7,15 @@ observed) and the prediction ``z``. All functions take the key columns of a grou
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_binary, metric_family
 from ..schema import SITE
-from .intervals import annotate_sites
+from ..staging import staged
+from .intervals import tracks_of_sites
 from .running import first_rows, running
 
 CLASSIFICATION = ("auc", "acc", "tpr", "tnr", "f1", "mcc")
@@ -71,59 +72,79 @@ def _scores(preds: DataFrame, by: list[str]) -> DataFrame:
     """One row per group and different score: ``z, pos, neg`` and a bin of the score."""
     y = F.bround("y")
     rows = observed(preds).groupBy(*by, "z").agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    return rows.withColumn("__b", F.floor(F.col("z") * SCORE_BINS))
+    return rows.withColumn("__b", _bin("z"))
+
+
+def _bin(score: str) -> Column:
+    return F.floor(F.col(score) * SCORE_BINS)
+
+
+def _ranked(scores: DataFrame, by: list[str], score: str, high: str, low: str, sums: dict[str, Column] = {}) -> DataFrame:
+    """``by``, ``pairs`` and the ``sums``: how many pairs of a ``high`` and a ``low`` there are with the high one at the larger score, ties half.
+
+    Scores are summed up within bins of the score, then bins within groups; ``scores`` is
+    read once, and no task holds more than a bin or a row per bin.
+    """
+    within = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    rows = scores.withColumn("__below", F.coalesce(F.sum(low).over(within), F.lit(0)))
+    pairs = F.sum(F.col(high) * (F.col("__below") + F.col(low) / 2.0))
+    more = [name for name in sums if name not in ("__high", "__low")]
+    bins = rows.groupBy(*by, "__b").agg(pairs.alias("__pairs"), F.sum(high).alias("__high"), F.sum(low).alias("__low"), *[sums[n].alias(n) for n in more])
+    before = F.coalesce(F.sum("__low").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("__pairs", F.col("__pairs") + F.col("__high") * before)
+    again = [(F.min if n.startswith("min_") else F.max if n.startswith("max_") else F.sum)(n).alias(n) for n in more]
+    return bins.groupBy(*by).agg(F.sum("__pairs").alias("pairs"), F.sum("__high").alias("high"), F.sum("__low").alias("low"), *again)
 
 
 def auc(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     """Area under the ROC curve, ties counted half; null if one class only. Labels are rounded, scores not."""
-    below = running(_scores(preds, by), by, ["z"], F.col("__b"), {"neg_to": ("sum", F.col("neg"))})
-    pairs = F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") / 2.0))
-    return below.groupBy(*by).agg(F.try_divide(pairs, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
-
-
-def _tau(y: np.ndarray, z: np.ndarray) -> float:
-    """Kendall's tau-b by counting inversions while merging."""
-    n = len(y)
-    order = np.lexsort((z, y))
-    y, z = y[order], z[order]
-
-    def ties(*columns: np.ndarray) -> int:
-        change = np.any([np.diff(c) != 0 for c in columns], axis=0)
-        runs = np.diff(np.r_[0, np.flatnonzero(change) + 1, n])
-        return int((runs * (runs - 1) // 2).sum())
-
-    rank = np.unique(z, return_inverse=True)[1]
-    swaps, width = 0, 1
-    r = rank.copy()
-    while width < n:  # merge runs of a width, all at once
-        block = np.arange(n) // (2 * width)
-        right = (np.arange(n) // width) % 2 == 1
-        key = block * (rank.max() + 1) + r
-        left_keys = key[~right]
-        at = np.searchsorted(left_keys, key[right], side="right")
-        ends = np.searchsorted(left_keys, (block[right] + 1) * (rank.max() + 1))
-        swaps += int((ends - at).sum())
-        r = r[np.argsort(key, kind="stable")]
-        width *= 2
-    total = n * (n - 1) // 2
-    ty, tz, both = ties(y), ties(np.sort(z)), ties(y, z)
-    bottom = np.sqrt(float(total - ty)) * np.sqrt(float(total - tz))
-    return (total - ty - tz + both - 2 * swaps) / bottom if bottom else float("nan")
-
-
-def kendall(preds: DataFrame, by: list[str] = ["output"], most: int = 100_000, seed: int = 0, keys: list[str] = SITE) -> DataFrame:
-    """Kendall's tau-b of at most ``most`` rows of each group, those of smallest hash; null if undefined."""
-    order = [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
-    rows = first_rows(observed(preds), by, order, most, keys).select(*by, "y", "z")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[by].iloc[:1].copy()
-        t = _tau(pdf["y"].to_numpy(), pdf["z"].to_numpy()) if len(pdf) > 1 else float("nan")
-        out["kendall"] = [None if np.isnan(t) else t]
-        return out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by) + ", kendall double"
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    ranked = _ranked(_scores(preds, by), by, "z", "pos", "neg")
+    return ranked.select(*by, F.try_divide("pairs", F.col("high").cast("double") * F.col("low")).alias("auc"))
+
+
+def kendall(preds: DataFrame, by: list[str] = ["output"], most: int | None = None, seed: int = 0, keys: list[str] = SITE) -> DataFrame:
+    """Kendall's tau-b of all rows of each group; null if undefined, and for a group of one row.
+
+    With ``most`` only so many rows of each group count, those of smallest hash.
+
+    Different labels are numbered in order. Two rows of different label numbers differ in
+    exactly one highest bit; at each bit, the pairs of rows that agree above it are those of
+    a ROC curve, so discordant pairs are counted by as many passes of ``auc`` as the
+    numbers have bits, all at once.
+    """
+    rows = observed(preds)
+    if most is not None:
+        rows = first_rows(rows, by, [F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *[F.col(k) for k in keys]], most, keys)
+    cells = rows.groupBy(*by, "y", "z").agg(F.count("*").alias("n"))
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
+    n = F.col("n").cast("double")
+    ties = lambda c, name: cells.groupBy(*by, c).agg(F.sum(n).alias("n")).groupBy(*by).agg(pairs(F.col("n")).alias(name))
+    total = cells.groupBy(*by).agg((F.sum(n) * (F.sum(n) - 1) / 2).alias("__all"), pairs(n).alias("__both"))
+    # numbers of the labels
+    labels = cells.select(*by, "y").distinct()
+    numbered = running(labels, by, ["y"], _bin("y"), {"__r": ("count", F.lit(1))})
+    numbered = numbered.select(*[F.col(c).alias(f"__n_{c}") for c in (*by, "y")], (F.col("__r") - 1).alias("__r"))
+    same = [F.col(c).eqNullSafe(F.col(f"__n_{c}")) for c in by] + [F.col("y") == F.col("__n_y")]
+    met = cells.join(numbered, reduce(lambda a, b: a & b, same)).select(*by, "z", "n", "__r")
+    # a row for each bit of the group's largest number: what stands above it, and the bit
+    bit = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("__top") + 1.0)).cast("int"))).alias("__bit")
+    largest = numbered.groupBy(*[F.col(f"__n_{c}").alias(f"__m_{c}") for c in by]).agg(F.max("__r").alias("__top"))
+    up_to = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in by])
+    bits = met.join(largest, up_to).select(*by, "z", "n", "__r", bit)
+    bits = bits.withColumn("__above", F.expr("shiftright(__r, __bit + 1)")).withColumn("__one", F.expr("shiftright(__r, __bit) & 1"))
+    group = [*by, "__bit", "__above"]
+    scores = bits.groupBy(*group, "z").agg(F.sum(F.when(F.col("__one") == 0, F.col("n")).otherwise(0)).alias("zero"), F.sum(F.when(F.col("__one") == 1, F.col("n")).otherwise(0)).alias("one"))
+    # pairs with the smaller label at the larger score, ties half; and those ties
+    scores = scores.withColumn("__b", _bin("z"))
+    ranked = _ranked(scores, group, "z", "zero", "one", {"tied": F.sum(F.col("zero").cast("double") * F.col("one"))})
+    against = ranked.groupBy(*by).agg(F.sum(F.col("pairs") - F.col("tied") / 2).alias("__against"))
+    out = total
+    for more in (ties("y", "__ty"), ties("z", "__tz"), against):
+        more = more.select(*[F.col(c).alias(f"__k_{c}") for c in by], *more.columns[len(by) :])
+        out = out.join(more, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]), "left").drop(*[f"__k_{c}" for c in by])
+    a, ty, tz = F.col("__all"), F.col("__ty"), F.col("__tz")
+    top = a - ty - tz + F.col("__both") - 2 * F.coalesce("__against", F.lit(0.0))
+    return out.select(*by, F.try_divide(top, F.sqrt(a - ty) * F.sqrt(a - tz)).alias("kendall"))
 
 
 def categorical(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
@@ -140,22 +161,43 @@ def categorical(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     return acc.join(areas, by)
 
 
+def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
+    """``by``, ``n``, the four counts, and all metrics of ``classification``, ``regression`` and ``auc`` from one aggregation of the predictions."""
+    y, z = F.bround("y"), F.bround("z")
+    d = F.col("y") - F.col("z")
+    rows = observed(preds).groupBy(*by, "z").agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count("*").alias("n"), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("ad"),
+        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
+    )
+    rows = rows.withColumn("__b", _bin("z"))
+    own, count = F.col("z"), F.col("n")
+    sums = {c: F.sum(c) for c in ("n", "dd", "ad", "sy", "syy")} | {"min_y": F.min("min_y"), "max_y": F.max("max_y"), "min_z": F.min("z"), "max_z": F.max("z")}
+    sums |= {"sz": F.sum(own * count), "szz": F.sum(own * own * count), "syz": F.sum(own * F.col("sy"))}
+    sums |= {name: F.sum(F.when(z == hit, F.col(kind)).otherwise(0)) for name, kind, hit in (("tp", "pos", 1), ("fn", "pos", 0), ("fp", "neg", 1), ("tn", "neg", 0))}
+    s = rates(_ranked(rows, by, "z", "pos", "neg", sums))
+    n = F.col("n").cast("double")
+    spread = lambda a, b, ab: F.col(ab) / n - F.col(a) / n * (F.col(b) / n)
+    varies = (F.col("min_y") < F.col("max_y")) & (F.col("min_z") < F.col("max_z"))
+    cor = F.when(varies, spread("sy", "sz", "syz") / (F.sqrt(spread("sy", "sy", "syy")) * F.sqrt(spread("sz", "sz", "szz"))))
+    return s.select(
+        *by, n.alias("n"), "tp", "tn", "fp", "fn", "acc", "tpr", "tnr", "prec", "fpr", "fnr", "f1", "mcc", (F.col("dd") / n).alias("mse"), F.sqrt(F.col("dd") / n).alias("rmse"),
+        (F.col("ad") / n).alias("mad"), cor.alias("cor"), F.try_divide("pairs", F.col("high").cast("double") * F.col("low")).alias("auc"),
+    )
+
+
 def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     """``by, metric, value``: the metrics that the output's name calls for, and ``n``."""
-    sizes = observed(preds).groupBy(*by).agg(F.count("*").cast("double").alias("n"))
-    wide = sizes.join(classification(preds, by), by).join(regression(preds, by), by).join(auc(preds, by), by)
     family = metric_family(F.col("output"))
     names = [*CLASSIFICATION, *REGRESSION, "n"]
-    long = wide.unpivot(by, names, "metric", "value")
+    long = summary(preds, by).unpivot(by, names, "metric", "value")
     fits = (
         (F.col("metric") == "n")
         | (F.col("metric").isin(*CLASSIFICATION) & family.contains("classification"))
         | (F.col("metric").isin(*REGRESSION) & family.contains("regression"))
     )
-    out = long.filter(fits)
     ranked = preds.filter(family.contains("kendall"))
     taus = kendall(ranked, by).select(*by, F.lit("kendall").alias("metric"), F.col("kendall").alias("value"))
-    return out.unionByName(taus)
+    return long.filter(fits).unionByName(taus)
 
 
 def unstack_report(report: DataFrame, index: list[str], metrics: list[str]) -> DataFrame:
@@ -220,15 +262,16 @@ def annotated(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> D
 
     Tracks with fewer than ``min_sites`` different sites are left out.
     """
-    sites = preds.select(*SITE).distinct()
-    flags = annotate_sites(sites, intervals).filter("flag = 1").select(*SITE, F.col("track").alias("anno"))
+    held = tracks_of_sites(preds.select(*SITE).distinct(), intervals)
+    flags = held.select(*SITE, F.explode("tracks").alias("anno"))
     enough = flags.groupBy("anno").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_sites).select("anno")
-    local = preds.join(flags.join(F.broadcast(enough), "anno"), SITE)
+    local = preds.join(flags.join(enough, "anno"), SITE)
     return preds.withColumn("anno", F.lit("global")).unionByName(local)
 
 
 def evaluate_by_annotation(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> DataFrame:
-    return evaluate_outputs(annotated(preds, intervals, min_sites), ["anno", "output"])
+    """``anno, output, metric, value``; the annotated predictions are written once, as several aggregations read them."""
+    return evaluate_outputs(staged(annotated(preds.select(*SITE, "output", "y", "z"), intervals, min_sites), "annotated"), ["anno", "output"])
 
 
 def compare_models(metrics: DataFrame, names: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import encode_dna, normalized_distances, normalized_states, onehot_dna
 from ..schema import SITE
+from ..staging import staged
 
 
 def build_model_input(neighbors: DataFrame, windows: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -36,26 +38,102 @@ def predict_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFram
     return df.mapInPandas(run, schema)
 
 
-def fit_output_models(inputs: DataFrame, outputs: list[str], features: list[str] = ["state", "dist"], keys: list[str] = SITE, iterations: int = 20) -> DataFrame:
-    """``keys, output, y, z``: for each output (a cell) a weighted logistic regression on its features, applied to all its rows.
+#: Numbers of all models that are fitted together (for each output, as many as the square of its features).
+MAX_NUMBERS = 20_000_000
+_SUMS = "cell string, sums array<double>"
+
+
+def _summed(rows: DataFrame, p: int, of: Callable[[str, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+    """For each cell the sum over its rows of what ``of(cell, features, labels, weights)`` gives for some of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            x, cells = np.array(pdf["x"].tolist(), float).reshape(-1, p), pdf["cell"].to_numpy()
+            y, w = pdf["y"].to_numpy(float), pdf["weight"].to_numpy(float)
+            for c in set(cells):
+                own = cells == c
+                total[c] = total.get(c, 0.0) + of(c, x[own], y[own], w[own])
+        yield pd.DataFrame({"cell": list(total), "sums": list(total.values())})
 
-    ``inputs`` has ``cell``, array columns ``features``, ``value`` (null: not used for the
-    fit) and ``weight``. An output of one class gets that class.
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": [key[0]], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})
+
+    parts = rows.mapInPandas(run, _SUMS).groupBy("cell").applyInPandas(add, _SUMS)  # a row of a cell from each task
+    return {r.cell: np.array(r.sums) for r in parts.collect()}  # within MAX_NUMBERS
+
+
+def fit_logistic(rows: DataFrame, p: int, iterations: int = 25, ridge: float = 0.01) -> dict[str, tuple[np.ndarray, float]]:
+    """Coefficients and intercept of every cell's weighted logistic regression, from ``cell, x, y, weight``.
+
+    The ridge is on features scaled to unit variance, and not on the intercept. Newton's
+    method; each iteration sums gradient and curvature of all cells in one pass. Cells of one
+    class get an infinite intercept of its sign.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    first = _summed(rows, p, lambda c, x, y, w: np.r_[w.sum(), w @ x, w @ x**2, w @ y, y.min() * len(y), y.max() * len(y), len(y)])
+    found, todo, scale = {}, {}, {}
+    for c, s in first.items():
+        mean = s[1 : p + 1] / s[0]
+        std = np.sqrt(np.maximum(s[p + 1 : 2 * p + 1] / s[0] - mean**2, 0))
+        std = np.where(std > 1e-9, std, 0)
+        share = s[2 * p + 1] / s[0]
+        if share <= 0 or share >= 1:
+            found[c] = np.zeros(p), np.inf if share >= 1 else -np.inf
+        else:
+            scale[c] = mean, np.divide(1, std, out=np.zeros(p), where=std > 0), s[0]
+            todo[c] = np.r_[np.zeros(p), np.log(share / (1 - share))]
+    for _ in range(iterations):
+        if not todo:
+            break
 
-    rows = inputs.withColumn("__f", array_to_vector(F.concat(*features)))
+        def step(c: str, x: np.ndarray, y: np.ndarray, w: np.ndarray, now: dict = dict(todo)) -> np.ndarray:
+            if c not in now:
+                return np.zeros(p + 1 + (p + 1) ** 2)
+            mean, inverse, total = scale[c]
+            a = np.c_[(x - mean) * inverse, np.ones(len(x))]
+            z = 1 / (1 + np.exp(-np.clip(a @ now[c], -500, 500)))
+            w = w / total
+            return np.r_[a.T @ (w * (z - y)), ((a * (w * z * (1 - z))[:, None]).T @ a).ravel()]
+
+        for c, s in _summed(rows, p, step).items():
+            if c in todo:
+                b, penalty = todo[c], np.r_[np.full(p, ridge), 0]
+                change = np.linalg.solve(s[p + 1 :].reshape(p + 1, p + 1) + np.diag(penalty + 1e-12), s[: p + 1] + penalty * b)
+                todo[c] = b - change
+                if np.abs(change).max() < 1e-10 or _ == iterations - 1:
+                    mean, inverse, _total = scale[c]
+                    own = todo.pop(c)
+                    found[c] = own[:p] * inverse, float(own[p] - own[:p] @ (mean * inverse))
+    return found
+
+
+def fit_output_models(inputs: DataFrame, outputs: list[str], features: list[str] = ["state", "dist"], keys: list[str] = SITE, iterations: int = 25) -> DataFrame:
+    """``keys, output, y, z``: for each output (a cell) a weighted logistic regression on its features, applied to all its rows.
+
+    ``inputs`` has ``cell``, array columns ``features`` without nulls, ``value`` (null: not used for the
+    fit) and ``weight``. All outputs are fitted in the same passes, as many at a time as
+    ``MAX_NUMBERS`` allows. An output of one class gets that class, one without labels null.
+    """
+    rows = staged(inputs.select(*keys, "cell", F.concat(*features).alias("x"), F.bround("value").alias("y"), "weight", F.col("value").alias("__value")), "model-inputs")
+    size = rows.select(F.max(F.size("x"))).first()[0] or 0
+    block = max(1, MAX_NUMBERS // (size + 2) ** 2)
+    schema = T.StructType([*(rows.schema[k] for k in keys), *T._parse_datatype_string("output string, y double, z double").fields])
     out = None
-    for name in outputs:
-        own = rows.filter(F.col("cell") == name)
-        known = own.filter("value IS NOT NULL").select("__f", F.bround("value").alias("__y"), "weight")
-        classes = known.agg(F.min("__y"), F.max("__y")).first()
-        label = F.concat(F.lit("cpg/"), "cell").alias("output")
-        if classes[0] is None or classes[0] == classes[1]:
-            z = own.select(*keys, label, F.col("value").alias("y"), F.lit(classes[0]).cast("double").alias("z"))
-        else:
-            model = LogisticRegression(featuresCol="__f", labelCol="__y", weightCol="weight", maxIter=iterations, regParam=0.01).fit(known)
-            z = model.transform(own).select(*keys, label, F.col("value").alias("y"), vector_to_array("probability")[1].alias("z"))
+    for at in range(0, len(outputs), block):  # once, but for very many outputs
+        own = rows.filter(F.col("cell").isin(*outputs[at : at + block]))
+        models = fit_logistic(own.filter("y IS NOT NULL").select("cell", "x", "y", "weight"), size, iterations)
+
+        def predict(batches: Iterator[pd.DataFrame], models: dict = models) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = np.array(pdf["x"].tolist(), float).reshape(-1, size)
+                none = np.zeros(size), np.nan
+                own = [models.get(c, none) for c in pdf["cell"]]
+                b, a = np.array([m[0] for m in own]).reshape(-1, size), np.array([m[1] for m in own])
+                with np.errstate(over="ignore"):
+                    z = 1 / (1 + np.exp(-((x * b).sum(axis=1) + a)))
+                out = pdf[keys].assign(output="cpg/" + pdf["cell"], y=pdf["__value"].astype(float), z=z)
+                yield out.astype({"y": object, "z": object}).where(out.notna(), None)
+
+        z = own.mapInPandas(predict, schema)
         out = z if out is None else out.unionByName(z)
-    return out
+    return inputs.sparkSession.createDataFrame([], schema) if out is None else out

@@ -20,10 +20,9 @@ MAX_WEIGHTS = 4_000_000
 
 def filter_arrays(weights: DataFrame, bias: DataFrame | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Filter ids, weights [filter, offset, letter] and biases of ``filter, offset, nt, weight`` and ``filter, bias``."""
-    n = weights.count()
-    if n > MAX_WEIGHTS:
+    pdf = weights.select("filter", "offset", "nt", "weight").limit(MAX_WEIGHTS + 1).toPandas()
+    if len(pdf) > MAX_WEIGHTS:
         raise ValueError(f"more than {MAX_WEIGHTS} filter weights")
-    pdf = weights.select("filter", "offset", "nt", "weight").toPandas()  # bounded above
     ids = sorted(pdf["filter"].unique())
     w = np.zeros((len(ids), int(pdf["offset"].max()) + 1, 4))
     w[[ids.index(f) for f in pdf["filter"]], pdf["offset"], [LETTERS.index(c) for c in pdf["nt"]]] = pdf["weight"]
@@ -118,7 +117,7 @@ def activation_threshold(acts: DataFrame, n_positions: int, share: float = 0.5,
 def activating_kmers(acts: DataFrame, windows: DataFrame, thresholds: DataFrame, filter_len: int, keys: list[str] = SITE) -> DataFrame:
     """``filter, keys, offset, kmer``: the letters under each activation of at least the threshold; too near an end they are skipped."""
     half = filter_len // 2
-    hits = acts.join(F.broadcast(thresholds), "filter").filter(F.col("act") >= F.col("threshold"))  # a row per filter
+    hits = acts.join(thresholds, "filter").filter(F.col("act") >= F.col("threshold"))
     j = F.col("offset")
     met = hits.join(windows.select(*keys, F.upper("seq").alias("seq")), keys).filter((j >= half) & (j <= F.length("seq") - filter_len - 1))
     return met.select("filter", *keys, "offset", F.substring("seq", (j - half + 1).cast("int"), F.lit(2 * half + filter_len % 2)).alias("kmer"))
@@ -171,12 +170,12 @@ def activation_histogram(acts: DataFrame, low: float, high: float, bins: int) ->
 
 
 def activation_pca(summary: DataFrame, value: str = "mean", most: int = 1000, k: int = 2, seed: int = 0, keys: list[str] = SITE) -> DataFrame:
-    """``filter`` and its first ``k`` principal components over the activations in at most ``most`` windows."""
+    """``filter`` and its first ``k`` principal components over the activations in at most ``most`` windows (all, if there are no more)."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    picked = summary.select(*keys).distinct().orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(most)
-    rows = summary.join(F.broadcast(picked), keys)  # at most ``most`` rows
+    picked = summary.select(*keys).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *keys).limit(most)
+    rows = summary.join(picked, keys)
     rows = rows.withColumn("__v", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
     vectors = rows.groupBy("filter").agg(array_to_vector(F.transform(F.sort_array(F.collect_list(F.struct(*keys, "__v"))), lambda x: x["__v"])).alias("features"))
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(vectors)
@@ -187,10 +186,14 @@ def effect_slice(effects: DataFrame, delta: int) -> DataFrame:
     return effects.withColumn("effect", center_slice(F.col("effect"), delta, True))
 
 
+def effect_by_letter(effect: str, how: str) -> Column:
+    """An effect reduced over positions to an array of four numbers, one per letter."""
+    letter = lambda c: aggregate_window(F.transform(effect, lambda r: r[c]), how)
+    return F.array(*[letter(c) for c in range(4)])
+
+
 def effect_aggregate(effects: DataFrame, how: str) -> DataFrame:
-    """``effect`` reduced over positions to an array of four numbers, one per letter."""
-    letter = lambda c: aggregate_window(F.transform("effect", lambda r: r[c]), how)
-    return effects.withColumn("effect", F.array(*[letter(c) for c in range(4)]))
+    return effects.withColumn("effect", effect_by_letter("effect", how))
 
 
 def effect_profile(effects: DataFrame) -> DataFrame:
@@ -203,7 +206,7 @@ def motif_report(stats: DataFrame, hits: DataFrame, names: DataFrame) -> DataFra
     """All filters and all hits, joined by ``idx``, with the name of the motif that was hit."""
     drop = [c for c in ("query_id", "optimal_offset") if c in hits.columns]
     named = names.select(F.col("id").alias("target_id"), "protein", "url")
-    return stats.join(hits.drop(*drop), "idx", "full").join(F.broadcast(named) if named.count() < 100_000 else named, "target_id", "left")
+    return stats.join(hits.drop(*drop), "idx", "full").join(named, "target_id", "left")
 
 
 def top_hit_per_filter(report: DataFrame) -> DataFrame:

@@ -14,27 +14,28 @@ from pyspark.sql import functions as F
 PARTS = 64
 
 HOW = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+FIRST = Window.unboundedPreceding
 
 
-def running(df: DataFrame, by: list[str], order: list[str], bin: Column, columns: dict[str, tuple[str, Column]], before: bool = False, reverse: bool = False) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], bin: Column, columns: dict[str, tuple], before: bool = False, reverse: bool = False) -> DataFrame:
     """``df`` with, for each name, the aggregate of all rows up to this one in the order.
 
-    ``columns`` maps names to (one of sum, max, min, count; value). ``bin`` must rise with
-    the first order column. ``before`` leaves the row itself out; ``reverse`` turns the
-    order around. Rows that tie in ``order`` are taken in any order.
+    ``columns`` maps names to (one of sum, max, min, count; value), or to (how, value, True) for
+    the rows from this one on; all come from one pass. ``bin`` must rise with the first
+    order column. ``before`` leaves the row itself out; ``reverse`` turns the order around.
+    Rows that tie in ``order`` are taken in any order.
     """
     rows = df.withColumn("__bin", bin)
-    direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    first = F.col("__bin").desc() if reverse else F.col("__bin").asc()
-    inner = Window.partitionBy(*by, "__bin").orderBy(*direction).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    outer = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy(*by, "__bin").agg(*[HOW[how](v).alias(f"__t_{n}") for n, (how, v) in columns.items()])
-    over = lambda how, n: (F.sum if how in ("sum", "count") else HOW[how])(F.col(f"__t_{n}")).over(outer)
-    bins = bins.select(*by, "__bin", *[over(how, n).alias(f"__c_{n}") for n, (how, _) in columns.items()])
-    renamed = bins.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__bin").alias("__b_bin"), *[f"__c_{n}" for n in columns])
-    local = rows.select("*", *[HOW[how](v).over(inner).alias(f"__l_{n}") for n, (how, v) in columns.items()])
-    on = [local[c].eqNullSafe(renamed[f"__b_{c}"]) for c in by] + [local["__bin"].eqNullSafe(renamed["__b_bin"])]
-    met = local.join(renamed, on)
+    spec = {n: (how, v, bool(onward and onward[0]) != reverse) for n, (how, v, *onward) in columns.items()}
+    turned = lambda onward, *cs: [F.col(c).desc() if onward else F.col(c).asc() for c in cs]  # noqa: E731  a frame that grows from the far end, as one that shrinks is slow
+    inner = lambda onward: Window.partitionBy(*by, "__bin").orderBy(*turned(onward, *order)).rowsBetween(FIRST, -int(before))
+    outer = lambda onward: Window.partitionBy(*by).orderBy(*turned(onward, "__bin")).rowsBetween(FIRST, -1)
+    bins = rows.groupBy(*by, "__bin").agg(*[HOW[how](v).alias(f"__t_{n}") for n, (how, v, _) in spec.items()])
+    carry = lambda how, n, onward: (F.sum if how in ("sum", "count") else HOW[how])(F.col(f"__t_{n}")).over(outer(onward))
+    bins = bins.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__bin").alias("__b_bin"), *[carry(how, n, onward).alias(f"__c_{n}") for n, (how, _, onward) in spec.items()])
+    local = rows.select("*", *[HOW[how](v).over(inner(onward)).alias(f"__l_{n}") for n, (how, v, onward) in spec.items()])
+    on = [local[c].eqNullSafe(bins[f"__b_{c}"]) for c in by] + [local["__bin"].eqNullSafe(bins["__b_bin"])]
+    met = local.join(bins, on)
 
     def both(how: str, n: str) -> Column:
         a, b = F.col(f"__l_{n}"), F.col(f"__c_{n}")
@@ -42,7 +43,7 @@ def running(df: DataFrame, by: list[str], order: list[str], bin: Column, columns
             return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
         return F.greatest(a, b) if how == "max" else F.least(a, b)
 
-    return met.select(*df.columns, *[both(how, n).alias(n) for n, (how, _) in columns.items()])
+    return met.select(*df.columns, *[both(how, n).alias(n) for n, (how, _, _) in spec.items()])
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, keys: list[str], parts: int = PARTS) -> DataFrame:

@@ -123,15 +123,20 @@ def first_n_sites(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*SITE).limit(n)
 
 
+def shuffle_key(keys: list[str], seed: int = 0) -> Column:
+    """What rows are shuffled and sampled by: the MD5 of seed and keys, which every engine has."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def sample_per_chromo(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` rows of each chromosome, those of smallest hash of seed and site."""
-    order = [F.xxhash64(F.lit(seed), *SITE), *[F.col(c) for c in SITE]]
+    order = [shuffle_key(SITE, seed), *[F.col(c) for c in SITE]]
     return first_rows(df, ["chromo"], order, n, SITE).drop("__rank")
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 0, n: int | None = None) -> DataFrame:
     """Rows in the order of a hash of seed and keys; at most ``n``."""
-    out = df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    out = df.orderBy(shuffle_key(keys, seed), *keys)
     return out if n is None else out.limit(n)
 
 

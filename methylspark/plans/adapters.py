@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dna import cut_tiles
+
 CELLS = [f"c{i}" for i in range(10)]
 
 
@@ -73,9 +75,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cpg_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites ``chromo, pos`` at which a sequence reads CG."""
-    s = sequences(spark, sf_dir)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("seq") - 1, F.lit(1))), lambda i: F.substring(F.col("seq"), i, F.lit(2)) == "CG")
-    return s.select("chromo", F.explode(at).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    tiles = cut_tiles(sequences(spark, sf_dir), 1, 256)  # a site belongs to the tile in which its first letter stands
+    first = F.col("tile") * 256 + 1
+    at = F.filter(F.sequence(first, F.least(first + 255, F.greatest(F.col("n"), first))), lambda i: F.substring(F.col("seq"), (i - F.col("start") + 1).cast("int"), F.lit(2)) == "CG")
+    return tiles.select("chromo", F.explode(at).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def filter_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

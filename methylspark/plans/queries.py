@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, names
 from ..operators import dna, evaluation, intervals, model, motifs, neighbors, sites, weights, windows
 from ..sources import writers
+from ..staging import staged
 from . import adapters as a
 from . import features
 from .adapters import with_sql
@@ -214,14 +215,14 @@ def assign_chunks(s, d):
     return sites.assign_chunks(a.sites(s, d), 1000)
 
 
-@query()
+@query("SELECT chromo, pos FROM (SELECT *, row_number() OVER (PARTITION BY chromo ORDER BY md5(concat_ws('|', '0', chromo, pos)), pos) AS n FROM sites) WHERE n <= 300", "sites")
 def sample_per_chromo(s, d):
     return sites.sample_per_chromo(a.sites(s, d), 300)
 
 
-@query()
+@query("SELECT chromo, pos, md5(concat_ws('|', '3', chromo, pos)) AS shuffle_key FROM sites", "sites")
 def shuffle_rows(s, d):
-    return sites.shuffle_rows(a.sites(s, d), SITE, seed=3)
+    return sites.shuffle_rows(a.sites(s, d), SITE, seed=3).withColumn("shuffle_key", sites.shuffle_key(SITE, 3))
 
 
 # --- intervals ---
@@ -258,7 +259,7 @@ def interval_index(s, d):
 
 def _points(s, d, iv) -> DataFrame:
     """Every site for every track."""
-    tracks = sorted(r.track for r in iv.select("track").distinct().collect())  # at most 50
+    tracks = intervals.track_names(iv)
     return a.sites(s, d).select(*SITE, F.explode(F.array(*[F.lit(t) for t in tracks])).alias("track"))
 
 
@@ -459,15 +460,21 @@ _FITS = """metric = 'n' OR (metric IN ('auc', 'acc', 'tpr', 'tnr', 'f1', 'mcc')
 
 
 def _long_sql(rows: str, by: str) -> str:
-    return f"""{metrics_sql(rows, by)}, w AS (SELECT {', '.join('cls.' + b for b in by.split(', '))}, auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n
+    left = ", ".join("l." + b for b in by.split(", "))
+    return f"""{metrics_sql(rows, by)},
+        kc AS (SELECT {by}, y, z, count(*) AS k FROM obs WHERE regexp_matches(output, '/mean$|/var$') GROUP BY ALL),
+        kp AS (SELECT {left}, sum(CASE WHEN l.y = r.y AND l.z = r.z THEN l.k * (l.k - 1) ELSE l.k * r.k END) / 2 AS total, sum(l.k * r.k * sign(l.y - r.y) * sign(l.z - r.z)) / 2 AS s,
+          sum(CASE WHEN l.y = r.y THEN l.k * (r.k - (l.z = r.z)::INT) ELSE 0 END) / 2 AS ty, sum(CASE WHEN l.z = r.z THEN l.k * (r.k - (l.y = r.y)::INT) ELSE 0 END) / 2 AS tz
+          FROM kc l JOIN kc r USING ({by}) GROUP BY ALL),
+        w AS (SELECT {', '.join('cls.' + b for b in by.split(', '))}, auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n
         FROM cls JOIN reg USING ({by}) JOIN roc USING ({by})),
-        lng AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n)) WHERE {_FITS})"""
+        lng AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (auc, acc, tpr, tnr, f1, mcc, mse, mad, cor, n)) WHERE {_FITS}
+          UNION ALL BY NAME SELECT {by}, 'kendall' AS metric, s / nullif(sqrt((total - ty)::DOUBLE) * sqrt((total - tz)::DOUBLE), 0) AS value FROM kp)"""
 
 
 @query(f"WITH {_long_sql('named_outputs', 'output')} SELECT output, metric, round(value, 6) AS value FROM lng", "named_outputs")
 def evaluate_outputs(s, d):
-    """Without the sampled Kendall rows, which ``kendall`` compares."""
-    return r6(evaluation.evaluate_outputs(a.named_outputs(s, d))).filter("metric <> 'kendall'")
+    return r6(evaluation.evaluate_outputs(a.named_outputs(s, d)))
 
 
 @query(
@@ -531,14 +538,14 @@ _ANNO = """flags AS (SELECT DISTINCT s.chromo, s.pos, i.track AS anno FROM sites
 
 @query(f"WITH {_ANNO}, {_long_sql('anno_rows', 'anno, output')} SELECT anno, output, metric, round(value, 6) AS value FROM lng", "named_outputs intervals sites")
 def evaluate_by_annotation(s, d):
-    return r6(evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20)).filter("metric <> 'kendall'")
+    return r6(evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20))
 
 
 _MODELS = f"""{_ANNO}, {_long_sql('anno_rows', 'anno, output')}, metrics AS (SELECT anno, 'm' || (ascii(right(output, 1)) % 3) AS model, output, metric, value FROM lng)"""
 
 
 def _metrics(s, d):
-    m = evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20).filter("metric <> 'kendall'")
+    m = evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20)
     return m.withColumn("model", F.concat(F.lit("m"), F.ascii(F.right("output", F.lit(1))) % 3))
 
 
@@ -698,9 +705,10 @@ def aggregate_window(s, d):
 
 # --- motifs and effects ---
 
-_WINDOWS = """wins AS (SELECT chromo, pos, substr(seq, (pos - 20)::INT, 41) AS seq FROM cpgs WHERE pos > 20 AND pos + 20 <= length(seq)),
+_WINDOWS = """wins AS MATERIALIZED (SELECT chromo, pos, repeat('N', greatest(0, 21 - pos)::INT) || substr(seq, greatest(1, pos - 20)::INT, (least(length(seq), pos + 20) - greatest(1, pos - 20) + 1)::INT)
+      || repeat('N', greatest(0, pos + 20 - length(seq))::INT) AS seq FROM cpgs),
     lett AS (SELECT chromo, pos, j - 1 AS j, substr(seq, j::INT, 1) AS nt FROM wins, range(1, 42) r(j)),
-    acts AS (SELECT * FROM (SELECT l.chromo, l.pos, (l.j - f."offset" + 7)::INT AS "offset", f.filter, round(sum(f.weight), 6) AS act FROM lett l JOIN filters f ON f.nt = l.nt
+    acts AS MATERIALIZED (SELECT * FROM (SELECT l.chromo, l.pos, (l.j - f."offset" + 7)::INT AS "offset", f.filter, round(sum(f.weight), 6) AS act FROM lett l JOIN filters f ON f.nt = l.nt
       WHERE l.j - f."offset" + 7 BETWEEN 0 AND 40 GROUP BY ALL) WHERE act > 0),
     npos AS (SELECT count(*) * 41 AS n FROM wins)"""
 _MOTIF = "cpgs filters"
@@ -709,12 +717,14 @@ WLEN, FLEN = 41, 16
 
 def _windows(s, d) -> DataFrame:
     w = dna.extract_dna_windows(a.cpg_positions(s, d), dna.cut_tiles(a.sequences(s, d), 64, 512), WLEN, 512)
-    return w.filter(~F.contains("seq", F.lit("N"))).select(*SITE, "seq")
+    return w.select(*SITE, "seq")
 
 
 def _acts(s, d) -> tuple[DataFrame, DataFrame]:
-    w = _windows(s, d)
-    return w, motifs.scan_filters(w, a.filter_weights(s, d)).withColumn("act", F.round("act", 6)).filter("act > 0")
+    """Windows and activations, written once: several parts of a query read them."""
+    w = staged(_windows(s, d), "windows")
+    acts = motifs.scan_filters(w, a.filter_weights(s, d)).withColumn("act", F.round("act", 6)).filter("act > 0")
+    return w, staged(acts, "activations")
 
 
 @query(f"WITH {_WINDOWS} SELECT * FROM acts", _MOTIF)
@@ -725,21 +735,20 @@ def scan_filters(s, d):
 @query(
     f"""WITH {_WINDOWS}, grd AS (SELECT w.chromo, w.pos, f.filter, j, coalesce(a.act, 0) AS act, 0.1 + 0.9 * least(j, 40 - j) / 20 AS wt FROM wins w CROSS JOIN (SELECT DISTINCT filter FROM filters) f CROSS JOIN range(41) r(j)
       LEFT JOIN acts a ON a.chromo = w.chromo AND a.pos = w.pos AND a.filter = f.filter AND a."offset" = j)
-    SELECT chromo, pos, filter, round(avg(act), 5) AS mean, round(sum(act * wt) / sum(wt), 5) AS wmean, round(max(act), 5) AS max FROM grd GROUP BY ALL""",
+    SELECT chromo, pos, filter, round(avg(act), 6) AS mean, round(sum(act * wt) / sum(wt), 6) AS wmean, round(max(act), 6) AS max FROM grd GROUP BY ALL""",
     _MOTIF,
 )
 def activation_summary(s, d):
-    out = motifs.activation_summary(_windows(s, d), a.filter_weights(s, d))
-    return out.withColumns({c: F.round(c, 5) for c in ("mean", "wmean", "max")})
+    return r6(motifs.activation_summary(_windows(s, d), a.filter_weights(s, d)))
 
 
 _THR = """thr AS (SELECT filter, greatest(m + 0.5 * (x - m), q) AS threshold FROM (SELECT filter, sum(act) / any_value(n) AS m, max(act) AS x,
     coalesce(max(act) FILTER (r = n - lo), 0) + (coalesce(max(act) FILTER (r = n - lo - 1), 0) - coalesce(max(act) FILTER (r = n - lo), 0)) * (atr - lo) AS q
     FROM (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY act DESC) AS r, (n - 1) * (1 - least(25000, n) / n) AS atr, floor((n - 1) * (1 - least(25000, n) / n)) AS lo FROM acts, npos)
     GROUP BY filter, atr, lo))"""
-_KMERS = """kmers AS (SELECT a.filter, a.chromo, a.pos, a."offset", substr(w.seq, (a."offset" - 7)::INT, 16) AS kmer FROM acts a JOIN thr USING (filter) JOIN wins w ON w.chromo = a.chromo AND w.pos = a.pos
+_KMERS = """kmers AS MATERIALIZED (SELECT a.filter, a.chromo, a.pos, a."offset", substr(w.seq, (a."offset" - 7)::INT, 16) AS kmer FROM acts a JOIN thr USING (filter) JOIN wins w ON w.chromo = a.chromo AND w.pos = a.pos
     WHERE a.act >= threshold AND a."offset" BETWEEN 8 AND 24),
-    pw AS (SELECT filter, i::INT AS "offset", nt, sum((substr(kmer, i::INT + 1, 1) = nt)::INT) / count(*) AS freq, count(*) AS nb_site FROM kmers, range(16) r(i), (SELECT unnest(['A', 'T', 'G', 'C']) AS nt) GROUP BY ALL HAVING count(*) >= 10)"""
+    pw AS (SELECT filter, i::INT AS "offset", nt, sum((substr(kmer, i::INT + 1, 1) = nt)::INT) / nullif(sum(sum((substr(kmer, i::INT + 1, 1) = nt)::INT)) OVER (PARTITION BY filter, i), 0) AS freq, count(*) AS nb_site FROM kmers, range(16) r(i), (SELECT unnest(['A', 'T', 'G', 'C']) AS nt) GROUP BY filter, i, nt HAVING count(*) >= 10)"""
 
 
 def _motif_parts(s, d):
@@ -749,9 +758,9 @@ def _motif_parts(s, d):
     return w, acts, n, thr, motifs.activating_kmers(acts, w, thr, FLEN)
 
 
-@query(f"WITH {_WINDOWS}, {_THR} SELECT filter, round(threshold, 5) AS threshold FROM thr", _MOTIF)
+@query(f"WITH {_WINDOWS}, {_THR} SELECT filter, round(threshold, 6) AS threshold FROM thr", _MOTIF)
 def activation_threshold(s, d):
-    return _motif_parts(s, d)[3].withColumn("threshold", F.round("threshold", 5))
+    return r6(_motif_parts(s, d)[3])
 
 
 @query(f"WITH {_WINDOWS}, {_THR}, {_KMERS} SELECT * FROM kmers", _MOTIF)
@@ -764,9 +773,9 @@ def pwm(s, d):
     return r6(motifs.pwm(_motif_parts(s, d)[4]))
 
 
-@query(f"WITH {_WINDOWS}, {_THR}, {_KMERS} SELECT filter, round(sum(freq * log2(freq + 1e-7) + 0.5), 5) AS ic FROM pw GROUP BY filter", _MOTIF)
+@query(f"WITH {_WINDOWS}, {_THR}, {_KMERS} SELECT filter, round(sum(freq * log2(freq + 1e-7) + 0.5), 6) AS ic FROM pw GROUP BY filter", _MOTIF)
 def information_content(s, d):
-    return motifs.information_content(motifs.pwm(_motif_parts(s, d)[4])).withColumn("ic", F.round("ic", 5))
+    return r6(motifs.information_content(motifs.pwm(_motif_parts(s, d)[4])))
 
 
 @query(
@@ -782,13 +791,12 @@ def trim_pwm(s, d):
     f"""WITH {_WINDOWS}, {_THR}, {_KMERS}, st AS (SELECT filter, sum(act) / any_value(n) AS m, sqrt(greatest(0, sum(act * act) / any_value(n) - (sum(act) / any_value(n)) ** 2)) AS sd FROM acts, npos GROUP BY filter),
     cons AS (SELECT filter, string_agg(nt, '' ORDER BY "offset") AS motif FROM (SELECT filter, "offset", arg_max(nt, freq - strpos('ATGC', nt) * 1e-9) AS nt FROM pw GROUP BY ALL) GROUP BY filter),
     inf AS (SELECT filter, sum(freq * log2(freq + 1e-7) + 0.5) AS ic, max(nb_site) AS nb_site FROM pw GROUP BY filter)
-    SELECT st.filter AS idx, motif, round(m, 5) AS act_mean, round(sd, 5) AS act_std, round(ic, 5) AS ic, nb_site FROM st LEFT JOIN inf USING (filter) LEFT JOIN cons USING (filter)""",
+    SELECT st.filter AS idx, motif, round(m, 6) AS act_mean, round(sd, 6) AS act_std, round(ic, 6) AS ic, nb_site FROM st LEFT JOIN inf USING (filter) LEFT JOIN cons USING (filter)""",
     _MOTIF,
 )
 def filter_stats(s, d):
     w, acts, n, thr, kmers = _motif_parts(s, d)
-    out = motifs.filter_stats(acts, n, motifs.pwm(kmers))
-    return out.withColumns({c: F.round(c, 5) for c in ("act_mean", "act_std", "ic")})
+    return r6(motifs.filter_stats(acts, n, motifs.pwm(kmers)))
 
 
 @query("SELECT filter, string_agg(nt, '' ORDER BY \"offset\") AS motif FROM (SELECT filter, \"offset\", arg_max(nt, weight - strpos('ATGC', nt) * 1e-9) AS nt FROM filters GROUP BY ALL) GROUP BY filter", "filters")
@@ -813,15 +821,16 @@ def effect_slice(s, d):
 
 
 @query(
-    """SELECT chromo, pos, target, nt, round(sum(e * w) / sum(w), 5) AS wmean, round(avg(e), 5) AS mean, max(e) AS max
+    """SELECT chromo, pos, target, nt, round(sum(e * w) / sum(w), 6) AS wmean, round(avg(e), 6) AS mean, round(max(e), 6) AS max
        FROM (SELECT *, 0.1 + 0.9 * least("offset", 15 - "offset") / 7 AS w FROM effects) GROUP BY ALL""",
     "effects",
 )
 def effect_aggregate(s, d):
     e = a.effects(s, d)
-    parts = [motifs.effect_aggregate(e, h).select(*SITE, "target", F.posexplode("effect").alias("nt", h)) for h in ("wmean", "mean", "max")]
-    out = parts[0].join(parts[1], [*SITE, "target", "nt"]).join(parts[2], [*SITE, "target", "nt"])
-    return out.withColumns({"wmean": F.round("wmean", 5), "mean": F.round("mean", 5)})
+    for h in arrays.AGGREGATES:
+        e = e.withColumn(h, motifs.effect_by_letter("effect", h))
+    each = F.posexplode(F.arrays_zip(*[F.col(h) for h in arrays.AGGREGATES])).alias("nt", "__x")
+    return r6(e.select(*SITE, "target", each).select(*SITE, "target", "nt", *[F.col(f"__x.{h}").alias(h) for h in arrays.AGGREGATES]))
 
 
 @query('SELECT target, "offset", round(avg(m), 6) AS effect FROM (SELECT target, pos, chromo, "offset", max(abs(e)) AS m FROM effects GROUP BY ALL) GROUP BY ALL', "effects")
@@ -918,4 +927,4 @@ def predict_batches(s, d):
 
 @query()
 def fit_output_models(s, d):
-    return r6(model.fit_output_models(_inputs(s, d).persist(), a.CELLS))
+    return r6(model.fit_output_models(_inputs(s, d), a.CELLS))

@@ -11,7 +11,7 @@ LETTERS = "ATGC"
 
 SITE = ["chromo", "pos"]
 #: Width of the position bins of two-level windows, in bases.
-BIN = 1 << 16
+BIN = 1 << 10
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import format_chromo
@@ -17,24 +17,30 @@ from ..operators.sites import filter_chromos, validate_values
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
     """``line, file`` of text files; gzip files are one split each, so rows are dealt out afterwards by the caller."""
-    return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+    return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
+def _name(file: Column, folder: str) -> Column:
+    """What a file is called: its folder's value where that is ``folder=value``, else its name up to the first dot."""
+    own = F.regexp_extract(file, f"/{folder}=([^/]+)/", 1)
+    return F.when(own != "", own).otherwise(F.regexp_extract(file, r"([^/.]*)[^/]*$", 1))
 
 
 def read_profiles(spark: SparkSession, paths, chromos: list[str] | None = None, check: bool = True) -> DataFrame:
     """``chromo, pos, cell, value`` from tab-separated or bedGraph files, one per cell.
 
-    The cell is the file's name up to the first dot. A file with a ``track`` line is
+    The cell is the file's name up to the first dot, or the value of a folder ``cell=``. A file with a ``track`` line is
     bedGraph, with the value in the fourth column. ``#`` starts a comment. Values outside
     of [0, 1] are an error if ``check``.
     """
     lines = _lines(spark, paths)
     bed = lines.filter(F.col("line").startswith("track")).select("file").distinct().withColumn("bed", F.lit(True))
     part = F.split("line", "\t")
-    rows = lines.filter(~F.col("line").rlike("^(#|track)") & (F.trim("line") != "")).join(F.broadcast(bed), "file", "left")  # a row per bedGraph file
+    rows = lines.filter(~F.col("line").rlike("^(#|track)") & (F.trim("line") != "")).join(bed, "file", "left")
     value = F.when(F.col("bed"), F.get(part, F.lit(3))).otherwise(F.get(part, F.lit(2)))
     out = rows.select(
         format_chromo(F.get(part, F.lit(0))).alias("chromo"), F.get(part, F.lit(1)).cast("int").alias("pos"),
-        F.regexp_extract("file", r"^([^.]*)", 1).alias("cell"), value.cast("double").alias("value"),
+        _name(F.col("file"), "cell").alias("cell"), value.cast("double").alias("value"),
     )
     if chromos:
         out = filter_chromos(out, chromos)
@@ -50,9 +56,9 @@ def read_positions(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, paths, merge: bool = False, most: int | None = None) -> DataFrame:
-    """``track, chromo, start, end`` from the first three columns; the track is the file's name up to the first dot."""
+    """``track, chromo, start, end`` from the first three columns; the track is the file's name up to the first dot, or the value of a folder ``track=``."""
     t = spark.read.csv(paths, sep="\t", comment="#", schema="chromo string, start int, end int")
-    t = t.select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("track"), format_chromo(F.col("chromo")).alias("chromo"), "start", "end")
+    t = t.select(_name(F.col("_metadata.file_path"), "track").alias("track"), format_chromo(F.col("chromo")).alias("chromo"), "start", "end")
     if most is not None:
         t = t.orderBy("track", "chromo", "start", "end").limit(most)
     return merge_intervals(t, ["track", "chromo"]) if merge else t
@@ -93,7 +99,8 @@ def read_meme_motifs(spark: SparkSession, paths) -> DataFrame:
     """``id, protein, url`` of the motifs of a MEME file that have a name; the protein's name without brackets, up to ``_``."""
     text = spark.read.text(paths, wholetext=True)
     # only blocks that begin a line are motifs, like the lines that name them
-    blocks = text.select(F.explode(F.slice(F.split("value", r"(?m)^MOTIF"), 2, 10_000_000)).alias("b"))
+    split = F.split("value", r"(?m)^MOTIF")
+    blocks = text.select(F.explode(F.slice(split, F.lit(2), F.size(split) - 1)).alias("b"))
     words = F.split(F.trim(F.split("b", r"\r?\n")[0]), r"\s+")
     protein = F.split(F.regexp_replace(words[1], r"\(([^)]+)\)", "$1"), "_")[0]
     return blocks.filter(F.size(words) >= 2).select(words[0].alias("id"), protein.alias("protein"), F.regexp_extract("b", r"(?m)^URL\s+(\S+)", 1).alias("url"))
