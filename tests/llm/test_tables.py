@@ -1,11 +1,13 @@
 import base64
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 
 import corpus_pipeline
 import pytest
-from methylspark.llm import mixing, preference, queries, sharding, warc
+from methylspark.llm import langid, mixing, preference, queries, sharding, warc
 from methylspark.llm.common import scratch_path, staged
 from pyspark.sql import functions as F
 
@@ -195,30 +197,95 @@ def test_preference(spark):
     assert preference.preference_segments(preference.neighbours(c.limit(0))).count() == 0
 
 
-def test_pipeline_stages_on_a_small_table(spark, docs, rows):
-    """Each stage against a plain version of what it should keep."""
-    from .test_dedup import brute_components, brute_fingerprint
+def brute_similar(texts):
+    """For each text the least index that it reaches over five-word similarities of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    least = {}
+    for i in range(len(texts)):
+        queue = [] if i in least else [i]
+        while queue:
+            x = queue.pop()
+            if x not in least:
+                least[x] = i
+                queue += [j for j in range(len(texts)) if j not in least and len(sets[x] & sets[j]) >= 0.8 * len(sets[x] | sets[j])]
+    return least
+
+
+def poisson_copies(rows, seed, temperature):
+    """How often each row is kept, by the sums of the distribution's terms."""
+    chars = Counter()
+    for r in rows:
+        chars[r.source] += len(r.text or "")
+    weight = {s: n**temperature for s, n in chars.items()}
+    out = []
+    for r in rows:
+        rate = weight[r.source] / sum(weight.values()) * sum(chars.values()) / chars[r.source] if chars[r.source] else 1.0
+        u = int(hashlib.md5(f"{seed}|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        n, term, total = 0, math.exp(-rate), math.exp(-rate)
+        while total <= u:
+            n += 1
+            term *= rate / n
+            total += term
+        out.append(n)
+    return out
 
-    bench = "/root/testdata/sf0.001"
-    now = docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+def test_pipeline_stages_on_a_small_table(spark, docs, rows):
+    """Each stage against a plain version of what it should keep; leaks and near copies are planted."""
+    from .conftest import frame, words
+    from .test_text import brute_leaks
+
+    sf_dir = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rnd = random.Random(8)
+    long = [words(rnd, "en", 150) for _ in range(6)]
+    more = [(500 + i, f"{long[i]} {items[i][1]} {words(rnd, 'en', 40)}", "en", "b") for i in range(3)]
+    more += [(510 + i, long[3 + i] + " and one more word", "en", "a") for i in range(3)] + [(520 + i, long[3 + i], "en", "b") for i in range(3)]
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars").union(frame(spark, more).select("doc_id", "text", "lang", "source", "n_chars"))
     columns = now.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = now.collect()
-        now = staged(stage(spark, now, bench), "stage")
-        after = now.collect()
+        out = staged(stage(spark, now, sf_dir), "stage")
+        after = out.collect()
+        ids = Counter(r.doc_id for r in after)
         if k == 0:
-            assert {r.doc_id for r in after} >= {r.doc_id for r in before if r.lang == "en" and r.text and len(r.text) > 100}
+            _, _, rejected = langid.train(now).predict([r.text for r in before])
+            assert ids == Counter(r.doc_id for r, x in zip(before, rejected) if not x)
+            assert ids.keys() >= {r[0] for r in more} | {r.doc_id for r in before if r.lang == "en" and r.text and len(r.text) > 100}
             assert not any(r.text is None or r.text.strip() == "" for r in after)
         if k == 1:
-            comp = brute_components([(i, brute_fingerprint(r.text)) for i, r in enumerate(before)])
-            assert len(after) == len(set(comp.values()))
+            order = sorted(before, key=lambda r: (r.doc_id is not None, r.doc_id))
+            assert ids == Counter(order[i].doc_id for i in set(brute_similar([r.text for r in order]).values()))
+            assert ids.keys() >= {500, 501, 502, 510, 511, 512} and not ids.keys() & {520, 521, 522}
         if k == 2:
-            assert len(after) == len(before)
+            held = {d for d, _ in brute_leaks([(i, r.text) for i, r in enumerate(before)], items)}
+            assert ids == Counter(r.doc_id for i, r in enumerate(before) if i not in held) and not ids.keys() & {500, 501, 502} and 510 in ids
         if k == 3:
-            assert {r.doc_id for r in after} <= {r.doc_id for r in before} and after
-        if k < 4:
-            assert now.columns == columns
-    assert set(columns) < set(now.columns) and len(after) == len(before)
+            assert ids == Counter(r.doc_id for r, n in zip(before, poisson_copies(before, 7, 0.5)) for _ in range(n))
+        if k == 4:
+            owners = sharding.fill_table(queries.SHARDS, queries.SLOTS)
+            for r in after:
+                slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % queries.SLOTS
+                assert (r.slot, r.shard) == (slot, queries.SHARDS[owners[slot]])
+            assert Counter(r.doc_id for r in before) == ids
+        assert out.columns == columns + ["slot", "shard"] * (k == 4)
+        now = out
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    """An empty table goes through every stage, and one of rows that nothing can be learnt from."""
+    empty = none.select("doc_id", "text", "lang", "source", "n_chars")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, "a", 0), (2, "12 !", "en", None, 4), (3, "words", None, None, 5), (3, "words", None, None, 5)], empty.schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        odd = staged(stage(spark, odd, str(tmp_path)), "stage")
+        if k in (0, 1, 2):
+            assert [r.doc_id for r in odd.collect()] == [3] * (2 if k == 0 else 1)
 
 
 def test_every_operator_is_registered():

@@ -4,6 +4,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from methylspark.llm import decontam, langid, licenses, tokencount
 
@@ -259,6 +260,77 @@ def test_short_items_in_long_documents(spark):
     assert all(r.item_share >= 0.6 for r in found) and all(r.kind == "copy" for r in found if (r.doc_id, r.item_id) in want)
 
 
+def altered(rnd, words, share, word):
+    """A paraphrase that keeps the last quarter: of the rest ``share`` is replaced or left out, and some words are put between."""
+    head, answer = words[: -max(1, len(words) // 4)], words[-max(1, len(words) // 4) :]
+    hit = set(rnd.sample(range(len(head)), int(share * len(words))))
+    out = []
+    for i, w in enumerate(head):
+        if i in hit:
+            out += [word()] if rnd.random() < 0.7 else []
+        else:
+            out += [w, word()] if rnd.random() < 0.08 else [w]
+    return out + answer
+
+
+def brute_leaks(docs, items, rule=decontam.Rule()):
+    """All (document, item) with a copy or paraphrase at any place, by common subsequences of every span with every item."""
+    found = {}
+    for d, text in docs:
+        w = decontam.words_of(text)
+        for i, item in items:
+            x = decontam.words_of(item)
+            answer, span = x[-max(1, len(x) // 4) :], max(len(x), 16) + len(x) // 4
+            known = np.r_[0, np.cumsum([v in set(x) for v in w])]
+            for s in range(max(1, len(w) - len(x) // 2)):
+                part = w[s : s + span]
+                if known[min(len(w), s + span)] - known[s] < rule.paraphrase * len(x):
+                    continue
+                share = decontam.subsequence(x, part) / len(x)
+                if share >= rule.copy or share >= rule.paraphrase and decontam.subsequence(answer, part) >= rule.answer * len(answer):
+                    kind = "copy" if share >= rule.copy else "paraphrase"
+                    found[d, i] = min(found.get((d, i), kind), kind)
+    return found
+
+
+def leaky(seed):
+    """Items of 1 to 150 words over common and rare words, and documents that hold copies, altered copies, paraphrases, halves and nothing."""
+    rnd = random.Random(seed)
+    rare, common = [f"r{seed}{k}" for k in range(3000)], [f"c{seed}{k}" for k in range(60)]
+    word = lambda: rnd.choice(common if rnd.random() < 0.35 else rare)
+    lengths = [*range(1, 16), *(rnd.randint(16, 64) for _ in range(110)), 65, 80, 96, 97, 128, 129, 150]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(lengths)]
+    text = lambda n: [word() if rnd.random() < 0.5 else f"u{rnd.randint(0, 20000)}" for _ in range(n)]
+    docs, copies, paraphrases = [], set(), set()
+    for i, t in items:
+        w = t.split()
+        new = lambda: word() if rnd.random() < 0.5 else f"n{rnd.randint(0, 9999)}"
+        made = [w]
+        if len(w) >= 12:
+            made += [altered(rnd, w, 0.1, new), altered(rnd, w, 0.27, new), altered(rnd, w, 0.27, new)]
+        for k, x in enumerate(made):
+            d = len(docs)
+            docs.append((d, " ".join([*text(rnd.randint(0, 150)), *x, *text(rnd.randint(0, 150))])))
+            (copies if k == 0 else paraphrases).add((d, i))
+        docs.append((len(docs), " ".join([*text(60), *w[: len(w) // 3], *text(60)])))
+    docs += [(len(docs) + k, " ".join(text(200))) for k in range(30)]
+    return docs, items, copies, paraphrases
+
+
+def test_leaks_against_every_span_of_every_text(spark):
+    docs, items, copies, paraphrases = leaky(31)
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=96).collect()
+    got = {(r.doc_id, r.item_id): r.kind for r in found}
+    want = brute_leaks(docs, items)
+    long_enough = {i for i, t in items if len(t.split()) >= 12}
+    assert copies <= set(got) and all(got[x] == "copy" for x in copies)
+    assert all(x in want or x[1] not in long_enough for x in got)  # nothing else, but of items of a few words
+    asked = [x for x in want if x[1] in long_enough]
+    assert len([x for x in asked if want[x] == "paraphrase"]) > 100
+    assert sum(x in got for x in asked) >= 0.97 * len(asked), (len(asked), sorted(set(asked) - set(got)))
+    assert sum(x in got for x in asked if want[x] == "paraphrase") >= 0.95 * sum(want[x] == "paraphrase" for x in asked)
+
+
 @pytest.mark.parametrize("a, b, n", [("a b c d", "b x d", 2), ("a a b", "a b a", 2), ("a", "", 0), ("a b", "a b", 2)])
 def test_subsequence(a, b, n):
     assert decontam.subsequence(a.encode().split(), b.encode().split()) == n
