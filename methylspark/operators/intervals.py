@@ -105,7 +105,7 @@ def annotate_sites(sites: DataFrame, intervals: DataFrame, tracks: list[str] | N
     tracks = track_names(intervals) if tracks is None else tracks
     held = tracks_of_sites(sites, intervals).select(*[F.col(c).alias(f"__h_{c}") for c in SITE], F.col("tracks").alias("__tracks"))
     met = sites.join(held, (F.col("chromo") == F.col("__h_chromo")) & (F.col("pos") == F.col("__h_pos")), "left")
-    each = met.select(*sites.columns, "__tracks", F.explode(F.array(*[F.lit(t) for t in tracks])).alias("track"))
+    each = met.select(*sites.columns, "__tracks", F.explode(F.array(*[F.lit(t) for t in tracks]).cast("array<string>")).alias("track"))
     return each.select(*sites.columns, "track", F.coalesce(F.array_contains("__tracks", F.col("track")).cast("int"), F.lit(0)).alias("flag"))
 
 

@@ -54,7 +54,8 @@ def _summed(rows: DataFrame, p: int, of: Callable[[str, np.ndarray, np.ndarray,
             for c in set(cells):
                 own = cells == c
                 total[c] = total.get(c, 0.0) + of(c, x[own], y[own], w[own])
-        yield pd.DataFrame({"cell": list(total), "sums": list(total.values())})
+        if total:
+            yield pd.DataFrame({"cell": list(total), "sums": list(total.values())})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell": [key[0]], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})

@@ -1,10 +1,13 @@
 import gzip
+import hashlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from methylspark import staging
 from methylspark.functions import arrays
 from methylspark.functions.statistics import statistic
-from methylspark.operators import dna, evaluation, intervals, motifs, neighbors, sites, weights, windows
+from methylspark.operators import dna, evaluation, intervals, model, motifs, neighbors, sites, weights, windows
 from methylspark.operators.running import first_rows, running
 from methylspark.plans import features
 from methylspark.sources import readers, writers
@@ -30,6 +33,19 @@ def test_interval_index(spark):
         assert [r["index"] for r in got] == [-1, 0, 0, -1, 1, 1, 2, -1]
 
 
+def test_intervals_of_all_lengths_hold_what_they_hold(spark):
+    """Intervals from one base to a whole chromosome, that overlap at will, against a comparison with each."""
+    rnd = np.random.default_rng(7)
+    rows = [("t%d" % rnd.integers(3), "1", int(s), int(s + n)) for s, n in zip(rnd.integers(-50, 70_000, 120), 2 ** rnd.uniform(0, 17, 120))] + [(None, "1", 1, 9), ("t1", "2", 5, 5), ("t2", "1", 9, 3)]
+    iv = spark.createDataFrame(rows, "track string, chromo string, start int, end int")
+    at = sorted({int(p) for p in rnd.integers(-60, 71_000, 300)} | {0, 15, 16, 17, 255, 256})
+    got = {(r.pos, r.track): r.flag for r in intervals.annotate_sites(spark.createDataFrame([("1", p) for p in at], "chromo string, pos int"), iv).collect()}
+    assert got == {(p, t): int(any(t == a and c == "1" and s <= p <= e for a, c, s, e in rows)) for p in at for t in ("t0", "t1", "t2")}
+    none = intervals.annotate_sites(spark.createDataFrame([("1", 3), (None, 3), ("1", None)], "chromo string, pos int"), iv.filter("track = 't0' AND start > 9000")).collect()
+    assert [r.flag for r in none] == [0, 0, 0]
+    assert intervals.annotate_sites(spark.createDataFrame([("1", 3)], "chromo string, pos int"), iv.limit(0)).count() == 0
+
+
 def test_distance_and_extend_and_group(spark):
     pos = spark.createDataFrame([("1", p) for p in (1, 2, 5, 8, 10, 15, 16, 19)] + [("2", 3)], "chromo string, pos int")
     for size in (4, 1 << 16):
@@ -153,9 +169,72 @@ def test_kendall_against_all_pairs(spark):
     y, z = rnd.integers(0, 5, 120).astype(float), rnd.integers(0, 9, 120).astype(float)
     s = [np.sign(y[i] - y[j]) * np.sign(z[i] - z[j]) for i in range(120) for j in range(i)]
     ty, tz = (sum(v[i] != v[j] for i in range(120) for j in range(i)) for v in (y, z))
-    got = evaluation.kendall(preds(spark, list(zip(y.tolist(), z.tolist())))).first().kendall
+    rows = preds(spark, list(zip(y.tolist(), z.tolist())))
+    got = evaluation.kendall(rows).first().kendall
     assert abs(got - sum(s) / np.sqrt(ty * tz)) < 1e-12
-
+    one = rows.filter("pos = 3").union(rows.filter("pos < 0"))
+    assert [r.kendall for r in evaluation.kendall(one).collect()] == [None]
+    assert evaluation.kendall(rows.filter("y = 2")).first().kendall is None
+    few = evaluation.kendall(rows, most=40)
+    assert -1 <= few.first().kendall <= 1 and few.first().kendall != got
+
+
+def test_kendall_of_continuous_values(spark):
+    rnd = np.random.default_rng(5)
+    y = rnd.normal(size=300)
+    z = y + rnd.normal(size=300)
+    s = sum(np.sign(y[i] - y[j]) * np.sign(z[i] - z[j]) for i in range(300) for j in range(i))
+    assert abs(evaluation.kendall(preds(spark, list(zip(y.tolist(), z.tolist())))).first().kendall - s / (300 * 299 / 2)) < 1e-12
+
+
+def test_summary_equals_the_single_metrics(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(float(rnd.integers(2)), float(rnd.uniform(-0.2, 1.3))) for _ in range(200)] + [(0.25, 0.5), (None, 0.1), (1.0, None)]
+    p = preds(spark, rows)
+    got = evaluation.summary(p).first()
+    seen = [(y, z) for y, z in rows if y is not None and z is not None]
+    y, z = np.array(seen).T
+    assert got.n == len(seen) and abs(got.mse - ((y - z) ** 2).mean()) < 1e-12 and abs(got.mad - abs(y - z).mean()) < 1e-12 and abs(got.cor - np.corrcoef(y, z)[0, 1]) < 1e-12
+    pos, neg = z[np.round(y) == 1], z[np.round(y) == 0]
+    area = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])
+    assert abs(got.auc - area) < 1e-12 and abs(evaluation.auc(p).first().auc - area) < 1e-12
+    each = evaluation.classification(p).first()
+    assert all(getattr(got, m) == getattr(each, m) for m in ("tp", "tn", "fp", "fn", "acc", "tpr", "tnr", "f1", "mcc"))
+    flat = evaluation.summary(preds(spark, [(1.0, 0.3), (1.0, 0.7)])).first()
+    assert flat.cor is None and flat.auc is None and flat.n == 2
+    assert evaluation.summary(preds(spark, [(None, 0.3)])).count() == 0
+
+
+def test_shuffles_and_samples_follow_the_key(spark):
+    df = spark.createDataFrame([("1", i) for i in range(200)] + [("2", 5), (None, 7)], "chromo string, pos int").repartition(5)
+    got = [(r.chromo, r.pos) for r in sites.shuffle_rows(df, ["chromo", "pos"], seed=3).collect()]
+    key = lambda r, seed: hashlib.md5("|".join([str(seed), *(str(x) for x in r if x is not None)]).encode()).hexdigest()
+    assert got == sorted(got, key=lambda r: key(r, 3)) and len(got) == 202
+    some = {(r.chromo, r.pos) for r in sites.sample_per_chromo(df, 10, seed=4).collect()}
+    assert some == {("2", 5), (None, 7), *sorted((("1", i) for i in range(200)), key=lambda r: key(r, 4))[:10]}
+
+
+def test_pca_against_numpy(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(6, 30)) * np.linspace(1, 5, 30)
+    rows = spark.createDataFrame([("1", j, i, float(x[i, j])) for i in range(6) for j in range(30)], "chromo string, pos int, filter int, mean double")
+    got = np.array([[r.pc1, r.pc2] for r in motifs.activation_pca(rows).orderBy("filter").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.abs(np.abs(got) - np.abs(u[:, :2] * s[:2])).max() < 1e-8
+
+
+def test_scratch_folders(spark):
+    path = staging.scratch_path(spark, "x")
+    df = staging.staged(spark.range(5), "numbers")
+    assert df.count() == 5 and path.startswith(staging.scratch_dir(spark))
+    staging.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0])
+    unset = SimpleNamespace(get=lambda key, default: default)
+    local, cluster = (SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=m, applicationId=m)) for m in ("local[2]", "spark://host:7077"))
+    assert staging.scratch_dir(local) == staging.scratch_dir(local)
+    with pytest.raises(ValueError):
+        staging.scratch_dir(cluster)
 
 def test_class_and_output_weights(spark):
     rows = spark.createDataFrame([("cpg/a", 1.0)] * 3 + [("cpg/a", 0.0), ("cpg/b", 1.0), ("bulk/c", 0.3), ("cpg/a", None)], "output string, value double")
@@ -181,6 +260,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "CGI.bed").write_text("chr1\t1\t5\tx\nchr1\t4\t9\ty\nchr1\t10\t12\tz\n")
     got = readers.read_bed(spark, str(tmp_path / "CGI.bed"), merge=True).orderBy("start").collect()
     assert [tuple(r) for r in got] == [("CGI", "1", 1, 9), ("CGI", "1", 10, 12)]
+    (tmp_path / "all" / "cell=a.b").mkdir(parents=True)
+    (tmp_path / "all" / "cell=a.b" / "part-0.txt").write_text("1\t4\t1\n")
+    assert readers.read_profiles(spark, str(tmp_path / "all")).first().cell == "a.b"
 
 
 def test_fasta_windows(spark, tmp_path):
@@ -274,4 +356,16 @@ def test_fit_output_models_has_all_outputs_and_fits_each(spark):
             b -= np.linalg.solve((a[known] * (w * p * (1 - p))[:, None]).T @ a[known] + np.diag(ridge + 1e-9), grad)
         want = dict(zip(zip(own.chromo, own.pos), 1 / (1 + np.exp(-a @ b))))
         z = got[got.output == f"cpg/{cell}"]
-        assert max(abs(want[c, p] - v) for c, p, v in zip(z.chromo, z.pos, z.z)) < 0.02
+        assert max(abs(want[c, p] - v) for c, p, v in zip(z.chromo, z.pos, z.z)) < 2e-6
+
+
+def test_models_in_blocks_and_of_one_class(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    rows = [("1", i, c, [float(x) for x in rnd.normal(size=2)], [float(rnd.normal())], {"a": float(i % 2), "b": 1.0, "c": None}[c], 1.0) for i in range(40) for c in "abc"]
+    df = spark.createDataFrame(rows, "chromo string, pos int, cell string, state array<double>, dist array<double>, value double, weight double")
+    whole = model.fit_output_models(df, ["a", "b", "c", "d"]).toPandas().sort_values(["output", "pos"])
+    assert set(whole[whole.output == "cpg/b"].z) == {1.0} and whole[whole.output == "cpg/c"].z.isna().all() and whole[whole.output == "cpg/a"].z.between(0, 1).all() and len(whole) == 120
+    monkeypatch.setattr(model, "MAX_NUMBERS", 30)
+    parts = model.fit_output_models(df, ["a", "b", "c"]).toPandas().sort_values(["output", "pos"])
+    assert np.allclose(parts.z, whole.z, equal_nan=True)
+    assert model.fit_output_models(df.limit(0), []).count() == 0
