@@ -298,7 +298,7 @@ def leaky(seed):
     rnd = random.Random(seed)
     rare, common = [f"r{seed}{k}" for k in range(3000)], [f"c{seed}{k}" for k in range(60)]
     word = lambda: rnd.choice(common if rnd.random() < 0.35 else rare)
-    lengths = [*range(1, 16), *(rnd.randint(16, 64) for _ in range(110)), 65, 80, 96, 97, 128, 129, 150]
+    lengths = [*range(1, 16), *(rnd.randint(16, 64) for _ in range(50)), 65, 80, 96, 97, 128, 129, 150]
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(lengths)]
     text = lambda n: [word() if rnd.random() < 0.5 else f"u{rnd.randint(0, 20000)}" for _ in range(n)]
     docs, copies, paraphrases = [], set(), set()
@@ -326,7 +326,7 @@ def test_leaks_against_every_span_of_every_text(spark):
     assert copies <= set(got) and all(got[x] == "copy" for x in copies)
     assert all(x in want or x[1] not in long_enough for x in got)  # nothing else, but of items of a few words
     asked = [x for x in want if x[1] in long_enough]
-    assert len([x for x in asked if want[x] == "paraphrase"]) > 100
+    assert len([x for x in asked if want[x] == "paraphrase"]) > 60
     assert sum(x in got for x in asked) >= 0.97 * len(asked), (len(asked), sorted(set(asked) - set(got)))
     assert sum(x in got for x in asked if want[x] == "paraphrase") >= 0.95 * sum(want[x] == "paraphrase" for x in asked)
 
