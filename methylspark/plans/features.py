@@ -20,7 +20,7 @@ def site_table(profiles: DataFrame, names: list[str], min_cells: int = 1, gate:
 
 def feature_table(
     profiles: DataFrame, cells: list[str], k: int = 25, names: list[str] = ["mean", "var", "diff"], lengths: list[int] = [1001],
-    tracks: DataFrame | None = None, tiles: DataFrame | None = None, wlen: int = 1001, min_cells: int = 1,
+    tracks: DataFrame | None = None, tiles: DataFrame | None = None, wlen: int = 1001, min_cells: int = 1, tile: int = dna.TILE,
 ) -> DataFrame:
     """One row per site: states and neighbours of each cell, statistics, flags of tracks and the sequence window."""
     targets = sites.coverage_filter(profiles, min_cells).select(*SITE)
@@ -38,7 +38,7 @@ def feature_table(
         flags = intervals.annotate_sites(targets, tracks).filter("flag = 1").groupBy(*SITE).agg(F.sort_array(F.collect_set("track")).alias("tracks"))
         out = out.join(flags, SITE, "left")
     if tiles is not None:
-        out = out.join(dna.extract_dna_windows(targets, tiles, wlen).select(*SITE, "seq"), SITE, "left")
+        out = out.join(dna.extract_dna_windows(targets, tiles, wlen, tile).select(*SITE, "seq"), SITE, "left")
     return out
 
 

@@ -890,6 +890,22 @@ def feature_table(s, d):
     return r6(t.select(*SITE, "mean", "diff", cells, "win_101_mean", "win_101_diff", F.array_join("tracks", ",").alias("tracks")))
 
 
+@query(
+    """WITH prof AS (SELECT chromo, pos, seq, 'c' || i AS cell, ((pos * 7 + i * 3) % 5 < 2)::INT::DOUBLE AS value FROM cpgs, range(3) r(i) WHERE (pos + i) % 4 <> 0)
+       SELECT chromo, pos, count(*) AS cells, CASE WHEN count(*) >= 3 THEN round(avg(value), 6) END AS mean,
+       repeat('N', greatest(0, 11 - pos)::INT) || substr(any_value(seq), greatest(1, pos - 10)::INT, (least(length(any_value(seq)), pos + 10) - greatest(1, pos - 10) + 1)::INT)
+       || repeat('N', greatest(0, pos + 10 - length(any_value(seq)))::INT) AS seq FROM prof GROUP BY chromo, pos""",
+    "cpgs",
+)
+def feature_table_dna(s, d):
+    """The feature table with sequence windows, of three cells that observe the sites of the sequences in turn."""
+    rows = a.cpg_positions(s, d).withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)]))).filter("(pos + i) % 4 <> 0")
+    p = rows.select(*SITE, F.concat(F.lit("c"), "i").alias("cell"), F.when((F.col("pos") * 7 + F.col("i") * 3) % 5 < 2, 1.0).otherwise(0.0).alias("value"))
+    t = features.feature_table(p, ["c0", "c1", "c2"], 2, ["mean"], [101], tiles=dna.cut_tiles(a.sequences(s, d), 16, 256), wlen=21, tile=256)
+    cells = F.size(F.map_filter("cells", lambda c, x: x["value"].isNotNull())).cast("long").alias("cells")
+    return r6(t.select(*SITE, cells, "mean", "seq"))
+
+
 # --- models ---
 
 
