@@ -168,7 +168,12 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def build_trees(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, version`` (a hash of the text) and the trees, for every row. Null texts count as empty."""
+    """``doc_id, version`` (a hash of the text) and the trees, for every row.
+
+    Null texts count as empty, which is one leaf without tokens; repeated rows have a tree each.
+    Texts are split whole, however long. Other columns are ignored, whatever their names. No
+    rows in, no rows out.
+    """
     rows = _keyed(docs, text_col, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +214,7 @@ def redactions_of(text: str) -> list[tuple[int, int, str]]:
 
 
 def find_redactions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, version, edits`` for each different text that has any."""
+    """``doc_id, version, edits`` for each different text that has any; null and empty ones have none, repeated rows stand once."""
     rows = _keyed(docs, text_col, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +260,11 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, text_col: s
 
 
 def count_with_edits(docs: DataFrame, trees: DataFrame, edited: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_anew`` for every row of ``trees``."""
+    """``doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_anew`` for every row of ``trees``.
+
+    Rows that repeat id and text have the same counts; texts without edits keep theirs, and null ids
+    are matched like others. No rows in, no rows out.
+    """
     e = edited.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"), "n_edits", "n_tokens_after", "n_anew")
     met = trees.join(e, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__v")), "left")
     return met.select(
