@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BIN, SITE
+from ..staging import staged
 from .running import running
 
 
@@ -24,6 +25,7 @@ def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int
         raise ValueError("k must be at least 1 and less than rank_bin")
     seen = profiles.filter("value IS NOT NULL").select(*SITE, "cell", "value")
     rows = targets.select(*SITE, "cell").distinct().withColumn("__t", F.lit(True)).join(seen, [*SITE, "cell"], "full")
+    rows = staged(rows, "sites-and-sources")  # the running count reads them twice
     by = ["chromo", "cell"]
     n = F.when(F.col("value").isNotNull(), 1)
     ranked = running(rows, by, ["pos"], F.floor(F.col("pos") / BIN), {"__r": ("count", n)})
