@@ -1,13 +1,15 @@
 """Exact dedup by deterministic block naming (DataFrame functions only).
 
 Every text is cut into blocks of a fixed number of bytes. The distinct blocks are
-sorted over all partitions and numbered by their place, so each document becomes a row of integers; then
+sorted over all partitions (by their first bytes, then by a hash, then by the rest where two share
+both) and numbered by their place, so each document becomes a row of integers; then
 adjacent pairs of integers are sorted and numbered in the same way, again and again, until one integer is
 left. Two documents have the same integer (at the same number of blocks) exactly when
 their bytes are equal: a number stands for content and not for a hash of it, and is the same
 however the table is partitioned.
 
-Block content is shuffled once, to be numbered. Documents find the numbers by a 64-bit
+Block content is shuffled once, to find the distinct ones; sorting moves its first bytes only, as the
+bounds of a range sort are drawn from what it sorts by and pass through the driver. Documents find the numbers by a 64-bit
 hash of the block, after a look at all numbered blocks has shown that no two of them
 share a hash; if two do, the join takes the content instead.
 """
@@ -34,22 +36,24 @@ def _blocks(data: Column, n_blocks: Column, size: int) -> Column:
     )
 
 
+#: Bytes that blocks are sorted by before their hash.
+LEAD = 32
 #: Groups of more than this share of all rows are joined by a broadcast; there are fewer of them than its inverse.
 HOT_SHARE = 1 / 5000
 
 
-def _numbered(distinct: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """``distinct`` without its keys that aren't wanted later, and ``name``: the place of each row, from 1, in the order of ``keys``.
+def _numbered(distinct: DataFrame, keys: list[str], kept: list[str], label: str) -> DataFrame:
+    """The columns ``kept`` and ``name``: the place of each row, from 1, in the order of ``keys``.
 
     Rows are dealt out by range and sorted within partitions; a place is the one within the
     partition after the sizes of those before it.
     """
     ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
-    placed = staged(ordered.withColumns({"__part": F.spark_partition_id(), "__at": at}), label)
+    placed = staged(ordered.select(*kept, F.spark_partition_id().alias("__part"), at.alias("__at")), label)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(sizes), "__part").withColumn("name", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    return placed.join(F.broadcast(sizes), "__part").select(*kept, (F.col("__before") + F.col("__at") + 1).alias("name"))
 
 
 def block_identities(
@@ -66,13 +70,14 @@ def block_identities(
     key = F.shiftright(F.xxhash64("block"), 64 - hash_bits) if hash_bits < 64 else F.xxhash64("block")
     cut = F.inline(_blocks(F.col("data"), F.col("n_blocks"), block_bytes))
 
-    numbered = _numbered(norm.select(cut).select(key.alias("h"), "block").distinct(), ["block"], "blocks")
-    names = numbered.select("h", "name")
+    blocks = norm.select(cut).select(key.alias("h"), "block").distinct().withColumn("lead", F.substring("block", 1, LEAD))
+    names = _numbered(blocks.select("lead", "h"), ["lead", "h"], ["h"], "block-names")
     clash = not names.groupBy("h").count().filter("count > 1").isEmpty()
     on = ["h"]
     if clash:
+        unstage(names)
         on = ["h", "block"]
-        names = numbered
+        names = _numbered(blocks, ["lead", "h", "block"], on, "block-names")
 
     rows = norm.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "n_blocks", F.sha2("norm", 256).alias("text_sha256"), "data"
@@ -84,7 +89,7 @@ def block_identities(
         F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"),
     )
     named = staged(rows.join(names, on).select("row_id", "n_blocks", "idx", "name", "doc_id", "text_sha256"), "named-blocks")
-    unstage(numbered)
+    unstage(names)
 
     heads = named.filter("idx = 0").select("row_id", "doc_id", "n_blocks", "text_sha256")
     one = named.filter("n_blocks = 1").select("row_id", "name")
@@ -97,7 +102,7 @@ def block_identities(
             F.max(F.when(~odd, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(0)).alias("b")
         )
         pairs = staged(pairs, "block-pairs")
-        numbers = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], "pair-names")
+        numbers = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], ["a", "b"], "pair-names")
         used += [pairs, numbers]
         level = pairs.join(numbers, ["a", "b"]).select("row_id", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.col("idx").cast("int").alias("idx"), "name")
         level = staged(level, "block-level")
