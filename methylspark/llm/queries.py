@@ -35,7 +35,7 @@ def op4_decontamination(spark, sf_dir):
 
 def op5_preference(spark, sf_dir):
     """A row for each pair of ``conversations`` 2n and 2n + 1, masks as text; turns without an id are one side of the null pair. See ``preference``."""
-    pairs = preference.preference_pairs(preference.preference_segments(preference.neighbours(table(spark, sf_dir, "conversations"))))
+    pairs = preference.preference_pairs(preference.neighbours(table(spark, sf_dir, "conversations")))
     text = lambda m: F.array_join(F.transform(m, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias(m)
     return pairs.select("pair_id", "piece", "prompt", "chosen", text("chosen_mask"), "rejected", text("rejected_mask"))
 

@@ -173,7 +173,10 @@ def test_preference(spark):
     c = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, part string").repartition(3)
     rows = preference.preference_segments(preference.neighbours(c))
     assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, brute_preference(TURNS)))
-    folded = {r.pair_id: r for r in preference.preference_pairs(rows).collect()}
+    pairs = preference.neighbours(c)
+    folded = {r.pair_id: r for r in preference.preference_pairs(pairs).collect()}
+    by_turns = {r.pair_id: r for r in preference.preference_pairs(pairs, row_turns=0).collect()}
+    assert by_turns == folded  # the other way, for pairs of any size
     assert set(folded) == {None, 0, 1, 2, 3, 4, 5} and {r.piece for r in folded.values()} == {0}
     want = brute_preference(TURNS)
     for pair, r in folded.items():
@@ -184,7 +187,7 @@ def test_preference(spark):
                 assert [r[part][s.start : s.end] for s in r[f"{part}_mask"]] == [x[5][x[6] : x[7]] for x in own if x[7]]
     r = folded[5]
     assert r.prompt.endswith("assistant\na<|im_end|>\n") and [r.rejected[s.start : s.end] for s in r.rejected_mask] == ["c<|im_end|>", "d<|im_end|>"]
-    pieces = preference.preference_pairs(rows, row_chars=40).orderBy("pair_id", "piece").collect()
+    pieces = preference.preference_pairs(pairs, row_chars=40).orderBy("pair_id", "piece").collect()
     assert max(r.piece for r in pieces) > 0
     for pair, r in folded.items():
         own = [x for x in pieces if x.pair_id == pair]
@@ -194,7 +197,7 @@ def test_preference(spark):
     assert r.prompt == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
     assert [r.chosen[s.start : s.end] for s in r.chosen_mask] == ["yes<|im_end|>"] and [r.rejected[s.start : s.end] for s in r.rejected_mask] == ["<|im_end|>"]
     assert folded[1].chosen == folded[1].rejected == ""
-    assert preference.preference_segments(preference.neighbours(c.limit(0))).count() == 0
+    assert preference.preference_segments(preference.neighbours(c.limit(0))).count() == 0 and preference.preference_pairs(preference.neighbours(c.limit(0))).count() == 0
 
 
 def brute_similar(texts):
