@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, exactdedup, langid, licenses, mixing, preference, sharding, simhash, tokencount, warc
+from . import decontam, exactdedup, langid, licenses, minhash, mixing, preference, sharding, simhash, tokencount, warc
 from .common import scratch_path, staged, table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -72,11 +72,16 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark, sf_dir):
+    """Near copies among ``documents`` at five words and 0.85, a row for each; null texts are linked with nothing. See ``minhash``."""
+    return minhash.minhash_groups(table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mixing, op3_sharding, op4_decontamination, op5_preference,
-        op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses,
+        op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses, op11_minhash,
     )
 }
 
@@ -134,4 +139,16 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op11_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        k AS (SELECT doc_id, len(s)::BIGINT AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(s)) ELSE doc_id END AS rep, s FROM s),
+        d AS (SELECT rep, n, unnest(s) AS x FROM k WHERE rep = doc_id),
+        p AS (SELECT a.rep AS a, b.rep AS b FROM d AS a JOIN d AS b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (SELECT DISTINCT a AS rep, a AS c FROM e UNION SELECT r.rep, e.b FROM r JOIN e ON r.c = e.a),
+        m AS (SELECT rep, min(c) AS c FROM r GROUP BY rep)
+        SELECT doc_id, n AS n_shingles, coalesce(c, k.rep) AS component_id, doc_id = coalesce(c, k.rep) AS kept FROM k LEFT JOIN m ON k.rep = m.rep
+    """,
 }
