@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, exactdedup, langid, licenses, minhash, mixing, preference, sharding, simhash, tokencount, warc
+from . import conversations, decontam, exactdedup, langid, licenses, minhash, mixing, preference, sharding, simhash, tokencount, warc
 from .common import scratch_path, staged, table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -77,17 +77,47 @@ def op11_minhash(spark, sf_dir):
     return minhash.minhash_groups(table(spark, sf_dir, "documents"), n=5, percent=85)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """``conversations`` with faults planted, repaired, a row for each; rows of a null id are one. See ``conversations``."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit_conversations(conversations.damage(rows), rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mixing, op3_sharding, op4_decontamination, op5_preference,
-        op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses, op11_minhash,
+        op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses, op11_minhash, op12_conversation_repair,
     )
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _OWNERS = ",".join(map(str, sharding.fill_table(SHARDS, SLOTS)))
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+
+def _then(state: str, cost: object, letter: str) -> str:
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}'}}"
+
+
+def _best(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _when(condition: str, state: str) -> str:
+    """The state if the condition holds, else one that is never the best."""
+    return f"CASE WHEN {condition} THEN {state} ELSE {{'cost': 1000000000000, 'audit': ''}} END"
+
+
+_STAYS, _MORE = "fault NOT IN ('blank', 'duplicate')", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_KEEP = lambda x, role: _when(f"{_STAYS} AND c = '{role}'", _then(x, _MORE, "K"))
+_REROLE = lambda x: _when(_STAYS, _then(x, f"1 + {_MORE}", "R"))
+
 ORACLES = {
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
@@ -151,4 +181,32 @@ ORACLES = {
         m AS (SELECT rep, min(c) AS c FROM r GROUP BY rep)
         SELECT doc_id, n AS n_shingles, coalesce(c, k.rep) AS component_id, doc_id = coalesce(c, k.rep) AS kept FROM k LEFT JOIN m ON k.rep = m.rep
     """,
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS id FROM conversations),
+        l AS (SELECT *, {_crc32("id")} % 20 AS k FROM k),
+        d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM l WHERE k <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+        f AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+                     regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM o),
+        g AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+        v AS (SELECT conv_id, 0::BIGINT AS i, {{'cost': 0::BIGINT, 'audit': ''}} AS e, {{'cost': 1000000000000, 'audit': ''}} AS s, {{'cost': 1000000000000, 'audit': ''}} AS u, {{'cost': 1000000000000, 'audit': ''}} AS a
+              FROM (SELECT DISTINCT conv_id FROM g)
+              UNION ALL
+              SELECT conv_id, i, {_then("e", 2, "D")}, {_best(_then("s", 2, "D"), _KEEP("e", "s"))},
+                     {_best(_then("u", 2, "D"), *(_KEEP(x, "u") for x in "esa"), *(_REROLE(x) for x in "esa"))}, {_best(_then("a", 2, "D"), _KEEP("u", "a"), _REROLE("u"))}
+              FROM (SELECT conv_id, i, c, fault, e, s, u, {_best("a", _then("u", 5, "I"))} AS a
+                    FROM (SELECT v.conv_id, g.i, c, fault, e, s, a, {_best("u", *(_then(x, 5, "I") for x in "esa"))} AS u FROM v JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = v.i + 1))),
+        b AS (SELECT conv_id, {_best("e", "a", _then("u", 5, "I"), _then("s", 10, "II"))} AS best FROM v QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+        y AS (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM b),
+        x AS (SELECT *, audit[j] AS edit, len(replace(audit[:j], 'I', '')) AS i, len(replace(audit[:j], 'D', '')) AS m FROM y),
+        t AS (SELECT x.*, g.role, g.text, max((edit = 'K' AND g.c = 's')::INT) OVER (PARTITION BY x.conv_id) AS led FROM x LEFT JOIN g ON edit <> 'I' AND x.i = g.i AND x.conv_id IS NOT DISTINCT FROM g.conv_id),
+        h AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS repaired FROM t WHERE edit <> 'D' GROUP BY conv_id),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND p || c NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+        SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS q LEFT JOIN b ON q.conv_id IS NOT DISTINCT FROM b.conv_id
+        LEFT JOIN h ON q.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN n ON q.conv_id IS NOT DISTINCT FROM n.conv_id
+    """,
 }
