@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, exactdedup, langid, licenses, minhash, mixing, preference, sharding, simhash, tokencount, warc
+from . import conversations, decontam, exactdedup, langid, licenses, merkle, minhash, mixing, preference, sharding, simhash, tokencount, warc
 from .common import scratch_path, staged, table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -83,11 +83,19 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.audit_conversations(conversations.damage(rows), rows)
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    """Every row of ``documents`` as a leaf, with its proof, and what it folds to where line ends have been deleted; null ids are never tampered with. See ``merkle``."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mixing, op3_sharding, op4_decontamination, op5_preference,
         op6_token_counts, op7_language_id, op8_exact_dedup, op9_simhash, op10_licenses, op11_minhash, op12_conversation_repair,
+        op13_merkle_manifest,
     )
 }
 
@@ -118,6 +126,31 @@ _STAYS, _MORE = "fault NOT IN ('blank', 'duplicate')", "CASE WHEN fault = 'trunc
 _KEEP = lambda x, role: _when(f"{_STAYS} AND c = '{role}'", _then(x, _MORE, "K"))
 _REROLE = lambda x: _when(_STAYS, _then(x, f"1 + {_MORE}", "R"))
 
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """SQL for the nodes of ternary trees, what lies beside each node, and the roots."""
+    run = f"OVER (PARTITION BY level, {key}, idx // 3 ORDER BY idx ROWS BETWEEN"
+    return f"""
+        {name}_nodes AS (SELECT 0 AS level, {key}, idx, h, n FROM {leaves} UNION ALL
+            SELECT level + 1, {key}, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM {name}_nodes WHERE n > 1 GROUP BY level, {key}, idx // 3),
+        {name}_beside AS (SELECT level, {key}, idx, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lower, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS upper
+            FROM {name}_nodes WHERE n > 1),
+        {name}_roots AS (SELECT {key}, h FROM {name}_nodes WHERE n = 1)"""
+
+
+def _fold(name: str, tree: str, start: str, key: str) -> str:
+    """SQL that carries ``row, at, h, path`` of ``start`` up a tree, and what each row ends as."""
+    return f"""
+        {name}_steps AS (SELECT row, 0 AS level, {key}, idx, h, path FROM {start} UNION ALL
+            SELECT row, s.level + 1, s.{key}, s.idx // 3, sha256(lower || s.h || upper), path || lower || upper
+            FROM {name}_steps AS s JOIN {tree}_beside AS b ON s.level = b.level AND s.idx = b.idx AND s.{key} IS NOT DISTINCT FROM b.{key}),
+        {name} AS (SELECT row, {key}, h, path FROM {name}_steps QUALIFY level = max(level) OVER (PARTITION BY row))"""
+
+
 ORACLES = {
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
@@ -209,4 +242,17 @@ ORACLES = {
         FROM (SELECT DISTINCT conv_id FROM conversations) AS q LEFT JOIN b ON q.conv_id IS NOT DISTINCT FROM b.conv_id
         LEFT JOIN h ON q.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN n ON q.conv_id IS NOT DISTINCT FROM n.conv_id
     """,
+    "op13_merkle_manifest": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS h, {_leaf("CASE WHEN " + _crc32("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS given FROM documents),
+        l AS (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+        {_tree("own", "l", "source")},
+        s AS (SELECT source, 0 AS one, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM own_roots),
+        {_tree("top", "s", "one")},
+        a AS (SELECT row, source, idx, given AS h, '' AS path FROM l),
+        {_fold("below", "own", "a", "source")},
+        b AS (SELECT row, 0 AS one, s.idx, below.h, path FROM below JOIN s ON below.source IS NOT DISTINCT FROM s.source),
+        {_fold("above", "top", "b", "one")}
+        SELECT doc_id, l.h AS leaf, s.h AS subroot, top_roots.h AS root, sha256(path) AS proof_sha256, above.h AS folded_root, above.h = top_roots.h AS verified
+        FROM l JOIN above ON l.row = above.row JOIN s ON l.source IS NOT DISTINCT FROM s.source, top_roots
+    """,
 }
