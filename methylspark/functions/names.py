@@ -40,6 +40,11 @@ def metric_family(output: Column) -> Column:
     )
 
 
+def known_family(output: Column) -> Column:
+    """``metric_family``; a name that has none is an error when it is met."""
+    return F.coalesce(metric_family(output), F.raise_error(F.concat(F.lit("no metrics are known for output "), F.coalesce(output, F.lit("null")))))
+
+
 def loss(output: Column) -> Column:
     group, leaf = output_group(output), output_leaf(output)
     return (

@@ -12,16 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import is_binary, metric_family
+from ..functions.names import is_binary, known_family, metric_family
 from ..schema import SITE
 from ..staging import staged
 from .intervals import tracks_of_sites
-from .running import first_rows, running
+from .running import equi_depth, first_rows, running
 
 CLASSIFICATION = ("auc", "acc", "tpr", "tnr", "f1", "mcc")
 REGRESSION = ("mse", "mad", "cor")
-#: Score bins of the two-level running sums.
-SCORE_BINS = 1024
+#: Columns of one-hot labels and class scores, for outputs that are categories.
+CLASSES = ("y_classes", "z_classes")
 
 
 def observed(preds: DataFrame) -> DataFrame:
@@ -69,22 +69,18 @@ def regression(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
 
 
 def _scores(preds: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group and different score: ``z, pos, neg`` and a bin of the score."""
+    """One row per group and different score: ``z, pos, neg``."""
     y = F.bround("y")
-    rows = observed(preds).groupBy(*by, "z").agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    return rows.withColumn("__b", _bin("z"))
-
-
-def _bin(score: str) -> Column:
-    return F.floor(F.col(score) * SCORE_BINS)
+    return observed(preds).groupBy(*by, "z").agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
 
 
 def _ranked(scores: DataFrame, by: list[str], score: str, high: str, low: str, sums: dict[str, Column] = {}) -> DataFrame:
     """``by``, ``pairs`` and the ``sums``: how many pairs of a ``high`` and a ``low`` there are with the high one at the larger score, ties half.
 
-    Scores are summed up within bins of the score, then bins within groups; ``scores`` is
+    Scores, one row each, are summed up within bins of equal depth, then bins within groups; ``scores`` is
     read once, and no task holds more than a bin or a row per bin.
     """
+    scores = equi_depth(scores, by, score)
     within = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     rows = scores.withColumn("__below", F.coalesce(F.sum(low).over(within), F.lit(0)))
     pairs = F.sum(F.col(high) * (F.col("__below") + F.col(low) / 2.0))
@@ -122,7 +118,8 @@ def kendall(preds: DataFrame, by: list[str] = ["output"], most: int | None = Non
     total = cells.groupBy(*by).agg((F.sum(n) * (F.sum(n) - 1) / 2).alias("__all"), pairs(n).alias("__both"))
     # numbers of the labels
     labels = cells.select(*by, "y").distinct()
-    numbered = running(labels, by, ["y"], _bin("y"), {"__r": ("count", F.lit(1))})
+    labels = equi_depth(labels, by, "y", "labels")
+    numbered = running(labels, by, ["y"], F.col("__b"), {"__r": ("count", F.lit(1))})
     numbered = numbered.select(*[F.col(c).alias(f"__n_{c}") for c in (*by, "y")], (F.col("__r") - 1).alias("__r"))
     same = [F.col(c).eqNullSafe(F.col(f"__n_{c}")) for c in by] + [F.col("y") == F.col("__n_y")]
     met = cells.join(numbered, reduce(lambda a, b: a & b, same)).select(*by, "z", "n", "__r")
@@ -135,30 +132,47 @@ def kendall(preds: DataFrame, by: list[str] = ["output"], most: int | None = Non
     group = [*by, "__bit", "__above"]
     scores = bits.groupBy(*group, "z").agg(F.sum(F.when(F.col("__one") == 0, F.col("n")).otherwise(0)).alias("zero"), F.sum(F.when(F.col("__one") == 1, F.col("n")).otherwise(0)).alias("one"))
     # pairs with the smaller label at the larger score, ties half; and those ties
-    scores = scores.withColumn("__b", _bin("z"))
     ranked = _ranked(scores, group, "z", "zero", "one", {"tied": F.sum(F.col("zero").cast("double") * F.col("one"))})
     against = ranked.groupBy(*by).agg(F.sum(F.col("pairs") - F.col("tied") / 2).alias("__against"))
     out = total
     for more in (ties("y", "__ty"), ties("z", "__tz"), against):
-        more = more.select(*[F.col(c).alias(f"__k_{c}") for c in by], *more.columns[len(by) :])
-        out = out.join(more, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]), "left").drop(*[f"__k_{c}" for c in by])
+        out = _on_keys(out, more, by, "left")
     a, ty, tz = F.col("__all"), F.col("__ty"), F.col("__tz")
     top = a - ty - tz + F.col("__both") - 2 * F.coalesce("__against", F.lit(0.0))
     return out.select(*by, F.try_divide(top, F.sqrt(a - ty) * F.sqrt(a - tz)).alias("kendall"))
 
 
-def categorical(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
-    """``cat_acc``, ``auc_0`` ... ``auc_2`` and ``n`` from one-hot labels ``y`` and class scores ``z``.
+def _categories(preds: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``cat_acc, n`` by group, and the AUC of each class against all others by group and ``class``.
 
-    Rows whose label is all zero don't count.
+    Rows whose label is null or all zero don't count.
     """
     rows = preds.filter(F.exists("y", lambda x: x > 0))
     first = lambda a: F.array_position(F.col(a), F.array_max(a))
     acc = rows.groupBy(*by).agg(F.avg((first("y") == first("z")).cast("double")).alias("cat_acc"), F.count("*").alias("n"))
     each = rows.select(*by, F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col("z").alias("z"))).alias("class", "__p"))
-    each = each.select(*by, F.concat(F.lit("auc_"), "class").alias("class"), F.col("__p.y").cast("double").alias("y"), F.col("__p.z").cast("double").alias("z"))
-    areas = auc(each, [*by, "class"]).groupBy(*by).pivot("class", ["auc_0", "auc_1", "auc_2"]).agg(F.first("auc"))
-    return acc.join(areas, by)
+    each = each.select(*by, "class", F.col("__p.y").cast("double").alias("y"), F.col("__p.z").cast("double").alias("z"))
+    return acc, auc(each, [*by, "class"])
+
+
+def categorical(preds: DataFrame, by: list[str] = ["output"], classes: int | None = None) -> DataFrame:
+    """``cat_acc``, ``n`` and ``auc_0``, ``auc_1``, ... from one-hot labels ``y`` and class scores ``z``.
+
+    There are as many areas as ``classes``, if that isn't given as the longest label has places. Rows whose label is
+    null or all zero don't count.
+    """
+    if classes is None:
+        classes = preds.select(F.max(F.size("y"))).first()[0] or 0
+    acc, areas = _categories(preds, by)
+    named = areas.withColumn("class", F.concat(F.lit("auc_"), "class"))
+    wide = named.groupBy(*by).pivot("class", [f"auc_{i}" for i in range(classes)]).agg(F.first("auc"))
+    return _on_keys(acc, wide, by)
+
+
+def _on_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Joined by the columns ``by``, where null equals null."""
+    right = right.select(*[F.col(c).alias(f"__k_{c}") for c in by], *[c for c in right.columns if c not in by])
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]), how).drop(*[f"__k_{c}" for c in by])
 
 
 def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
@@ -169,7 +183,6 @@ def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count("*").alias("n"), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("ad"),
         F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
     )
-    rows = rows.withColumn("__b", _bin("z"))
     own, count = F.col("z"), F.col("n")
     sums = {c: F.sum(c) for c in ("n", "dd", "ad", "sy", "syy")} | {"min_y": F.min("min_y"), "max_y": F.max("max_y"), "min_z": F.min("z"), "max_z": F.max("z")}
     sums |= {"sz": F.sum(own * count), "szz": F.sum(own * own * count), "syz": F.sum(own * F.col("sy"))}
@@ -186,10 +199,15 @@ def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
 
 
 def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
-    """``by, metric, value``: the metrics that the output's name calls for, and ``n``."""
-    family = metric_family(F.col("output"))
+    """``by, metric, value``: the metrics that the output's name calls for, and ``n``.
+
+    Outputs that are categories (``cat_var``) get ``cat_acc`` and the AUC of each class; their labels and
+    scores are arrays in the columns ``y_classes`` and ``z_classes``, which other outputs leave null. A name
+    that calls for nothing, or a category without those columns, is an error.
+    """
+    family = known_family(F.col("output"))
     names = [*CLASSIFICATION, *REGRESSION, "n"]
-    long = summary(preds, by).unpivot(by, names, "metric", "value")
+    long = summary(preds.filter(family != "categorical"), by).unpivot(by, names, "metric", "value")
     fits = (
         (F.col("metric") == "n")
         | (F.col("metric").isin(*CLASSIFICATION) & family.contains("classification"))
@@ -197,7 +215,14 @@ def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     )
     ranked = preds.filter(family.contains("kendall"))
     taus = kendall(ranked, by).select(*by, F.lit("kendall").alias("metric"), F.col("kendall").alias("value"))
-    return long.filter(fits).unionByName(taus)
+    out = long.filter(fits).unionByName(taus)
+    hits = preds.filter(metric_family(F.col("output")) == "categorical")
+    if not set(CLASSES) <= set(preds.columns):
+        missing = F.raise_error(F.concat(F.lit("y_classes and z_classes are needed for "), "output")).cast("double")
+        return out.unionByName(hits.select(*by, F.lit("n").alias("metric"), missing.alias("value")))
+    acc, areas = _categories(hits.select(*by, *[F.col(c).alias(n) for c, n in zip(CLASSES, "yz")]), by)
+    both = acc.withColumn("n", F.col("n").cast("double")).unpivot(by, ["cat_acc", "n"], "metric", "value")
+    return out.unionByName(both).unionByName(areas.select(*by, F.concat(F.lit("auc_"), "class").alias("metric"), F.col("auc").alias("value")))
 
 
 def unstack_report(report: DataFrame, index: list[str], metrics: list[str]) -> DataFrame:
@@ -210,15 +235,13 @@ def unstack_report(report: DataFrame, index: list[str], metrics: list[str]) -> D
 
 
 def chunked_evaluation(preds: DataFrame, block: Column, by: list[str] = ["output"]) -> DataFrame:
-    """The counts' and errors' metrics of each block of rows, then their mean over blocks."""
-    rows = preds.withColumn("__block", block)
-    keys = [*by, "__block"]
-    wide = classification(rows, keys).join(regression(rows, keys), keys)
-    return wide.groupBy(*by).agg(*[F.avg(m).alias(m) for m in ("acc", "tpr", "tnr", "f1", "mcc", "mse", "mad")])
+    """``by, metric, value``: all metrics of ``evaluate_outputs`` for each block of rows, then their mean over the blocks in which they are defined."""
+    rows = staged(preds.withColumn("__block", block), "blocks")
+    return evaluate_outputs(rows, [*by, "__block"]).groupBy(*by, "metric").agg(F.avg("value").alias("value"))
 
 
 def _cumulated(preds: DataFrame, by: list[str]) -> DataFrame:
-    rows = _scores(preds.filter(is_binary(F.col("output"))), by)
+    rows = equi_depth(_scores(preds.filter(is_binary(F.col("output"))), by), by, "z")
     out = running(rows, by, ["z"], F.col("__b"), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, reverse=True)
     totals = rows.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return out.join(totals, by)
@@ -241,7 +264,7 @@ def pr_curve(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
 def thin_curve(curve: DataFrame, n: int, by: list[str] = ["output"]) -> DataFrame:
     """At most ``n`` points of each curve, evenly spaced along falling thresholds, ends included."""
     t = F.coalesce(-F.col("thr"), F.lit(float("-inf")))
-    rows = curve.withColumn("__t", t).withColumn("__b", F.coalesce(F.floor(-F.col("thr") * SCORE_BINS), F.lit(-(2**62))))
+    rows = equi_depth(curve.withColumn("__t", t), by, "__t", "curve")
     rows = running(rows, by, ["__t"], F.col("__b"), {"__i": ("count", F.lit(1))})
     totals = curve.groupBy(*by).agg(F.count("*").alias("__n"))
     rows = rows.join(totals, by)
@@ -271,7 +294,8 @@ def annotated(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> D
 
 def evaluate_by_annotation(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> DataFrame:
     """``anno, output, metric, value``; the annotated predictions are written once, as several aggregations read them."""
-    return evaluate_outputs(staged(annotated(preds.select(*SITE, "output", "y", "z"), intervals, min_sites), "annotated"), ["anno", "output"])
+    rows = preds.select(*SITE, "output", "y", "z", *[c for c in CLASSES if c in preds.columns])
+    return evaluate_outputs(staged(annotated(rows, intervals, min_sites), "annotated"), ["anno", "output"])
 
 
 def compare_models(metrics: DataFrame, names: list[str]) -> DataFrame:

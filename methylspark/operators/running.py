@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Parts that the rows of a group are dealt into before the first of each part meet.
 PARTS = 64
 
@@ -46,6 +48,17 @@ def running(df: DataFrame, by: list[str], order: list[str], bin: Column, columns
     return met.select(*df.columns, *[both(how, n).alias(n) for n, (how, _, _) in spec.items()])
 
 
+def equi_depth(df: DataFrame, by: list[str], order: str, label: str = "scores") -> DataFrame:
+    """``df`` with a bin ``__b`` for ``running`` that holds about as many rows as any other, whatever the values of ``order``.
+
+    Spark samples the splitters from group and value together, so that large groups are cut into
+    many bins and small ones share one; rows that tie are in one bin, so aggregate them before. Bins rise with ``order``
+    within a group (null and NaN where Spark sorts them). The rows are written once: the bins of a second reading could differ.
+    """
+    dealt = df.repartitionByRange(*by, order).withColumn("__b", F.spark_partition_id().cast("long"))
+    return staged(dealt, label)
+
+
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, keys: list[str], parts: int = PARTS) -> DataFrame:
     """``df`` with ``__rank``: the first ``n`` rows of each group in the order, ranked from 1.
 

@@ -68,6 +68,18 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("chromo", "pos", "output", onehot.alias("y"), score.alias("z"))
 
 
+def all_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``named_outputs``, and from every fifth cell a categorical output of four classes with its labels and scores as arrays."""
+    named = named_outputs(spark, sf_dir)
+    p = predictions(spark, sf_dir).filter(F.col("cell").isin("c2", "c7")).withColumn("label", (F.col("pos") + F.col("y").cast("long")) % 4)
+    four = F.sequence(F.lit(0), F.lit(3))
+    onehot = F.transform(four, lambda i: F.coalesce((F.col("label") == i).cast("double"), F.lit(0.0)))
+    score = F.transform(four, lambda i: ((F.col("pos") * 31 + i * 17 + F.substring("cell", 2, 2).cast("long")) % 101).cast("double") / 100)
+    none = F.lit(None).cast("double")
+    p = p.select("chromo", "pos", "cell", F.lit("cpg_stats/cat_var").alias("output"), none.alias("y"), none.alias("z"), onehot.alias("y_classes"), score.alias("z_classes"))
+    return named.unionByName(p, allowMissingColumns=True)
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("chromo"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ATGC]", "").alias("seq"))
@@ -114,6 +126,8 @@ SQL = {
         ((pos * 31 + substr(cell, 2)::BIGINT * 17) % 101)::DOUBLE / 100 AS z FROM grid)""",
     "named_outputs": """named_outputs AS (SELECT chromo, pos, cell, y, z, CASE WHEN n < 5 THEN output WHEN n = 5 THEN 'bulk/b' WHEN n = 6 THEN 'cpg_stats/mean'
         WHEN n = 7 THEN 'cpg_stats/var' WHEN n = 8 THEN 'cpg_stats/diff' ELSE 'cpg_stats/mode' END AS output FROM (SELECT *, substr(cell, 2)::INT AS n FROM predictions))""",
+    "classes": """classes AS (SELECT chromo, pos, 'cpg_stats/cat_var' AS output, (pos + y::BIGINT) % 4 AS label,
+        [((pos * 31 + i * 17 + substr(cell, 2)::BIGINT) % 101)::DOUBLE / 100 FOR i IN [0, 1, 2, 3]] AS scores FROM predictions WHERE cell IN ('c2', 'c7') AND y IS NOT NULL)""",
     "merged": """flagged AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY track, chromo ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT * FROM intervals)),
         numbered AS (SELECT *, sum(new) OVER (PARTITION BY track, chromo ORDER BY "start", "end", new ROWS UNBOUNDED PRECEDING) AS grp FROM flagged),
@@ -127,7 +141,7 @@ SQL = {
 }
 
 _NEEDS = {
-    "profiles": [], "sites": [], "grid": ["profiles", "sites"], "intervals": [], "predictions": ["grid"], "named_outputs": ["predictions"],
+    "profiles": [], "sites": [], "grid": ["profiles", "sites"], "intervals": [], "predictions": ["grid"], "named_outputs": ["predictions"], "classes": ["predictions"],
     "merged": ["intervals"], "sequences": [], "cpgs": ["sequences"], "filters": [], "effects": [],
 }
 

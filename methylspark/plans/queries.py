@@ -472,9 +472,21 @@ def _long_sql(rows: str, by: str) -> str:
           UNION ALL BY NAME SELECT {by}, 'kendall' AS metric, s / nullif(sqrt((total - ty)::DOUBLE) * sqrt((total - tz)::DOUBLE), 0) AS value FROM kp)"""
 
 
-@query(f"WITH {_long_sql('named_outputs', 'output')} SELECT output, metric, round(value, 6) AS value FROM lng", "named_outputs")
+def _cat_sql(rows: str, by: str) -> str:
+    """Expression ``cat`` in long form from ``rows`` with the class ``label`` and its ``scores``."""
+    return f"""ce AS (SELECT {by}, i AS class, (label = i)::INT AS y, scores[i + 1] AS z FROM {rows}, range(4) r(i)),
+        cs AS (SELECT {by}, class, z, sum(y) AS p, sum(1 - y) AS q FROM ce GROUP BY ALL),
+        cat AS (SELECT {by}, 'auc_' || class AS metric, sum(p * (below - q / 2)) / nullif(sum(p) * sum(q), 0) AS value
+            FROM (SELECT *, sum(q) OVER (PARTITION BY {by}, class ORDER BY z) AS below FROM cs) GROUP BY ALL
+          UNION ALL SELECT {by}, 'n', count(*)::DOUBLE FROM {rows} GROUP BY ALL
+          UNION ALL SELECT {by}, 'cat_acc', avg((label = list_position(scores, list_max(scores)) - 1)::INT) FROM {rows} GROUP BY ALL)"""
+
+
+@query(
+    f"WITH {_long_sql('named_outputs', 'output')}, {_cat_sql('classes', 'output')} SELECT output, metric, round(value, 6) AS value FROM (SELECT * FROM lng UNION ALL BY NAME SELECT * FROM cat)", "named_outputs classes"
+)
 def evaluate_outputs(s, d):
-    return r6(evaluation.evaluate_outputs(a.named_outputs(s, d)))
+    return r6(evaluation.evaluate_outputs(staged(a.all_outputs(s, d), "outputs")))
 
 
 @query(
@@ -486,12 +498,12 @@ def unstack_report(s, d):
 
 
 @query(
-    f"WITH b AS (SELECT *, pos // 250 AS block FROM named_outputs), {metrics_sql('b', 'output, block')} SELECT output, "
-    + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("acc", "tpr", "tnr", "f1", "mcc", "mse", "mad")) + " FROM cls JOIN reg USING (output, block) GROUP BY output",
-    "named_outputs",
+    f"""WITH b AS (SELECT *, pos // 250 AS block FROM named_outputs), cb AS (SELECT *, pos // 250 AS block FROM classes), {_long_sql('b', 'output, block')}, {_cat_sql('cb', 'output, block')}
+    SELECT output, metric, round(avg(value), 6) AS value FROM (SELECT * FROM lng UNION ALL BY NAME SELECT * FROM cat) GROUP BY output, metric""",
+    "named_outputs classes",
 )
 def chunked_evaluation(s, d):
-    return r6(evaluation.chunked_evaluation(a.named_outputs(s, d), F.expr("pos div 250")))
+    return r6(evaluation.chunked_evaluation(a.all_outputs(s, d), F.expr("pos div 250")))
 
 
 _CURVE = """cum AS (SELECT output, z, sum(p) OVER (PARTITION BY output ORDER BY z DESC) AS tp, sum(q) OVER (PARTITION BY output ORDER BY z DESC) AS fp,
