@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dna, motifs
 from ..sources import readers, writers
+from ..sources import store
+from ..sources.profiles import scan_profiles as scan
 from ..staging import scratch_path
 from . import adapters as a
 from . import queries as q
@@ -25,12 +27,24 @@ def _text(rows: DataFrame, path: str, folder: str, order: str) -> str:
 @query("SELECT chromo, pos::INT AS pos, cell, value FROM profiles", "profiles")
 def read_profiles(s, d):
     """Half of the cells as tab-separated files with a comment, half as bedGraph."""
+    return readers.read_profiles(s, _profile_files(s, d, scratch_path(s, "profiles")))
+
+
+def _profile_files(s, d, path: str) -> str:
     p = a.profiles(s, d)
     bed, chromo = F.col("cell") >= "c5", F.concat(F.lit("chr"), F.lower("chromo"))
     line = F.when(bed, F.concat_ws("\t", chromo, "pos", F.col("pos") + 1, "value")).otherwise(F.concat_ws("\t", chromo, "pos", "value"))
     heads = p.select("cell").distinct().select("cell", F.lit(-1).cast("long").alias("pos"), F.when(bed, "track type=bedGraph").otherwise("# chromo pos value").alias("value"))
     rows = p.select("cell", "pos", line.alias("value")).unionByName(heads)
-    return readers.read_profiles(s, _text(rows, scratch_path(s, "profiles"), "cell", "pos"))
+    return _text(rows, path, "cell", "pos")
+
+
+@query("SELECT chromo, pos::INT AS pos, cell, value FROM profiles WHERE chromo IN ('A', 'R') AND pos BETWEEN 50 AND 1500 AND cell <> 'c2' AND value > 0.5", "profiles")
+def scan_profiles(s, d):
+    """The files of ``read_profiles`` through the data source, with filters that are pushed to it and others that aren't."""
+    path = scratch_path(s, "profile-files")
+    _profile_files(s, d, path)
+    return scan(s, path).filter("chromo IN ('A', 'R') AND pos BETWEEN 50 AND 1500 AND cell <> 'c2' AND value > 0.5")
 
 
 @query("SELECT chromo, pos::INT AS pos FROM sites", "sites")
@@ -60,6 +74,19 @@ def read_fasta(s, d):
     return readers.read_fasta(s, _text(rows, scratch_path(s, "fasta"), "chromo", "n"), overlap=16, tile=256)
 
 
+@query(
+    """SELECT chromo, t AS tile, greatest(1, t * 1000 - 49) AS "start", substr(seq, greatest(1, t * 1000 - 49)::INT, (least(length(seq), t * 1000 + 1050) - greatest(1, t * 1000 - 49) + 1)::INT) AS seq, length(seq)::BIGINT AS n
+       FROM (SELECT 'D' || chromo AS chromo, seq, unnest(range(greatest(1, (length(seq) + 999) // 1000))) AS t FROM sequences)""",
+    "sequences",
+)
+def read_fasta_records(s, d):
+    """All sequences as records of eight plain files, which Spark may split anywhere."""
+    text = F.concat(F.lit(">chrD"), "chromo", F.lit(" dna\n"), F.regexp_replace("seq", "(.{50})", "$1\n"))
+    path = scratch_path(s, "fasta-records")
+    a.sequences(s, d).select(text.alias("value")).repartition(8, "value").write.text(path)
+    return readers.read_fasta(s, path, overlap=50, tile=1000)
+
+
 @query("SELECT 'm' || s_suppkey AS id, split_part(s_name, '_', 1) AS protein, 'http://r' || s_nationkey AS url FROM supplier WHERE s_suppkey % 2 = 1")
 def read_meme_motifs(s, d):
     """Suppliers as motifs, every other one without a name."""
@@ -96,11 +123,24 @@ def write_feature_chunks(s, d):
     return s.read.parquet(path)
 
 
+@query(
+    """SELECT DISTINCT printf('c%s_%06d-%06d.parquet', chromo, (n - 1) // 1000 * 1000, least(((n - 1) // 1000 + 1) * 1000, c)) AS file, count(*) AS rows
+       FROM (SELECT *, row_number() OVER (PARTITION BY chromo ORDER BY pos) AS n, count(*) OVER (PARTITION BY chromo) AS c FROM sites) GROUP BY ALL""",
+    "sites",
+)
+def feature_chunk_files(s, d):
+    """The files of ``write_feature_chunks`` and how many rows are in each."""
+    path = scratch_path(s, "chunk-files")
+    writers.write_feature_chunks(a.sites(s, d), path, 1000)
+    return s.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+
+
 @query(q.ORACLES["bedgraph_rows"])
 def write_bedgraph(s, d):
     path = scratch_path(s, "bedgraph")
     writers.write_bedgraph(q.evaluation.impute(a.named_outputs(s, d)), path)
-    return s.read.csv(path, sep="\t", schema='chromo string, start long, end long, value string, name string')
+    rows = s.read.csv(path, sep="\t", schema="chromo string, start long, end long, value string")
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.bedGraph\.gz$", 1).alias("name"))
 
 
 @query("SELECT chromo, pos, output, y, z FROM named_outputs", "named_outputs")
@@ -148,3 +188,19 @@ def write_meme(s, d):
     w, _, _, _, kmers = q._motif_parts(s, d)
     writers.write_meme(motifs.pwm(kmers), dna.nucleotide_background(w), path)
     return s.read.text(path).filter("value <> ''")
+
+
+@query("SELECT chromo, pos, cell, value FROM profiles WHERE chromo = 'N' AND pos BETWEEN 100 AND 1200", "profiles")
+def region_of_store(s, d):
+    """A region of the profiles as a clustered store."""
+    path = scratch_path(s, "site-store")
+    store.write_site_store(a.profiles(s, d), path, rows_per_file=2000)
+    return store.read_region(s, path, "N", 100, 1200)
+
+
+@query("SELECT chromo, min(pos) AS low, max(pos) AS high, count(*) AS rows FROM profiles GROUP BY chromo", "profiles")
+def store_bounds(s, d):
+    """The bounds of each chromosome from those of the store's files."""
+    path = scratch_path(s, "site-store")
+    store.write_site_store(a.profiles(s, d), path, rows_per_file=2000)
+    return store.file_bounds(s, path).groupBy("chromo").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))

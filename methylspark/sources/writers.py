@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import output_group, output_leaf
@@ -13,11 +16,54 @@ from ..schema import SITE
 MEME_LETTERS = "ACGT"
 
 
-def write_feature_chunks(features: DataFrame, path: str, chunk_size: int = 32_768, sites: DataFrame | None = None) -> None:
-    """Parquet folders by chromosome; ``chunk, start, end`` number the rows of each in order of position."""
+def publish_named(rows: DataFrame, path: str, suffix: str, order: list[str], write) -> list[str]:
+    """One file ``<name><suffix>`` in ``path`` for each value of the column ``name``, sorted by ``order``; returns the names.
+
+    Rows are dealt out by name and written to a hidden folder by Spark's own writer, ``write(writer, folder)``, whose commit keeps
+    what failed tasks leave out. Only when all is written are the files renamed, and ``_SUCCESS`` is put last. If anything fails
+    no file is left: those published so far and the hidden folder are deleted. A name that is null, holds ``/``, or is there already, is an
+    error. A name is one task's stream, as it is one file. Without rows there are no files.
+    """
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # PySpark has no calls for files
+    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    hidden, done = f"{path}/_{uuid.uuid4().hex}", []
+    store = at(path).getFileSystem(conf)
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(parts, "name").sortWithinPartitions("name", *order)
+        write(dealt.write.partitionBy("name"), hidden)
+        found = {}
+        for folder in store.listStatus(at(hidden)):
+            if folder.isDirectory():
+                name = unquote(folder.getPath().getName().removeprefix("name="))
+                files = [f.getPath() for f in store.listStatus(folder.getPath()) if not f.getPath().getName().startswith(("_", "."))]
+                if name == "__HIVE_DEFAULT_PARTITION__" or "/" in name or len(files) != 1 or store.exists(at(path, name + suffix)):
+                    raise ValueError(f"can't publish {name + suffix} in {path}")
+                found[name + suffix] = files[0]
+        for name, file in found.items():
+            done.append(name)
+            if not store.rename(file, at(path, name)):
+                raise OSError(f"can't rename {file.toString()} to {name}")
+        store.create(at(path, "_SUCCESS"), True).close()
+    except BaseException:
+        for name in done:
+            store.delete(at(path, name), False)
+        raise
+    finally:
+        store.delete(at(hidden), True)
+    return done
+
+
+def write_feature_chunks(features: DataFrame, path: str, chunk_size: int = 32_768, sites: DataFrame | None = None) -> list[str]:
+    """Parquet files of at most ``chunk_size`` sites, ``c<chromo>_<start>-<end>.parquet`` by the range of sites in order; returns the names.
+
+    ``chunk, start, end`` stay in the rows.
+    """
     chunks = assign_chunks(features.select(*SITE).distinct() if sites is None else sites, chunk_size)
     rows = features.join(chunks, SITE)
-    rows.repartitionByRange("chromo", "chunk").sortWithinPartitions(*SITE).write.partitionBy("chromo").option("maxRecordsPerFile", chunk_size).parquet(path)
+    rows = rows.withColumn("name", F.format_string("c%s_%06d-%06d", "chromo", "start", "end"))
+    return publish_named(rows, path, ".parquet", SITE, lambda w, folder: w.parquet(folder))
 
 
 def bedgraph_rows(imputed: DataFrame) -> DataFrame:
@@ -30,10 +76,10 @@ def bedgraph_rows(imputed: DataFrame) -> DataFrame:
     )
 
 
-def write_bedgraph(imputed: DataFrame, path: str) -> None:
-    """Folders of gzip files by output, each sorted, without a header."""
-    rows = bedgraph_rows(imputed).repartition("name", "chromo").sortWithinPartitions("name", "chromo", "start")
-    rows.write.partitionBy("name").option("compression", "gzip").csv(path, sep="\t")
+def write_bedgraph(imputed: DataFrame, path: str) -> list[str]:
+    """A file ``<name>.bedGraph.gz`` for each output, sorted, without a header; returns the names. A cell has no more sites than its genome, so it is one task's work."""
+    rows = bedgraph_rows(imputed)
+    return publish_named(rows, path, ".bedGraph.gz", ["chromo", "start"], lambda w, folder: w.option("compression", "gzip").csv(folder, sep="\t"))
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:

@@ -8,9 +8,10 @@ from methylspark import staging
 from methylspark.functions import arrays
 from methylspark.functions.statistics import statistic
 from methylspark.operators import dna, evaluation, intervals, model, motifs, neighbors, sites, weights, windows
-from methylspark.operators.running import first_rows, running
+from methylspark.operators.running import equi_depth, first_rows, running
 from methylspark.plans import features
-from methylspark.sources import readers, writers
+from methylspark.sources import readers, store, writers
+from methylspark.sources.profiles import scan_profiles
 from pyspark.sql import functions as F
 
 
@@ -274,8 +275,36 @@ def test_fasta_windows(spark, tmp_path):
     for r in dna.extract_dna_windows(at, tiles, 21, 64).collect():
         assert r.seq == (padded[r.pos - 1 : r.pos + 20] if 1 <= r.pos <= 500 else None)
     (tmp_path / "two.fa").write_text(">a\nAC\n>b\nGT\n")
-    with pytest.raises(Exception):
-        readers.read_fasta(spark, str(tmp_path / "two.fa")).count()
+    with pytest.raises(Exception, match="more than one sequence"):
+        readers.read_fasta(spark, str(tmp_path / "two.fa"), single=True).collect()
+    (tmp_path / "none.fa").write_text("ACGT\n>b\nGT\n")
+    with pytest.raises(Exception, match="without a head line"):
+        readers.read_fasta(spark, str(tmp_path / "none.fa")).collect()
+    (tmp_path / "chromosome.7.fa").write_text("ACGT\nAC\n")
+    assert [(r.chromo, r.seq) for r in readers.read_fasta(spark, str(tmp_path / "chromosome.7.fa")).collect()] == [("7", "ACGTAC")]
+
+
+def test_fasta_records_over_splits(spark, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(7)
+    letters = lambda n: "".join(rnd.choice(list("ACGTn"), n))
+    files = [{f"chr{k}_{i}": letters(n) for i, n in enumerate((0, 1, 61, 9000, 130, 4000))} for k in range(3)]
+    text = lambda seqs, width, end: end.join(f">{h} x{end}" + end.join(q[i : i + width] for i in range(0, len(q), width)) for h, q in seqs.items()) + end
+    (tmp_path / "a.fa").write_text(text(files[0], 60, "\n"))
+    (tmp_path / "b.fa").write_text(text(files[1], 33, "\n\n"))
+    with gzip.open(tmp_path / "c.fa.gz", "wt") as f:
+        f.write(text(files[2], 70, "\r\n"))
+    monkeypatch.setattr(readers, "PIECE", 200)
+    expected = {h.upper().removeprefix("CHR"): q for f in files for h, q in f.items()}
+    for size, pieces in (("777b", 10), ("128m", 1)):  # the longest record lies in a dozen splits, or in one
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            tiles = readers.read_fasta(spark, str(tmp_path / "*.fa*"), overlap=37, tile=100).collect()
+            assert readers._pieces(spark, str(tmp_path / "a.fa")).select("split").distinct().count() >= pieces
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        found = {(r.chromo, r.tile): (r.start, r.seq, r.n) for r in tiles}
+        assert len(found) == len(tiles)
+        assert found == {(c, t): (max(0, 100 * t - 37) + 1, q[max(0, 100 * t - 37) : 100 * t + 137], len(q)) for c, q in expected.items() for t in range(max(1, -(-len(q) // 100)))}
 
 
 def test_motif_files(spark, tmp_path):
@@ -294,8 +323,8 @@ def test_motif_files(spark, tmp_path):
 def test_writers(spark, tmp_path):
     p = preds(spark, [(None, 0.123456), (1.0, 0.2)])
     writers.write_bedgraph(evaluation.impute(p), str(tmp_path / "bg"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "bg" / "name=x")).collect()]
-    assert sorted(lines) == ["chr1\t0\t1\t0.12346", "chr1\t1\t2\t1.00000"]
+    lines = [r.value for r in spark.read.text(str(tmp_path / "bg" / "x.bedGraph.gz")).collect()]
+    assert lines == ["chr1\t0\t1\t0.12346", "chr1\t1\t2\t1.00000"]
     writers.write_report_tsv(p.select("output", "z"), str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report"), sep="\t", header=True).first().z == "0.12346"
     writers.write_feature_chunks(p, str(tmp_path / "chunks"), 1)
@@ -369,3 +398,108 @@ def test_models_in_blocks_and_of_one_class(spark, monkeypatch):
     parts = model.fit_output_models(df, ["a", "b", "c"]).toPandas().sort_values(["output", "pos"])
     assert np.allclose(parts.z, whole.z, equal_nan=True)
     assert model.fit_output_models(df.limit(0), []).count() == 0
+
+
+def test_profile_source(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    for c in range(4):
+        path = tmp_path / f"cell{c}.x.tsv{'.gz' if c % 2 else ''}"
+        with (gzip.open if c % 2 else open)(path, "wt") as f:
+            f.write("track type=bedGraph\n" if c >= 2 else "# comment\n")
+            for i in range(400):
+                site = f"{rnd.choice(['chr1', 'Chr2', 'X'])}\t{rnd.integers(1, 9999)}\t"
+                f.write(("#x\n\n" if i % 100 == 7 else "") + site + (f"9\t{rnd.random():.3f}" if c >= 2 else f"{rnd.random():.3f}\textra") + ("\n" if i < 399 else ""))
+    (tmp_path / "_hidden").write_text("no")
+    expected = readers.read_profiles(spark, str(tmp_path))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for split in (700, 1 << 26):
+        assert rows(scan_profiles(spark, str(tmp_path), split=split)) == rows(expected)
+    keep = "chromo = '2' AND pos BETWEEN 100 AND 5000 AND cell IN ('cell0', 'cell3') AND value > 0.5"
+    found = scan_profiles(spark, str(tmp_path)).filter(keep)
+    assert rows(found) == rows(expected.filter(keep)) != []
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert all(x in plan for x in ("EqualTo(chromo,2)", "GreaterThanOrEqual(pos,100)", "LessThanOrEqual(pos,5000)", "In(cell, [cell0,cell3])"))
+    assert scan_profiles(spark, f"file://{tmp_path}/cell1*").count() == 400
+    (tmp_path / "bad.tsv").write_text("1\t1\t1.2\n")
+    with pytest.raises(Exception, match="outside of"):
+        scan_profiles(spark, str(tmp_path / "bad.tsv")).collect()
+    assert scan_profiles(spark, str(tmp_path / "bad.tsv"), check=False).first().value == 1.2
+    (tmp_path / "empty.tsv").write_text("")
+    assert scan_profiles(spark, [str(tmp_path / "empty.tsv")]).count() == 0
+
+
+def test_named_files_and_abort(spark, tmp_path):
+    rows = spark.createDataFrame([("b/1:x", 2, "q"), ("a", 1, "p"), ("a", 0, "o")], "name string, i int, t string")
+    write = lambda w, folder: w.csv(folder)
+    assert sorted(writers.publish_named(rows.filter("name = 'a'"), str(tmp_path / "x"), ".csv", ["i"], write)) == ["a.csv"]
+    assert (tmp_path / "x" / "a.csv").read_text() == "0,o\n1,p\n"
+    assert {f.name for f in (tmp_path / "x").iterdir() if not f.name.endswith(".crc")} == {"a.csv", "_SUCCESS"}
+    for bad in (rows.withColumn("name", F.lit(None).cast("string")), rows.withColumn("t", F.raise_error(F.lit("stop")).cast("string")), rows.filter("name = 'a'"), rows):
+        with pytest.raises(Exception):  # no name, a failed task, a name that is there, a name that is no file's
+            writers.publish_named(bad, str(tmp_path / "x"), ".csv", ["i"], write)
+        assert {f.name for f in (tmp_path / "x").iterdir() if not f.name.endswith(".crc")} == {"a.csv", "_SUCCESS"}
+    p = preds(spark, [(None, 0.5), (1.0, 0.2), (0.0, 0.2)])
+    assert sorted(writers.write_feature_chunks(p, str(tmp_path / "chunks"), 2)) == ["c1_000000-000002.parquet", "c1_000002-000003.parquet"]
+    assert writers.write_bedgraph(evaluation.impute(p).limit(0), str(tmp_path / "none")) == []
+
+
+def test_site_store_opens_few_files(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    rows = [(str(c), int(p), float(v)) for c, p, v in zip(rnd.integers(1, 4, 4000), rnd.integers(1, 10**6, 4000), rnd.random(4000))]
+    df = spark.createDataFrame([*rows, (None, 5, 0.5), ("1", None, 0.5)], "chromo string, pos int, value double")
+    path = str(tmp_path / "store")
+    store.write_site_store(df, path, rows_per_file=100)
+    assert store.file_bounds(spark, path).agg(F.sum("rows")).first()[0] == 4002
+    files = len(spark.read.parquet(path).inputFiles())
+    for region in (("2", 1000, 40_000), ("3", None, 30_000), ("1", 900_000, None), ("2", None, None), ("9", 1, 2), ("1", 5, 4)):
+        got = store.read_region(spark, path, *region)
+        c, low, high = region[0], region[1] or 0, region[2] or 10**9
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] == c and low <= r[1] <= high)
+        assert region[1:] == (None, None) or len(got.inputFiles()) <= 7 < files / 4
+    store.write_site_store(df.limit(0), str(tmp_path / "none"))
+    assert store.read_region(spark, str(tmp_path / "none"), "1").count() == 0
+
+
+def test_scores_close_together_fill_all_bins(spark):
+    rnd = np.random.default_rng(1)
+    n = 4000
+    z = np.r_[rnd.random(n // 2) * 1e-4, 1 - rnd.random(n // 2) * 1e-4, np.zeros(300), np.ones(300)]
+    y = (rnd.random(len(z)) < 0.2 + 0.6 * z).astype(float)
+    p = spark.createDataFrame([("1", i, "cpg/x", float(a), float(b)) for i, (a, b) in enumerate(zip(y, z))], "chromo string, pos int, output string, y double, z double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few small bins become one
+    depths = [r["count"] for r in equi_depth(evaluation._scores(p, ["output"]), ["output"], "z").groupBy("__b").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(depths) >= 3 and max(depths) <= 2 * sum(depths) / len(depths)
+    above = sum(((b < z).sum() + (b == z).sum() / 2) for b in z[y == 0])
+    pairs = sum((z[y == 1] > b).sum() + (z[y == 1] == b).sum() / 2 for b in z[y == 0])
+    assert abs(evaluation.auc(p).first().auc - pairs / ((y == 1).sum() * (y == 0).sum())) < 1e-12 and above > 0
+    roc = evaluation.roc_curve(p).orderBy("x", "y").collect()
+    order = np.unique(z)[::-1]
+    assert len(roc) == len(order) + 1 and [round(r.y * (y == 1).sum()) for r in roc[1:]] == [int(((z >= t) & (y == 1)).sum()) for t in order]
+
+
+def test_categories_of_four_classes_and_unknown_names(spark):
+    rnd = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        label = int(rnd.integers(0, 4))
+        rows.append((i, "cpg_stats/cat_var", None, None, [float(k == label) for k in range(4)] if i % 20 else None, [float(x) for x in rnd.random(4).round(1)]))
+        rows.append((i, "cpg/x", float(label % 2), float(rnd.random()), None, None))
+    p = spark.createDataFrame(rows, "pos int, output string, y double, z double, y_classes array<double>, z_classes array<double>").withColumn("chromo", F.lit("1"))
+    got = {(r.output, r.metric): r.value for r in evaluation.evaluate_outputs(p).collect()}
+    own = [(np.array(r[4]), np.array(r[5])) for r in rows if r[4]]
+    assert got["cpg_stats/cat_var", "n"] == len(own) and abs(got["cpg_stats/cat_var", "cat_acc"] - np.mean([a.argmax() == b.argmax() for a, b in own])) < 1e-12
+    for k in range(4):
+        pos, neg = [b[k] for a, b in own if a[k]], [b[k] for a, b in own if not a[k]]
+        area = sum((x > w) + (x == w) / 2 for x in pos for w in neg) / (len(pos) * len(neg))
+        assert abs(got["cpg_stats/cat_var", f"auc_{k}"] - area) < 1e-12
+    assert {m for o, m in got if o == "cpg/x"} == {"auc", "acc", "tpr", "tnr", "f1", "mcc", "n"}
+    wide = evaluation.categorical(p.filter("y_classes IS NOT NULL").select("output", F.col("y_classes").alias("y"), F.col("z_classes").alias("z"))).first()
+    assert abs(wide.auc_3 - got["cpg_stats/cat_var", "auc_3"]) < 1e-12
+    with pytest.raises(Exception, match="no metrics are known"):
+        evaluation.evaluate_outputs(p.withColumn("output", F.lit("other/x"))).collect()
+    with pytest.raises(Exception, match="y_classes"):
+        evaluation.evaluate_outputs(p.drop("y_classes")).collect()
+    blocks = evaluation.chunked_evaluation(p.filter("output = 'cpg/x'"), F.expr("pos div 50"))
+    each = [evaluation.auc(p.filter(f"output = 'cpg/x' AND pos div 50 = {b}")).first().auc for b in range(4)]
+    assert abs({r.metric: r.value for r in blocks.collect()}["auc"] - np.mean(each)) < 1e-12
