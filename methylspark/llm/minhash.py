@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_by_size, staged
+from . import similar
 from .similar import _cells, _marked, _marks
-from .stars import star_components
+from .stars import near_roots, star_components, star_step
 
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
-#: Bands of each round; after them, what is left of large bands is compared block by block.
-ROUNDS = ((0, 2), (2, 8), (8, BANDS))
+#: Bands of each round; after them, what is left of bands of very many texts, if there are any, is compared block by block.
+ROUNDS = ((0, 4), (4, BANDS))
 #: How often a pair at the limit may fail the comparison of signatures.
 MISSES = 1e-9
 #: Words that are looked at together, whatever the length of a text.
@@ -180,16 +181,21 @@ def minhash_roots(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> Dat
     bands = staged(bands.join(shared, "key", "left_semi"), "minhash-bands")
     asked = bands.select("set_id").distinct()
     full = staged(full_sets(rows, sets.join(asked, "set_id", "left_semi").select("key", "set_id", "signature"), n), "minhash-sets")
-    roots = sets.sparkSession.createDataFrame([], "node string, root string")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    large = staged(sizes.filter((F.col("n") > 2 * similar.BLOCK_TEXTS) | (F.col("shingles") > 2 * similar.BLOCK_SHINGLES)).select("key"), "minhash-large")
+    rounds = [bands.filter(F.col("band").between(first, last - 1)) for first, last in ROUNDS]
+    if not large.isEmpty():
+        rounds.append(bands.join(large, "key", "left_semi"))
     links = None
-    for k, (first, last) in enumerate((*ROUNDS, (0, BANDS))):
-        own = bands.filter(F.col("band").between(first, last - 1))
-        own = own.join(roots, own.set_id == roots.node, "left").select("key", "set_id", "size", F.coalesce("root", "set_id").alias("root"))
-        more = staged(verified_links(_cells(own, k == len(ROUNDS)), full, percent), "minhash-links")
+    for k, own in enumerate(rounds):
+        own = own.withColumn("root", F.col("set_id"))
+        if links is not None:
+            roots = near_roots(links)
+            own = own.join(roots, own.set_id == roots.node, "left").select("key", "set_id", "size", F.coalesce(roots.root, "set_id").alias("root"))
+        more = staged(verified_links(_cells(own.select("key", "set_id", "size", "root"), k == len(ROUNDS)), full, percent), "minhash-links")
         if not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            roots = staged(star_components(links), "minhash-roots")
-    return roots
+            links = star_step(more if links is None else links.unionByName(more))
+    return sets.sparkSession.createDataFrame([], "node string, root string") if links is None else star_components(links)
 
 
 def minhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 85) -> DataFrame:
