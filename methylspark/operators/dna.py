@@ -42,6 +42,20 @@ def extract_dna_windows(sites: DataFrame, tiles: DataFrame, wlen: int, tile: int
     return met.select(*[c for c in sites.columns if c != "seq"], "seq", (F.substring("seq", half + 1, 2) == "CG").alias("is_cpg"))
 
 
+def fill_unknown(windows: DataFrame, seed: int = 0, wlen: int | None = None) -> DataFrame:
+    """``windows`` (``chromo, pos, seq``) with a letter for each that isn't A, T, G or C, given by a hash of seed, chromosome and position.
+
+    So windows that overlap agree on every letter, on any machine and in any run. The middle of ``seq`` stands at
+    ``pos``; all windows are ``wlen`` long, or as long as the row's own. Letters beyond the chromosome's ends are filled too. Null stays null.
+    """
+    half = F.floor((F.length("seq") if wlen is None else F.lit(wlen)) / 2)
+    digest = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), "chromo", (F.col("pos").cast("long") - half + i).cast("string")))
+    code = lambda i: (F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("long") % 4).cast("int")
+    letter = lambda x, i: F.when(x.isin(*LETTERS), x).otherwise(F.substring(F.lit(LETTERS), code(i) + 1, F.lit(1)))
+    filled = F.concat_ws("", F.transform(F.split(F.upper("seq"), ""), letter))
+    return windows.withColumn("seq", F.when(F.upper("seq").rlike(f"[^{LETTERS}]"), filled).otherwise(F.upper("seq")))
+
+
 def check_cpg_sites(windows: DataFrame) -> DataFrame:
     """Sites at which the sequence is not CG, or that lie outside of it."""
     return windows.filter("is_cpg IS NULL OR NOT is_cpg").select(*SITE, "seq")

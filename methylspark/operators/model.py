@@ -40,28 +40,38 @@ def predict_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFram
 
 #: Numbers of all models that are fitted together (for each output, as many as the square of its features).
 MAX_NUMBERS = 20_000_000
-_SUMS = "cell string, sums array<double>"
+_SUMS = "cell string, part long, sums array<double>"
+#: Partial sums of a cell that one task adds up.
+FAN_IN = 64
 
 
 def _summed(rows: DataFrame, p: int, of: Callable[[str, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
-    """For each cell the sum over its rows of what ``of(cell, features, labels, weights)`` gives for some of them."""
+    """For each cell the sum over its rows of what ``of(cell, features, labels, weights)`` gives for some of them.
+
+    Each task adds up its own rows; then ``FAN_IN`` partial sums of a cell meet at a time, in as many levels as that takes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+        part = 0
         for pdf in batches:
             x, cells = np.array(pdf["x"].tolist(), float).reshape(-1, p), pdf["cell"].to_numpy()
-            y, w = pdf["y"].to_numpy(float), pdf["weight"].to_numpy(float)
+            y, w, part = pdf["y"].to_numpy(float), pdf["weight"].to_numpy(float), int(pdf["part"].iat[0])
             for c in set(cells):
                 own = cells == c
                 total[c] = total.get(c, 0.0) + of(c, x[own], y[own], w[own])
         if total:
-            yield pd.DataFrame({"cell": list(total), "sums": list(total.values())})
+            yield pd.DataFrame({"cell": list(total), "part": part, "sums": list(total.values())})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": [key[0]], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})
-
-    parts = rows.mapInPandas(run, _SUMS).groupBy("cell").applyInPandas(add, _SUMS)  # a row of a cell from each task
-    return {r.cell: np.array(r.sums) for r in parts.collect()}  # within MAX_NUMBERS
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})
+
+    n = rows.rdd.getNumPartitions()  # of the plan; nothing runs
+    sums = rows.select("cell", "x", "y", "weight", F.spark_partition_id().alias("part")).mapInPandas(run, _SUMS)
+    while n > 1:
+        sums = sums.groupBy("cell", F.expr(f"part div {FAN_IN}").alias("part")).applyInPandas(add, _SUMS)
+        n = -(-n // FAN_IN)
+    return {r.cell: np.array(r.sums) for r in sums.collect()}  # within MAX_NUMBERS
 
 
 def fit_logistic(rows: DataFrame, p: int, iterations: int = 25, ridge: float = 0.01) -> dict[str, tuple[np.ndarray, float]]:

@@ -94,24 +94,86 @@ def activation_summary(windows: DataFrame, weights: DataFrame, bias: DataFrame |
     return rows.mapInPandas(run, schema)
 
 
+#: Steps of the ladder of quantiles that brackets a rank, and rows of a bracket that are sorted at last.
+LADDER, BRACKET = 64, 1 << 16
+
+
+def ranked_from_top(acts: DataFrame, ranks: dict[int, int]) -> dict[int, tuple[float, float]]:
+    """For each filter of ``ranks`` the ``act`` of that rank from the top (1 is the largest), and of the rank before it (of rank 1 itself).
+
+    No rows are sorted or ranked but those of a small bracket: Spark's quantile sketch, which merges partial results, gives a ladder of
+    values around the rank, exact counts say whether the bracket holds it, and the next pass looks at its rows only, until they
+    are few or all alike. A bracket that misses the rank (a sketch is approximate) is taken back and widened. State is a few numbers for
+    each filter; every filter must have as many rows as its rank.
+    """
+    spark = acts.sparkSession
+    lo, hi, above, inside, margin = ({f: x for f in ranks} for x in (float("-inf"), float("inf"), 0, None, 1))
+    found: dict[int, tuple[float, float]] = {}
+    first = lambda f: max(1, ranks[f] - 1)
+
+    def within(bounds: dict[int, tuple[float, float]]) -> DataFrame:
+        rows = spark.createDataFrame([(f, *b) for f, b in bounds.items()], "filter int, __lo double, __hi double")
+        low, high = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
+        return acts.filter(F.col("act").between(low, high)).join(F.broadcast(rows), "filter")  # a row for each filter
+
+    todo = set(ranks)
+    while todo:
+        rows = within({f: (lo[f], hi[f]) for f in todo}).filter("act BETWEEN __lo AND __hi")
+        ladder = F.percentile_approx("act", F.array(*[F.lit(i / LADDER) for i in range(LADDER + 1)]), F.lit(50 * LADDER))
+        steps = {r["filter"]: r for r in rows.groupBy("filter").agg(F.count("*").alias("n"), ladder.alias("q")).collect()}
+        tried = {}
+        for f, r in steps.items():
+            inside[f] = r.n
+            at = lambda rank: (r.n - (rank - above[f])) / r.n * LADDER  # noqa: B023, E731  steps below the rank
+            down, up = int(np.floor(at(ranks[f]))) - margin[f], int(np.ceil(at(first(f)))) + 1 + margin[f]
+            tried[f] = (r.q[down] if down > 0 else lo[f], r.q[up] if up < LADDER else hi[f])
+        counts = within(tried).groupBy("filter").agg(F.count_if(F.col("act") > F.col("__hi")).alias("above"), F.count_if(F.col("act").between(F.col("__lo"), F.col("__hi"))).alias("n"))
+        # what lies above the rows that were read is above every bracket in them
+        high = max(b[1] for b in tried.values())
+        beyond = {r["filter"]: r.n for r in acts.filter(F.col("act") > high).groupBy("filter").agg(F.count("*").alias("n")).collect()} if np.isfinite(high) else {}
+        last = set()
+        for r in counts.collect():
+            f, up = r["filter"], r.above + beyond.get(r["filter"], 0)
+            if up >= first(f) or up + r.n < ranks[f]:
+                margin[f] *= 4
+                continue
+            stuck = r.n == inside[f]
+            (lo[f], hi[f]), above[f], inside[f] = tried[f], up, r.n
+            if lo[f] == hi[f]:
+                found[f] = lo[f], lo[f]
+            elif r.n <= BRACKET or stuck:
+                last.add(f)
+        if last:
+            few = within({f: (lo[f], hi[f]) for f in last}).filter("act BETWEEN __lo AND __hi").groupBy("filter", "act").agg(F.count("*").alias("n"))
+            each = few.groupBy("filter").agg(F.sort_array(F.collect_list(F.struct("act", "n")), asc=False).alias("rows"))  # at most BRACKET, or few values
+            for r in each.collect():
+                f, seen, values = r["filter"], above[r["filter"]], []
+                for act, n in r["rows"]:
+                    values += [act for rank in (first(f), ranks[f]) if seen < rank <= seen + n]
+                    seen += n
+                found[f] = values[1], values[0]
+        todo -= set(found)
+    return found
+
+
 def activation_threshold(acts: DataFrame, n_positions: int, share: float = 0.5, most: int = 25_000) -> DataFrame:
     """``filter, threshold``: the larger of mean + share * (max - mean) and the value that ``most`` positions reach.
 
     ``acts`` has the positive activations; the other of the ``n_positions`` are zero. The
-    quantile is interpolated like a percentile of all positions, from the ranks next to it.
+    quantile is interpolated like a percentile of all positions, from the ranks next to it (``ranked_from_top``).
     """
     most = min(most, n_positions)
     at = (n_positions - 1) * (1 - most / n_positions)  # rank from 0, of all positions in order
     low, part = int(at), at - int(at)
-    from_top = lambda r: n_positions - r
-    stats = acts.groupBy("filter").agg((F.sum("act") / n_positions).alias("mean"), F.max("act").alias("max"), F.count("*").alias("n"))
-    keys = [c for c in acts.columns if c not in ("filter", "act")]
-    top = first_rows(acts, ["filter"], [F.desc("act")], from_top(low), keys).select("filter", "act", F.col("__rank").alias("r"))
-    ends = top.groupBy("filter").agg(F.max(F.when(F.col("r") == from_top(low), F.col("act"))).alias("a"), F.max(F.when(F.col("r") == from_top(low + 1), F.col("act"))).alias("b"))
-    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.coalesce("a", F.lit(0.0))) if low + 1 >= n_positions else F.coalesce("b", F.lit(0.0))
-    quantile = a + (b - a) * part
-    mean = F.col("mean")
-    return stats.join(ends, "filter", "left").select("filter", F.greatest(mean + share * (F.col("max") - mean), quantile).alias("threshold"))
+    rank = n_positions - low  # from the top
+    stats = acts.groupBy("filter").agg((F.sum("act") / n_positions).alias("mean"), F.max("act").alias("max"), F.min("act").alias("min"), F.count("*").alias("n"))
+    own = {r["filter"]: r for r in stats.collect()}  # a row for each filter
+    ends = ranked_from_top(acts, {f: rank for f, r in own.items() if r.n >= rank})
+    rows = []
+    for f, r in own.items():
+        a, b = ends.get(f, (0.0, r.min if r.n == rank - 1 else 0.0))  # beyond the activations all is zero
+        rows.append((f, max(r.mean + share * (r.max - r.mean), a + (b - a) * part)))
+    return acts.sparkSession.createDataFrame(rows, "filter int, threshold double")
 
 
 def activating_kmers(acts: DataFrame, windows: DataFrame, thresholds: DataFrame, filter_len: int, keys: list[str] = SITE) -> DataFrame:

@@ -10,9 +10,11 @@ from ..staging import staged
 from .running import running
 
 
-def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int = 4096) -> DataFrame:
+def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int = 4096, own: bool = False) -> DataFrame:
     """``chromo, pos, cell, state, dist``: arrays of 2k, left neighbours far to near, then right ones near to far.
 
+    With ``own`` also ``value``, what the profile has at the site itself.
+
     ``targets`` has ``chromo, pos, cell``; neighbours are the observed sites of the whole
     profile (one row per site and cell), the site itself left out. Slots without a
     neighbour are null.
@@ -39,7 +41,7 @@ def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int
     met = spread.withColumn("__slots", slots).filter("__t AND __bin = __own")
     return met.select(
         *SITE, "cell", F.transform("__slots", lambda x: x["value"]).alias("state"),
-        F.transform("__slots", lambda x: F.abs(x["pos"] - F.col("pos")).cast("double")).alias("dist"),
+        F.transform("__slots", lambda x: F.abs(x["pos"] - F.col("pos")).cast("double")).alias("dist"), *(["value"] if own else []),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import statistic
 from ..schema import BIN, SITE, need
+from ..staging import staged
 from .running import first_rows, running
 
 MAX_CELLS = 100_000
@@ -59,11 +60,15 @@ def duplicate_sites(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("cell", *SITE).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def gated(names: list[str], min_cells: int = 3) -> dict[str, Column]:
+    """Statistics of ``value`` over cells, by name; null where fewer than ``min_cells`` observe it."""
+    v = F.col("value")
+    return {n: F.when(F.count(v) >= min_cells, statistic(n)(v)) for n in names}
+
+
 def site_stats(profiles: DataFrame, names: list[str], min_cells: int = 3, by: list[str] = SITE) -> DataFrame:
     """Statistics over the cells of each site, null where fewer than ``min_cells`` observe it."""
-    v = F.col("value")
-    gate = F.count(v) >= min_cells
-    return profiles.groupBy(*by).agg(*[F.when(gate, statistic(n)(v)).alias(n) for n in names])
+    return profiles.groupBy(*by).agg(*[c.alias(n) for n, c in gated(names, min_cells).items()])
 
 
 def output_stats(outputs: DataFrame) -> DataFrame:
@@ -129,9 +134,28 @@ def shuffle_key(keys: list[str], seed: int = 0) -> Column:
 
 
 def sample_per_chromo(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each chromosome, those of smallest hash of seed and site."""
-    order = [shuffle_key(SITE, seed), *[F.col(c) for c in SITE]]
-    return first_rows(df, ["chromo"], order, n, SITE).drop("__rank")
+    """At most ``n`` rows of each chromosome, those of smallest hash of seed and site.
+
+    Rows are counted first, and of a chromosome of many rows only those below a hash that about ``n`` of
+    them lie under are moved and ranked. Should that be too few anywhere, those chromosomes are ranked
+    in full, so the rows are the same in any case.
+    """
+    key = shuffle_key(SITE, seed)
+    order = [key, *[F.col(c) for c in SITE]]
+    counts = staged(df.groupBy("chromo").agg(F.count("*").alias("__n")), "chromo-counts")
+    share = (n + 6 * n**0.5 + 10) / F.col("__n")  # six deviations more than needed
+    cut = counts.select(F.col("chromo").alias("__c"), "__n", F.least(share, F.lit(1.0)).alias("__share"))
+    unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))  # rises with the hash
+    few = df.join(cut, F.col("chromo").eqNullSafe(F.col("__c"))).filter(unit <= F.col("__share"))
+    few = staged(few.select(*df.columns), "sampled")
+    kept = few.groupBy(F.col("chromo").alias("__c")).agg(F.count("*").alias("__kept"))
+    short = counts.join(kept, F.col("chromo").eqNullSafe(F.col("__c")), "left").filter(F.coalesce("__kept", F.lit(0)) < F.least(F.lit(n), F.col("__n"))).select(F.col("chromo").alias("__c"))
+    out = first_rows(few, ["chromo"], order, n, SITE).drop("__rank")
+    if short.isEmpty():
+        return out
+    same = F.col("chromo").eqNullSafe(F.col("__c"))
+    again = first_rows(df.join(short, same, "left_semi"), ["chromo"], order, n, SITE).drop("__rank")
+    return out.join(short, same, "left_anti").unionByName(again)
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 0, n: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import statistic
@@ -10,28 +10,37 @@ from ..schema import SITE
 from .neighbors import knn_neighbors
 
 
+def cell_means(lengths: list[int]) -> list[Column]:
+    """``mean_<length>`` for rows of ``knn_neighbors`` with ``value``: the cell's mean in each window.
+
+    It is over the site itself (rounded half to even) and those of its k + k neighbours that are at most
+    half the length away; null where there is none.
+    """
+    near = F.arrays_zip(F.col("state").alias("s"), F.col("dist").alias("d"))
+    pairs = F.filter(F.concat(near, F.array(F.struct(F.bround(F.col("value")).alias("s"), F.lit(0.0).alias("d")))), lambda x: x["s"].isNotNull())
+
+    def mean(wlen: int) -> Column:
+        inside = F.filter(pairs, lambda x: x["d"] <= wlen // 2)
+        return F.try_divide(F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["s"]), F.size(inside))
+
+    return [mean(n).alias(f"mean_{n}") for n in lengths]
+
+
+def stats_of_means(names: list[str], length: int) -> dict[str, Column]:
+    """Statistics over cells of ``mean_<length>``, by name; null where no cell observes anything."""
+    v = F.col(f"mean_{length}")
+    return {n: F.when(F.count(v) > 0, statistic(n)(v)) for n in names}
+
+
 def window_stats(targets: DataFrame, profiles: DataFrame, names: list[str], lengths: list[int], k: int = 25) -> DataFrame:
-    """``chromo, pos, wlen`` and statistics over cells of each cell's mean in the window.
+    """``chromo, pos, wlen`` and statistics over cells of each cell's mean in the window (``cell_means``).
 
-    A cell's mean is over the site itself (rounded half to even) and those of its k + k
-    neighbours that are at most ``wlen // 2`` away. Statistics are null where no cell
-    observes anything. All lengths come from one pass over the neighbours.
+    All lengths come from one pass over the neighbours, and from one aggregation.
     """
-    near = knn_neighbors(targets, profiles, k)
-    own = F.bround(F.col("value"))
-    met = near.join(profiles.filter("value IS NOT NULL").select(*SITE, "cell", "value"), [*SITE, "cell"], "left")
-    pairs = F.concat(
-        F.arrays_zip(F.col("state").alias("s"), F.col("dist").alias("d")),
-        F.array(F.struct(own.alias("s"), F.lit(0.0).alias("d"))),
-    )
-    met = met.withColumn("__p", F.filter(pairs, lambda x: x["s"].isNotNull()))
-
-    def mean(wlen: int):
-        inside = F.filter("__p", lambda x: x["d"] <= wlen // 2)
-        return F.struct(F.lit(wlen).alias("wlen"), F.try_divide(F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["s"]), F.size(inside)).alias("mean"))
-
-    rows = met.select(*SITE, "cell", F.inline(F.array(*[mean(n) for n in lengths])))
-    return rows.groupBy(*SITE, "wlen").agg(*[F.when(F.count("mean") > 0, statistic(n)(F.col("mean"))).alias(n) for n in names])
+    near = knn_neighbors(targets, profiles, k, own=True).select(*SITE, *cell_means(lengths))
+    one = lambda n: F.struct(F.lit(n).alias("wlen"), *[c.alias(m) for m, c in stats_of_means(names, n).items()]).alias(f"__{n}")
+    wide = near.groupBy(*SITE).agg(*[one(n) for n in lengths])
+    return wide.select(*SITE, F.inline(F.array(*[F.col(f"__{n}") for n in lengths])))
 
 
 def range_window_stats(targets: DataFrame, profiles: DataFrame, names: list[str], wlen: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import statistic
 from ..operators import dna, evaluation, intervals, motifs, neighbors, sites, windows
 from ..schema import SITE
+from ..staging import bucketed, staged
 
 
 def site_table(profiles: DataFrame, names: list[str], min_cells: int = 1, gate: int = 3) -> DataFrame:
@@ -22,31 +23,35 @@ def feature_table(
     profiles: DataFrame, cells: list[str], k: int = 25, names: list[str] = ["mean", "var", "diff"], lengths: list[int] = [1001],
     tracks: DataFrame | None = None, tiles: DataFrame | None = None, wlen: int = 1001, min_cells: int = 1, tile: int = dna.TILE,
 ) -> DataFrame:
-    """One row per site: states and neighbours of each cell, statistics, flags of tracks and the sequence window."""
-    targets = sites.coverage_filter(profiles, min_cells).select(*SITE)
-    grid = sites.map_to_positions(targets, profiles, cells)
-    near = neighbors.knn_neighbors(grid, profiles, k)
-    by_cell = grid.join(near, [*SITE, "cell"]).groupBy(*SITE).agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", F.struct("value", "state", "dist")))).alias("cells")  # as many as there are cells
-    )
-    out = by_cell.join(sites.site_stats(profiles, names), SITE, "left")
-    win = windows.window_stats(grid, profiles, names, lengths, k)
-    for n in lengths:
-        own = win.filter(F.col("wlen") == n).select(*SITE, *[F.col(c).alias(f"win_{n}_{c}") for c in names])
-        out = out.join(own, SITE, "left")
+    """One row per site: states and neighbours of each cell, statistics, flags of tracks and the sequence window.
+
+    Profiles and neighbours are written once each, in buckets of sites: the sites' coverage, the grid, statistics over cells and
+    in windows, and the joins between them need no exchange. Neighbours are searched for once.
+    """
+    own = bucketed(profiles.select(*SITE, "cell", "value"), "profiles", SITE)
+    seen = own.groupBy(*SITE).agg(F.count("value").alias("cov"), *[c.alias(n) for n, c in sites.gated(names).items()]).filter(F.col("cov") >= min_cells)
+    grid = seen.select(*SITE, F.explode(F.array(*[F.lit(c) for c in cells])).alias("cell"))
+    near = bucketed(neighbors.knn_neighbors(grid, own, k, own=True).select("*", *windows.cell_means(lengths)), "neighbours", SITE)
+    wide = [c.alias(f"win_{n}_{m}") for n in lengths for m, c in windows.stats_of_means(names, n).items()]
+    by_cell = F.map_from_entries(F.collect_list(F.struct("cell", F.struct("value", "state", "dist")))).alias("cells")
+    out = near.groupBy(*SITE).agg(by_cell, *wide).join(seen.select(*SITE, *names), SITE)
+    targets = seen.select(*SITE)
     if tracks is not None:
-        flags = intervals.annotate_sites(targets, tracks).filter("flag = 1").groupBy(*SITE).agg(F.sort_array(F.collect_set("track")).alias("tracks"))
-        out = out.join(flags, SITE, "left")
+        out = out.join(intervals.tracks_of_sites(targets, tracks), SITE, "left")
     if tiles is not None:
         out = out.join(dna.extract_dna_windows(targets, tiles, wlen, tile).select(*SITE, "seq"), SITE, "left")
     return out
 
 
-def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Metrics and curves, global and per track."""
-    rows = evaluation.annotated(preds, tracks, min_sites)
+def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100, points: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metrics, and curves of binary outputs (at most ``points`` each), global and per track; annotated predictions are written once."""
+    kept = [*SITE, "output", "y", "z", *[c for c in evaluation.CLASSES if c in preds.columns]]
+    rows = staged(evaluation.annotated(preds.select(*kept), tracks, min_sites), "annotated")
     keys = ["anno", "output"]
-    curves = evaluation.roc_curve(rows, keys).withColumn("curve", F.lit("roc")).unionByName(evaluation.pr_curve(rows, keys).withColumn("curve", F.lit("pr")))
+    roc, pr = evaluation.roc_curve(rows, keys), evaluation.pr_curve(rows, keys)
+    if points is not None:
+        roc, pr = (evaluation.thin_curve(c, points, keys) for c in (roc, pr))
+    curves = roc.withColumn("curve", F.lit("roc")).unionByName(pr.withColumn("curve", F.lit("pr")))
     return evaluation.evaluate_outputs(rows, keys), curves
 
 

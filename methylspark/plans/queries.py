@@ -506,10 +506,14 @@ def chunked_evaluation(s, d):
     return r6(evaluation.chunked_evaluation(a.all_outputs(s, d), F.expr("pos div 250")))
 
 
-_CURVE = """cum AS (SELECT output, z, sum(p) OVER (PARTITION BY output ORDER BY z DESC) AS tp, sum(q) OVER (PARTITION BY output ORDER BY z DESC) AS fp,
-    sum(p) OVER (PARTITION BY output) AS ap, sum(q) OVER (PARTITION BY output) AS aq FROM sc WHERE regexp_matches(output, '^cpg/|diff$|mode$')),
-    roc_points AS (SELECT output, fp / nullif(aq, 0) AS x, tp / nullif(ap, 0) AS y, z AS thr FROM cum UNION ALL SELECT DISTINCT output, 0, 0, NULL FROM cum),
-    pr_points AS (SELECT output, tp / nullif(tp + fp, 0) AS x, tp / nullif(ap, 0) AS y, z AS thr FROM cum)"""
+def _curve_sql(by: str) -> str:
+    return f"""cum AS (SELECT {by}, z, sum(p) OVER (PARTITION BY {by} ORDER BY z DESC) AS tp, sum(q) OVER (PARTITION BY {by} ORDER BY z DESC) AS fp,
+    sum(p) OVER (PARTITION BY {by}) AS ap, sum(q) OVER (PARTITION BY {by}) AS aq FROM sc WHERE regexp_matches(output, '^cpg/|diff$|mode$')),
+    roc_points AS (SELECT {by}, fp / nullif(aq, 0) AS x, tp / nullif(ap, 0) AS y, z AS thr FROM cum UNION ALL SELECT DISTINCT {by}, 0, 0, NULL FROM cum),
+    pr_points AS (SELECT {by}, tp / nullif(tp + fp, 0) AS x, tp / nullif(ap, 0) AS y, z AS thr FROM cum)"""
+
+
+_CURVE = _curve_sql("output")
 
 
 @query(f"WITH {metrics_sql('named_outputs', 'output')}, {_CURVE} SELECT output, round(x, 6) AS x, round(y, 6) AS y, thr FROM roc_points", "named_outputs")
@@ -553,6 +557,28 @@ def evaluate_by_annotation(s, d):
     return r6(evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20))
 
 
+@query(
+    f"""WITH {_ANNO}, {metrics_sql('anno_rows', 'anno, output')}, {_curve_sql('anno, output')},
+    num AS (SELECT *, row_number() OVER (PARTITION BY anno, output, curve ORDER BY thr DESC NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY anno, output, curve) AS n
+      FROM (SELECT *, 'roc' AS curve FROM roc_points UNION ALL BY NAME SELECT *, 'pr' AS curve FROM pr_points))
+    SELECT anno, output, curve, round(x, 6) AS x, round(y, 6) AS y, thr FROM num WHERE n <= 10 OR i IN (SELECT k * (num.n - 1) // 9 FROM range(10) r(k))""",
+    "named_outputs intervals sites",
+)
+def curves_by_annotation(s, d):
+    """The curves of the evaluation report, at most ten points each."""
+    return r6(features.evaluation_report(a.named_outputs(s, d), a.intervals(s, d), 20, points=10)[1])
+
+
+@query(
+    f"""WITH {_ANNO}, fc AS (SELECT f.anno, c.* FROM classes c JOIN flags f USING (chromo, pos) WHERE f.anno IN (SELECT anno FROM enough) UNION ALL BY NAME SELECT *, 'global' AS anno FROM classes),
+    {_long_sql('anno_rows', 'anno, output')}, {_cat_sql('fc', 'anno, output')} SELECT anno, output, metric, round(value, 6) AS value FROM (SELECT * FROM lng UNION ALL BY NAME SELECT * FROM cat)""",
+    "named_outputs classes intervals sites",
+)
+def evaluation_report(s, d):
+    """The metrics of the evaluation report, categorical outputs included."""
+    return r6(features.evaluation_report(a.all_outputs(s, d), a.intervals(s, d), 20)[0])
+
+
 _MODELS = f"""{_ANNO}, {_long_sql('anno_rows', 'anno, output')}, metrics AS (SELECT anno, 'm' || (ascii(right(output, 1)) % 3) AS model, output, metric, value FROM lng)"""
 
 
@@ -623,13 +649,13 @@ def extract_dna_windows(s, d):
 
 
 @query(
-    """WITH p AS (SELECT chromo, seq, unnest([1, 7, length(seq), length(seq) + 3]) AS pos FROM sequences WHERE length(seq) > 20)
-       SELECT chromo, pos, CASE WHEN pos <= length(seq) THEN repeat('N', greatest(0, 3 - pos)::INT) || substr(seq, greatest(1, pos - 2)::INT, (least(length(seq), pos + 2) - greatest(1, pos - 2) + 1)::INT)
-       || repeat('N', greatest(0, pos + 2 - length(seq))::INT) END AS seq FROM p WHERE pos > length(seq) OR substr(seq, pos::INT, 2) <> 'CG'""",
+    """WITH p AS (SELECT chromo, seq, unnest([1, 7, length(seq), length(seq) + 3]) AS pos FROM sequences)
+       SELECT chromo, pos, CASE WHEN pos BETWEEN 1 AND length(seq) THEN repeat('N', greatest(0, 3 - pos)::INT) || substr(seq, greatest(1, pos - 2)::INT, (least(length(seq), pos + 2) - greatest(1, pos - 2) + 1)::INT)
+       || repeat('N', greatest(0, pos + 2 - length(seq))::INT) END AS seq FROM p WHERE pos NOT BETWEEN 1 AND length(seq) OR substr(seq, pos::INT, 2) <> 'CG'""",
     "sequences",
 )
 def check_cpg_sites(s, d):
-    q = a.sequences(s, d).filter(F.length("seq") > 20)
+    q = a.sequences(s, d)
     at = q.select("chromo", F.explode(F.array(F.lit(1), F.lit(7), F.length("seq"), F.length("seq") + 3)).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
     return dna.check_cpg_sites(dna.extract_dna_windows(at, dna.cut_tiles(q, 8, 128), 5, 128))
 
@@ -851,8 +877,8 @@ def effect_profile(s, d):
 
 
 _REPORT = """stats AS (SELECT filter AS idx, max(weight) AS act_mean FROM filters GROUP BY filter),
-    hits AS (SELECT (s_suppkey % 24)::INT AS idx, 'm' || (s_nationkey % 30) AS target_id, ((s_suppkey * 37) % 50)::DOUBLE / 100 AS q_value FROM supplier),
-    names AS (SELECT 'm' || n_nationkey AS id, n_name AS protein, 'r' || n_regionkey AS url FROM nation WHERE n_nationkey < 20),
+    hits AS (SELECT (s_suppkey % 24)::INT AS idx, 'm' || (s_nationkey + s_suppkey % 5) AS target_id, ((s_suppkey * 37) % 50)::DOUBLE / 100 AS q_value FROM supplier),
+    names AS (SELECT 'm' || n_nationkey AS id, n_name AS protein, 'r' || n_regionkey AS url FROM nation),
     report AS (SELECT coalesce(s.idx, h.idx) AS idx, act_mean, target_id, q_value, protein, url FROM stats s FULL JOIN hits h ON s.idx = h.idx LEFT JOIN names n ON n.id = h.target_id)"""
 
 
@@ -860,9 +886,9 @@ def _report(s, d):
     """Suppliers as hits of filters with motifs, nations as motifs."""
     stats = a.filter_weights(s, d).groupBy(F.col("filter").alias("idx")).agg(F.max("weight").alias("act_mean"))
     hits = s.read.parquet(f"{d}/supplier.parquet").select(
-        (F.col("s_suppkey") % 24).cast("int").alias("idx"), F.concat(F.lit("m"), F.col("s_nationkey") % 30).alias("target_id"), ((F.col("s_suppkey") * 37 % 50).cast("double") / 100).alias("q_value")
+        (F.col("s_suppkey") % 24).cast("int").alias("idx"), F.concat(F.lit("m"), F.col("s_nationkey") + F.col("s_suppkey") % 5).alias("target_id"), ((F.col("s_suppkey") * 37 % 50).cast("double") / 100).alias("q_value")
     )
-    nations = s.read.parquet(f"{d}/nation.parquet").filter("n_nationkey < 20")
+    nations = s.read.parquet(f"{d}/nation.parquet")
     known = nations.select(F.concat(F.lit("m"), "n_nationkey").alias("id"), F.col("n_name").alias("protein"), F.concat(F.lit("r"), "n_regionkey").alias("url"))
     return motifs.motif_report(stats, hits, known).select("idx", "act_mean", "target_id", "q_value", "protein", "url")
 
@@ -883,6 +909,12 @@ def top_hit_per_filter(s, d):
 
 # --- whole tables ---
 
+
+@query(f"WITH {_WINDOWS}, {_THR}, {_KMERS} SELECT filter, \"offset\", nt, round(freq, 6) AS freq, nb_site FROM pw", _MOTIF)
+def motif_table(s, d):
+    """The position weights of the motif plan, which scans once for thresholds and once for what passes them."""
+    return r6(features.motif_table(staged(_windows(s, d), "windows"), a.filter_weights(s, d), FLEN, WLEN)[1])
+
 _WIN = f"""p AS (SELECT chromo, pos, cell, {_PAIRS} AS p FROM near), wm AS (SELECT chromo, pos, cell, list_avg(list_transform(list_filter(p, lambda x: x.d <= 50), lambda x: x.s)) AS m FROM p)"""
 
 
@@ -918,6 +950,17 @@ def feature_table_dna(s, d):
     return r6(t.select(*SITE, cells, "mean", "seq"))
 
 
+@query(
+    """SELECT chromo, pos, array_to_string([CASE WHEN contains('ATGC', substr(w, i::INT + 1, 1)) THEN substr(w, i::INT + 1, 1)
+         ELSE substr('ATGC', (('0x' || substr(md5(concat_ws('|', '5', chromo, pos - 10 + i)), 1, 8))::BIGINT % 4)::INT + 1, 1) END FOR i IN range(21)], '') AS seq
+       FROM (SELECT chromo, pos, repeat('N', greatest(0, 10 - pos + 1)::INT) || substr(seq, greatest(1, pos - 10)::INT, (least(length(seq), pos + 10) - greatest(1, pos - 10) + 1)::INT)
+         || repeat('N', greatest(0, pos + 10 - length(seq))::INT) AS w FROM cpgs)""",
+    "cpgs",
+)
+def fill_unknown(s, d):
+    return dna.fill_unknown(dna.extract_dna_windows(a.cpg_positions(s, d), dna.cut_tiles(a.sequences(s, d), 16, 256), 21, 256), seed=5).select(*SITE, "seq")
+
+
 # --- models ---
 
 
@@ -956,3 +999,16 @@ def predict_batches(s, d):
 @query()
 def fit_output_models(s, d):
     return r6(model.fit_output_models(_inputs(s, d), a.CELLS))
+
+
+@query(
+    f"""WITH {_LABELS.replace('named_outputs', 'predictions').replace('output, y', "output, cell, y")}, {_WEIGHTS}, w AS (SELECT output, class, w / sum(w) OVER (PARTITION BY output) AS weight FROM raw)
+    SELECT output, round(sum(value * weight) / sum(weight), 6) AS mean FROM labels_ JOIN w USING (output) WHERE class = value::INT GROUP BY output""",
+    "predictions",
+)
+def fit_output_balance(s, d):
+    """At the best fit, the weighted mean of the predictions is that of the labels."""
+    inputs = staged(_inputs(s, d), "inputs")
+    z = model.fit_output_models(inputs, a.CELLS)
+    met = z.filter("y IS NOT NULL").join(inputs.select(*SITE, F.concat(F.lit("cpg/"), "cell").alias("output"), "weight"), [*SITE, "output"])
+    return r6(met.groupBy("output").agg((F.sum(F.col("z") * F.col("weight")) / F.sum("weight")).alias("mean")))

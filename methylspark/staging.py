@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 _written: dict[str, list[str]] = {}
 
 
@@ -46,6 +47,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Like ``staged``, dealt out by a hash of ``keys`` into as many buckets as there are shuffle partitions.
+
+    Tables of the same keys and number of buckets are joined and grouped by them without an exchange: one
+    shuffle, when they are written, serves all. It is a table of the catalogue until ``clear``.
+    """
+    spark = df.sparkSession
+    path, n = scratch_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("compression", "zstd").option("path", path).saveAsTable(name, format="parquet")
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call for this
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -60,5 +75,7 @@ def unstage(*dfs: DataFrame) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has staged. Call it once results are written: until then they read it."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _written.pop(spark.sparkContext.applicationId, []):
         _delete(spark, path)

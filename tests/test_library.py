@@ -503,3 +503,80 @@ def test_categories_of_four_classes_and_unknown_names(spark):
     blocks = evaluation.chunked_evaluation(p.filter("output = 'cpg/x'"), F.expr("pos div 50"))
     each = [evaluation.auc(p.filter(f"output = 'cpg/x' AND pos div 50 = {b}")).first().auc for b in range(4)]
     assert abs({r.metric: r.value for r in blocks.collect()}["auc"] - np.mean(each)) < 1e-12
+
+
+def test_feature_table_joins_buckets_without_exchange(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(str(c), int(p), cell, float(rnd.integers(0, 2))) for c in (1, 2) for p in range(0, 600, 7) for cell in "ab" if rnd.random() < 0.7]
+    p = spark.createDataFrame(rows, "chromo string, pos int, cell string, value double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = features.feature_table(p, ["a", "b"], 3, ["mean", "var"], [21, 101])
+    got = t.collect()
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    stats = {(r.chromo, r.pos, r.wlen): r for r in windows.window_stats(sites.map_to_positions(p.select("chromo", "pos").distinct(), p), p, ["mean", "var"], [21, 101], 3).collect()}
+    own = {(r.chromo, r.pos): r for r in sites.site_stats(p, ["mean", "var"]).collect()}
+    assert len(got) == len(own)
+    for r in got:
+        assert (r.mean, r["var"]) == (own[r.chromo, r.pos].mean, own[r.chromo, r.pos]["var"])
+        assert all(abs(r[f"win_{n}_mean"] - stats[r.chromo, r.pos, n].mean) < 1e-12 and abs(r[f"win_{n}_var"] - stats[r.chromo, r.pos, n]["var"]) < 1e-12 for n in (21, 101))
+    names = [r.tableName for r in spark.sql("SHOW TABLES").collect()]
+    staging.clear(spark)
+    assert names and not spark.sql("SHOW TABLES").collect()
+
+
+def test_ranks_from_the_top_without_sorting(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    values = {0: rnd.random(3000), 1: np.round(rnd.random(3000), 1) + 0.1, 2: np.full(500, 2.0), 3: rnd.exponential(1, 50), 4: np.r_[np.full(2000, 0.5), rnd.random(30)]}
+    acts = spark.createDataFrame([(f, i, float(x)) for f, v in values.items() for i, x in enumerate(v)], "filter int, pos int, act double").cache()
+    for bracket, ranks in ((20, {0: 1000, 1: 700, 2: 17, 3: 50, 4: 12}), (20, {0: 1, 1: 3000, 2: 500, 3: 2, 4: 2025}), (1 << 16, {0: 2999, 1: 1, 4: 1})):
+        monkeypatch.setattr(motifs, "BRACKET", bracket)
+        got = motifs.ranked_from_top(acts, ranks)
+        top = {f: np.sort(values[f])[::-1] for f in ranks}
+        assert got == {f: (top[f][r - 1], top[f][max(r - 2, 0)]) for f, r in ranks.items()}
+    assert motifs.ranked_from_top(acts, {}) == {}
+
+
+def test_sample_by_threshold_is_the_full_ranking(spark, monkeypatch):
+    df = spark.createDataFrame([(c, i) for c, n in (("1", 3000), ("2", 40), (None, 500), ("X", 1)) for i in range(n)], "chromo string, pos int")
+    full = first_rows(df, ["chromo"], [sites.shuffle_key(["chromo", "pos"], 9), F.col("chromo"), F.col("pos")], 50, ["chromo", "pos"])
+    rows = lambda x: sorted(map(tuple, x.select("chromo", "pos").collect()), key=str)
+    expected = rows(full)
+    assert len(expected) == 50 + 40 + 50 + 1 and rows(sites.sample_per_chromo(df, 50, 9)) == expected
+    real = F.conv  # hashes that seem larger than they are: too few pass, so all are ranked
+    monkeypatch.setattr(sites.F, "conv", lambda *x: real(*x) * 100)
+    assert rows(sites.sample_per_chromo(df, 50, 9)) == expected
+    monkeypatch.undo()
+    assert sites.sample_per_chromo(df.limit(0), 50).count() == 0
+
+
+def test_logistic_by_a_tree_of_sums(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    x, w = rnd.normal(size=(400, 3)), rnd.random(400) + 0.5
+    y = (rnd.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] + 0.3)))).astype(float)
+    df = spark.createDataFrame([("c" if i % 2 else "d", [float(v) for v in x[i]], float(y[i]), float(w[i])) for i in range(400)], "cell string, x array<double>, y double, weight double").repartition(9)
+    monkeypatch.setattr(model, "FAN_IN", 2)
+    got = model.fit_logistic(df, 3)
+    for cell, own in (("c", np.arange(1, 400, 2)), ("d", np.arange(0, 400, 2))):
+        mean = w[own] @ x[own] / w[own].sum()
+        scale = 1 / np.sqrt(w[own] @ x[own] ** 2 / w[own].sum() - mean**2)
+        a, b = np.c_[(x[own] - mean) * scale, np.ones(len(own))], np.zeros(4)
+        for _ in range(50):  # Newton's method on all rows at once
+            z = 1 / (1 + np.exp(-a @ b))
+            v = w[own] / w[own].sum()
+            b = b - np.linalg.solve((a * (v * z * (1 - z))[:, None]).T @ a + np.diag([0.01] * 3 + [0]), a.T @ (v * (z - y[own])) + np.r_[0.01 * b[:3], 0])
+        assert np.allclose(got[cell][0], b[:3] * scale, atol=1e-7) and abs(got[cell][1] - (b[3] - b[:3] @ (mean * scale))) < 1e-7
+
+
+def test_unknown_letters_are_filled_alike(spark):
+    seq = "NNACGTNRNNACCNNTTGNN"
+    at = spark.createDataFrame([("1", p) for p in range(1, 21)] + [("2", 5)], "chromo string, pos long")
+    tiles = dna.cut_tiles(spark.createDataFrame([("1", seq), ("2", seq)], "chromo string, seq string"), 8, 8)
+    found = {}
+    for r in dna.fill_unknown(dna.extract_dna_windows(at, tiles, 7, 8)).collect():
+        for i, x in enumerate(r.seq):
+            found.setdefault((r.chromo, r.pos - 3 + i), set()).add(x)
+    assert all(len(v) == 1 and v <= set("ATGC") for v in found.values())
+    assert all(found["1", i + 1] == {x} for i, x in enumerate(seq) if x in "ATGC")
+    assert len({next(iter(found["1", p])) for p in (1, 2, 7, 8, 9, 10, 14, 15, 19, 20)}) > 1
