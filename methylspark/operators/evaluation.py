@@ -7,6 +7,7 @@ observed) and the prediction ``z``. All functions take the key columns of a grou
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -198,6 +199,44 @@ def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     )
 
 
+#: Metrics that callers have added, by name: aggregates of the label and the prediction.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {}
+#: Metrics of ``summary``, and Kendall's tau.
+KNOWN = ("auc", "acc", "tpr", "tnr", "prec", "fpr", "fnr", "f1", "mcc", "mse", "rmse", "mad", "cor", "kendall", "n")
+#: Other names of metrics.
+ALIASES = {"mae": "mad", "sensitivity": "tpr", "specificity": "tnr", "precision": "prec"}
+
+
+def register_metric(name: str, of: Callable[[Column, Column], Column]) -> None:
+    """Adds a metric: ``of`` makes an aggregate column of the columns of observed labels and predictions. Names of known metrics can't be taken."""
+    if (name := name.lower()) in KNOWN or name in ALIASES:
+        raise ValueError(f"{name!r} is a known metric")
+    METRICS[name] = of
+
+
+def metric_names(names: list[str]) -> list[str]:
+    """The names in lower case, other names replaced, or an error that lists all there are."""
+    found = [ALIASES.get(n.lower(), n.lower()) for n in names]
+    if unknown := [n for n in found if n not in KNOWN and n not in METRICS]:
+        raise ValueError(f"no metric {', '.join(unknown)}; there are {', '.join((*KNOWN, *METRICS))}")
+    return list(dict.fromkeys(found))
+
+
+def evaluate_metrics(preds: DataFrame, metrics: list[str], by: list[str] = ["output"]) -> DataFrame:
+    """``by, metric, value``: the metrics of these names for every group, whatever its output is called. A caller's own are those of ``register_metric``."""
+    names = metric_names(metrics)
+    own, counted = [n for n in names if n in METRICS], [n for n in names if n in KNOWN and n != "kendall"]
+    parts = []
+    if counted:
+        parts.append(summary(preds, by).unpivot(by, counted, "metric", "value"))
+    if own:
+        wide = observed(preds).groupBy(*by).agg(*[METRICS[n](F.col("y"), F.col("z")).cast("double").alias(n) for n in own])
+        parts.append(wide.unpivot(by, own, "metric", "value"))
+    if "kendall" in names:
+        parts.append(kendall(preds, by).select(*by, F.lit("kendall").alias("metric"), F.col("kendall").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     """``by, metric, value``: the metrics that the output's name calls for, and ``n``.
 
@@ -261,6 +300,17 @@ def pr_curve(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     return c.select(*by, F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("x"), F.try_divide("tp", "all_pos").alias("y"), F.col("z").alias("thr"))
 
 
+CURVES: dict[str, Callable[..., DataFrame]] = {"roc": roc_curve, "pr": pr_curve}
+
+
+def curve(name: str) -> Callable[..., DataFrame]:
+    """The curve of a name in any case, or an error that lists them; callers may add their own to ``CURVES``."""
+    try:
+        return CURVES[name.lower()]
+    except KeyError:
+        raise ValueError(f"no curve {name!r}; there are {', '.join(CURVES)}") from None
+
+
 def thin_curve(curve: DataFrame, n: int, by: list[str] = ["output"]) -> DataFrame:
     """At most ``n`` points of each curve, evenly spaced along falling thresholds, ends included."""
     t = F.coalesce(-F.col("thr"), F.lit(float("-inf")))
@@ -292,10 +342,16 @@ def annotated(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> D
     return preds.withColumn("anno", F.lit("global")).unionByName(local)
 
 
-def evaluate_by_annotation(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> DataFrame:
-    """``anno, output, metric, value``; the annotated predictions are written once, as several aggregations read them."""
+def evaluate_by_annotation(preds: DataFrame, intervals: DataFrame, min_sites: int = 100, metrics: list[str] | None = None) -> DataFrame:
+    """``anno, output, metric, value``: what the outputs' names call for, or the ``metrics`` named (``evaluate_metrics``).
+
+    The annotated predictions are written once, as several aggregations read them.
+    """
     rows = preds.select(*SITE, "output", "y", "z", *[c for c in CLASSES if c in preds.columns])
-    return evaluate_outputs(staged(annotated(rows, intervals, min_sites), "annotated"), ["anno", "output"])
+    if metrics is not None:
+        metrics = metric_names(metrics)  # a wrong name is an error before anything runs
+    rows, keys = staged(annotated(rows, intervals, min_sites), "annotated"), ["anno", "output"]
+    return evaluate_outputs(rows, keys) if metrics is None else evaluate_metrics(rows, metrics, keys)
 
 
 def compare_models(metrics: DataFrame, names: list[str]) -> DataFrame:

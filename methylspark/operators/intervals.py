@@ -32,8 +32,9 @@ def group_intervals(intervals: DataFrame, by: list[str], bin_size: int = BIN) ->
     bin = F.floor(F.col("start") / bin_size)
     seen = running(intervals, by, ["start", "end"], bin, {"__end": ("max", F.col("end"))}, before=True)
     new = F.coalesce((F.col("start") > F.col("__end")).cast("int"), F.lit(1))
-    flagged = seen.withColumn("__new", new)
-    out = running(flagged, by, ["start", "end", "__new"], bin, {"group": ("sum", F.col("__new"))})
+    # of equal intervals the one that begins a group comes first
+    flagged = seen.withColumn("__new", new).withColumn("__old", 1 - F.col("__new"))
+    out = running(flagged, by, ["start", "end", "__old"], bin, {"group": ("sum", F.col("__new"))})
     return out.select(*intervals.columns, (F.col("group") - 1).alias("group"))
 
 

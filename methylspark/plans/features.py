@@ -43,16 +43,16 @@ def feature_table(
     return out
 
 
-def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100, points: int | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100, points: int | None = None, curves: list[str] = ["roc", "pr"]) -> tuple[DataFrame, DataFrame]:
     """Metrics, and curves of binary outputs (at most ``points`` each), global and per track; annotated predictions are written once."""
     kept = [*SITE, "output", "y", "z", *[c for c in evaluation.CLASSES if c in preds.columns]]
+    keys, found = ["anno", "output"], {name: evaluation.curve(name) for name in curves}
     rows = staged(evaluation.annotated(preds.select(*kept), tracks, min_sites), "annotated")
-    keys = ["anno", "output"]
-    roc, pr = evaluation.roc_curve(rows, keys), evaluation.pr_curve(rows, keys)
-    if points is not None:
-        roc, pr = (evaluation.thin_curve(c, points, keys) for c in (roc, pr))
-    curves = roc.withColumn("curve", F.lit("roc")).unionByName(pr.withColumn("curve", F.lit("pr")))
-    return evaluation.evaluate_outputs(rows, keys), curves
+    each = []
+    for name, of in found.items():
+        points_of = of(rows, keys)
+        each.append((points_of if points is None else evaluation.thin_curve(points_of, points, keys)).withColumn("curve", F.lit(name)))
+    return evaluation.evaluate_outputs(rows, keys), sites.concat_tables(*each)
 
 
 def motif_table(windows_: DataFrame, weights: DataFrame, filter_len: int, wlen: int, keys: list[str] = SITE) -> tuple[DataFrame, DataFrame]:

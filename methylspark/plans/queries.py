@@ -557,6 +557,19 @@ def evaluate_by_annotation(s, d):
     return r6(evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20))
 
 
+@query(
+    f"""WITH {_ANNO}, {metrics_sql('anno_rows', 'anno, output')}, b AS (SELECT anno, output, avg((y - z) * (y - z)) AS brier, count(*) FILTER (abs(y - z) > 0.5)::DOUBLE AS far FROM obs GROUP BY ALL),
+    w AS (SELECT anno, output, acc, prec, auc, brier, far FROM cls JOIN roc USING (anno, output) JOIN b USING (anno, output))
+    SELECT anno, output, metric, round(value, 6) AS value FROM (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (acc, prec, auc, brier, far)))""",
+    "named_outputs intervals sites",
+)
+def metrics_by_name(s, d):
+    """Metrics by name, two of them added by the caller."""
+    evaluation.register_metric("brier", lambda y, z: F.avg((y - z) * (y - z)))
+    evaluation.register_metric("far", lambda y, z: F.count_if(F.abs(y - z) > 0.5))
+    return r6(evaluation.evaluate_by_annotation(a.named_outputs(s, d), a.intervals(s, d), 20, ["ACC", "precision", "auc", "brier", "far"]))
+
+
 @query(
     f"""WITH {_ANNO}, {metrics_sql('anno_rows', 'anno, output')}, {_curve_sql('anno, output')},
     num AS (SELECT *, row_number() OVER (PARTITION BY anno, output, curve ORDER BY thr DESC NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY anno, output, curve) AS n

@@ -19,19 +19,46 @@ def spans(spark, rows):
     return spark.createDataFrame([("1", a, b) for a, b in rows], "chromo string, start int, end int")
 
 
-def test_merge_intervals(spark):
-    rows = [(1, 2), (3, 4), (4, 5), (6, 8), (8, 8), (8, 9), (10, 15), (10, 11), (11, 14), (14, 16)]
-    for size in (2, 7, 1 << 16):
-        got = intervals.merge_intervals(spans(spark, rows), ["chromo"], size).orderBy("start").collect()
-        assert [(r.start, r.end) for r in got] == [(1, 2), (3, 5), (6, 9), (10, 16)]
+def random_spans(seed, n, high, longest):
+    rnd = np.random.default_rng(seed)
+    return [(int(a), int(a + k)) for a, k in zip(rnd.integers(-5, high, n), rnd.integers(0, longest, n))]
+
+
+def plain_groups(rows):
+    """Numbers of overlapping intervals in order, each with its interval."""
+    out, end, group = [], None, -1
+    for a, b in sorted(rows):
+        group += end is None or a > end
+        end = b if end is None or a > end else max(end, b)
+        out.append((a, b, group))
+    return out
+
+
+def test_merge_and_group_intervals(spark):
+    for seed, longest in ((1, 3), (2, 12), (3, 60)):
+        rows = random_spans(seed, 70, 400, longest)
+        groups = plain_groups(rows)
+        merged = [(min(a for a, _, h in groups if h == g), max(b for _, b, h in groups if h == g)) for g in range(groups[-1][2] + 1)]
+        for size in (2, 37, 1 << 16):
+            got = intervals.merge_intervals(spans(spark, rows), ["chromo"], size).collect()
+            assert sorted((r.start, r.end) for r in got) == merged
+            got = intervals.group_intervals(spans(spark, rows), ["chromo"], size).collect()
+            assert sorted((r.start, r.end, r.group) for r in got) == groups
     assert intervals.merge_intervals(spans(spark, []), ["chromo"]).count() == 0
 
 
-def test_interval_index(spark):
-    pos = spark.createDataFrame([("1", p) for p in (-1, 2, 2, 3, 4, 8, 15, 16)], "chromo string, pos int")
+def test_interval_index_and_distance(spark):
+    groups = plain_groups(random_spans(4, 25, 900, 9))
+    apart = [(min(a for a, _, h in groups if h == g), max(b for _, b, h in groups if h == g)) for g in range(groups[-1][2] + 1)]
+    at = [int(p) for p in np.random.default_rng(5).integers(-20, 950, 150)]
+    pos = spark.createDataFrame([("1", p) for p in at] + [("2", 3)], "chromo string, pos int")
+    gap = lambda p, a, b: 0 if a <= p <= b else min(abs(p - a), abs(p - b))
     for size in (3, 1 << 16):
-        got = intervals.interval_index(pos, spans(spark, [(2, 2), (4, 8), (12, 15), (17, 18)]), ["chromo"], size).orderBy("pos").collect()
-        assert [r["index"] for r in got] == [-1, 0, 0, -1, 1, 1, 2, -1]
+        got = intervals.interval_index(pos, spans(spark, apart), ["chromo"], size).collect()
+        assert sorted((r.pos, r["index"]) for r in got if r.chromo == "1") == sorted((p, next((i for i, (a, b) in enumerate(apart) if a <= p <= b), -1)) for p in at)
+        got = intervals.nearest_interval_distance(pos, spans(spark, apart), ["chromo"], size).collect()
+        assert sorted((r.pos, r.distance) for r in got if r.chromo == "1") == sorted((p, min(gap(p, a, b) for a, b in apart)) for p in at)
+        assert [r.distance for r in got if r.chromo == "2"] == [None]
 
 
 def test_intervals_of_all_lengths_hold_what_they_hold(spark):
@@ -47,29 +74,28 @@ def test_intervals_of_all_lengths_hold_what_they_hold(spark):
     assert intervals.annotate_sites(spark.createDataFrame([("1", 3)], "chromo string, pos int"), iv.limit(0)).count() == 0
 
 
-def test_distance_and_extend_and_group(spark):
-    pos = spark.createDataFrame([("1", p) for p in (1, 2, 5, 8, 10, 15, 16, 19)] + [("2", 3)], "chromo string, pos int")
-    for size in (4, 1 << 16):
-        got = intervals.nearest_interval_distance(pos, spans(spark, [(3, 6), (10, 15), (17, 18)]), ["chromo"], size).orderBy("chromo", "pos").collect()
-        assert [r.distance for r in got] == [2, 1, 0, 2, 0, 0, 1, 1, None]
-    got = intervals.extend_intervals(spans(spark, [(2, 3), (3, 3), (3, 8), (1, 2), (1, 1)]), 4).collect()
-    assert [(r.start, r.end) for r in got] == [(1, 4), (2, 5), (3, 8), (1, 4), (1, 4)]
-    got = intervals.group_intervals(spans(spark, [(1, 3), (5, 8), (7, 9), (11, 15), (13, 17), (16, 20), (22, 24)]), ["chromo"], 5).orderBy("start").collect()
-    assert [r.group for r in got] == [0, 1, 1, 2, 2, 2, 3]
+def test_extended_intervals_are_long_enough_and_hold_the_old_ones(spark):
+    rows = [(max(1, a), max(1, b)) for a, b in random_spans(6, 60, 40, 30)]
+    for least in (1, 7, 24):
+        got = intervals.extend_intervals(spans(spark, rows), least).withColumn("i", F.monotonically_increasing_id()).orderBy("i").collect()
+        for (a, b), r in zip(rows, got):
+            missing = max(0, least - (b - a + 1))
+            assert r.start == max(1, a - missing // 2) and r.end - r.start + 1 == max(least, b - a + 1) and r.end >= b
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_knn_literal(spark, k):
-    src = dict(zip((1, 3, 5, 8, 15), (0.0, 0.0, 1.0, 1.0, 0.0)))
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_knn(spark, k):
+    rnd = np.random.default_rng(k)
+    src = {int(a): float(rnd.integers(2)) for a in sorted(rnd.choice(np.arange(3, 60), 14, replace=False))}
     p = spark.createDataFrame([("1", a, "c", v) for a, v in src.items()], "chromo string, pos int, cell string, value double")
-    at = [0, 1, 3, 4, 8, 15, 20]
+    at = sorted({int(a) for a in rnd.integers(0, 66, 20)} | set(list(src)[:3]))
     t = spark.createDataFrame([("1", a, "c") for a in at], "chromo string, pos int, cell string")
     for size in (k + 1, 4096):
-        got = {r.pos: r for r in neighbors.knn_neighbors(t, p, k, size).collect()}
+        got = {r.pos: r for r in neighbors.knn_neighbors(t, p, k, size, own=True).collect()}
         for a in at:
             left, right = [x for x in src if x < a][-k:], [x for x in src if x > a][:k]
             slots = [None] * (k - len(left)) + left + right + [None] * (k - len(right))
-            assert got[a].state == [None if x is None else src[x] for x in slots]
+            assert got[a].state == [None if x is None else src[x] for x in slots] and got[a].value == src.get(a)
             assert got[a].dist == [None if x is None else float(abs(x - a)) for x in slots]
 
 
@@ -143,13 +169,31 @@ def test_arrays(spark):
 
 
 def test_kmers(spark):
-    s = spark.createDataFrame([("a", "AGGTTCCC"), ("b", "AAAAAAAA"), ("c", "CGCGCG"), ("d", "ANGA"), ("e", "")], "chromo string, seq string")
-    one = {(r.chromo, r.kmer): (r["index"], r.n) for r in dna.kmer_freq(s, 1, ["chromo"]).collect()}
-    assert [one["a", x] for x in "ATGC"] == [(0, 1), (1, 2), (2, 2), (3, 3)]
-    four = {(r.chromo, r.kmer): r.n for r in dna.kmer_freq(s, 4, ["chromo"]).filter("chromo IN ('b', 'c')").collect()}
-    assert four == {("b", "AAAA"): 5, ("c", "CGCG"): 2, ("c", "GCGC"): 1}
-    vector = dna.kmer_vector(dna.kmer_freq(s, 1, ["chromo"]), 1, ["chromo"]).filter("chromo = 'a'").first()
-    assert vector.counts == [1, 2, 2, 3]
+    rnd = np.random.default_rng(9)
+    seqs = {str(i): "".join(rnd.choice(list("ATGCN"), n, p=[0.24] * 4 + [0.04])) for i, n in enumerate((0, 1, 3, 30, 200))}
+    s = spark.createDataFrame(list(seqs.items()), "chromo string, seq string")
+    for k in (1, 2, 4):
+        for piece in (7, 4096):
+            got = {(r.chromo, r.kmer): (r["index"], r.n) for r in dna.kmer_freq(s, k, ["chromo"], piece).collect()}
+            expected = {}
+            for c, q in seqs.items():
+                for x in (q[i : i + k] for i in range(len(q) - k + 1)):
+                    if "N" not in x:
+                        expected[c, x] = sum("ATGC".index(y) * 4**i for i, y in enumerate(x)), expected.get((c, x), (0, 0))[1] + 1
+            assert got == expected
+    vector = dna.kmer_vector(dna.kmer_freq(s, 1, ["chromo"]), 1, ["chromo"]).filter("chromo = '4'").first()
+    assert vector.counts == [seqs["4"].count(x) for x in "ATGC"]
+
+
+def test_metrics_by_name(spark):
+    p = preds(spark, [(1.0, 0.8), (0.0, 0.3), (1.0, 0.1), (None, 0.9)])
+    track = spark.createDataFrame([("t", "1", 0, 1)], "track string, chromo string, start int, end int")
+    evaluation.register_metric("Worst", lambda y, z: F.max(F.abs(y - z)))
+    got = {(r.anno, r.metric): r.value for r in evaluation.evaluate_by_annotation(p, track, 1, ["worst", "MAE", "kendall", "n"]).collect()}
+    assert got["global", "worst"] == 0.9 and abs(got["t", "worst"] - 0.3) < 1e-12 and got["global", "n"] == 3 and abs(got["t", "mad"] - 0.25) < 1e-12
+    for bad in (lambda: evaluation.evaluate_by_annotation(p, track, 1, ["acc", "nope"]), lambda: evaluation.register_metric("mae", F.max), lambda: evaluation.curve("lift")):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def preds(spark, rows):
