@@ -33,7 +33,7 @@ OTHERS = re.compile(r"[\W\d_]+")
 STEP_CHARS, STEP_DOCS = 1 << 19, 64
 #: Length classes of rejection: class k holds texts of 2^k to below 2^(k + 1) characters, the last also longer ones.
 CLASSES = 10
-#: More languages than these are an error: a column of so many values holds no languages, and each adds to the model.
+#: Languages that a model learns: those of most rows. Each adds to the model, and a column of more values holds other things too.
 MAX_LANGUAGES = 1000
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -148,6 +148,7 @@ class Model:
     centroids: np.ndarray
     floors: np.ndarray  # of each centroid and length class; a text of lower cosine is rejected
     idf: np.ndarray
+    left_out: int = 0  # languages that were not learnt
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and rejections; ``und`` and 0 without a letter or a model.
@@ -180,13 +181,15 @@ def train(
     are not used; repeated rows count as often. Every fifth text of the sample is kept from
     the centroids: ``slack`` times the cosine that 99 of 100 pieces of those texts reach, at each length, is where
     rejection starts. Languages of fewer than 20 texts kept reject nothing. Without usable rows the
-    model has no language.
+    model has no language. Of more than ``MAX_LANGUAGES`` languages those of most rows are learnt (of as many rows, the first in name
+    order); the model says in ``left_out`` how many others there were. Their texts are judged like any others.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
-    if sizes.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    left_out = max(0, sizes.count() - MAX_LANGUAGES)
+    if left_out:
+        sizes = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = staged(rows.join(F.broadcast(sizes), "lang").filter(share < per_language / F.col("n")).select("lang", "text"), "language-sample")
 
@@ -209,11 +212,12 @@ def train(
         kept, rest = texts[::5], [t for i, t in enumerate(texts) if i % 5] or texts
         x = np.concatenate([vectors(rest[s : s + STEP_DOCS], idf) for s in range(0, len(rest), STEP_DOCS)])
         c = cluster(x, centroids)
-        return pd.DataFrame({"lang": key[0], "floors": [list(floors_of(kept, c, idf, slack))] * len(c), "centroid": list(c)})
+        return pd.DataFrame({"lang": key[0], "floors": [list(floors_of(kept, c, idf, slack))] * len(c), "centroid": [x.astype("<f4").tobytes() for x in c]})
 
-    found = sample.groupBy("lang").applyInPandas(fit, "lang string, floors array<double>, centroid array<float>").toLocalIterator()  # a few rows a language
-    found = sorted(found, key=lambda r: (r.lang, list(r.centroid)))
-    return Model([r.lang for r in found], np.array([r.centroid for r in found], np.float32).reshape(-1, DIM), np.array([r.floors for r in found]).reshape(-1, CLASSES), idf)
+    found = sample.groupBy("lang").applyInPandas(fit, "lang string, floors array<double>, centroid binary").toLocalIterator()  # a few rows a language, 64 KB each
+    found = sorted(((r.lang, bytes(r.centroid), r.floors) for r in found), key=lambda r: r[:2])
+    vectors_ = np.array([np.frombuffer(c, "<f4") for _, c, _ in found], np.float32).reshape(-1, DIM)
+    return Model([lang for lang, _, _ in found], vectors_, np.array([f for _, _, f in found]).reshape(-1, CLASSES), idf, left_out)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

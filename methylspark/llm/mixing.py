@@ -33,9 +33,10 @@ def repetition_rates(
     """``source, chars, rate``: how often a document of each source appears on average.
 
     ``weights`` gives the shares by name (they are normalised; sources not named get
-    none). Without it a source's weight is its number of characters to the power
+    none, and that none of the names occurs is an error). Without it a source's weight is its number of characters to the power
     ``temperature``. The mixture has ``epochs`` times the characters of the corpus. A
-    source without characters keeps each document ``epochs`` times on average.
+    source without characters that has a weight, or where no weights are given, keeps each document ``epochs`` times on average.
+    No rows in, no rows out.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"))
     if weights is None:
@@ -46,9 +47,11 @@ def repetition_rates(
     sizes = sizes.withColumn("weight", weight)
     totals = sizes.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))  # one row
     share = F.try_divide(F.col("weight"), F.col("all_weight")) * F.col("all_chars")
-    return sizes.join(F.broadcast(totals)).select(
-        "source", "chars", F.coalesce(F.try_divide(share, F.col("chars")), F.lit(1.0)) * F.lit(epochs).alias("rate")
-    ).toDF("source", "chars", "rate")
+    empty = F.lit(1.0) if weights is None else F.when(F.col("weight") > 0, 1.0).otherwise(0.0)
+    rate = F.when(F.col("chars") == 0, empty).otherwise(F.try_divide(share, F.col("chars")))
+    if weights is not None:
+        rate = F.when(F.col("all_weight") > 0, rate).otherwise(F.raise_error(F.lit("no source has a weight")).cast("double"))
+    return sizes.join(F.broadcast(totals)).select("source", "chars", (rate * F.lit(epochs)).alias("rate"))
 
 
 def poisson_cdf(rates: DataFrame) -> DataFrame:

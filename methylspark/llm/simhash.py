@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import join_by_size, staged
 from .components import components
 
 RADIUS, FIELDS = 3, 3
@@ -174,12 +174,12 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     columns are ignored, whatever their names. No rows in, no rows out.
     """
     rows = staged(fingerprints(docs, text_col, id_col, n), "fingerprints")
-    least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(staged(close_links(least.select("fp"), radius, fields), "fingerprint-links"))
-    rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(group, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(rooted.join(group, "root").select("fp", "component_id", "n"), "fingerprint-components")
+    return join_by_size(rows, named, ["fp"], "n", rows.count(), "inner").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, similarity: float | None = 0.8) -> DataFrame:
@@ -188,7 +188,7 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     Texts link at a Jaccard similarity of their ``n``-word shingles, which ``similar``
     checks after it has searched by SimHash and more; without a ``similarity`` they link by the
     bits of their fingerprints alone. Rows that repeat both id and text count as one. Null ids
-    are smallest here, so that exactly one document of a component stays.
+    are smallest here, so that exactly one document of a component stays. Null texts and those without words are alike. No rows in, no rows out.
     """
     if similarity is not None:
         from .similar import drop_similar

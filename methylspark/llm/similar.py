@@ -231,7 +231,7 @@ def drop_similar(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # most rows stay and have a mark of their own: only the others are moved to be looked at
     doubtful = found.groupBy("key").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), "key", "left").filter("n > 1 OR stays IS NULL")
     marks = _marks(doubtful)
-    whole = docs.withColumn("__key", key).withColumn("mark__", _marked("__key"))
-    sure = whole.join(marks, F.col("mark__") == F.col("mark"), "left_anti")
-    asked = whole.join(marks, F.col("mark__") == F.col("mark"), "left_semi").join(stay.withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return sure.select(*docs.columns).unionByName(asked.select(*docs.columns))
+    whole = docs.select(F.struct("*").alias("row"), key.alias("key")).withColumn("own", _marked("key"))  # so no column of docs can clash
+    sure = whole.join(marks, F.col("own") == F.col("mark"), "left_anti")
+    asked = whole.join(marks, F.col("own") == F.col("mark"), "left_semi").join(stay, "key", "left_semi").dropDuplicates(["key"])
+    return sure.select("row").union(asked.select("row")).select("row.*")

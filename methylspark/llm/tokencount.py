@@ -206,9 +206,11 @@ def redactions_of(text: str) -> list[tuple[int, int, str]]:
             e += 1
         found.append((s, e, "<email>"))
         at = text.find("@", e)
-    mails = found[:]
-    for m in NUMBER.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in mails):
+    mails, k = found[:], 0
+    for m in NUMBER.finditer(text):  # both are in order and apart
+        while k < len(mails) and mails[k][1] <= m.start():
+            k += 1
+        if k == len(mails) or mails[k][0] >= m.end():
             found.append((m.start(), m.end(), "<number>"))
     return sorted(found)
 
@@ -233,7 +235,8 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, text_col: s
     """``doc_id, version, n_edits, n_anew, new_text`` and the trees after the edits, for each different text that has edits.
 
     ``edits`` has ``doc_id, version, edits`` (by character, sorted, apart); only texts
-    that it names are moved.
+    that it names are moved. Null ids are ids, null texts are empty, and rows that repeat id and text are one; without
+    rows or edits there are none here. Texts may have any length.
     """
     keys = ["doc_id", "version"]
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
