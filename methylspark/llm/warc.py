@@ -225,7 +225,8 @@ def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], byt
 
 def archives(index: DataFrame) -> DataFrame:
     """The files of an index, dealt out over the cluster: as many tasks as there are shuffle partitions, however short the names are."""
-    return index.select("file").distinct().repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("file").distinct().repartition(parts, F.xxhash64("file"))  # by the name itself it would be the shuffle of distinct, which is merged by bytes
 
 
 def round_trip(pages: DataFrame, folder: str, keep, **options) -> DataFrame:

@@ -4,8 +4,9 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 from .conftest import frame
-from methylspark.llm import exactdedup, simhash, similar
+from methylspark.llm import common, exactdedup, simhash, similar
 from methylspark.llm.components import components
 
 
@@ -237,3 +238,18 @@ def test_components(spark):
     star = [(100, i) for i in range(101, 160)]
     roots = {r.node: r.root for r in components(spark.createDataFrame([*path, *star, (7, 7), (None, 3)], "a long, b long")).collect()}
     assert len({roots[i] for i in range(51)}) == 1 and len({roots[i] for i in range(100, 160)}) == 1 and roots[0] != roots[100]
+
+
+def test_near_copies_beside_clashing_columns(spark, docs, rows):
+    kept = sorted(map(str, (r.doc_id for r in simhash.drop_near_copies(docs).collect())))
+    clash = docs
+    for name in ("mark", "mark__", "own", "row", "key", "__key", "set_id", "root"):
+        clash = clash.withColumn(name, F.lit("x"))
+    got = simhash.drop_near_copies(clash)
+    assert got.columns == clash.columns and sorted(str(r.doc_id) for r in got.collect()) == kept
+
+
+def test_hot_fingerprints_are_joined_apart(docs, monkeypatch):
+    expected = sorted(map(tuple, simhash.simhash_groups(docs).collect()), key=str)
+    monkeypatch.setattr(common, "HOT_SHARE", 1 / 30)
+    assert sorted(map(tuple, simhash.simhash_groups(docs).collect()), key=str) == expected

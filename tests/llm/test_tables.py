@@ -11,6 +11,8 @@ from methylspark.llm import langid, mixing, preference, queries, sharding, warc
 from methylspark.llm.common import scratch_path, staged
 from pyspark.sql import functions as F
 
+from .conftest import frame
+
 PAGES = [(1, "http://a/ x\r\n", "<p>é</p>"), (2, "u", "same"), (3, None, "same"), (5, "u", "same"), (5, "u", "same"), (6, "u", None), (7, "u", ""), (None, "u", "alone"), (None, "v", "same"), (9, "u", "z" * 300_000)]
 
 
@@ -114,6 +116,25 @@ def brute_table(shards, size):
     return [table[i] for i in range(size)]
 
 
+def test_weights_by_name(spark):
+    docs = frame(spark, [(1, "aaaa", "en", "a"), (2, "bb", "en", "b"), (3, "", "en", "c"), (4, None, "en", None)])
+    rates = lambda **w: {r.source: r.rate for r in mixing.repetition_rates(docs, **w).collect()}
+    assert rates(weights={"a": 1}) == {"a": 1.5, "b": 0.0, "c": 0.0, None: 0.0}
+    assert rates(weights={"a": 1, "c": 2, "typo": 1}, epochs=2.0) == {"a": 1.0, "b": 0.0, "c": 2.0, None: 0.0}
+    assert rates()["c"] == rates()[None] == 1.0
+    with pytest.raises(Exception, match="no source has a weight"):
+        rates(weights={"typo": 1})
+    assert mixing.repetition_rates(docs.limit(0), weights={"typo": 1}).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    index = spark.createDataFrame([(f"file:///x/{i}.warc",) for i in range(100) for _ in range(3)], "file string")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    parts = warc.archives(index).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(parts) >= 8 and sum(r["count"] for r in parts) == 100
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 211)
@@ -292,5 +313,5 @@ def test_pipeline_of_nothing(spark, none, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5

@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import time
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -61,10 +63,14 @@ def test_predictions_are_those_of_the_nearest_centroid(spark, docs):
         assert r.rejected == (r.score < model.floors[model.langs.index(r.lang_pred), min(len(text) - 2, 1 << 9).bit_length() - 1])
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
+def test_of_too_many_languages_those_of_most_rows_are_learnt(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, words(rnd, lang, 20), lang, "a") for i, lang in enumerate(["en"] * 30 + ["de"] * 25 + ["fr"] * 5)]
+    rows += [(100 + i, words(rnd, "fr", 5), f"dirt {i}", "a") for i in range(2000)]
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        langid.train(frame(spark, [(i, "some words", f"l{i}", "a") for i in range(3)]))
+    model = langid.train(frame(spark, rows))
+    assert set(model.langs) == {"en", "de"} and model.left_out == 2001
+    assert {r.lang_pred for r in langid.identify(frame(spark, rows[:55]), model).collect()} == {"en", "de"}
 
 
 def test_counts_of_long_texts_do_not_depend_on_pieces(monkeypatch):
@@ -386,3 +392,52 @@ def test_a_small_edit_touches_a_small_part():
     chars, tokens, n = c.leaves(text)
     _, anew = tokencount.update(text, [(40_000, 40_004, "other")], tokencount.tree_of(chars), tokencount.tree_of(tokens), c)
     assert anew <= 3 * tokencount.LEAF < n
+
+
+def test_redactions_of_long_texts_take_seconds():
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(["a@b.c", "12345678", "x9@y.z12345", "word"]) for _ in range(700_000))  # 5 MB
+    began = time.time()
+    found = tokencount.redactions_of(text)
+    assert time.time() - began < 20 and len(found) > 300_000
+    short = text[:3000]
+    mails = [(m.start(), m.end(), "<email>") for m in re.finditer(r"\S*@\S*", short)]
+    numbers = [(m.start(), m.end(), "<number>") for m in re.finditer(r"\d{5,}", short) if not any(s < m.end() and m.start() < e for s, e, _ in mails)]
+    assert tokencount.redactions_of(short) == sorted(mails + numbers)
+
+
+def long_index(n, monkeypatch=None):
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}".encode() for i in range(3000)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.choice([8, 20, 40, 90]))] for _ in range(n)]
+    index = decontam.Index(list(range(n)), items, [w[-4:] for w in items], decontam.Rule())
+    index.idf = np.r_[np.full(len(index.vocab), 5.0), 6.0].astype(np.float32)
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((len(index.vocab), 64)))[0]
+    index.basis = np.r_[q, np.zeros((1, 64))].astype(np.float32)
+    index.place()
+    index.sow()
+    return rnd, vocabulary, items, index
+
+
+def test_pieces_of_long_texts_find_what_whole_texts_do(monkeypatch):
+    rnd, vocabulary, items, index = long_index(40)
+    texts = [[rnd.choice(vocabulary) for _ in range(n)] for n in (0, 5, 700, 64, 2000)]
+    for k in (3, 9, 33):
+        texts[4][k * 50 : k * 50 + len(items[k])] = items[k]
+    found = {}
+    for size in (64, 1 << 15):
+        monkeypatch.setattr(decontam, "PIECE_WORDS", size)
+        found[size] = sorted((t, i, s, e, round(cos, 3)) for t, i, s, e, cos in index.candidates([index.codes(w) for w in texts]))
+        assert {3, 9, 33} <= {i for i, *_ in index.leaks(texts)[4]}
+    assert len(found[64]) > 20 and {x[:4] for x in found[64]} == {x[:4] for x in found[1 << 15]}
+
+
+def test_a_text_of_megabytes_is_searched_in_bounded_memory():
+    rnd, vocabulary, items, index = long_index(4000)
+    text = [rnd.choice(vocabulary) for _ in range(800_000)]  # about 5 MB
+    text[500_000 : 500_000 + len(items[7])] = items[7]
+    tracemalloc.start()
+    found = index.candidates([index.codes(text)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(i == 7 and abs(s - 500_000) < 100 for _, i, s, _, _ in found) and peak < 1 << 30
