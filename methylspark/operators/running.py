@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 
-#: Parts that the rows of a group are dealt into before the first of each part meet.
+#: Least number of parts that the rows of a group are dealt into before the first of each part meet.
 PARTS = 64
 
 HOW = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
@@ -59,12 +59,13 @@ def equi_depth(df: DataFrame, by: list[str], order: str, label: str = "scores")
     return staged(dealt, label)
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, keys: list[str], parts: int = PARTS) -> DataFrame:
+def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, keys: list[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``__rank``: the first ``n`` rows of each group in the order, ranked from 1.
 
-    Rows are dealt out by a hash of ``keys``, and of each part the first ``n`` go on, so
-    that a group's last task sees at most ``parts * n`` rows.
+    Rows are dealt out by a hash of ``keys`` into as many parts as there are shuffle partitions, and of each part the
+    first ``n`` go on, so that a group's last task sees at most ``parts * n`` rows.
     """
+    parts = parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
     part = Window.partitionBy(*by, "__part").orderBy(*order)
     few = dealt.withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= n).drop("__part", "__rank")
