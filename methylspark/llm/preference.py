@@ -141,7 +141,11 @@ def _pieces(segments: DataFrame, row_chars: int) -> DataFrame:
     rows = segments.withColumns({"__n": F.length("segment").cast("long"), "__key": F.md5("segment")})
     order = ["place", "role", "__key"]
     rows = running(rows, ["pair_id", "part"], order, F.floor(F.col("place") / BIN), {"__end": ("sum", F.col("__n"))})
-    rows = rows.withColumn("piece", F.floor((F.col("__end") - F.col("__n")) / row_chars))
+    rows = rows.withColumn("__from", F.floor((F.col("__end") - F.col("__n")) / row_chars))
+    # a long segment passes over some multiples of row_chars: pieces are numbered without gaps
+    numbers = running(rows.select("pair_id", "__from").distinct(), ["pair_id"], ["__from"], F.floor(F.col("__from") / BIN), {"__piece": ("count", F.lit(1))})
+    numbers = numbers.select(F.col("pair_id").alias("__p"), F.col("__from").alias("__f"), (F.col("__piece") - 1).alias("piece"))
+    rows = rows.join(numbers, F.col("pair_id").eqNullSafe(F.col("__p")) & (F.col("__from") == F.col("__f"))).drop("__p", "__f")
     item = F.struct("place", "role", "__key", "segment", "mask_start", "mask_end")
     own = lambda p: F.sort_array(F.collect_list(F.when(F.col("part") == p, item))).alias(p)  # noqa: E731  no more than fits a row
     out = rows.groupBy("pair_id", "piece").agg(*[own(p) for p in PARTS])

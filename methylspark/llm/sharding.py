@@ -64,7 +64,7 @@ def assign_shards(docs: DataFrame, shards: list[str], key_cols: tuple[str, ...]
 
     Rows of equal keys go to one shard, rows with null keys too. No row moves: placement
     is a broadcast lookup, and ``write.partitionBy('shard')`` may follow. Of a key with
-    very many rows, name more columns to spread it.
+    very many rows, name more columns to spread it. Other columns, null and long texts are kept as they are; repeated rows share a shard. No rows in, no rows out.
     """
     placed = docs.drop("shard").withColumn("slot", slot_of(size, *key_cols))
     lookup = table_frame(docs.sparkSession, fill_table(shards, size), shards)

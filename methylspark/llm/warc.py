@@ -34,7 +34,8 @@ def assign_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Null html is an empty payload. Of pages with equal payloads of at least
     ``min_bytes`` that with the largest id is the response, and rows that repeat it are
     responses too; null ids are responses only where the group has no other. Payloads
-    are compared by SHA-256 and length; revisits carry none.
+    are compared by SHA-256 and length; revisits carry none. Payloads may have any length that a row may. Other columns
+    are ignored, whatever their names. No rows in, no rows out.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
@@ -230,6 +231,9 @@ def archives(index: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str, keep, **options) -> DataFrame:
-    """Write ``pages`` to ``folder`` and read every archive back; ``keep`` stores the index."""
+    """Write ``pages`` to ``folder`` and read every archive back; ``keep`` stores the index.
+
+    A record for every row, repeated rows and null ids included; other columns than those of ``assign_records`` are left out. No pages, no archives.
+    """
     index = keep(write_warc(assign_records(pages), folder, **options))
     return read_warc(archives(index), with_payload=False)

@@ -212,6 +212,7 @@ def test_preference(spark):
     assert max(r.piece for r in pieces) > 0
     for pair, r in folded.items():
         own = [x for x in pieces if x.pair_id == pair]
+        assert [x.piece for x in own] == list(range(len(own)))
         assert all("".join(x[part] for x in own) == r[part] for part in ("prompt", "chosen", "rejected"))
         assert [x.rejected[s.start : s.end] for x in own for s in x.rejected_mask] == [r.rejected[s.start : s.end] for s in r.rejected_mask]
     r = folded[0]
