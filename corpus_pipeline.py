@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its shard (columns ``slot`` and ``shard`` are added); copies of an id share one, and so do rows without an id."""
+    """Every document gets its shard (columns ``slot`` and ``shard`` are added); copies of an id share one, and so do rows without an id. No rows in, no rows out."""
     return sharding.assign_shards(docs, SHARDS, ("doc_id",), SLOTS)
 
 
