@@ -156,6 +156,8 @@ TEXTS = (
     ("gpl-3.0", r"the gnu general public license is a free copyleft license for software and other kinds of works", "gnu copyleft kinds"),
     ("gnu-text", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim changing allowed"),
     ("agpl-3.0", r"your modified version must prominently offer all users interacting with it remotely through a computer network", "prominently interacting remotely"),
+    ("ms-pl", r"ms pl", "ms"),
+    ("ms-rl", r"ms rl", "ms"),
     ("classpath-exception-2.0", r"linking this library statically or dynamically with other modules is making a combined work based on this library", "statically dynamically combined"),
     ("gcc-exception-3.1", r"gcc runtime library exception", "gcc runtime exception"),
     ("bison-exception-2.2", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", "bison parser skeleton"),
@@ -280,6 +282,74 @@ ADDRESSES = (
     ("cc-by-nc-nd-4.0", r"creativecommons org licenses by nc nd 4 0", "creativecommons nd 4"),
 )
 
+#: Licenses known by letters, and their versions; and those of which only the whole version is meant (Apache 2 is also a server).
+FAMILIES = (
+    ("gpl", "1.0 2.0 3.0"), ("lgpl", "2.0 2.1 3.0"), ("agpl", "3.0"), ("mpl", "1.0 1.1 2.0"), ("epl", "1.0 2.0"), ("cpl", "1.0"), ("cddl", "1.0 1.1"), ("eupl", "1.1 1.2"),
+    ("afl", "3.0"), ("osl", "3.0"), ("ecl", "2.0"), ("upl", "1.0"), ("ofl", "1.1"), ("bsl", "1.0"), ("busl", "1.1"), ("artistic", "1.0 2.0"), ("odbl", "1.0"),
+)
+WHOLE = ("artistic", "bsl", "epl")
+#: Other short forms: label, pattern, keywords as in ``LICENSES``.
+SHORT = (
+    ("apache-1.1", r"apache 1 1", "apache"),
+    ("apache-2.0", r"apache (?:v|version )?2 0|apachev2(?: 0)?|asl 2 0", "apache|apachev2|asl"),
+    ("gpl", r"gnu gpl|gpl licensed|licensed under (?:the )?gpl", "gpl"),
+    ("lgpl", r"gnu (?:lesser|library) general public license|gnu lgpl|licensed under (?:the )?lgpl", "gnu|lgpl"),
+    ("agpl-3.0", r"gnu agpl|licensed under (?:the )?agpl", "agpl"),
+    ("gpl-2.0", r"gnu general public license either version 2(?: 0)?", "gnu"),
+    ("gpl-3.0", r"gnu general public license either version 3(?: 0)?", "gnu"),
+    ("lgpl-2.1", r"gnu lesser general public license either version 2 1", "gnu"),
+    ("lgpl-3.0", r"gnu lesser general public license either version 3(?: 0)?", "gnu"),
+    ("mit", r"licen[cs]ed? (?:under (?:the )?)?mit|mit licen[cs]ed|mit x11", "mit"),
+    ("bsd", r"licen[cs]ed? (?:under (?:the )?)?bsd|bsd licensed", "bsd"),
+    ("isc", r"licen[cs]ed? (?:under (?:the )?)?isc", "isc"),
+    ("ms-pl", r"ms pl", "ms"),
+    ("ms-rl", r"ms rl", "ms"),
+    ("classpath-exception-2.0", r"classpath exception(?: 2 0)?", "classpath"),
+    ("llvm-exception", r"llvm exceptions?", "llvm"),
+    ("gcc-exception-3.1", r"gcc (?:runtime library )?exception(?: 3 1)?", "gcc"),
+)
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Kinds of Creative Commons licenses: letters, and the words of the name.
+CC_KINDS = (
+    ("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?derivatives"), ("by nc", "attribution non ?commercial"),
+    ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?derivatives"),
+)
+
+
+def short_forms() -> list[tuple[str, str, str]]:
+    """``SHORT`` and the forms of ``FAMILIES``: letters, v or version, number."""
+    out = list(SHORT)
+    for name, versions in FAMILIES:
+        for version in versions.split():
+            number = version.replace(".", " ")
+            if number.endswith(" 0") and name not in WHOLE:
+                number = f"{number[:-2]}(?: 0)?"
+            out.append((f"{name}-{version}", rf"{name}(?:v| v| version | ){number}(?: only| or later| or newer|)", f"{name}|{name}v{version[0]}"))
+    return out
+
+
+def names() -> list[tuple[str, str, str]]:
+    """``LICENSES`` and the versions of Creative Commons licenses that it lacks."""
+    out = list(LICENSES)
+    known = {label for label, _, _ in out}
+    for kind, words in CC_KINDS:
+        for version in CC_VERSIONS:
+            if (label := f"cc-{kind.replace(' ', '-')}-{version}") not in known:
+                out.append((label, rf"(?:cc {kind}|creative commons {words}) {version.replace('.', ' ')}", version[0]))
+    return out
+
+
+def addresses() -> list[tuple[str, str, str]]:
+    """``ADDRESSES`` and those of the Creative Commons licenses that it lacks."""
+    out = list(ADDRESSES)
+    known = {label for label, pattern, _ in out if pattern.startswith("creativecommons")}
+    for kind, _ in CC_KINDS:
+        for version in CC_VERSIONS:
+            if (label := f"cc-{kind.replace(' ', '-')}-{version}") not in known:
+                out.append((label, f"creativecommons org licenses {kind} {version.replace('.', ' ')}", f"creativecommons {kind.split()[-1]} {version[0]}"))
+    return out
+
+
 GRANT = r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
 
 
@@ -297,15 +367,18 @@ def _rule(label: str, pattern: str, keywords: str, priority: int, relevance: flo
 
 
 def rules() -> list[Rule]:
-    """From the surest to the least sure: identifiers, addresses, sentences of texts and notices, grants by name, names."""
-    out = [_rule(label, pattern, words, 280, 1.0) for label, pattern, words in ADDRESSES]
+    """From the surest to the least sure: identifiers, other members of their expressions, addresses, sentences of texts and notices, grants by name, names, short forms."""
+    out = [_rule(label, pattern, words, 280, 1.0) for label, pattern, words in addresses()]
     out += [_rule(label, pattern, words, 260, 0.99) for label, pattern, words in TEXTS]
-    for label, name, keyword in LICENSES:
+    for label, name, keyword in names():
         tag = label.replace("-", " ").replace(".", " ")
         out.append(_rule(label, rf"spdx license identifier {tag}(?: only| or later)?", "spdx identifier", 300, 1.0))
+        out.append(_rule(label, rf"(?:or|and) {tag}(?: only| or later)?", f"spdx identifier {tag.split()[0]}", 290, 1.0))
         for one in keyword.split("|"):  # where two stand in the text, the second rule's detections lie within the first's
             out.append(_rule(label, GRANT + f"(?:{name})", f"under {one}", 200, 0.95))
             out.append(_rule(label, name, one, 100, 0.85))
+    for label, name, keyword in short_forms():
+        out += [_rule(label, name, one, 90, 0.7) for one in keyword.split("|")]
     out.append(_rule("copyleft", r"copyleft", "copyleft", 20, 0.4))
     out.append(_rule("all-rights-reserved", r"all rights reserved", "reserved", 20, 0.5))
     out.append(_rule("proprietary", r"proprietary and confidential|confidential and proprietary", "proprietary", 20, 0.5))

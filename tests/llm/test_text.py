@@ -145,14 +145,14 @@ def test_no_gate_stops_what_its_pattern_matches():
     from dataclasses import replace
 
     gated = licenses.rules()
-    for label, name, _ in licenses.LICENSES:
+    for label, name, _ in (*licenses.names(), *licenses.short_forms()):
         own = [r for r in gated if r.label == label]
         free = [replace(r, keywords=frozenset()) for r in own]
         for x in phrases(name):
             for text in (f"a {x} z".encode(), f"a licensed under the terms of the {x} z".encode()):
                 got = licenses.scan(text, own)
                 assert got == licenses.scan(text, free) and label in got["labels"].split(","), x
-    for label, pattern, keywords in (*licenses.TEXTS, *licenses.ADDRESSES):
+    for label, pattern, keywords in (*licenses.TEXTS, *licenses.addresses()):
         own = [r for r in gated if r.label == label]
         free = [replace(r, keywords=frozenset()) for r in own]
         for x in phrases(pattern):
@@ -180,11 +180,74 @@ def test_license_texts_and_addresses():
         assert licenses.scan(text.encode(), rules)["labels"] == labels, text
 
 
+NOTICES = """
+This project is GPLv3.|gpl-3.0
+License: GPLv2|gpl-2.0
+GPL-2.0-or-later|gpl-2.0
+GPL v2 only|gpl-2.0
+GNU GPLv2|gpl-2.0
+GNU GPL version 3 or later|gpl-3.0
+distributed under the GNU GPL|gpl
+LGPL-2.1|lgpl-2.1
+LGPLv2.1|lgpl-2.1
+LGPLv3 or later|lgpl-3.0
+GNU LGPL|lgpl
+GNU Lesser General Public License|lgpl
+GNU Library General Public License|lgpl
+AGPLv3|agpl-3.0
+AGPL-3.0-only|agpl-3.0
+GNU AGPL|agpl-3.0
+MPL 2.0|mpl-2.0
+MPLv2|mpl-2.0
+MPL-1.1|mpl-1.1
+EPL-2.0|epl-2.0
+Apache-2.0|apache-2.0
+Apache 2.0 licensed|apache-2.0
+ASL 2.0|apache-2.0
+runs behind an Apache 2 server|
+the EPL matches of the season|
+License: MIT|mit
+licensed under MIT|mit
+MIT licensed|mit
+MIT/X11|mit
+a professor at MIT|
+BSD licensed|bsd
+License: ISC|isc
+SPDX-License-Identifier: MIT OR Apache-2.0|apache-2.0,mit
+SPDX-License-Identifier: Apache-2.0 OR MIT|apache-2.0,mit
+SPDX-License-Identifier: (MIT AND BSD-3-Clause)|bsd-3-clause,mit
+SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0|classpath-exception-2.0,gpl-2.0
+SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception|apache-2.0,llvm-exception
+SPDX-License-Identifier: LGPL-2.1-or-later|lgpl-2.1
+CC BY-NC-SA 2.0|cc-by,cc-by-nc-sa-2.0
+CC BY-NC-ND 2.5|cc-by,cc-by-nc-nd-2.5
+CC-BY-SA-2.5|cc-by,cc-by-sa-2.5
+CC BY 4.0|cc-by,cc-by-4.0
+Creative Commons Attribution-NonCommercial 1.0|cc-by-nc-1.0
+https://creativecommons.org/licenses/by-nd/2.0/|cc-by-nd-2.0
+CDDL 1.1|cddl-1.1
+EUPL-1.2|eupl-1.2
+OFL-1.1|ofl-1.1
+Artistic-2.0|artistic-2.0
+MS-PL|ms-pl
+BSL-1.0|bsl-1.0
+GNU General Public License, either version 2 of the License|gpl,gpl-2.0
+GNU Lesser General Public License, either version 3|lgpl-3.0
+"""
+
+
+def test_notices_with_labels_written_by_hand():
+    rules = licenses.rules()
+    for line in NOTICES.strip().splitlines():
+        text, labels = line.split("|")
+        assert licenses.scan(text.encode(), rules)["labels"] == labels, text
+
+
 def test_labels_and_score_against_a_plain_scan():
     """Every rule on every text, and each detection against all others."""
     rnd = random.Random(11)
     rules = licenses.rules()
-    parts = [x for _, p, _ in (*licenses.LICENSES, *licenses.TEXTS, *licenses.ADDRESSES) for x in rnd.sample(phrases(p), 1)]
+    parts = [x for _, p, _ in (*licenses.names(), *licenses.short_forms(), *licenses.TEXTS, *licenses.addresses()) for x in rnd.sample(phrases(p), 1)]
     for _ in range(150):
         text = " ".join(rnd.choice([rnd.choice(parts), rnd.choice(["released under the", "spdx license identifier", "under", "version 2", "or later", "x y"])]) for _ in range(rnd.randint(0, 12)))
         found = [(m.start(), m.end(), r) for r in rules for m in re.finditer(r.pattern.pattern.decode(), f" {text} ")]
