@@ -865,6 +865,20 @@ def activation_pca(s, d):
     return motifs.activation_pca(motifs.activation_summary(_windows(s, d), a.filter_weights(s, d)))
 
 
+@query(
+    f"""WITH {_WINDOWS}, sm AS (SELECT w.chromo, w.pos, f.filter, sum(coalesce(a.act, 0)) / 41 AS v FROM wins w CROSS JOIN (SELECT DISTINCT filter FROM filters) f
+      LEFT JOIN acts a ON a.chromo = w.chromo AND a.pos = w.pos AND a.filter = f.filter GROUP BY ALL),
+    pick AS (SELECT chromo, pos FROM (SELECT DISTINCT chromo, pos FROM sm) ORDER BY md5(concat_ws('|', '0', chromo, pos)), chromo, pos LIMIT 1000),
+    c AS (SELECT filter, v - avg(v) OVER (PARTITION BY chromo, pos) AS v FROM sm JOIN pick USING (chromo, pos))
+    SELECT filter, round(sum(v * v), 6) AS norm FROM c GROUP BY filter""",
+    _MOTIF,
+)
+def activation_pca_norms(s, d):
+    """All components of the filters together have the length of the filters' centred activations."""
+    pcs = motifs.activation_pca(motifs.activation_summary(_windows(s, d), a.filter_weights(s, d)), k=10)
+    return r6(pcs.select("filter", sum(F.col(f"pc{i + 1}") ** 2 for i in range(10)).alias("norm")))
+
+
 @query('SELECT chromo, pos, target, string_agg(format(\'{:.3f}\', e), \' \' ORDER BY "offset", nt) AS effect FROM effects WHERE "offset" BETWEEN 6 AND 10 GROUP BY ALL', "effects")
 def effect_slice(s, d):
     e = motifs.effect_slice(a.effects(s, d), 2)
