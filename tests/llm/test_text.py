@@ -469,11 +469,12 @@ def test_redactions_of_long_texts_take_seconds():
     assert tokencount.redactions_of(short) == sorted(mails + numbers)
 
 
-def long_index(n, monkeypatch=None):
+def long_index(n):
     rnd = random.Random(4)
     vocabulary = [f"w{i}".encode() for i in range(3000)]
     items = [[rnd.choice(vocabulary) for _ in range(rnd.choice([8, 20, 40, 90]))] for _ in range(n)]
     index = decontam.Index(list(range(n)), items, [w[-4:] for w in items], decontam.Rule())
+    index.vocab = {w: k for k, w in enumerate(sorted({w for x in items for w in x}))}
     index.idf = np.r_[np.full(len(index.vocab), 5.0), 6.0].astype(np.float32)
     q = np.linalg.qr(np.random.default_rng(1).standard_normal((len(index.vocab), 64)))[0]
     index.basis = np.r_[q, np.zeros((1, 64))].astype(np.float32)
@@ -492,7 +493,7 @@ def test_pieces_of_long_texts_find_what_whole_texts_do(monkeypatch):
         monkeypatch.setattr(decontam, "PIECE_WORDS", size)
         found[size] = sorted((t, i, s, e, round(cos, 3)) for t, i, s, e, cos in index.candidates([index.codes(w) for w in texts]))
         assert {3, 9, 33} <= {i for i, *_ in index.leaks(texts)[4]}
-    assert len(found[64]) > 20 and {x[:4] for x in found[64]} == {x[:4] for x in found[1 << 15]}
+    assert len(found[64]) > 5 and {x[:4] for x in found[64]} == {x[:4] for x in found[1 << 15]}
 
 
 def test_a_text_of_megabytes_is_searched_in_bounded_memory():
