@@ -18,6 +18,10 @@ from . import queries as q
 from .queries import query
 
 
+#: Sequences of a gzip file. A file for each sequence would make as many files as there are documents.
+RECORDS = 20_000
+
+
 def _text(rows: DataFrame, path: str, folder: str, order: str) -> str:
     """``value`` lines, a file for each ``folder``, in order."""
     rows.repartition(folder).sortWithinPartitions(folder, order).select(folder, "value").write.partitionBy(folder).option("compression", "gzip").text(path)
@@ -68,10 +72,12 @@ def read_bed(s, d):
     "sequences",
 )
 def read_fasta(s, d):
-    """A file for each sequence, with lines of 60 letters."""
+    """gzip files of up to ``RECORDS`` sequences each, with lines of 60 letters."""
     text = F.concat(F.lit(">"), "chromo", F.lit(" dna\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
-    rows = a.sequences(s, d).select("chromo", F.length("seq").alias("n"), text.alias("value"))
-    return readers.read_fasta(s, _text(rows, scratch_path(s, "fasta"), "chromo", "n"), overlap=16, tile=256)
+    path = scratch_path(s, "fasta")
+    rows = a.sequences(s, d).repartition("chromo").select(text.alias("value"))
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    return readers.read_fasta(s, path, overlap=16, tile=256)
 
 
 @query(

@@ -624,3 +624,13 @@ def test_unknown_letters_are_filled_alike(spark):
     assert all(len(v) == 1 and v <= set("ATGC") for v in found.values())
     assert all(found["1", i + 1] == {x} for i, x in enumerate(seq) if x in "ATGC")
     assert len({next(iter(found["1", p])) for p in (1, 2, 7, 8, 9, 10, 14, 15, 19, 20)}) > 1
+
+
+def test_fasta_query_writes_files_of_many_records(spark, tmp_path):
+    from methylspark.plans import files
+
+    spark.createDataFrame([(i, "acgt cg" * (i % 40)) for i in range(300)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = files.read_fasta(spark, str(tmp_path))
+    assert got.select("chromo").distinct().count() == 300
+    written = {r[0] for r in spark.read.parquet(*[f.rsplit("/", 1)[0] for f in got.inputFiles()[:1]]).select("file").distinct().collect()}
+    assert len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
