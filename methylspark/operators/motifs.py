@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import AGGREGATES, aggregate_window, center_slice
 from ..schema import EPS, LETTERS, SITE
-from .running import first_rows
+from .running import equi_depth, running
 
 #: Weights are shipped to every task; a model's first layer is far smaller than this.
 MAX_WEIGHTS = 4_000_000
@@ -35,8 +35,8 @@ def filter_arrays(weights: DataFrame, bias: DataFrame | None = None) -> tuple[li
 
 def _act(seqs: list[str], w: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Activations [window, position, filter]: the filter centred on each letter, zero beyond the ends, rectified."""
-    codes = np.array([[LETTERS.find(c) for c in s.upper()] for s in seqs])
-    hot = (codes[:, :, None] == np.arange(4)).astype(np.float64)
+    points = np.frombuffer("".join(seqs).upper().encode("utf-32-le"), np.uint32).reshape(len(seqs), -1)
+    hot = (points[:, :, None] == np.array([ord(c) for c in LETTERS], np.uint32)).astype(np.float64)
     n = w.shape[1]
     left = (n - 1) // 2
     hot = np.pad(hot, ((0, 0), (left, n - 1 - left), (0, 0)))
@@ -44,10 +44,66 @@ def _act(seqs: list[str], w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.einsum("wpcn,fnc->wpf", view, w, optimize=True) + b, 0)
 
 
-def scan_filters(windows: DataFrame, weights: DataFrame, bias: DataFrame | None = None, keys: list[str] = SITE, above: dict[int, float] | None = None) -> DataFrame:
+def _rounded(act: np.ndarray, digits: int | None) -> np.ndarray:
+    return act if digits is None else np.round(act, digits)
+
+
+#: Windows that are scanned together, and different activations of a filter that a task adds up before it hands them on.
+COUNT_WINDOWS, COUNT_VALUES = 512, 1 << 17
+
+
+def activation_counts(windows: DataFrame, weights: DataFrame, bias: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """``filter, act, n``: how often each positive activation occurs in all windows (of equal length).
+
+    All that histograms, thresholds and statistics need of ``scan_filters``, but a row for each different value. Tasks
+    add up their own values, as many at a time as ``COUNT_VALUES`` for a filter.
+    """
+    ids, w, b = filter_arrays(weights, bias)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
+        sizes = np.zeros(len(ids), np.int64)
+
+        def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
+            values, at = np.unique(np.concatenate([v for v, _ in held[k]]), return_inverse=True)
+            n = np.zeros(len(values), np.int64)
+            np.add.at(n, at, np.concatenate([c for _, c in held[k]]))
+            return values, n
+
+        def rows(k: int, values: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"filter": np.full(len(values), ids[k], np.int32), "act": values, "n": n})
+
+        for pdf in batches:
+            seqs = list(pdf["seq"])
+            for s in range(0, len(seqs), COUNT_WINDOWS):
+                act = _rounded(_act(seqs[s : s + COUNT_WINDOWS], w, b), digits)
+                for k in range(len(ids)):
+                    own = act[:, :, k]
+                    held[k].append(np.unique(own[own > 0], return_counts=True))
+                    sizes[k] += len(held[k][-1][0])
+                    if sizes[k] > COUNT_VALUES:
+                        values, n = merged(k)
+                        if len(values) > COUNT_VALUES // 2:
+                            yield rows(k, values, n)
+                            values, n = values[:0], n[:0]
+                        held[k], sizes[k] = [(values, n)], len(values)
+        for k in range(len(ids)):
+            if held[k]:
+                yield rows(k, *merged(k))
+
+    counted = windows.select("seq").mapInPandas(run, "filter int, act double, n long")
+    return counted.groupBy("filter", "act").agg(F.sum("n").alias("n"))
+
+
+def _times(acts: DataFrame) -> Column:
+    """How often a row of activations counts: ``n`` of ``activation_counts``, once in ``scan_filters``."""
+    return F.col("n") if "n" in acts.columns else F.lit(1)
+
+
+def scan_filters(windows: DataFrame, weights: DataFrame, bias: DataFrame | None = None, keys: list[str] = SITE, above: dict[int, float] | None = None, digits: int | None = None) -> DataFrame:
     """``keys, offset, filter, act`` for the positive activations of all windows (of equal length).
 
-    With ``above`` only activations of at least a filter's threshold leave the task.
+    With ``above`` only activations of at least a filter's threshold leave the task, with ``digits`` they are rounded before anything else.
     """
     ids, w, b = filter_arrays(weights, bias)
     floor = np.array([(above or {}).get(f, 0.0) for f in ids])
@@ -57,7 +113,7 @@ def scan_filters(windows: DataFrame, weights: DataFrame, bias: DataFrame | None
         for pdf in batches:
             for s in range(0, len(pdf), 128):
                 part = pdf.iloc[s : s + 128]
-                act = _act(list(part["seq"]), w, b)
+                act = _rounded(_act(list(part["seq"]), w, b), digits)
                 i, j, f = np.nonzero((act > 0) & (act >= floor))
                 out = part[keys].iloc[i].reset_index(drop=True)
                 yield out.assign(offset=j.astype(np.int32), filter=np.array(ids, np.int32)[f], act=act[i, j, f])
@@ -159,13 +215,15 @@ def ranked_from_top(acts: DataFrame, ranks: dict[int, int]) -> dict[int, tuple[f
 def activation_threshold(acts: DataFrame, n_positions: int, share: float = 0.5, most: int = 25_000) -> DataFrame:
     """``filter, threshold``: the larger of mean + share * (max - mean) and the value that ``most`` positions reach.
 
-    ``acts`` has the positive activations; the other of the ``n_positions`` are zero. The
-    quantile is interpolated like a percentile of all positions, from the ranks next to it (``ranked_from_top``).
+    ``acts`` has the positive activations, or how often each occurs (``activation_counts``); the other of the ``n_positions`` are zero. The
+    quantile is interpolated like a percentile of all positions, from the ranks next to it (``ranked_from_top``, or the running sum of the counts).
     """
     most = min(most, n_positions)
     at = (n_positions - 1) * (1 - most / n_positions)  # rank from 0, of all positions in order
     low, part = int(at), at - int(at)
     rank = n_positions - low  # from the top
+    if "n" in acts.columns:
+        return _threshold_of_counts(acts, n_positions, share, rank, part)
     stats = acts.groupBy("filter").agg((F.sum("act") / n_positions).alias("mean"), F.max("act").alias("max"), F.min("act").alias("min"), F.count("*").alias("n"))
     own = {r["filter"]: r for r in stats.collect()}  # a row for each filter
     ends = ranked_from_top(acts, {f: rank for f, r in own.items() if r.n >= rank})
@@ -176,6 +234,16 @@ def activation_threshold(acts: DataFrame, n_positions: int, share: float = 0.5,
     return acts.sparkSession.createDataFrame(rows, "filter int, threshold double")
 
 
+def _threshold_of_counts(counts: DataFrame, n_positions: int, share: float, rank: int, part: float) -> DataFrame:
+    counts = equi_depth(counts, ["filter"], "act", "activation-counts")
+    seen = running(counts, ["filter"], ["act"], F.col("__b"), {"__seen": ("sum", F.col("n"))}, reverse=True)
+    holds = lambda r: (F.col("__seen") >= r) & (F.col("__seen") - F.col("n") < r)
+    at = lambda r: F.coalesce(F.max(F.when(holds(r), F.col("act"))), F.lit(0.0))  # noqa: E731  beyond the activations all is zero
+    ends = seen.groupBy("filter").agg(at(rank).alias("__a"), at(max(1, rank - 1)).alias("__b"), (F.sum(F.col("act") * F.col("n")) / n_positions).alias("__mean"), F.max("act").alias("__max"))
+    a, b, mean = F.col("__a"), F.col("__b"), F.col("__mean")
+    return ends.select("filter", F.greatest(mean + share * (F.col("__max") - mean), a + (b - a) * part).alias("threshold"))
+
+
 def activating_kmers(acts: DataFrame, windows: DataFrame, thresholds: DataFrame, filter_len: int, keys: list[str] = SITE) -> DataFrame:
     """``filter, keys, offset, kmer``: the letters under each activation of at least the threshold; too near an end they are skipped."""
     half = filter_len // 2
@@ -210,9 +278,10 @@ def trim_pwm(pwms: DataFrame, threshold: float) -> DataFrame:
 
 
 def filter_stats(acts: DataFrame, n_positions: int, pwms: DataFrame) -> DataFrame:
-    """``idx, motif, act_mean, act_std, ic, nb_site``, highest mean first; filters that never activate have no row."""
-    mean = F.sum("act") / n_positions
-    stats = acts.groupBy("filter").agg(mean.alias("act_mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("act") * F.col("act")) / n_positions - mean * mean)).alias("act_std"))
+    """``idx, motif, act_mean, act_std, ic, nb_site``, highest mean first; filters that never activate have no row. ``acts`` as in ``activation_threshold``."""
+    act, n = F.col("act"), _times(acts)
+    mean = F.sum(act * n) / n_positions
+    stats = acts.groupBy("filter").agg(mean.alias("act_mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(act * act * n) / n_positions - mean * mean)).alias("act_std"))
     about = pwms.groupBy("filter").agg(_information(F.col("freq")).alias("ic"), F.max("nb_site").alias("nb_site"))
     out = stats.filter("act_mean > 0").join(about, "filter", "left").join(consensus_motif(pwms.withColumnRenamed("freq", "weight")), "filter", "left")
     return out.select(F.col("filter").alias("idx"), "motif", "act_mean", "act_std", "ic", "nb_site").orderBy(F.desc("act_mean"), "idx")
@@ -227,8 +296,8 @@ def consensus_motif(weights: DataFrame) -> DataFrame:
 
 
 def activation_histogram(acts: DataFrame, low: float, high: float, bins: int) -> DataFrame:
-    """``filter, bin, n``: bins 1 to ``bins``, 0 below and ``bins + 1`` above the range."""
-    return acts.groupBy("filter", F.width_bucket("act", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    """``filter, bin, n``: bins 1 to ``bins``, 0 below and ``bins + 1`` above the range. ``acts`` as in ``activation_threshold``."""
+    return acts.groupBy("filter", F.width_bucket("act", F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")).agg(F.sum(_times(acts)).alias("n"))
 
 
 def activation_pca(summary: DataFrame, value: str = "mean", most: int = 1000, k: int = 2, seed: int = 0, keys: list[str] = SITE) -> DataFrame:

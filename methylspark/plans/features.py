@@ -55,12 +55,26 @@ def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100,
     return evaluation.evaluate_outputs(rows, keys), sites.concat_tables(*each)
 
 
-def motif_table(windows_: DataFrame, weights: DataFrame, filter_len: int, wlen: int, keys: list[str] = SITE) -> tuple[DataFrame, DataFrame]:
-    """Filter statistics and position weights. Windows are scanned twice: for the thresholds, then for what passes them."""
+#: Activations are sums of floating numbers; rounded, those that should tie with a threshold do.
+DIGITS = 6
+
+
+def activations(windows_: DataFrame, weights: DataFrame, wlen: int) -> tuple[DataFrame, int, DataFrame]:
+    """How often each activation occurs (written once), the number of positions, and the filters' thresholds."""
     n = windows_.count() * wlen
-    acts = motifs.scan_filters(windows_, weights, keys=keys)
-    thresholds = motifs.activation_threshold(acts, n)
+    counts = staged(motifs.activation_counts(windows_, weights, digits=DIGITS), "activation-counts")
+    return counts, n, staged(motifs.activation_threshold(counts, n), "thresholds")
+
+
+def activating_kmers(windows_: DataFrame, weights: DataFrame, thresholds: DataFrame, filter_len: int, keys: list[str] = SITE) -> DataFrame:
+    """The letters under the activations that reach a threshold, by a scan from which nothing else leaves the tasks."""
     above = {r["filter"]: r["threshold"] for r in thresholds.collect()}  # a row per filter
-    hits = motifs.scan_filters(windows_, weights, keys=keys, above=above)
-    pwms = motifs.pwm(motifs.activating_kmers(hits, windows_, thresholds, filter_len, keys))
-    return motifs.filter_stats(acts, n, pwms), pwms
+    hits = motifs.scan_filters(windows_, weights, keys=keys, above=above, digits=DIGITS)
+    return motifs.activating_kmers(hits, windows_, thresholds, filter_len, keys)
+
+
+def motif_table(windows_: DataFrame, weights: DataFrame, filter_len: int, wlen: int, keys: list[str] = SITE) -> tuple[DataFrame, DataFrame]:
+    """Filter statistics and position weights. Windows are scanned twice: for the thresholds, then for what passes them."""
+    counts, n, thresholds = activations(windows_, weights, wlen)
+    pwms = motifs.pwm(activating_kmers(windows_, weights, thresholds, filter_len, keys))
+    return motifs.filter_stats(counts, n, pwms), pwms

@@ -172,7 +172,7 @@ def write_report_tsv(s, d):
 )
 def write_kmers_fasta(s, d):
     path = scratch_path(s, "kmers")
-    writers.write_kmers_fasta(q._motif_parts(s, d)[4], path)
+    writers.write_kmers_fasta(q.activating_kmers(s, d), path)
     return s.read.text(path).select("filter", "value")
 
 
@@ -191,8 +191,8 @@ _FOUR = "format('{:.4f}', floor(freq * 10000 + 0.5) / 10000)"
 def write_meme(s, d):
     """The file's lines, without the empty ones."""
     path = scratch_path(s, "meme")
-    w, _, _, _, kmers = q._motif_parts(s, d)
-    writers.write_meme(motifs.pwm(kmers), dna.nucleotide_background(w), path)
+    w, _, _, thr = q._motif_parts(s, d)
+    writers.write_meme(motifs.pwm(q._kmers(s, d, w, thr)), dna.nucleotide_background(w), path)
     return s.read.text(path).filter("value <> ''")
 
 

@@ -634,3 +634,29 @@ def test_fasta_query_writes_files_of_many_records(spark, tmp_path):
     assert got.select("chromo").distinct().count() == 300
     written = {r[0] for r in spark.read.parquet(*[f.rsplit("/", 1)[0] for f in got.inputFiles()[:1]]).select("file").distinct().collect()}
     assert len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_activation_counts_stand_for_activations(spark):
+    import random
+
+    rng = random.Random(3)
+    wins = spark.createDataFrame([("1", i, "".join(rng.choice("ATGCN") for _ in range(21))) for i in range(700)], "chromo string, pos long, seq string").repartition(5)
+    w = spark.createDataFrame([(f, o, c, rng.randint(-9, 9) / 10) for f in range(3) for o in range(4) for c in "ATGC"], "filter int, offset int, nt string, weight double")
+    acts = motifs.scan_filters(wins, w, digits=6).filter("act > 0").cache()
+    counts = motifs.activation_counts(wins, w, digits=6)
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in acts.groupBy("filter", "act").count().collect()}
+    n = 700 * 21
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(motifs.activation_histogram(counts, 0.0, 2.0, 5)) == rows(motifs.activation_histogram(acts, 0.0, 2.0, 5))
+    for most in (1, 50, 2000, n):
+        assert rows(motifs.activation_threshold(counts, n, 0.9, most)) == rows(motifs.activation_threshold(acts, n, 0.9, most))
+
+
+def test_rounded_activations_tie_with_the_threshold(spark):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last bit; both reach the threshold
+    weights = {0: (0.1, 0.3), 1: (0.2, 0.2), 2: (0.3, 0.1)}
+    w = spark.createDataFrame([(0, o, c, x) for o, (p, q) in weights.items() for c, x in (("A", p), ("T", q), ("G", 0.0), ("C", 0.0))], "filter int, offset int, nt string, weight double")
+    wins = spark.createDataFrame([("1", i, f"GGGG{x}GGGG") for i, x in enumerate(["AAA", "TTT"] * 10)], "chromo string, pos long, seq string")
+    thresholds = spark.createDataFrame([(0, 0.6)], "filter int, threshold double")
+    assert motifs.scan_filters(wins, w, digits=6, above={0: 0.6}).count() == 20
+    assert features.activating_kmers(wins, w, thresholds, 3).count() == 20
