@@ -25,6 +25,27 @@ REGRESSION = ("mse", "mad", "cor")
 CLASSES = ("y_classes", "z_classes")
 
 
+#: Column of predictions that stand for several alike: how many.
+TIMES = "__times"
+
+
+def _times(preds: DataFrame) -> Column:
+    return F.col(TIMES) if TIMES in preds.columns else F.lit(1)
+
+
+def _sum_if(condition: Column, n: Column) -> Column:
+    return F.sum(F.when(condition, n).otherwise(0))
+
+
+def counted(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
+    """A row for each different label and score of a group, with how often it occurs: all that metrics and curves need.
+
+    Where scores are all different that is as many rows as there are predictions.
+    """
+    values = [c for c in ("y", "z", *CLASSES) if c in preds.columns]
+    return preds.groupBy(*dict.fromkeys([*by, "output"]), *values).agg(F.sum(_times(preds)).alias(TIMES))
+
+
 def observed(preds: DataFrame) -> DataFrame:
     return preds.filter("y IS NOT NULL AND z IS NOT NULL")
 
@@ -72,7 +93,8 @@ def regression(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
 def _scores(preds: DataFrame, by: list[str]) -> DataFrame:
     """One row per group and different score: ``z, pos, neg``."""
     y = F.bround("y")
-    return observed(preds).groupBy(*by, "z").agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    n = _times(preds)
+    return observed(preds).groupBy(*by, "z").agg(_sum_if(y == 1, n).alias("pos"), _sum_if(y == 0, n).alias("neg"))
 
 
 def _ranked(scores: DataFrame, by: list[str], score: str, high: str, low: str, sums: dict[str, Column] = {}) -> DataFrame:
@@ -112,7 +134,7 @@ def kendall(preds: DataFrame, by: list[str] = ["output"], most: int | None = Non
     rows = observed(preds)
     if most is not None:
         rows = first_rows(rows, by, [F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *[F.col(k) for k in keys]], most, keys)
-    cells = rows.groupBy(*by, "y", "z").agg(F.count("*").alias("n"))
+    cells = rows.groupBy(*by, "y", "z").agg(F.sum(_times(rows)).alias("n"))
     pairs = lambda n: F.sum(n * (n - 1) / 2)
     n = F.col("n").cast("double")
     ties = lambda c, name: cells.groupBy(*by, c).agg(F.sum(n).alias("n")).groupBy(*by).agg(pairs(F.col("n")).alias(name))
@@ -150,9 +172,11 @@ def _categories(preds: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """
     rows = preds.filter(F.exists("y", lambda x: x > 0))
     first = lambda a: F.array_position(F.col(a), F.array_max(a))
-    acc = rows.groupBy(*by).agg(F.avg((first("y") == first("z")).cast("double")).alias("cat_acc"), F.count("*").alias("n"))
-    each = rows.select(*by, F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col("z").alias("z"))).alias("class", "__p"))
-    each = each.select(*by, "class", F.col("__p.y").cast("double").alias("y"), F.col("__p.z").cast("double").alias("z"))
+    n, own = _times(rows), [c for c in (TIMES,) if c in rows.columns]
+    met = first("y") == first("z")
+    acc = rows.groupBy(*by).agg((F.sum(met.cast("double") * n) / F.sum(F.when(met.isNotNull(), n))).alias("cat_acc"), F.sum(n).alias("n"))
+    each = rows.select(*by, *own, F.posexplode(F.arrays_zip(F.col("y").alias("y"), F.col("z").alias("z"))).alias("class", "__p"))
+    each = each.select(*by, *own, "class", F.col("__p.y").cast("double").alias("y"), F.col("__p.z").cast("double").alias("z"))
     return acc, auc(each, [*by, "class"])
 
 
@@ -179,10 +203,10 @@ def _on_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner
 def summary(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     """``by``, ``n``, the four counts, and all metrics of ``classification``, ``regression`` and ``auc`` from one aggregation of the predictions."""
     y, z = F.bround("y"), F.bround("z")
-    d = F.col("y") - F.col("z")
+    d, times = F.col("y") - F.col("z"), _times(preds)
     rows = observed(preds).groupBy(*by, "z").agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count("*").alias("n"), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("ad"),
-        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
+        _sum_if(y == 1, times).alias("pos"), _sum_if(y == 0, times).alias("neg"), F.sum(times).alias("n"), F.sum(d * d * times).alias("dd"), F.sum(F.abs(d) * times).alias("ad"),
+        F.sum(F.col("y") * times).alias("sy"), F.sum(F.col("y") * F.col("y") * times).alias("syy"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
     )
     own, count = F.col("z"), F.col("n")
     sums = {c: F.sum(c) for c in ("n", "dd", "ad", "sy", "syy")} | {"min_y": F.min("min_y"), "max_y": F.max("max_y"), "min_z": F.min("z"), "max_z": F.max("z")}
@@ -244,6 +268,7 @@ def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     scores are arrays in the columns ``y_classes`` and ``z_classes``, which other outputs leave null. A name
     that calls for nothing, or a category without those columns, is an error.
     """
+    preds = staged(counted(preds, by), "score-counts")  # several aggregations read it
     family = known_family(F.col("output"))
     names = [*CLASSIFICATION, *REGRESSION, "n"]
     long = summary(preds.filter(family != "categorical"), by).unpivot(by, names, "metric", "value")
@@ -259,7 +284,7 @@ def evaluate_outputs(preds: DataFrame, by: list[str] = ["output"]) -> DataFrame:
     if not set(CLASSES) <= set(preds.columns):
         missing = F.raise_error(F.concat(F.lit("y_classes and z_classes are needed for "), "output")).cast("double")
         return out.unionByName(hits.select(*by, F.lit("n").alias("metric"), missing.alias("value")))
-    acc, areas = _categories(hits.select(*by, *[F.col(c).alias(n) for c, n in zip(CLASSES, "yz")]), by)
+    acc, areas = _categories(hits.select(*by, TIMES, *[F.col(c).alias(n) for c, n in zip(CLASSES, "yz")]), by)
     both = acc.withColumn("n", F.col("n").cast("double")).unpivot(by, ["cat_acc", "n"], "metric", "value")
     return out.unionByName(both).unionByName(areas.select(*by, F.concat(F.lit("auc_"), "class").alias("metric"), F.col("auc").alias("value")))
 
@@ -275,8 +300,7 @@ def unstack_report(report: DataFrame, index: list[str], metrics: list[str]) -> D
 
 def chunked_evaluation(preds: DataFrame, block: Column, by: list[str] = ["output"]) -> DataFrame:
     """``by, metric, value``: all metrics of ``evaluate_outputs`` for each block of rows, then their mean over the blocks in which they are defined."""
-    rows = staged(preds.withColumn("__block", block), "blocks")
-    return evaluate_outputs(rows, [*by, "__block"]).groupBy(*by, "metric").agg(F.avg("value").alias("value"))
+    return evaluate_outputs(preds.withColumn("__block", block), [*by, "__block"]).groupBy(*by, "metric").agg(F.avg("value").alias("value"))
 
 
 def _cumulated(preds: DataFrame, by: list[str]) -> DataFrame:
@@ -342,16 +366,29 @@ def annotated(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> D
     return preds.withColumn("anno", F.lit("global")).unionByName(local)
 
 
+def annotated_counts(preds: DataFrame, intervals: DataFrame, min_sites: int = 100) -> DataFrame:
+    """The rows of ``annotated``, ``counted`` by annotation and output: what a site's tracks repeat is never written."""
+    values = [c for c in ("y", "z", *CLASSES) if c in preds.columns]
+    rows = staged(preds.select(*SITE, "output", *values), "predictions")
+    held = staged(tracks_of_sites(rows.select(*SITE).distinct(), intervals), "tracks")
+    enough = held.select(F.explode("tracks").alias("anno")).groupBy("anno").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_sites).select("anno")
+    local = rows.join(held, SITE).select("output", *values, F.explode("tracks").alias("anno"))
+    keys = ["anno", "output"]
+    return counted(rows.withColumn("anno", F.lit("global")), keys).unionByName(counted(local, keys).join(enough, "anno", "left_semi"))
+
+
 def evaluate_by_annotation(preds: DataFrame, intervals: DataFrame, min_sites: int = 100, metrics: list[str] | None = None) -> DataFrame:
     """``anno, output, metric, value``: what the outputs' names call for, or the ``metrics`` named (``evaluate_metrics``).
 
-    The annotated predictions are written once, as several aggregations read them.
+    Predictions are written once, before they are annotated; a caller's own metrics read them annotated.
     """
     rows = preds.select(*SITE, "output", "y", "z", *[c for c in CLASSES if c in preds.columns])
     if metrics is not None:
         metrics = metric_names(metrics)  # a wrong name is an error before anything runs
-    rows, keys = staged(annotated(rows, intervals, min_sites), "annotated"), ["anno", "output"]
-    return evaluate_outputs(rows, keys) if metrics is None else evaluate_metrics(rows, metrics, keys)
+    keys = ["anno", "output"]
+    if metrics is None:
+        return evaluate_outputs(annotated_counts(rows, intervals, min_sites), keys)
+    return evaluate_metrics(staged(annotated(rows, intervals, min_sites), "annotated"), metrics, keys)
 
 
 def compare_models(metrics: DataFrame, names: list[str]) -> DataFrame:

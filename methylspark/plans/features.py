@@ -44,10 +44,10 @@ def feature_table(
 
 
 def evaluation_report(preds: DataFrame, tracks: DataFrame, min_sites: int = 100, points: int | None = None, curves: list[str] = ["roc", "pr"]) -> tuple[DataFrame, DataFrame]:
-    """Metrics, and curves of binary outputs (at most ``points`` each), global and per track; annotated predictions are written once."""
+    """Metrics, and curves of binary outputs (at most ``points`` each), global and per track; annotated predictions are counted, and written once."""
     kept = [*SITE, "output", "y", "z", *[c for c in evaluation.CLASSES if c in preds.columns]]
     keys, found = ["anno", "output"], {name: evaluation.curve(name) for name in curves}
-    rows = staged(evaluation.annotated(preds.select(*kept), tracks, min_sites), "annotated")
+    rows = staged(evaluation.annotated_counts(preds.select(*kept), tracks, min_sites), "annotated")
     each = []
     for name, of in found.items():
         points_of = of(rows, keys)

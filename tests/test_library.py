@@ -660,3 +660,16 @@ def test_rounded_activations_tie_with_the_threshold(spark):
     thresholds = spark.createDataFrame([(0, 0.6)], "filter int, threshold double")
     assert motifs.scan_filters(wins, w, digits=6, above={0: 0.6}).count() == 20
     assert features.activating_kmers(wins, w, thresholds, 3).count() == 20
+
+
+def test_counted_predictions_give_the_metrics_of_all_rows(spark):
+    rows = [("1", i, "cpg_stats/mean", [0.0, 0.5, 1.0, None][i % 4], (i * 7 % 5) / 4) for i in range(400)]
+    preds = spark.createDataFrame(rows, "chromo string, pos long, output string, y double, z double")
+    counts = evaluation.counted(preds)
+    assert counts.count() == 20 and counts.agg(F.sum(evaluation.TIMES)).first()[0] == 400
+    for of in (evaluation.summary, evaluation.kendall, evaluation.auc):
+        (one,), (other,) = of(preds).collect(), of(counts).collect()
+        assert list(one[1:]) == pytest.approx(list(other[1:]))
+    tracks = spark.createDataFrame([("t", "1", 0, 99), ("t", "1", 50, 199), ("few", "1", 3, 4)], "track string, chromo string, start long, end long")
+    got = {r.anno: r.n for r in evaluation.annotated_counts(preds, tracks, 20).groupBy("anno").agg(F.sum(evaluation.TIMES).alias("n")).collect()}
+    assert got == {"global": 400, "t": 200}
