@@ -92,6 +92,21 @@ def interval_index(points: DataFrame, intervals: DataFrame, by: list[str], bin_s
     return points.join(hits, on, "left").select(*points.columns, F.coalesce("__v0", F.lit(-1)).cast("long").alias("index"))
 
 
+def index_of_sites(sites: DataFrame, intervals: DataFrame, tracks: list[str] | None = None, bin_size: int = BIN) -> DataFrame:
+    """``sites`` with ``track`` and ``index`` as in ``interval_index``, a row for each track; a track's intervals must not overlap.
+
+    The intervals that hold a site are found per site, not per site and track.
+    """
+    own = intervals.filter("track IS NOT NULL").select("track", "chromo", "start", "end")
+    tracks = track_names(own) if tracks is None else tracks
+    placed = running(own, ["track", "chromo"], ["start"], F.floor(F.col("start") / bin_size), {"__n": ("count", F.lit(1))})
+    met = overlapping(sites.select(*SITE).distinct(), placed, ["chromo"], [F.col("track"), F.col("__n") - 1])
+    held = met.groupBy(*[F.col(c).alias(f"__h_{c}") for c in SITE]).agg(F.map_from_entries(F.collect_list(F.struct("__v0", "__v1"))).alias("__index"))  # at most an entry for each track
+    near = sites.join(held, (F.col("chromo") == F.col("__h_chromo")) & (F.col("pos") == F.col("__h_pos")), "left")
+    each = near.select(*sites.columns, "__index", F.explode(F.array(*[F.lit(t) for t in tracks]).cast("array<string>")).alias("track"))
+    return each.select(*sites.columns, "track", F.coalesce(F.try_element_at("__index", F.col("track")), F.lit(-1)).cast("long").alias("index"))
+
+
 def tracks_of_sites(sites: DataFrame, intervals: DataFrame) -> DataFrame:
     """``chromo, pos, tracks``: the different tracks, in order, whose intervals hold a site; sites that none holds have no row.
 

@@ -673,3 +673,11 @@ def test_counted_predictions_give_the_metrics_of_all_rows(spark):
     tracks = spark.createDataFrame([("t", "1", 0, 99), ("t", "1", 50, 199), ("few", "1", 3, 4)], "track string, chromo string, start long, end long")
     got = {r.anno: r.n for r in evaluation.annotated_counts(preds, tracks, 20).groupBy("anno").agg(F.sum(evaluation.TIMES).alias("n")).collect()}
     assert got == {"global": 400, "t": 200}
+
+
+def test_index_of_sites_is_that_of_every_point(spark):
+    at = spark.createDataFrame([("1", p) for p in range(30)] + [("2", 5)], "chromo string, pos long")
+    iv = spark.createDataFrame([("a", "1", 2, 4), ("a", "1", 9, 20), ("b", "1", 4, 4), ("b", "2", 5, 9)], "track string, chromo string, start long, end long")
+    points = at.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("track"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("chromo", "pos", "track", "index").collect())
+    assert rows(intervals.index_of_sites(at, iv)) == rows(intervals.interval_index(points, iv, ["track", "chromo"]))
