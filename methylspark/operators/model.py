@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +16,13 @@ from ..schema import SITE
 from ..staging import staged
 
 
-def build_model_input(neighbors: DataFrame, windows: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """One row per site and cell: ``state`` and ``dist`` scaled, and if given ``dna`` (one-hot), ``value`` and ``weight``."""
-    out = neighbors.select(*SITE, "cell", normalized_states(F.col("state")).alias("state"), normalized_distances(F.col("dist")).alias("dist"))
+def build_model_input(neighbors: DataFrame, windows: DataFrame | None = None, labels: DataFrame | None = None, own: bool = False) -> DataFrame:
+    """One row per site and cell: ``state`` and ``dist`` scaled, and if given ``dna`` (one-hot), ``value`` and ``weight``.
+
+    With ``own`` value and weight stand beside the neighbours, so that nothing is joined.
+    """
+    kept = ["value", "weight"] if own else []
+    out = neighbors.select(*SITE, "cell", normalized_states(F.col("state")).alias("state"), normalized_distances(F.col("dist")).alias("dist"), *kept)
     if windows is not None:
         out = out.join(windows.select(*SITE, onehot_dna(encode_dna(F.col("seq"))).alias("dna")), SITE, "left")
     if labels is not None:
@@ -45,29 +50,48 @@ _SUMS = "cell string, part long, sums array<double>"
 FAN_IN = 64
 
 
+def _floats(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    """Arrays of ``p`` numbers as rows, without Python objects."""
+    return _floats(column.flatten()).reshape(-1, p)
+
+
+def _coded(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Different values, and which of them each row has."""
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _summed(rows: DataFrame, p: int, of: Callable[[str, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
     """For each cell the sum over its rows of what ``of(cell, features, labels, weights)`` gives for some of them.
 
     Each task adds up its own rows; then ``FAN_IN`` partial sums of a cell meet at a time, in as many levels as that takes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         part = 0
-        for pdf in batches:
-            x, cells = np.array(pdf["x"].tolist(), float).reshape(-1, p), pdf["cell"].to_numpy()
-            y, w, part = pdf["y"].to_numpy(float), pdf["weight"].to_numpy(float), int(pdf["part"].iat[0])
-            for c in set(cells):
-                own = cells == c
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, part = _matrix(batch.column("x"), p), batch.column("part")[0].as_py()
+            y, w = _floats(batch.column("y")), _floats(batch.column("weight"))
+            names, cells = _coded(batch.column("cell"))
+            for k, c in enumerate(names):
+                own = cells == k
                 total[c] = total.get(c, 0.0) + of(c, x[own], y[own], w[own])
         if total:
-            yield pd.DataFrame({"cell": list(total), "part": part, "sums": list(total.values())})
+            sums = pa.array([list(s) for s in total.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([part] * len(total), pa.int64()), sums], ["cell", "part", "sums"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})
 
     n = rows.rdd.getNumPartitions()  # of the plan; nothing runs
-    sums = rows.select("cell", "x", "y", "weight", F.spark_partition_id().alias("part")).mapInPandas(run, _SUMS)
+    sums = rows.select("cell", "x", "y", "weight", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, _SUMS)
     while n > 1:
         sums = sums.groupBy("cell", F.expr(f"part div {FAN_IN}").alias("part")).applyInPandas(add, _SUMS)
         n = -(-n // FAN_IN)
@@ -134,17 +158,19 @@ def fit_output_models(inputs: DataFrame, outputs: list[str], features: list[str]
         own = rows.filter(F.col("cell").isin(*outputs[at : at + block]))
         models = fit_logistic(own.filter("y IS NOT NULL").select("cell", "x", "y", "weight"), size, iterations)
 
-        def predict(batches: Iterator[pd.DataFrame], models: dict = models) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                x = np.array(pdf["x"].tolist(), float).reshape(-1, size)
-                none = np.zeros(size), np.nan
-                own = [models.get(c, none) for c in pdf["cell"]]
+        def predict(batches: Iterator[pa.RecordBatch], models: dict = models) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, (names, cells) = _matrix(batch.column("x"), size), _coded(batch.column("cell"))
+                own = [models.get(c, (np.zeros(size), np.nan)) for c in names]
                 b, a = np.array([m[0] for m in own]).reshape(-1, size), np.array([m[1] for m in own])
                 with np.errstate(over="ignore"):
-                    z = 1 / (1 + np.exp(-((x * b).sum(axis=1) + a)))
-                out = pdf[keys].assign(output="cpg/" + pdf["cell"], y=pdf["__value"].astype(float), z=z)
-                yield out.astype({"y": object, "z": object}).where(out.notna(), None)
+                    z = 1 / (1 + np.exp(-((x * b[cells]).sum(axis=1) + a[cells])))
+                output = pa.array([f"cpg/{c}" for c in names], pa.string()).take(pa.array(cells))
+                numbers = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (_floats(batch.column("__value")), z)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], output, *numbers], schema.names)
 
-        z = own.mapInPandas(predict, schema)
+        z = own.mapInArrow(predict, schema)
         out = z if out is None else out.unionByName(z)
     return inputs.sparkSession.createDataFrame([], schema) if out is None else out

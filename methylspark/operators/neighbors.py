@@ -10,7 +10,7 @@ from ..staging import staged
 from .running import running
 
 
-def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int = 4096, own: bool = False) -> DataFrame:
+def knn_neighbors(targets: DataFrame, profiles: DataFrame | None, k: int, rank_bin: int = 4096, own: bool = False) -> DataFrame:
     """``chromo, pos, cell, state, dist``: arrays of 2k, left neighbours far to near, then right ones near to far.
 
     With ``own`` also ``value``, what the profile has at the site itself.
@@ -19,15 +19,21 @@ def knn_neighbors(targets: DataFrame, profiles: DataFrame, k: int, rank_bin: int
     profile (one row per site and cell), the site itself left out. Slots without a
     neighbour are null.
 
+    Without ``profiles`` the targets, a row for each site and cell, have ``value`` and are the whole profile as well; they are read
+    twice, so write them before.
+
     Observed sites are numbered along the chromosome (two-level running count) and cut
     into bins of ``rank_bin`` numbers, to whose edges the k sites beyond are copied: each
     task holds a bin, however long the chromosome or dense the cell.
     """
     if k < 1 or rank_bin <= k:
         raise ValueError("k must be at least 1 and less than rank_bin")
-    seen = profiles.filter("value IS NOT NULL").select(*SITE, "cell", "value")
-    rows = targets.select(*SITE, "cell").distinct().withColumn("__t", F.lit(True)).join(seen, [*SITE, "cell"], "full")
-    rows = staged(rows, "sites-and-sources")  # the running count reads them twice
+    if profiles is None:
+        rows = targets.select(*SITE, "cell", F.lit(True).alias("__t"), "value")
+    else:
+        seen = profiles.filter("value IS NOT NULL").select(*SITE, "cell", "value")
+        rows = targets.select(*SITE, "cell").distinct().withColumn("__t", F.lit(True)).join(seen, [*SITE, "cell"], "full")
+        rows = staged(rows, "sites-and-sources")  # the running count reads them twice
     by = ["chromo", "cell"]
     n = F.when(F.col("value").isNotNull(), 1)
     ranked = running(rows, by, ["pos"], F.floor(F.col("pos") / BIN), {"__r": ("count", n)})

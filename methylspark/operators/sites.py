@@ -37,7 +37,7 @@ def map_to_positions(sites: DataFrame, profiles: DataFrame, cells: list[str] | N
 
 def wide(grid: DataFrame, cells: list[str]) -> DataFrame:
     """One column per cell."""
-    return grid.groupBy(*SITE).pivot("cell", cells).agg(F.max("value"))
+    return grid.groupBy(*SITE).agg(*[F.max(F.when(F.col("cell") == c, F.col("value"))).alias(c) for c in cells])
 
 
 def keep_target_rows(profiles: DataFrame, sites: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ def class_weights(labels: DataFrame) -> DataFrame:
 
 def sample_weights(labels: DataFrame, weights: DataFrame, unobserved: float = EPS) -> DataFrame:
     """``labels`` with ``weight``: that of their class, 1 where the output has none, almost 0 for null labels."""
+    # a row for each output and class
     w = weights.select(F.col("output").alias("__o"), F.col("class").alias("__c"), "weight")
-    met = labels.join(w, (F.col("output") == F.col("__o")) & (F.col("value").cast("int") == F.col("__c")), "left")
+    met = labels.join(F.broadcast(w), (F.col("output") == F.col("__o")) & (F.col("value").cast("int") == F.col("__c")), "left")
     return met.select(*labels.columns, F.when(F.col("value").isNull(), unobserved).otherwise(F.coalesce("weight", F.lit(1.0))).alias("weight"))
 
 

@@ -681,3 +681,13 @@ def test_index_of_sites_is_that_of_every_point(spark):
     points = at.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("track"))
     rows = lambda df: sorted(tuple(r) for r in df.select("chromo", "pos", "track", "index").collect())
     assert rows(intervals.index_of_sites(at, iv)) == rows(intervals.interval_index(points, iv, ["track", "chromo"]))
+
+
+def test_targets_that_are_the_whole_profile_need_no_join(spark):
+    grid = spark.createDataFrame([("1", p, c, None if p % 3 == i else float(p % 2)) for p in range(40) for i, c in enumerate("xy")], "chromo string, pos long, cell string, value double").cache()
+    rows = lambda df: sorted(map(str, df.collect()))
+    alone = neighbors.knn_neighbors(grid, None, 2, own=True)
+    assert rows(alone) == rows(neighbors.knn_neighbors(grid, grid, 2, own=True))
+    w = alone.withColumn("weight", F.lit(2.0))
+    labels = grid.withColumn("weight", F.lit(2.0))
+    assert rows(model.build_model_input(w, own=True)) == rows(model.build_model_input(alone.drop("value"), labels=labels))
