@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus and the benchmark are TF-IDF vectors over the words of the
-benchmark; words that it lacks count in a passage's length only. A randomised SVD,
-computed from sums over Spark tasks, gives a latent space. Every window of every document
+benchmark; words that it lacks count in a passage's length only. A randomised SVD of
+all passages, computed from sums over Spark tasks, gives a latent space. Every window of every document
 is compared there with the benchmark's items by cosine, and what comes close is checked
 word by word: the longest common subsequence with the item, and that with its answer
 (the answer column, or the last quarter of the item). A copy holds most of the item; a
@@ -15,8 +15,9 @@ items; paraphrases of short items are found by their windows only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +39,10 @@ SHORT, FIRST_WORDS = 11, 4
 STEP_WORDS = 30_000
 #: Words of a text that are compared with all items at once; a multiple of ``STEP``.
 PIECE_WORDS = 1 << 15
+#: Passages that are multiplied at once when the latent space is fitted, and words of the benchmark whose sums make a row.
+STEP_PASSAGES, SUM_WORDS = 32, 64
+#: Words of the texts that are written at once.
+BATCH_WORDS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -222,15 +227,18 @@ class Index:
 
     def leaks(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, float, float, str]]]:
         """For each text: item, cosine, shares of item and answer, and kind, for each item that it holds."""
-        near: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in texts]
-        codes = [self.codes(w) for w in texts]
+        return self.held([self.codes(w) for w in texts], texts.__getitem__)
+
+    def held(self, codes: list[np.ndarray], words: Callable[[int], list[bytes]]) -> list[list[tuple[int, float, float, float, str]]]:
+        """``leaks`` of texts whose codes are known; their words are asked for where something may be."""
+        near: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in codes]
         for t, i, s, e, cos in self.candidates(codes):
             near[t].setdefault(i, []).append((s, e, cos))
-        out = [{i: x for i, *x in self._checked(words, n)} for words, n in zip(texts, near)]
+        out = [{i: x for i, *x in self._checked(words(t), n)} if n else {} for t, n in enumerate(near)]
         for t, i, s, e in self.seeded(codes) if self.seeds else ():
             if i in out[t] and out[t][i][3] == "copy":
                 continue
-            item, text = self.items[i], texts[t][s:e]
+            item, text = self.items[i], words(t)[s:e]
             there = set(text)
             if sum(w in there for w in item) < self.rule.copy * len(item):
                 continue
@@ -264,75 +272,106 @@ class Index:
         return [(i, *x) for i, x in sorted(best.items())]
 
 
-def _sums(docs: DataFrame, index: Index) -> np.ndarray:
-    """In how many documents each word of the vocabulary stands, and their number."""
+def _coded(docs: DataFrame, index: Index) -> DataFrame:
+    """``docs`` with the codes of all words of each text, four bytes each; written once for all passes."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(shared.value.vocab)
-        df = np.zeros(n + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
+            some, size, first = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                some.append(shared.value.codes(words_of(text.as_py())).tobytes())
+                size += len(some[-1]) // 4
+                if size >= BATCH_WORDS or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(some)).columns, pa.array(some, pa.binary())], [*batch.schema.names, "codes"])
+                    some, size, first = [], 0, k + 1
+
+    return staged(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("codes", T.BinaryType())])), "coded")
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(c.as_buffer(), np.int32) for c in batch.column("codes"))
+
+
+def _sums(coded: DataFrame, n: int) -> np.ndarray:
+    """In how many documents each of the ``n`` words of the vocabulary stands, the number of documents and that of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n + 2, np.int64)
+        for batch in batches:
+            for codes in _texts(batch):
                 there = np.zeros(n + 1, bool)
-                there[shared.value.codes(words_of(text.as_py()))] = True
+                there[codes] = True
                 there[n] = True  # the document itself
-                df += there
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(df)], ["word", "df"])
+                df[:-1] += there
+                df[-1] += -(-len(codes) // LENGTHS[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 2)), pa.array(df)], ["word", "df"])
 
-    rows = docs.mapInArrow(run, "word long, df long").filter("df > 0").groupBy("word").agg(F.sum("df").alias("df")).collect()  # as many as words of the benchmark
-    df = np.zeros(len(index.vocab) + 1)
+    rows = coded.select("codes").mapInArrow(run, "word long, df long").filter("df > 0").groupBy("word").agg(F.sum("df").alias("df")).collect()  # as many as words of the benchmark
+    df = np.zeros(n + 2)
     for r in rows:
         df[r.word] = r.df
     return df
 
 
-def _gram(passages: DataFrame, index: Index, x: np.ndarray) -> np.ndarray:
-    """A'A x over the sampled passages, summed over tasks."""
-    shared = passages.sparkSession.sparkContext.broadcast((index, x))
+def _gram(coded: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'A x over all passages of all documents, added up by tasks."""
     v, k = x.shape
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, x = shared.value
-        total = np.zeros(x.shape)
+    shared = coded.sparkSession.sparkContext.broadcast((idf, (x * idf[:-1, None]).astype(np.float32)))
+    names = ["at", "data"]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, x = shared.value
+        total = np.zeros((v, k))
+
+        def add(passages: list[np.ndarray]) -> None:
+            codes = np.concatenate(passages)
+            owner = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+            norm = np.bincount(owner, idf[codes] ** 2)  # squared, of all words one by one
+            known = codes < v
+            there, code = np.unique(codes[known], return_inverse=True)
+            a = np.bincount(owner[known] * len(there) + code, minlength=len(passages) * len(there)).reshape(len(passages), -1).astype(np.float32)
+            if len(there):
+                total[there] += a.T @ (a @ x[there] / np.maximum(norm, 1e-18)[:, None].astype(np.float32))
+
+        some = []
         for batch in batches:
-            codes = [np.array(c, np.int32) for c in batch.column("codes").to_pylist()]
-            for s in range(0, len(codes), 256):
-                a = index.dense(codes[s : s + 256])
-                total += a.T @ (a @ x)
-        step = 512
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(0, v, step), pa.int64()), pa.array([total[i : i + step].tobytes() for i in range(0, v, step)], pa.binary())], ["at", "data"]
-        )
+            for codes in _texts(batch):
+                for s in range(0, len(codes), LENGTHS[-1]):
+                    some.append(codes[s : s + LENGTHS[-1]])
+                    if len(some) == STEP_PASSAGES:
+                        add(some)
+                        some = []
+        if some:
+            add(some)
+        total *= idf[:-1, None]
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, v, SUM_WORDS), pa.int64()), pa.array([total[i : i + SUM_WORDS].tobytes() for i in range(0, v, SUM_WORDS)], pa.binary())], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column("at").to_pylist(), batch.column("data")):
+                part = np.frombuffer(data.as_buffer())
+                sums[at] = sums[at] + part if at in sums else part.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names)
 
+    schema = "at long, data binary"
     out = np.zeros((v, k))
-    for r in passages.mapInArrow(run, "at long, data binary").toLocalIterator():  # tasks x words x rank numbers, both bounded
+    for r in coded.select("codes").mapInArrow(product, schema).repartition("at").mapInArrow(added, schema).toLocalIterator():  # words x rank numbers, whatever the number of tasks
         part = np.frombuffer(r.data).reshape(-1, k)
-        out[r.at : r.at + len(part)] += part
+        out[r.at : r.at + len(part)] = part
     return out
 
 
-def _fit(docs: DataFrame, index: Index, n_docs: float, rank: int, fit_passages: int, seed: int) -> None:
+def _fit(coded: DataFrame, index: Index, n_passages: float, rank: int, seed: int) -> None:
     """The latent space, by randomised SVD with one power iteration.
 
-    It is fitted on one passage each of about ``fit_passages`` documents, drawn by a hash,
-    and on the items, which weigh as much as those together.
+    It is fitted on all passages of all documents, cut without overlap, and on the items,
+    which weigh as much as those together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                at = sum(map(len, words[:8])) % max(1, len(words) - LENGTHS[-1])
-                codes.append(shared.value.codes(words[at : at + LENGTHS[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int32()))], ["codes"])
-
-    drawn = docs.filter(share < fit_passages / max(n_docs, 1)) if n_docs > fit_passages else docs
-    passages = staged(drawn.mapInArrow(run, "codes array<int>"), "passages").coalesce(8)
     items = [index.codes(w) for w in index.items]
-    weight = min(n_docs, fit_passages) / len(items)
+    weight = max(n_passages, 1) / len(items)
 
     def of_items(x: np.ndarray) -> np.ndarray:
         parts = (index.dense(items[k : k + 256]).astype(np.float64) for k in range(0, len(items), 256))
@@ -342,7 +381,7 @@ def _fit(docs: DataFrame, index: Index, n_docs: float, rank: int, fit_passages:
     q = np.random.default_rng(seed).standard_normal((len(index.vocab), k))
     for _ in range(2):
         q = np.linalg.qr(q)[0]
-        y = _gram(passages, index, q) + weight * of_items(q)
+        y = _gram(coded, index.idf, q) + weight * of_items(q)
         last, q = q, y
     values, vectors = np.linalg.eigh(last.T @ y)
     top = np.argsort(-values)[:rank]
@@ -359,7 +398,6 @@ def find_leaks(
     answer_col: str | None = None,
     rule: Rule = Rule(),
     rank: int = 192,
-    fit_passages: int = 8000,
     seed: int = 11,
 ) -> DataFrame:
     """``doc_id, item_id, cosine, item_share, answer_share, kind``, a row for each document and item that it holds.
@@ -385,33 +423,36 @@ def find_leaks(
             continue
         index = Index([i for i, _, _ in items], [w for _, w, _ in items], [a or w[-max(1, len(w) // 4) :] for _, w, a in items], rule)
         index.vocab = {w: i for i, w in enumerate(sorted({w for ws in index.items for w in ws}))}
-        df = _sums(rows, index)
-        n = df[-1]
-        idf = np.log((1 + n) / (1 + df[:-1])) + 0.1
+        coded = _coded(rows, index)
+        *df, n, n_passages = _sums(coded, len(index.vocab))
+        idf = np.log((1 + n) / (1 + np.array(df))) + 0.1
         # an unknown word weighs as much as a word of the items does on average
         mean = np.concatenate([idf[index.codes(w)] for w in index.items]).mean()
         index.idf = np.r_[idf, mean].astype(np.float32)
-        _fit(rows, index, n, rank, fit_passages, seed)
+        _fit(coded, index, n_passages, rank, seed)
         index.place()
         index.sow()
-        found = _search(rows, index, schema)
+        found = _search(coded, index, schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _search(rows: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def _search(coded: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
+            texts = batch.column("text")
             at, out, step, size = [], [], [], 0
-            for k, text in enumerate(batch.column("text")):
-                step.append(words_of(text.as_py()))
-                size += len(step[-1])
+            for k, codes in enumerate(_texts(batch)):
+                step.append(codes)
+                size += len(codes)
                 if size >= STEP_WORDS or k == batch.num_rows - 1:
-                    for t, found in enumerate(index.leaks(step)):
-                        at += [k - len(step) + 1 + t] * len(found)
+                    first = k - len(step) + 1
+                    words = cache(lambda t, first=first: words_of(texts[first + t].as_py()))
+                    for t, found in enumerate(index.held(step, words)):
+                        at += [first + t] * len(found)
                         out += [(index.ids[i], *x) for i, *x in found]
                     step, size = [], 0
             if at:
@@ -419,7 +460,7 @@ def _search(rows: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), types[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *columns], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return coded.mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -295,6 +295,27 @@ def test_leaks(spark, docs, none):
     assert decontam.find_leaks(docs, bench.filter("item_id > 89")).count() == 0
 
 
+def test_the_latent_space_is_that_of_all_passages_of_all_documents(spark, monkeypatch):
+    """Of 9,000 documents whose first and later passages hold different words; the matrix is multiplied out here."""
+    rnd = np.random.default_rng(8)
+    vocab = np.array([f"w{i:02d}" for i in range(28)])  # as many as the sketch has columns, so that it is exact
+    items = [(i, " ".join(vocab[i * 4 : i * 4 + 4])) for i in range(7)]
+    text = lambda lo, hi, n: " ".join(rnd.choice(vocab[lo:hi], n))
+    texts = [f"{text(0, 9, 64)} {text(18 - 9 * (i % 2), 28 - 9 * (i % 2), 64 + i % 9)}" for i in range(9000)]
+    fitted, place = [], decontam.Index.place
+    monkeypatch.setattr(decontam.Index, "place", lambda index: (fitted.append(index), place(index)))
+    decontam.find_leaks(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string"), rank=12)
+    (index,) = fitted
+    codes = [index.codes(decontam.words_of(t)) for t in texts]
+    passages = [c[k : k + 64] for c in codes for k in range(0, len(c), 64)]
+    a, b = (index.dense(x).astype(float) for x in (passages, [index.codes(w) for w in index.items]))
+    gram = a.T @ a + len(passages) / len(b) * b.T @ b
+    basis = index.basis[:-1].astype(float)
+    assert np.allclose(basis.T @ basis, np.eye(12), atol=1e-5)
+    values = np.linalg.eigvalsh(gram)[:-13:-1]
+    assert np.abs(gram @ basis - basis * values).max() < 1e-4 * values[0]
+
+
 @pytest.mark.parametrize("n", [1000, 4000])
 def test_copies_are_found_when_items_outnumber_the_rank(spark, n):
     rnd = random.Random(4)
