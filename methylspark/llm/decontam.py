@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus and the benchmark are TF-IDF vectors over the words of the
-benchmark; words that it lacks count in a passage's length only. A randomised SVD of
-all passages, computed from sums over Spark tasks, gives a latent space. Every window of every document
+benchmark; words that it lacks count in a passage's length only. A sketched
+SVD of all passages, computed from sums over Spark tasks, gives a latent space. Every window of every document
 is compared there with the benchmark's items by cosine, and what comes close is checked
 word by word: the longest common subsequence with the item, and that with its answer
 (the answer column, or the last quarter of the item). A copy holds most of the item; a
@@ -82,6 +82,7 @@ class Index:
     answers: list[list[bytes]]
     rule: Rule
     vocab: dict[bytes, int] = field(default_factory=dict)
+    extra: dict[bytes, int] = field(default_factory=dict)  # words of answers that no item has; numbers beyond that of unknown words
     idf: np.ndarray | None = None  # of each word; the last is that of unknown words
     basis: np.ndarray | None = None  # words x rank; the last row is zero
     weighted: np.ndarray | None = None  # the basis times idf
@@ -103,7 +104,7 @@ class Index:
 
     def place(self) -> None:
         """Latent vectors of the items, by the window length that holds them; long items in pieces, the last of which ends with the item."""
-        self.weighted = self.basis * self.idf[:, None]
+        self.weighted = np.ascontiguousarray(self.basis * self.idf[:, None])  # rows are gathered
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, words in enumerate(self.items):
             c = self.codes(words)
@@ -183,7 +184,12 @@ class Index:
         limit = first[1:][owner]
         weight = self.idf[codes] ** 2
         known = np.where(codes < len(self.vocab), weight, 0).sum(axis=1)
-        sums = lambda x: np.r_[np.zeros((1, *x.shape[1:]), x.dtype), np.cumsum(x, axis=0)]
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x) + 1, *x.shape[1:]), x.dtype)
+            np.cumsum(x, axis=0, out=out[1:])
+            return out
+
         norms, known = sums(weight.sum(axis=1).astype(np.float64)), sums(known.astype(np.float64))
         windows = []
         for n, items, q in self.queries:
@@ -204,12 +210,12 @@ class Index:
         at = np.r_[0, np.cumsum(used)]  # of each block among those in use
         used = np.flatnonzero(used)
         blocks = np.empty((len(used), self.basis.shape[1]), np.float32)
-        for k in range(0, len(used), 512):
-            c = codes[used[k : k + 512]]
-            part = self.weighted[c[:, 0]]
-            for w in range(1, STEP):
-                part += self.weighted[c[:, w]]
-            blocks[k : k + 512] = part
+        row = np.empty((128, self.basis.shape[1]), np.float32)
+        for k in range(0, len(used), len(row)):
+            c = codes[used[k : k + len(row)]].T.copy()
+            part = self.weighted.take(c[0], axis=0, out=blocks[k : k + len(row)], mode="clip")  # no code is too large
+            for w in c[1:]:
+                part += self.weighted.take(w, axis=0, out=row[: len(w)], mode="clip")
         out = []
         latent = sums(blocks)
         for items, q, start, end, norm in windows:
@@ -240,7 +246,7 @@ class Index:
                 continue
             item, text = self.items[i], words(t)[s:e]
             there = set(text)
-            if sum(w in there for w in item) < self.rule.copy * len(item):
+            if sum(map(there.__contains__, item)) < self.rule.copy * len(item):
                 continue
             share = subsequence(item, text) / len(item)
             if share >= self.rule.copy:
@@ -260,7 +266,7 @@ class Index:
                 pad = max(len(item) - (e - s), 0) + STEP
                 text = words[max(0, s - pad) : e + pad]
                 there = set(text)
-                if sum(w in there for w in item) / len(item) < self.rule.paraphrase:  # the subsequence can't be longer
+                if sum(map(there.__contains__, item)) / len(item) < self.rule.paraphrase:  # the subsequence can't be longer
                     continue
                 share = subsequence(item, text) / len(item)
                 if share < self.rule.paraphrase:
@@ -273,20 +279,22 @@ class Index:
 
 
 def _coded(docs: DataFrame, index: Index) -> DataFrame:
-    """``docs`` with the codes of all words of each text, four bytes each; written once for all passes."""
+    """The id of each document and the codes of all its words, four bytes each; written once for all passes."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, unknown = shared.value.vocab | shared.value.extra, len(shared.value.vocab)
         for batch in batches:
             some, size, first = [], 0, 0
             for k, text in enumerate(batch.column("text")):
-                some.append(shared.value.codes(words_of(text.as_py())).tobytes())
-                size += len(some[-1]) // 4
+                words = words_of(text.as_py())
+                some.append(np.fromiter(map(numbers.get, words, repeat(unknown)), np.int32, len(words)).tobytes())
+                size += len(words)
                 if size >= BATCH_WORDS or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(some)).columns, pa.array(some, pa.binary())], [*batch.schema.names, "codes"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(some)), pa.array(some, pa.binary())], ["doc_id", "codes"])
                     some, size, first = [], 0, k + 1
 
-    return staged(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("codes", T.BinaryType())])), "coded")
+    return staged(docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("codes", T.BinaryType())])), "coded")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -301,7 +309,7 @@ def _sums(coded: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for codes in _texts(batch):
                 there = np.zeros(n + 1, bool)
-                there[codes] = True
+                there[np.minimum(codes, n)] = True
                 there[n] = True  # the document itself
                 df[:-1] += there
                 df[-1] += -(-len(codes) // LENGTHS[-1])
@@ -325,7 +333,7 @@ def _gram(coded: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
         total = np.zeros((v, k))
 
         def add(passages: list[np.ndarray]) -> None:
-            codes = np.concatenate(passages)
+            codes = np.minimum(np.concatenate(passages), v)
             owner = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
             norm = np.bincount(owner, idf[codes] ** 2)  # squared, of all words one by one
             known = codes < v
@@ -365,10 +373,11 @@ def _gram(coded: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _fit(coded: DataFrame, index: Index, n_passages: float, rank: int, seed: int) -> None:
-    """The latent space, by randomised SVD with one power iteration.
+    """The latent space: the largest eigenvectors of the sum A'A of all passages, by Nystroem's method in one pass.
 
     It is fitted on all passages of all documents, cut without overlap, and on the items,
-    which weigh as much as those together.
+    which weigh as much as those together. The pass is begun in the items' own space (random
+    columns after two power iterations on the items), as that is where windows are compared.
     """
     items = [index.codes(w) for w in index.items]
     weight = max(n_passages, 1) / len(items)
@@ -378,14 +387,17 @@ def _fit(coded: DataFrame, index: Index, n_passages: float, rank: int, seed: int
         return sum(a.T @ (a @ x) for a in parts)
 
     k = min(rank + 16, len(index.vocab))
-    q = np.random.default_rng(seed).standard_normal((len(index.vocab), k))
+    noise = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(index.vocab), k)))[0]
+    q = noise
     for _ in range(2):
-        q = np.linalg.qr(q)[0]
-        y = _gram(coded, index.idf, q) + weight * of_items(q)
-        last, q = q, y
-    values, vectors = np.linalg.eigh(last.T @ y)
-    top = np.argsort(-values)[:rank]
-    index.basis = np.r_[last @ vectors[:, top], np.zeros((1, len(top)))].astype(np.float32)
+        q = np.linalg.qr(of_items(q) + 1e-6 * noise)[0]  # items of fewer dimensions leave the rest to chance
+    y = _gram(coded, index.idf, q) + weight * of_items(q)
+    # A'A is taken as y (q'y)^-1 y', which is exact if q spans the space
+    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    kept = values > 1e-7 * values[-1]
+    half = y @ (vectors[:, kept] / np.sqrt(values[kept]))
+    top = np.linalg.svd(half, full_matrices=False)[0][:, :rank]
+    index.basis = np.r_[top, np.zeros((1, top.shape[1]))].astype(np.float32)
 
 
 def find_leaks(
@@ -423,6 +435,7 @@ def find_leaks(
             continue
         index = Index([i for i, _, _ in items], [w for _, w, _ in items], [a or w[-max(1, len(w) // 4) :] for _, w, a in items], rule)
         index.vocab = {w: i for i, w in enumerate(sorted({w for ws in index.items for w in ws}))}
+        index.extra = {w: len(index.vocab) + 1 + i for i, w in enumerate(sorted({w for a in index.answers for w in a} - index.vocab.keys()))}
         coded = _coded(rows, index)
         *df, n, n_passages = _sums(coded, len(index.vocab))
         idf = np.log((1 + n) / (1 + np.array(df))) + 0.1
@@ -442,16 +455,17 @@ def _search(coded: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        unknown = len(index.vocab)
+        names = [*index.vocab, b"", *index.extra]  # no item has the empty word
         for batch in batches:
-            texts = batch.column("text")
             at, out, step, size = [], [], [], 0
             for k, codes in enumerate(_texts(batch)):
                 step.append(codes)
                 size += len(codes)
                 if size >= STEP_WORDS or k == batch.num_rows - 1:
                     first = k - len(step) + 1
-                    words = cache(lambda t, first=first: words_of(texts[first + t].as_py()))
-                    for t, found in enumerate(index.held(step, words)):
+                    words = cache(lambda t, step=step: [names[c] for c in step[t].tolist()])
+                    for t, found in enumerate(index.held([np.minimum(c, unknown) for c in step], words)):
                         at += [first + t] * len(found)
                         out += [(index.ids[i], *x) for i, *x in found]
                     step, size = [], 0
