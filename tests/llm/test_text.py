@@ -63,6 +63,16 @@ def test_predictions_are_those_of_the_nearest_centroid(spark, docs):
         assert r.rejected == (r.score < model.floors[model.langs.index(r.lang_pred), min(len(text) - 2, 1 << 9).bit_length() - 1])
 
 
+def test_every_text_is_learnt_from(spark):
+    """Of 2,000 texts of a language each counts; the model does not depend on how rows are dealt out."""
+    rnd = random.Random(21)
+    rows = [(i, words(rnd, lang, rnd.randint(3, 12)) + ("" if i % 1999 else " qqzzqq"), lang, "a") for i, lang in enumerate(["en"] * 2000 + ["de"] * 30)]
+    model, again = langid.train(frame(spark, rows)), langid.train(frame(spark, rows).repartition(7, "doc_id"))
+    df = (sum(langid.counts([langid.plain(t)]) > 0 for _, t, *_ in rows))[0]
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1, atol=1e-5)
+    assert model.langs == again.langs and (model.centroids == again.centroids).all() and (model.floors == again.floors).all()
+
+
 def test_of_too_many_languages_those_of_most_rows_are_learnt(spark, monkeypatch):
     rnd = random.Random(12)
     rows = [(i, words(rnd, lang, 20), lang, "a") for i, lang in enumerate(["en"] * 30 + ["de"] * 25 + ["fr"] * 5)]
