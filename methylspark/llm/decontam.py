@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ SHORT, FIRST_WORDS = 11, 4
 STEP_WORDS = 30_000
 #: Words of a text that are compared with all items at once; a multiple of ``STEP``.
 PIECE_WORDS = 1 << 15
+#: Blocks of ``STEP`` words whose latent vectors are gathered, and that windows are added up from, at once; both stay in a core's cache.
+GATHER_BLOCKS, WINDOW_BLOCKS = 128, 256
+#: Marks of words, a row of them for each candidate, that are set at once.
+MARKS = 1 << 20
 #: Passages that are multiplied at once when the latent space is fitted, and words of the benchmark whose sums make a row.
 STEP_PASSAGES, SUM_WORDS = 32, 64
 #: Words of the texts that are written at once.
@@ -73,6 +77,31 @@ def subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
+def around(size, s, e):
+    """First and last word of the part of a text in which an item of ``size`` words is looked for if a window is close to it."""
+    pad = np.maximum(size - (e - s), 0) + STEP
+    return np.maximum(s - pad, 0), e + pad
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each member of the ranges that begin at ``first``."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) + (first - np.cumsum(sizes) + sizes)[row]
+
+
+def _windows(added: dict[int, np.ndarray], n: int, left: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` rows in a row from each row on, or as many as are ``left`` from it; from the sums of fewer, all kept in ``added``."""
+    if n not in added:
+        a = 1 << (n - 1).bit_length() - 1
+        head, tail = _windows(added, a, left), _windows(added, n - a, left)
+        out = head.copy()
+        out[:-a] += tail[a:]
+        short = np.flatnonzero(left[: len(out)] <= a)
+        out[short] = head[short]
+        added[n] = out
+    return added[n]
+
+
 @dataclass
 class Index:
     """What tasks need to search for a block of items."""
@@ -89,7 +118,7 @@ class Index:
     queries: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)  # window length, items, latent vectors
 
     item_codes: list[np.ndarray] = field(default_factory=list)
-    seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = field(default_factory=dict)  # words in a row: sorted keys, items and places of each
+    seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]], np.ndarray]] = field(default_factory=dict)  # words in a row: sorted keys, items and places of each, and the words that one begins with
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words, repeat(len(self.vocab))), np.int32, len(words))
@@ -117,34 +146,39 @@ class Index:
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
             self.queries.append((n, np.array([i for i, _ in pieces]), q.T.astype(np.float32)))
 
-    def keys(self, codes: np.ndarray, n: int) -> np.ndarray:
-        """A number for every ``n`` words in a row; different words may share one."""
-        out = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+    def keys(self, codes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """A number for every ``n`` words in a row, or for those that begin ``at`` places; different words may share one."""
+        at = np.arange(max(len(codes) - n + 1, 0)) if at is None else at
+        out = np.zeros(len(at), np.uint64)
         for k in range(n):
-            out = out * np.uint64(len(self.vocab) + 1) + codes[k : k + len(out)].astype(np.uint64)
+            out = out * np.uint64(len(self.vocab) + 1) + codes[at + k].astype(np.uint64)
         return out
 
     def sow(self) -> None:
         """The word sequences that lead to items without the latent space."""
         found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        begins: dict[int, np.ndarray] = {}
         self.item_codes = [self.codes(words) for words in self.items]
         for i, words in enumerate(self.items):
             n = min(len(words), 2 if len(words) <= SHORT else FIRST_WORDS)
             places = self.keys(self.item_codes[i], n).tolist()
             for j, key in enumerate(places if len(words) <= SHORT else places[:1]):
                 found.setdefault(n, {}).setdefault(key, []).append((i, j))
-        self.seeds = {n: (np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)]) for n, x in found.items()}
+                begins.setdefault(n, np.zeros(len(self.vocab) + 1, bool))[self.item_codes[i][j]] = True
+        self.seeds = {n: (np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)], begins[n]) for n, x in found.items()}
 
     def seeded(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
         """Text, item, first and last word of the spans in which a copy may stand, by words in a row."""
         unknown = np.array([len(self.vocab)], np.int32)  # between texts; no item has it
         codes = np.concatenate([x for c in texts for x in (c, unknown)])
         first = np.r_[0, np.cumsum([len(c) + 1 for c in texts])]
-        for n, (keys, places) in self.seeds.items():
-            own = self.keys(codes, n)
+        for n, (keys, places, begins) in self.seeds.items():
+            starts = np.flatnonzero(begins[codes[: max(len(codes) - n + 1, 0)]])
+            own = self.keys(codes, n, starts)
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            hits = np.flatnonzero(keys[at] == own)
-            for p, t, k in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), at[hits].tolist()):
+            same = keys[at] == own
+            hits = starts[same]
+            for p, t, k in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), at[same].tolist()):
                 for i, j in places[k]:
                     m = len(self.items[i])
                     s, slack = p - int(first[t]) - j, m // 4
@@ -183,52 +217,63 @@ class Index:
         owner = np.repeat(np.arange(len(texts)), sizes)
         limit = first[1:][owner]
         weight = self.idf[codes] ** 2
-        known = np.where(codes < len(self.vocab), weight, 0).sum(axis=1)
+        known = (weight * (codes < len(self.vocab))).sum(axis=1)
 
         def sums(x: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(x) + 1, *x.shape[1:]), x.dtype)
-            np.cumsum(x, axis=0, out=out[1:])
-            return out
+            return np.r_[0, np.cumsum(x, dtype=np.float64)]
 
-        norms, known = sums(weight.sum(axis=1).astype(np.float64)), sums(known.astype(np.float64))
+        norms, known = sums(weight.sum(axis=1)), sums(known)
         windows = []
+        start, used = np.arange(n_blocks), np.zeros(n_blocks + 1, np.int64)
         for n, items, q in self.queries:
-            start = np.arange(n_blocks)
             end = np.minimum(start + n // STEP, limit)
-            norm = norms[end] - norms[start]
+            norm = norms[end] - norms[:-1]
             # a window of which the benchmark knows too little is close to nothing, whatever its few known words point to
-            near = known[end] - known[start] >= self.rule.cosine**2 * norm
-            if near.any():
-                windows.append((items, q, start[near], end[near], np.sqrt(norm[near])))
+            near = np.flatnonzero(known[end] - known[:-1] >= self.rule.cosine**2 * norm)
+            if len(near):
+                windows.append((n // STEP, items, q, near, np.sqrt(norm[near])))
+                used[near] += 1
+                used -= np.bincount(end[near], minlength=n_blocks + 1)
         if not windows:
             return []
-        used = np.zeros(n_blocks + 1, np.int64)
-        for _, _, start, end, _ in windows:
-            np.add.at(used, start, 1)
-            np.add.at(used, end, -1)
         used = np.cumsum(used[:-1]) > 0
-        at = np.r_[0, np.cumsum(used)]  # of each block among those in use
+        at = np.r_[0, np.cumsum(used)]  # of each block among those in use, where the blocks of a window stay together
         used = np.flatnonzero(used)
-        blocks = np.empty((len(used), self.basis.shape[1]), np.float32)
-        row = np.empty((128, self.basis.shape[1]), np.float32)
-        for k in range(0, len(used), len(row)):
-            c = codes[used[k : k + len(row)]].T.copy()
-            part = self.weighted.take(c[0], axis=0, out=blocks[k : k + len(row)], mode="clip")  # no code is too large
-            for w in c[1:]:
-                part += self.weighted.take(w, axis=0, out=row[: len(w)], mode="clip")
+        left = at[limit[used]] - np.arange(len(used))  # blocks to the end of the text
+        blocks = self._latent(codes[used])
+        windows = [(m, items, q, near, norm, np.searchsorted(at[near], np.arange(0, len(used) + WINDOW_BLOCKS, WINDOW_BLOCKS))) for m, items, q, near, norm in windows]
+        longest = max(m for m, *_ in windows)
         out = []
-        latent = sums(blocks)
-        for items, q, start, end, norm in windows:
-            dots = sums(blocks @ q)  # a window's product is the sum of its blocks'
-            for k in range(0, len(start), 4096):
-                s, e = start[k : k + 4096], end[k : k + 4096]
-                own = latent[at[e]] - latent[at[s]]
+        for j, k in enumerate(range(0, len(used), WINDOW_BLOCKS)):
+            added = {1: blocks[k : k + WINDOW_BLOCKS + longest - 1]}
+            for m, items, q, near, norm, cuts in windows:
+                here = slice(cuts[j], cuts[j + 1])
+                if here.start == here.stop:
+                    continue
+                s = near[here]
+                own = _windows(added, m, left[k:])[at[s] - k]
+                dots = own @ q
                 # what the space has no room for is missing in the item's vector, so it must not count in the window's length
-                own = np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own)), 1e-3 * norm[k : k + 4096])
-                cos = (dots[at[e]] - dots[at[s]]) / own[:, None]
-                for w, i in zip(*np.nonzero(cos >= self.rule.cosine)):
-                    t = owner[s[w]]
-                    out.append((int(t), int(items[i]), int(s[w] - first[t]) * STEP, int(e[w] - first[t]) * STEP, float(cos[w, i])))
+                length = np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own)), 1e-3 * norm[here])
+                w, i = np.divmod(np.flatnonzero(dots >= self.rule.cosine * length[:, None]), len(items))
+                s, t = s[w], owner[s[w]]
+                e = np.minimum(s + m, limit[s])
+                out += zip(t.tolist(), items[i].tolist(), ((s - first[t]) * STEP).tolist(), ((e - first[t]) * STEP).tolist(), (dots[w, i] / length[w]).tolist())
+        return out
+
+    def _latent(self, codes: np.ndarray) -> np.ndarray:
+        """Latent vectors of blocks of words; blocks of as many known words go together, so that rows of unknown ones needn't be added."""
+        codes = np.sort(codes, axis=1)  # unknown ones last
+        sizes = (codes < len(self.vocab)).sum(axis=1)
+        order = np.argsort(sizes.astype(np.int8), kind="stable")
+        out, row = np.empty((len(codes), self.basis.shape[1]), np.float32), np.empty((GATHER_BLOCKS, self.basis.shape[1]), np.float32)
+        for k in range(0, len(codes), GATHER_BLOCKS):
+            some = order[k : k + GATHER_BLOCKS]
+            c = codes[some].T.copy()
+            part = self.weighted.take(c[0], axis=0, mode="clip")  # no code is too large
+            for w in c[1 : sizes[some[-1]]]:
+                part += self.weighted.take(w, axis=0, out=row[: len(w)], mode="clip")
+            out[some] = part
         return out
 
     def leaks(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, float, float, str]]]:
@@ -238,7 +283,10 @@ class Index:
     def held(self, codes: list[np.ndarray], words: Callable[[int], list[bytes]]) -> list[list[tuple[int, float, float, float, str]]]:
         """``leaks`` of texts whose codes are known; their words are asked for where something may be."""
         near: list[dict[int, list[tuple[int, int, float]]]] = [{} for _ in codes]
-        for t, i, s, e, cos in self.candidates(codes):
+        found = self.candidates(codes)
+        if found and self.item_codes:  # what holds too few of the item's words is left out before words are asked for
+            found = compress(found, self._shared(codes, found) >= self.rule.paraphrase)
+        for t, i, s, e, cos in found:
             near[t].setdefault(i, []).append((s, e, cos))
         out = [{i: x for i, *x in self._checked(words(t), n)} if n else {} for t, n in enumerate(near)]
         for t, i, s, e in self.seeded(codes) if self.seeds else ():
@@ -256,6 +304,24 @@ class Index:
                 out[t][i] = [cos, share, held, "copy"]
         return [[(i, *x) for i, x in sorted(found.items())] for found in out]
 
+    def _shared(self, texts: list[np.ndarray], found: list[tuple[int, int, int, int, float]]) -> np.ndarray:
+        """For each candidate, the share of the item's words that stand around the window."""
+        sizes, lengths = np.array([len(c) for c in self.item_codes]), np.array([len(c) for c in texts])
+        items, codes = np.concatenate(self.item_codes), np.concatenate(texts)
+        t, i, s, e = np.array([x[:4] for x in found]).T
+        a, b = around(sizes[i], s, e)
+        b, text, item = np.minimum(b, lengths[t]), (np.cumsum(lengths) - lengths)[t], (np.cumsum(sizes) - sizes)[i]
+        out, width = [], len(self.vocab) + 1
+        some = max(1, MARKS // width)
+        for k in range(0, len(t), some):
+            own = slice(k, k + some)
+            there = np.zeros(some * width, bool)
+            row, at = ranges(text[own] + a[own], b[own] - a[own])
+            there[row * width + codes[at]] = True
+            row, at = ranges(item[own], sizes[i[own]])
+            out.append(np.bincount(row, there[row * width + items[at]]))  # no item is empty
+        return np.concatenate(out) / sizes[i]
+
     def _checked(self, words: list[bytes], near: dict[int, list[tuple[int, int, float]]]) -> list[tuple[int, float, float, float, str]]:
         best: dict[int, tuple[float, float, float, str]] = {}
         for i, windows in near.items():
@@ -263,8 +329,7 @@ class Index:
             for s, e, cos in sorted(windows, key=lambda x: -x[2]):
                 if i in best and best[i][3] == "copy":
                     break
-                pad = max(len(item) - (e - s), 0) + STEP
-                text = words[max(0, s - pad) : e + pad]
+                text = words[slice(*around(len(item), s, e))]
                 there = set(text)
                 if sum(map(there.__contains__, item)) / len(item) < self.rule.paraphrase:  # the subsequence can't be longer
                     continue

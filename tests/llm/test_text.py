@@ -527,6 +527,51 @@ def test_pieces_of_long_texts_find_what_whole_texts_do(monkeypatch):
     assert len(found[64]) > 5 and {x[:4] for x in found[64]} == {x[:4] for x in found[1 << 15]}
 
 
+def test_windows_are_close_that_are_so_one_by_one():
+    """Texts shorter than any window, ends of texts and stretches of words that no item has, against each window's own sum."""
+    rnd, vocabulary, items, index = long_index(60)
+    rule, unknown = index.rule, [f"u{i}".encode() for i in range(50)]
+    texts = [[rnd.choice(vocabulary) for _ in range(n)] for n in (0, 1, 5, 8, 9, 23, 64, 65, 700)]
+    for k in range(40):
+        texts.append([*items[k], *rnd.sample(unknown, rnd.randint(0, 40)) * rnd.randint(0, 6), *items[k + 20][: rnd.randint(3, 20)]])
+    codes = [index.codes(w) for w in texts]
+    weighted, idf = index.weighted.astype(float), index.idf.astype(float)
+    want, doubtful = {}, set()
+    for t, c in enumerate(codes):
+        c = np.r_[c, np.full(-len(c) % decontam.STEP, len(index.vocab))]  # a block that isn't full ends with unknown words
+        for n, ids, q in index.queries:
+            for s in range(0, len(c), decontam.STEP):
+                part = c[s : s + n]
+                norm, known = (idf[part] ** 2).sum(), (idf[part[part < len(index.vocab)]] ** 2).sum()
+                own = weighted[part].sum(axis=0)
+                cos = own @ q.astype(float) / max(np.linalg.norm(own), 1e-3 * norm**0.5)
+                for i, x in zip(ids.tolist(), cos.tolist()):
+                    key = (t, i, s, min(s + n, len(c)))
+                    if abs(x - rule.cosine) < 1e-4 or abs(known - rule.cosine**2 * norm) < 1e-3:
+                        doubtful.add(key)
+                    elif x >= rule.cosine and known >= rule.cosine**2 * norm:
+                        want[key] = max(x, want.get(key, 0))
+    got = {}
+    for *key, cos in index.candidates(codes):
+        got[tuple(key)] = max(cos, got.get(tuple(key), 0))
+    assert len(want) > 200 and got.keys() - doubtful == want.keys() - doubtful
+    assert all(abs(got[x] - want[x]) < 1e-5 for x in want.keys() - doubtful)
+
+
+def test_words_are_asked_for_only_where_enough_of_an_item_stands():
+    rnd, vocabulary, items, index = long_index(40)
+    half = [[w for k, w in enumerate(x) if k % 2] for x in items if len(x) >= 20]  # close to the item, but short of it
+    texts = [*half, *([rnd.choice(vocabulary) for _ in range(30)] + x + [rnd.choice(vocabulary) for _ in range(30)] for x in items)]
+    codes, asked = [index.codes(w) for w in texts], set()
+    found = index.held(codes, lambda t: (asked.add(t), texts[t])[1])
+    near = {t for t, *_ in index.candidates(codes)}
+    assert len(near & set(range(len(half)))) > 10
+    assert {t for t, x in enumerate(found) if x} == set(range(len(half), len(texts))) == asked
+    plain = decontam.Index(index.ids, items, index.answers, index.rule, index.vocab, {}, index.idf, index.basis)
+    plain.place()  # without the words' numbers of items, all near windows are compared word by word
+    assert all({i for i, *_ in x} <= {i for i, *_ in y} for x, y in zip(plain.leaks(texts), found))
+
+
 def test_a_text_of_megabytes_is_searched_in_bounded_memory():
     rnd, vocabulary, items, index = long_index(4000)
     text = [rnd.choice(vocabulary) for _ in range(800_000)]  # about 5 MB
