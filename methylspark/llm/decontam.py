@@ -22,6 +22,7 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,8 @@ GATHER_BLOCKS, WINDOW_BLOCKS = 128, 256
 MARKS = 1 << 20
 #: Passages that are multiplied at once when the latent space is fitted, and words of the benchmark whose sums make a row.
 STEP_PASSAGES, SUM_WORDS = 32, 64
-#: Words of the texts that are written at once.
-BATCH_WORDS = 1 << 22
+#: Bytes of the texts that are split and written at once.
+BATCH_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,21 @@ class Rule:
     answer: float = 0.75  # share of the answer's words in its common subsequence
 
 
+def spaced(text: str | None) -> bytes:
+    """The words of a text with spaces between them."""
+    return (text or "").lower().encode().translate(TO_WORDS).strip()
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(TO_WORDS).split()
+    return spaced(text).split()
+
+
+def coded_words(texts: list[bytes | None], names: pa.Array, unknown: int) -> pa.Array:
+    """The places among ``names`` of the words of each text, four bytes each; null is a text without words."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    codes = pc.index_in(words.flatten(), value_set=names).fill_null(unknown)
+    ends = np.cumsum(4 * pc.list_value_length(words).fill_null(0).to_numpy(), dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.r_[np.int32(0), ends]), pa.py_buffer(codes.to_numpy(zero_copy_only=False))])
 
 
 def subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -120,6 +134,10 @@ class Index:
     item_codes: list[np.ndarray] = field(default_factory=list)
     seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]], np.ndarray]] = field(default_factory=dict)  # words in a row: sorted keys, items and places of each, and the words that one begins with
 
+    def names(self) -> list[bytes]:
+        """The words by their numbers; unknown ones have that of the empty word, which no text has."""
+        return [*self.vocab, b"", *self.extra]
+
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words, repeat(len(self.vocab))), np.int32, len(words))
 
@@ -348,15 +366,14 @@ def _coded(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, unknown = shared.value.vocab | shared.value.extra, len(shared.value.vocab)
+        names = pa.array([w.decode() for w in shared.value.names()])
         for batch in batches:
             some, size, first = [], 0, 0
             for k, text in enumerate(batch.column("text")):
-                words = words_of(text.as_py())
-                some.append(np.fromiter(map(numbers.get, words, repeat(unknown)), np.int32, len(words)).tobytes())
-                size += len(words)
-                if size >= BATCH_WORDS or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(some)), pa.array(some, pa.binary())], ["doc_id", "codes"])
+                some.append(spaced(text.as_py()) or None)
+                size += len(some[-1] or b"")
+                if size >= BATCH_BYTES or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(some)), coded_words(some, names, len(shared.value.vocab))], ["doc_id", "codes"])
                     some, size, first = [], 0, k + 1
 
     return staged(docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("codes", T.BinaryType())])), "coded")
@@ -521,7 +538,7 @@ def _search(coded: DataFrame, index: Index, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         unknown = len(index.vocab)
-        names = [*index.vocab, b"", *index.extra]  # no item has the empty word
+        names = index.names()
         for batch in batches:
             at, out, step, size = [], [], [], 0
             for k, codes in enumerate(_texts(batch)):

@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from methylspark.llm import decontam, langid, licenses, tokencount
 
@@ -558,6 +559,20 @@ def test_windows_are_close_that_are_so_one_by_one():
     assert all(abs(got[x] - want[x]) < 1e-5 for x in want.keys() - doubtful)
 
 
+@pytest.mark.parametrize("size", [1, 1 << 22])
+def test_codes_are_those_of_the_words_one_by_one(spark, monkeypatch, size):
+    texts = ["", None, "a b a", " A  b\tx\x0bÑandú-ñandú\u00a0y\x00b ", "...", "İ K ΑΣ. ς", "b" * 5000, "x " * 3000 + "extra a", "\x1c\x85 \u2028b"]
+    index = decontam.Index([1], [[b"a", b"b"]], [[b"extra", b"a"]], decontam.Rule(), {b"a": 0, b"b": 1, "ñandú".encode(): 2}, {b"extra": 4})
+    numbers = index.vocab | index.extra
+    monkeypatch.setattr(decontam, "BATCH_BYTES", size)
+    names = pa.array([w.decode() for w in index.names()])
+    for some in (texts, texts[:2], []):
+        got = decontam.coded_words([decontam.spaced(t) or None for t in some], names, 3)
+        assert [np.frombuffer(x.as_buffer(), np.int32).tolist() for x in got] == [[numbers.get(w, 3) for w in decontam.words_of(t)] for t in some]
+    rows = decontam._coded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), index).collect()
+    assert {r.doc_id: np.frombuffer(r.codes, np.int32).tolist() for r in rows} == {i: [numbers.get(w, 3) for w in decontam.words_of(t)] for i, t in enumerate(texts)}
+
+
 def test_words_are_asked_for_only_where_enough_of_an_item_stands():
     rnd, vocabulary, items, index = long_index(40)
     half = [[w for k, w in enumerate(x) if k % 2] for x in items if len(x) >= 20]  # close to the item, but short of it
