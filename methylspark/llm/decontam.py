@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import gathered, staged
 
 #: Bytes of words: ASCII letters and digits and all of non-ASCII; others separate.
 TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -448,7 +448,8 @@ def _gram(coded: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
 
     schema = "at long, data binary"
     out = np.zeros((v, k))
-    for r in coded.select("codes").mapInArrow(product, schema).repartition("at").mapInArrow(added, schema).toLocalIterator():  # words x rank numbers, whatever the number of tasks
+    found = coded.select("codes").mapInArrow(product, schema).repartition("at").mapInArrow(added, schema)
+    for r in gathered(found, "passage-sums"):  # words x rank numbers, whatever the number of tasks
         part = np.frombuffer(r.data).reshape(-1, k)
         out[r.at : r.at + len(part)] = part
     return out

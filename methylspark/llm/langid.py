@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import staged, unstage
+from .common import gathered, staged, unstage
 
 DIM = 1 << 14
 LETTER = regex.compile(r"\p{L}")
@@ -211,7 +211,7 @@ def _sums(tallies: DataFrame, idf: np.ndarray, state: dict[str, tuple[np.ndarray
 
     out = {}
     found = tallies.filter("fitted").select("lang", "cells", "n").mapInArrow(summed, schema).repartition("lang", "cluster").mapInArrow(added, schema)
-    for r in found.toLocalIterator():  # a few rows a language
+    for r in gathered(found, "language-sums"):  # a few rows a language
         x = np.zeros(DIM)
         x[np.frombuffer(r.cells, "<u2")] = np.frombuffer(r.sums)
         out[r.lang, r.cluster] = (r.rows, x / max(float(np.linalg.norm(x)), 1e-12))

@@ -74,6 +74,37 @@ def test_every_text_is_learnt_from(spark):
     assert model.langs == again.langs and (model.centroids == again.centroids).all() and (model.floors == again.floors).all()
 
 
+def jobs_of(spark, name, call):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return call(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["languages", "passages"])
+def test_sums_take_few_jobs_however_many_partitions(spark, kind):
+    """The driver asked for one partition after the other, in a job each."""
+    found = []
+    for partitions in (3, 60):
+        session = spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", partitions)
+        session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        if kind == "languages":
+            rows = [(lang, False, True, words(random.Random(i), lang, 12)) for i, lang in enumerate(list(LANGS) * 40)]
+            tallies = langid._tallies(session.createDataFrame(rows, "lang string, kept boolean, fitted boolean, text string").repartition(4))
+            call = lambda: langid._sums(tallies, np.ones(langid.DIM, np.float32), {})
+        else:
+            codes = [(np.random.default_rng(i).integers(0, 700, 150).astype(np.int32).tobytes(),) for i in range(50)]
+            coded = session.createDataFrame(codes, "codes binary").repartition(4)
+            call = lambda: {0: (50, decontam._gram(coded, np.ones(701), np.random.default_rng(1).random((700, 5))))}
+        out, jobs = jobs_of(session, f"{kind} {partitions}", call)
+        assert 1 <= jobs <= 8
+        found.append(out)
+    few, many = found
+    assert few.keys() == many.keys() and all(few[k][0] == many[k][0] and np.allclose(few[k][1], many[k][1], rtol=1e-5) for k in few)
+
+
 def test_of_too_many_languages_those_of_most_rows_are_learnt(spark, monkeypatch):
     rnd = random.Random(12)
     rows = [(i, words(rnd, lang, 20), lang, "a") for i, lang in enumerate(["en"] * 30 + ["de"] * 25 + ["fr"] * 5)]
